@@ -18,7 +18,7 @@ def batches(changes: DataFrame, key: str, ts: str = "ts", delay_ms: int = 250) -
     everything within the delay (fixed from the first event, not sliding).
     Adds ``batch`` from 1.  The fold runs over one key's sorted times in an
     aggregate; give keys that bound a group."""
-    ms = F.expr(f"unix_micros({ts})")
+    ms = F.unix_micros(F.col(ts).cast("timestamp"))
     times = changes.groupBy(key).agg(F.array_sort(F.collect_set(ms)).alias("_times"))
     start = F.struct(F.lit(-(1 << 60)).cast("long").alias("open"), F.array().cast("array<bigint>").alias("opens"))
 
