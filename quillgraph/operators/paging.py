@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import schemas
 from quillgraph.functions import text as X
+from quillgraph.functions.storage import written
 from quillgraph.graph import Graph
 
 ORDER_EDGES = ["caller", "callee", "edge_type"]
@@ -81,11 +82,12 @@ def scoped_nodes(graph: Graph, directory_ids: list[int]) -> DataFrame:
     root = graph["directories"].filter(F.col("path") == "").filter(F.col("id").isin(*directory_ids)) if directory_ids else None
     shown = graph.display()
     if root is not None and not root.isEmpty():
-        chosen = shown.filter(F.col("kind").isin("Code", "Project") & F.col("document_id").isNotNull()).select("id")
+        chosen = written(shown.filter(F.col("kind").isin("Code", "Project") & F.col("document_id").isNotNull()).select("id"), "scope")
         rest = boundary(graph, chosen).join(graph["graph_nodes"].filter(F.col("kind").isin("Http", "Package")), "id", "left_semi")
     else:
-        chosen = selected(graph, directory_ids)
+        chosen = written(selected(graph, directory_ids), "scope")
         rest = boundary(graph, chosen)
+    rest = written(rest, "boundary")
     both = chosen.withColumn("phase", F.lit(0)).unionByName(rest.withColumn("phase", F.lit(1)))
     out = both.join(shown, "id").filter("label is not null and type is not null")
     scope = F.when(F.col("phase") == 0, "selected").otherwise("external")
@@ -103,7 +105,7 @@ def nodes_page(graph: Graph, directory_ids: list[int], page_size: int = 2000, af
 def scoped_edges(graph: Graph, directory_ids: list[int]) -> DataFrame:
     """Edges that touch a selected node: internal if both ends are selected."""
     nodes = graph.display().filter("label is not null and type is not null").select("id", "canonical_id")
-    chosen = selected(graph, directory_ids).withColumn("in", F.lit(True))
+    chosen = written(selected(graph, directory_ids), "scope").withColumn("in", F.lit(True))
     a = nodes.join(chosen, "id", "left").select(F.col("id").alias("caller"), F.col("canonical_id").alias("caller_canonical_id"), F.coalesce("in", F.lit(False)).alias("a_in"))
     b = nodes.join(chosen, "id", "left").select(F.col("id").alias("callee"), F.col("canonical_id").alias("callee_canonical_id"), F.coalesce("in", F.lit(False)).alias("b_in"))
     both = graph.edges.join(a, "caller").join(b, "callee").filter("a_in or b_in")
