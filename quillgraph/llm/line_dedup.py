@@ -15,7 +15,8 @@ Defined results: null text stays null; a text of fewer than three lines has no
 window and stays; lines are split at "\\n" only and compared exactly; rows equal
 in id and text are repeats of one document and keep the same lines; a text all
 of whose lines go becomes empty; ``n_chars``, where present, is counted anew;
-other columns pass through.
+other columns pass through, but for an
+earlier ``n_removed``, which is replaced.
 """
 
 from __future__ import annotations
@@ -78,13 +79,14 @@ def _without(lines: Column, starts: Column) -> Column:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated windows removed, and ``n_removed`` lines."""
+    docs = docs.drop("n_removed")
     starts = repeated_positions(docs)
     same = docs["doc_id"].eqNullSafe(starts["_id"]) & (F.xxhash64(docs["text"]) == starts["_h"])
     both = docs.join(starts.hint("shuffle_hash"), same, "left")
     lines = F.split(docs["text"], "\n")
     left = F.when(starts["_starts"].isNotNull(), let(lines, lambda x: _without(x, starts["_starts"])))
-    kept = both.select(*[docs[c].alias(c) for c in docs.columns], F.size(lines).alias("_n_lines"), left.alias("_left"))
-    text = F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n"))
-    removed = F.when(F.col("_left").isNull(), F.lit(0)).otherwise(F.col("_n_lines") - F.size("_left"))
-    changed = {"text": text, "n_chars": F.when(F.col("_left").isNull(), F.col("n_chars")).otherwise(F.length(F.array_join("_left", "\n")).cast("long"))}
+    kept = both.select(*[docs[c].alias(c) for c in docs.columns], F.size(lines).alias("_qg_lines"), left.alias("_qg_left"))
+    text = F.when(F.col("_qg_left").isNull(), F.col("text")).otherwise(F.array_join("_qg_left", "\n"))
+    removed = F.when(F.col("_qg_left").isNull(), F.lit(0)).otherwise(F.col("_qg_lines") - F.size("_qg_left"))
+    changed = {"text": text, "n_chars": F.when(F.col("_qg_left").isNull(), F.col("n_chars")).otherwise(F.length(F.array_join("_qg_left", "\n")).cast("long"))}
     return kept.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns], removed.cast("long").alias("n_removed"))

@@ -20,7 +20,8 @@ Defined results: null text counts as empty (0 tokens, no leaf); edits apply in
 order, positions beyond the text are clamped, stop < start is an insertion; a
 null list of edits is none, a null replacement is a deletion; null edits are
 skipped; repeated rows are counted each; other columns pass through ``trees``
-and ``apply_edits`` untouched.
+and ``apply_edits`` untouched, but for earlier columns of the names they add,
+which are replaced.
 """
 
 from __future__ import annotations
@@ -168,6 +169,7 @@ def _counter(path: str) -> Counter:
 
 def trees(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``docs`` with n_tokens, n_pretokens, leaf_chars and leaf_tokens."""
+    docs = docs.drop("n_tokens", "n_pretokens", "leaf_chars", "leaf_tokens")
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_tokens long, n_pretokens long, leaf_chars array<bigint>, leaf_tokens array<bigint>").fields])
     at = docs.columns.index("text")
 
@@ -186,6 +188,7 @@ def trees(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 def apply_edits(treed: DataFrame, edits: str = "edits", tokenizer: str = TOKENIZER) -> DataFrame:
     """``treed`` (of ``trees``, with a column of EDITS type) with text, leaves
     and n_tokens after the edits, and n_edits, n_reencoded characters."""
+    treed = treed.drop("n_edits", "n_reencoded")
     names = treed.columns
     schema = T.StructType([*treed.schema.fields, *T._parse_datatype_string("n_edits long, n_reencoded long").fields])
     place = {c: names.index(c) for c in ("text", "leaf_chars", "leaf_tokens", "n_tokens", edits)}
