@@ -90,8 +90,9 @@ def render(lines: DataFrame, block_table: DataFrame, max_chars: int = 4000) -> D
     """(log_id, block, line_number, shown): lines as ``number| text`` while the
     characters (UTF-16 units, with the ends of lines and blocks) last; the line
     that does not fit is cut to ``...`` if there is room for more than that."""
-    inside = lines.join(block_table, (lines["log_id"] == block_table["log_id"]) & lines["line_number"].between(F.col("start"), F.col("stop")))
-    rows = inside.select(lines["log_id"], F.col("block").cast("long").alias("block"), "line_number", "start", F.concat(F.col("line_number").cast("string"), F.lit("| "), F.col("text")).alias("full"))
+    spans = block_table.select(F.col("log_id").alias("_log"), "block", "start", "stop")
+    inside = lines.join(spans, (F.col("log_id") == F.col("_log")) & F.col("line_number").between(F.col("start"), F.col("stop")))
+    rows = inside.select("log_id", F.col("block").cast("long").alias("block"), "line_number", "start", F.concat(F.col("line_number").cast("string"), F.lit("| "), F.col("text")).alias("full"))
     order = Window.partitionBy("log_id").orderBy("line_number")
     first = F.row_number().over(order) == 1
     gap = F.when(first, 0).when(F.col("line_number") == F.col("start"), 2).otherwise(1)
@@ -108,4 +109,5 @@ def render(lines: DataFrame, block_table: DataFrame, max_chars: int = 4000) -> D
     shown = F.when(fits, F.col("full")).when(room > 3, F.concat(prefix, F.lit("...")))
     rows = rows.withColumn("shown", shown).withColumn("_fits", fits)
     spent = F.max(F.when(~F.col("_fits"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.filter((F.coalesce(spent, F.lit(0)) == 0) & F.col("shown").isNotNull()).select("log_id", "block", "line_number", "shown", (~F.col("_fits")).alias("cut"))
+    rows = rows.withColumn("_spent", F.coalesce(spent, F.lit(0)))
+    return rows.filter((F.col("_spent") == 0) & F.col("shown").isNotNull()).select("log_id", "block", "line_number", "shown", (~F.col("_fits")).alias("cut"))

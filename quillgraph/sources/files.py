@@ -24,7 +24,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 
 def texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(relative_path, text): whole files."""
-    read = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
+    read = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     path = F.regexp_replace(F.col("_metadata.file_path"), r"^file:(//)?", "")
     return read.select(F.substring(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), len(root.rstrip("/")) + 2, 1 << 20).alias("relative_path"), F.col("value").alias("text"))
 
