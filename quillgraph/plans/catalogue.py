@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillgraph import schemas
 from quillgraph.functions import text as X
 from quillgraph.functions.ranking import top
-from quillgraph.operators import build, extraction, logs, memories, navigation, paging, render, search, statistics
+from quillgraph.operators import build, extraction, facts, logs, memories, navigation, paging, render, search, statistics
 from quillgraph.plans import derive
 from quillgraph.plans.sql import SQL as SQL
 from quillgraph.streaming import notify, watch
@@ -365,3 +365,41 @@ def path_chains(spark: SparkSession, d: str) -> DataFrame:
 def json_rows(spark: SparkSession, d: str) -> DataFrame:
     s = derive.read(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("s_name"))
     return render.as_json(s)
+
+
+@query
+def fact_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Facts about orders, customers and suppliers through the edge rules."""
+    o, c, s = (derive.read(spark, d, n) for n in ("orders", "customer", "supplier"))
+
+    def rows(df, symbol, fact, target, abstract):
+        return df.select(symbol.cast("string").alias("symbol"), F.lit(fact).alias("fact"), target.cast("string").alias("target"), abstract.alias("target_is_abstract"))
+
+    parts = rows(o, F.col("o_orderkey"), "constructs", F.col("o_custkey"), F.col("o_custkey") % 3 == 0)
+    parts = parts.unionByName(rows(c, F.col("c_custkey"), "implements", F.col("c_nationkey"), F.lit(False)))
+    parts = parts.unionByName(rows(s, F.col("s_suppkey"), "reads", F.col("s_nationkey"), F.lit(True))).unionByName(rows(s, F.col("s_suppkey"), "unknown", F.col("s_nationkey"), F.lit(True)))
+    return facts.edges_of_facts(parts)
+
+
+@query
+def enclosing_declaration(spark: SparkSession, d: str) -> DataFrame:
+    p, o = derive.read(spark, d, "part"), derive.read(spark, d, "orders")
+    declared = p.select(F.col("p_partkey").alias("declaration_id"), F.col("p_brand").alias("path"), (F.col("p_partkey") % 200).alias("start_line"), (F.col("p_partkey") % 200 + F.col("p_size") * 3).alias("end_line"))
+    calls = o.select(F.col("o_orderkey").alias("call_id"), F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string")).alias("path"), (F.col("o_orderkey") % 330).alias("line"))
+    return facts.enclosing(calls, declared)
+
+
+@query
+def visible_projection(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = facts.visible(derive.graph(spark, d), ("class", "interface"), "er")
+    n = nodes.groupBy(F.col("type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return n.unionByName(edges.groupBy(F.col("edge_type").alias("kind")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def contribution_reuse(spark: SparkSession, d: str) -> DataFrame:
+    c, o = derive.read(spark, d, "customer"), derive.read(spark, d, "orders")
+    made = c.select(F.col("c_custkey").alias("contribution_id"), F.when(F.col("c_custkey") % 2 == 0, "CSharp").otherwise("Markdown").alias("source_kind"))
+    inputs = o.select(F.col("o_custkey").alias("contribution_id"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("path"))
+    changes = o.filter("o_orderkey % 10 = 0").select(F.lit("Added").alias("action"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("path"))
+    return facts.reusable(made, inputs, changes)

@@ -244,4 +244,19 @@ SELECT directory, min(rank) AS ord, string_agg('  ' || file || chr(10) || lines,
 u AS (SELECT DISTINCT caller, callee FROM edges WHERE {FUNCTIONAL})
 SELECT '3000005>' || caller AS ids, c.name || ' -> ' || p.name AS chain FROM u JOIN code c ON c.id = caller JOIN code p ON p.id = 3000005 WHERE callee = 3000005"""),
     "json_rows": """SELECT '{"sSuppkey":' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN ',"sName":"' || s_name || '"' ELSE '' END || '}' AS json FROM supplier""",
+    "fact_edges": """
+SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS caller_id, CAST(o_custkey AS VARCHAR) AS callee_id, CASE WHEN o_custkey % 3 = 0 THEN 'MethodCall' ELSE 'Instantiates' END AS edge_type FROM orders WHERE o_orderkey <> o_custkey
+UNION SELECT CAST(c_custkey AS VARCHAR), CAST(c_nationkey AS VARCHAR), 'Implements' FROM customer WHERE c_custkey <> c_nationkey
+UNION SELECT CAST(s_suppkey AS VARCHAR), CAST(s_nationkey AS VARCHAR), 'FieldAccess' FROM supplier WHERE s_suppkey <> s_nationkey""",
+    "enclosing_declaration": """
+WITH p AS (SELECT p_partkey AS declaration_id, p_brand AS path, p_partkey % 200 AS a, p_partkey % 200 + p_size * 3 AS b FROM part),
+c AS (SELECT o_orderkey AS call_id, 'Brand#' || (o_custkey % 25 + 1) AS path, o_orderkey % 330 AS line FROM orders),
+m AS (SELECT call_id, declaration_id, row_number() OVER (PARTITION BY call_id ORDER BY b - a, a, declaration_id) AS n FROM c JOIN p ON p.path = c.path AND line BETWEEN a AND b)
+SELECT call_id, declaration_id FROM m WHERE n = 1""",
+    "visible_projection": _with(SQL_NODES, SQL_EDGES, """
+v AS (SELECT id, lower(node_type) AS type FROM nodes WHERE lower(node_type) IN ('class', 'interface') AND (contains(lower(name), 'er') OR contains(lower(node_type), 'er') OR contains(lower(canonical_id), 'er')))""") + """
+SELECT type AS kind, count(*) AS n FROM v GROUP BY type UNION ALL SELECT edge_type, count(*) FROM edges WHERE caller IN (SELECT id FROM v) AND callee IN (SELECT id FROM v) GROUP BY edge_type""",
+    "contribution_reuse": """
+WITH t AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 10 = 0)
+SELECT c_custkey AS contribution_id, c_custkey NOT IN (SELECT o_custkey FROM t) AND c_custkey % 2 <> 0 AS reuse FROM customer""",
 }

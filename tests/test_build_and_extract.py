@@ -293,3 +293,12 @@ def test_windowed_stream(spark, tmp_path):
     stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
     got = {tuple(r) for r in run(watch.windowed_counts(stream), "complete", tmp_path, "windows")}
     assert got == {tuple(r) for r in watch.windowed_counts(table).collect()} and len(got) == 3
+
+
+def test_hashing_embedder(spark):
+    from quillgraph.functions.embedding import embedder, hashing_model
+
+    embed = embedder(lambda: hashing_model(16), batch=2)
+    rows = spark.createDataFrame([(1, "a b"), (2, "b a"), (3, "zz"), (4, None)], "i int, t string").select("i", embed(F.col("t")).alias("v")).collect()
+    v = {r["i"]: r["v"] for r in rows}
+    assert v[1] == v[2] != v[3] and abs(sum(x * x for x in v[3]) - 1) < 1e-6 and v[4] == [0.0] * 16
