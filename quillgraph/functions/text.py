@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once a row and hand it to ``body`` as a variable."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def ascii_fold(c: Column) -> Column:
     """Fold A-Z only: the case rule of name lookup and of substring search."""
     return F.translate(c, UPPER, LOWER)

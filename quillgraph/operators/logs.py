@@ -42,12 +42,15 @@ def capture(lines: DataFrame, max_lines: int = 5000, max_bytes: int = 1 << 20) -
 def matches(text: Column, any_of=(), all_of=(), none_of=()) -> Column:
     """Lines by terms: a term may end in ``*`` (prefix) or hold blanks (phrase).
     At least one of ``any_of``, all of ``all_of``, none of ``none_of``."""
-    terms = X.index_terms(text)
 
-    def has(term: str) -> Column:
+    def has(terms: Column, term: str) -> Column:
         prefix = term.endswith("*")
         words = X.match_phrases(term.rstrip("*") + "  ") or [[term.rstrip("*").lower()]]
         phrase = [w for p in words for w in p] if " " in term else words[0]
+        if len(phrase) == 1 and not prefix:
+            return F.array_contains(terms, phrase[0])
+        if len(phrase) == 1:
+            return F.exists(terms, lambda t: t.startswith(phrase[0]))
         n = len(phrase)
         at = F.when(F.size(terms) >= n, F.sequence(F.lit(0), F.size(terms) - n)).otherwise(F.array().cast("array<int>"))
 
@@ -59,14 +62,17 @@ def matches(text: Column, any_of=(), all_of=(), none_of=()) -> Column:
 
         return F.exists(at, here)
 
-    out = F.lit(True)
-    if any_of:
-        out = out & reduce(lambda a, b: a | b, [has(t) for t in any_of])
-    for t in all_of:
-        out = out & has(t)
-    for t in none_of:
-        out = out & ~has(t)
-    return out
+    def all_tests(terms: Column) -> Column:
+        out = F.lit(True)
+        if any_of:
+            out = out & reduce(lambda a, b: a | b, [has(terms, t) for t in any_of])
+        for t in all_of:
+            out = out & has(terms, t)
+        for t in none_of:
+            out = out & ~has(terms, t)
+        return out
+
+    return X.let(X.index_terms(text), all_tests)
 
 
 def blocks(lines: DataFrame, matched: Column, context: int = 3) -> DataFrame:
