@@ -11,13 +11,14 @@ offset per source is added, and a document is emitted once for each integer
 boundary that its stretch crosses.
 
 Scale: the prefix sum never puts a source into one task.  A source is cut into
-cells (size class x 256 salts); ranks are taken inside cells and shifted by the
+cells (size class x 16 salts); ranks are taken inside cells and shifted by the
 cells' own prefix sum, whose length does not depend on the number of documents.
 
 Defined results: null text has size 0; a source without words has target 0 and
 gives no copies; null source is a source of its own, last in order; rows alike
 in id, text and source are drawn together; an empty table gives an empty result; other
-columns, whatever their names, are passed through by ``expand`` untouched.
+columns, whatever their names, are passed through by ``expand`` untouched (an
+earlier ``copy`` is replaced).
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def draw(docs: DataFrame, seed: int = 7, budget: float = 1.5, cap: float = 2.0,
     digits = F.col("size").cast("string")
     cells = sized.select(
         "*", F.length(digits).alias("_length"), F.substring(digits, 1, 2).alias("_lead"),
-        F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2).alias("_salt"),
+        F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 1).alias("_salt"),
     )
     cell = ["_key", "_length", "_lead", "_salt"]
     starts = cells.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
@@ -94,6 +95,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def expand(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every document once for each of its copies, with its
     own columns and ``copy`` (1, 2)."""
+    docs = docs.drop("copy")
     drawn = draw(docs, **options).filter("copies > 0")
     twin = materialise(
         drawn.select(F.col("doc_id").alias("_mix_id"), F.col("_text_hash").alias("_mix_hash"), F.col("_key").alias("_mix_key"), "copies"),

@@ -30,23 +30,23 @@ FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
     "op6_mixing": r"""
 WITH z AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS k,
-         CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')) AS BIGINT) AS size
+         CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size
   FROM documents),
 s AS (
-  SELECT k, sum(size) AS source_size, min(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS isnull FROM z GROUP BY k),
+  SELECT k, sum(size) AS source_size, min(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS nosource FROM z GROUP BY k),
 o AS (
-  SELECT *, CASE (row_number() OVER (ORDER BY isnull, k) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
+  SELECT *, CASE (row_number() OVER (ORDER BY nosource, k) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
          2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
 c AS (
-  SELECT *, cap * sum(weight) OVER (ORDER BY cap / weight, isnull, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
-         <= (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, isnull, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight AS capped FROM o),
+  SELECT *, cap * sum(weight) OVER (ORDER BY cap / weight, nosource, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+         <= (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, nosource, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight AS capped FROM o),
 t AS (
   SELECT k, CAST(source_size AS BIGINT) AS source_size,
          CASE WHEN capped THEN cap ELSE (total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ()) / sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () * weight END AS target
   FROM c),
 r AS (
   SELECT doc_id, k, size, row_number() OVER (
-           PARTITION BY k ORDER BY length(CAST(size AS VARCHAR)), substr(CAST(size AS VARCHAR), 1, 2), substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 2), size, doc_id) AS n
+           PARTITION BY k ORDER BY length(CAST(size AS VARCHAR)), substr(CAST(size AS VARCHAR), 1, 2), substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 1), size, doc_id) AS n
   FROM z),
 u AS (
   SELECT k, (SELECT sum((instr('0123456789abcdef', substr(md5(t.k || '#7'), i, 1)) - 1) / power(16.0::DOUBLE, i)) FROM (SELECT unnest([1, 2, 3, 4, 5, 6]) AS i)) AS v FROM t),
