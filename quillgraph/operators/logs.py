@@ -117,3 +117,13 @@ def render(lines: DataFrame, block_table: DataFrame, max_chars: int = 4000) -> D
     spent = F.max(F.when(~F.col("_fits"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_spent", F.coalesce(spent, F.lit(0)))
     return rows.filter((F.col("_spent") == 0) & F.col("shown").isNotNull()).select("log_id", "block", "line_number", "shown", (~F.col("_fits")).alias("cut"))
+
+
+def summary(lines: DataFrame, block_table: DataFrame) -> DataFrame:
+    """(log_id, total_lines, matched, n_blocks, summary) of every log; a log
+    without a match gets its summary and no tail of lines."""
+    total = lines.groupBy("log_id").agg(F.max("line_number").alias("total_lines"))
+    found = block_table.groupBy("log_id").agg(F.sum("n_matches").alias("matched"), F.count(F.lit(1)).alias("n_blocks"))
+    both = total.join(found, "log_id", "left").select("log_id", "total_lines", F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"))
+    text = F.when(F.col("matched") == 0, F.format_string("no match in %s lines", F.col("total_lines").cast("string"))).otherwise(F.format_string("%s of %s lines match, in %s blocks", *[F.col(c).cast("string") for c in ("matched", "total_lines", "n_blocks")]))
+    return both.withColumn("summary", text)

@@ -47,3 +47,19 @@ def as_json(df: DataFrame) -> DataFrame:
         return head + "".join(w.capitalize() for w in rest)
 
     return df.select(F.to_json(F.struct(*[F.col(c).alias(camel(c)) for c in df.columns])).alias("json"))
+
+
+def context_lines(lists: DataFrame) -> DataFrame:
+    """The lists of ``navigation.context`` -> (relation, n, body), a line a node."""
+    one = F.struct("ord", F.format_string("  %s (%s) `%s`", F.col("name"), F.col("type"), F.col("id").cast("string")).alias("line"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["line"]), "\n")
+    return lists.groupBy("relation").agg(F.count(F.lit(1)).alias("n"), body.alias("body"))
+
+
+def memory_blocks(memories: DataFrame) -> DataFrame:
+    """Memories (id, node_id, intent, tags, content, stale) -> (node_id, n, stale,
+    body): a block a memory, with a hint where the code has changed since."""
+    hint = F.when(F.col("stale"), F.lit(" [stale: the code has changed]")).otherwise(F.lit(""))
+    block = F.concat(F.lit("- "), F.upper("intent"), hint, F.lit(" #"), F.array_join("tags", " #"), F.lit("\n  "), F.col("content"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", block.alias("text")))), lambda x: x["text"]), "\n")
+    return memories.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("stale"), 1)).alias("stale"), body.alias("body"))

@@ -403,3 +403,20 @@ def contribution_reuse(spark: SparkSession, d: str) -> DataFrame:
     inputs = o.select(F.col("o_custkey").alias("contribution_id"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("path"))
     changes = o.filter("o_orderkey % 10 = 0").select(F.lit("Added").alias("action"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("path"))
     return facts.reusable(made, inputs, changes)
+
+
+@query
+def context_lines(spark: SparkSession, d: str) -> DataFrame:
+    return render.context_lines(navigation.context(derive.graph(spark, d), ROOT))
+
+
+@query
+def memory_blocks(spark: SparkSession, d: str) -> DataFrame:
+    n = derive.notes(spark, d)
+    return render.memory_blocks(n.select(F.col("memory_id").alias("id"), F.col("id").alias("node_id"), "intent", "tags", "content", (F.col("now_hash") != F.col("target_hash")).alias("stale")))
+
+
+@query
+def log_summary(spark: SparkSession, d: str) -> DataFrame:
+    lines = _log(spark, d)
+    return logs.summary(lines, logs.blocks(lines, logs.matches(F.col("text"), any_of=["the"], none_of=["licensed"]), 0))

@@ -259,4 +259,21 @@ SELECT type AS kind, count(*) AS n FROM v GROUP BY type UNION ALL SELECT edge_ty
     "contribution_reuse": """
 WITH t AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 10 = 0)
 SELECT c_custkey AS contribution_id, c_custkey NOT IN (SELECT o_custkey FROM t) AND c_custkey % 2 <> 0 AS reuse FROM customer""",
+    "context_lines": _with(SQL_NODES, SQL_EDGES, f"""
+rel AS (
+  SELECT DISTINCT caller AS id, CASE edge_type WHEN 'Implements' THEN 'implementers' WHEN 'ParentOf' THEN 'parents' ELSE 'callers' END AS relation FROM edges WHERE callee = {ROOT}
+  UNION SELECT DISTINCT callee, CASE edge_type WHEN 'Implements' THEN 'inherits' WHEN 'ParentOf' THEN 'children' ELSE 'callees' END FROM edges WHERE caller = {ROOT}),
+met AS (SELECT relation, rel.id, name, {TYPE} AS type, row_number() OVER (PARTITION BY relation ORDER BY name, rel.id) AS ord
+  FROM rel JOIN nodes ON nodes.id = rel.id WHERE relation IN ('parents', 'children') OR node_type IS NOT NULL)
+SELECT relation, count(*) AS n, string_agg('  ' || name || ' (' || type || ') `' || id || '`', chr(10) ORDER BY ord) AS body FROM met WHERE ord <= 10 GROUP BY relation"""),
+    "memory_blocks": _with(NOTES) + """
+SELECT id AS node_id, count(*) AS n, count(*) FILTER (WHERE now_hash <> target_hash) AS stale,
+  string_agg('- ' || upper(intent) || CASE WHEN now_hash <> target_hash THEN ' [stale: the code has changed]' ELSE '' END || ' #' || role || chr(10) || '  ' || content, chr(10) ORDER BY memory_id) AS body FROM notes GROUP BY id""",
+    "log_summary": _with(LINES, """
+m AS (SELECT log_id, line_number, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x = 'the')) > 0 AND len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x = 'licensed')) = 0 AS hit FROM li),
+h AS (SELECT log_id, line_number, CASE WHEN line_number - lag(line_number) OVER (PARTITION BY log_id ORDER BY line_number) = 1 THEN 0 ELSE 1 END AS fresh FROM m WHERE hit),
+b AS (SELECT log_id, count(*) AS matched, sum(fresh)::BIGINT AS n_blocks FROM h GROUP BY log_id),
+t AS (SELECT log_id, max(line_number) AS total_lines FROM li GROUP BY log_id)""") + """
+SELECT t.log_id, total_lines, coalesce(matched, 0) AS matched, coalesce(n_blocks, 0) AS n_blocks,
+  CASE WHEN matched IS NULL THEN 'no match in ' || total_lines || ' lines' ELSE matched || ' of ' || total_lines || ' lines match, in ' || n_blocks || ' blocks' END AS summary FROM t LEFT JOIN b ON t.log_id = b.log_id""",
 }
