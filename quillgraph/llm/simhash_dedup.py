@@ -169,7 +169,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component: its least id; where rows repeat that id,
     the least text hash, and one row of it."""
     found = clusters(docs)
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_th")).alias("_best"))
-    best = materialise(best.select(F.col("_best.doc_id").alias("_keep_id"), F.col("_best._th").alias("_keep_th")), "simhash-keep")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_th")
+    rows = found.groupBy("component_id", "doc_id", "_th").agg(F.count(F.lit(1)).alias("_rows"))
+    best = rows.groupBy("component_id").agg(F.min(place).alias("_best"), F.min_by("_rows", place).alias("_rows"))
+    best = materialise(best.select(F.col("_best.doc_id").alias("_keep_id"), F.col("_best._th").alias("_keep_th"), "_rows"), "simhash-keep")
     same = docs["doc_id"].eqNullSafe(best["_keep_id"]) & (F.xxhash64(docs["text"]) == best["_keep_th"])
-    return docs.join(best.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(best.hint("shuffle_hash"), same, "left_semi")
+    # texts move once more only where a kept row is repeated as it is
+    return kept if best.filter("_rows > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
