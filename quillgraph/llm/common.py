@@ -8,43 +8,29 @@ are repeats of one document and always receive the same verdict.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.functions.storage import written
+
 #: Words of the corpus contracts: runs of anything but ASCII white space.
 GAP = r"[\x20\x09-\x0D]+"
 #: Words made of ASCII letters and digits and of anything beyond ASCII.
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where
-    the cluster names none (tests on one machine)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="quillgraph-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage, gives later joins exact sizes, and survives lost executors.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, tag)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -56,10 +42,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
 def alnum_words(text: Column) -> Column:
     """Lower-cased words; case folding is full Unicode, for matching only."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_ALNUM), "")
