@@ -1,8 +1,6 @@
 """Vectors for texts: a pluggable model behind an iterator pandas UDF, and a
 deterministic one that needs no model file."""
 
-from __future__ import annotations
-
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column
