@@ -6,23 +6,22 @@ weights a and m are learned by expectation-maximisation on held-out counts: the
 n-grams of a deleted part of the training documents, against the counts of the
 rest.  Each document starts in a context of its own and ends with one end token.
 
-The word classes of the bigram: the most frequent words (whole frequency grades,
-``HEAD`` words at most) are classes of their own, all others form one, within which P1 decides:
+Every word keeps its own bigrams, however rare it is.  Only where ``head`` is
+given are the words beyond the ``head`` most frequent ones (whole frequency
+grades) one class, within which P1 decides:
 P(w | v) = a(b) * c(v, rest) / c(v) * P1(w) / P1(rest) + (1 - a(b)) * P1(w).
-So a rare word's term splits into a factor of its own count and one of its
-class, and every count needs one trip.
 
-Passes: (1) all training words are counted with a group-by; (2) the bigrams of
-the deleted part are counted in the rest; (3) every document's distinct bigrams
-and rare words go, in packed blocks, to the bucket of their key, are counted
-there over the training documents and scored on the spot; the partial sums go
-back to their document.
+Passes: (1) documents are packed into chunks; a chunk's distinct words and
+bigrams go, with how often they occur in its training documents, to the bucket
+of their 62-bit hash, where they are counted, and the counts return to the chunk;
+(2) the chunks of the deleted part give sums for each cell of (context bucket,
+ratio of the two estimates), from which the driver learns the weights; (3) each
+chunk, which now holds c(v), c(w) and c(v, w), scores its documents.
 
-Scale: a worker packs about ``BLOCK`` tokens at a time; a block is cut into
-buckets by key, and the number of buckets follows the number of tokens, so a
-bucket's size does not grow with the corpus.  A frequent bigram adds one entry a
-document, whatever its count.  Partial sums travel in single precision.  Only the head words (``HEAD``, bounded) and the
-deleted part's n-grams (about ``DELETED`` documents, bounded) reach the driver.
+Scale: a worker packs about ``BLOCK`` tokens at a time; the number of buckets
+follows the size of the texts, so a bucket grows only by the chunks of hot keys:
+a key is one entry a chunk, whatever its count.  Only sums over cells reach the
+driver (and the ``head`` words where it is given).
 
 Defined results: null text is empty (one end token); with no training document
 all counts are 0 and both scores are uniform; a null id is a document of its
@@ -36,44 +35,27 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import unit_hash
+from quillgraph.llm.common import materialise, unit_hash
 
-HEAD, DELETED, BLOCK, PER_BUCKET = 1 << 17, 1000, 1_000_000, 2_000_000
-CACHE = 300_000  # words that a worker keeps at once
-REST, END, START = 0, 1, 2  # classes; head words follow
-SHIFT = 20  # bits of a class
-RARE = 1 << 62  # marks keys of rare words
+HEAD, DELETED, BLOCK, PER_BUCKET = None, 1000, 600_000, 2_000_000
+SHARE = 0.1  # of the training documents, deleted
 _MASK = (1 << 62) - 1
+END, START, REST = 1 << 62, (1 << 62) + 1, (1 << 62) + 2  # keys beyond those of words
+EXACT, FINE = 64, 32  # cells of a count: each its own, then so many to an octave
 
 
 class Vocabulary(dict):
-    """Word -> its class, or for a rare word RARE plus 62 bits of its hash."""
+    """Word -> its number in the chunk; ``keys`` has the 62-bit hashes."""
 
-    def __init__(self, head: dict[int, int]):
-        self.head = head
+    def __init__(self):
+        self.keys = [START, END, REST]
 
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > CACHE:
-            self.clear()
-        h = xxh64_intdigest(word, 42) & _MASK
-        key = self[word] = self.head.get(h, RARE | h)
-        return key
-
-
-def _keys(vocabulary: Vocabulary, text: bytes):
-    """Word keys with the end, and bigram keys, of a text."""
-    import numpy as np
-
-    w = text.lower().split()
-    keys = np.empty(len(w) + 1, dtype=np.int64)
-    keys[:-1] = np.fromiter(map(vocabulary.__getitem__, w), dtype=np.int64, count=len(w))
-    keys[-1] = END
-    kind = np.where(keys >= RARE, REST, keys)
-    before = np.empty_like(kind)
-    before[0], before[1:] = START, kind[:-1]
-    return keys, (before << SHIFT) | kind
+        n = self[word] = len(self.keys)
+        self.keys.append(xxh64_intdigest(word, 42) & _MASK)
+        return n
 
 
 def _train_rows(docs: DataFrame) -> DataFrame:
@@ -105,233 +87,183 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.filter("_train").select("_text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def _head_words(rows: DataFrame, head: int) -> dict[int, int]:
+    """Hash -> count of the ``head`` most frequent words, whole grades only."""
+    counts = word_counts(rows).persist()
+    # words by frequency class (eight to an octave): at most some hundred rows
+    grade = F.floor(8 * F.log2("n"))
+    grades = counts.groupBy(grade.alias("g")).agg(F.count(F.lit(1)).alias("types")).orderBy(F.desc("g")).collect()
+    room, least = head, 1 << 30
+    for r in grades:
+        room -= r["types"]
+        if room < 0:
+            break
+        least = r["g"]
+    top = counts.filter(grade >= least).toArrow().to_pydict()
+    counts.unpersist()
+    return dict(zip(top["h"], top["n"]))
+
+
 class Model:
-    """Counts of the head, totals and mixture weights; bounded in size."""
+    """Totals and mixture weights; bounded in size."""
 
-    def __init__(self, head: list[tuple[int, int]], documents: int, words: int, types: int):
+    def __init__(self, classes: dict[int, int] | None, tokens: int, types: int, documents: int):
         import numpy as np
 
-        self.classes = {h: k for k, (h, _) in enumerate(head, 3)}
-        self.tokens = words + documents  # every training document adds an end
-        self.types = types + (documents > 0)
-        count = np.zeros(3 + len(head), dtype=np.float64)
-        count[END], count[START] = documents, documents
-        count[3:] = [n for _, n in head]
-        count[REST] = self.tokens - documents - count[3:].sum()
-        self.count = count
-        self.m, self.a = 0.9, np.zeros(64)
+        self.classes, self.tokens, self.types, self.documents = classes, tokens, types, documents
+        self.m, self.a, self.deleted, self.rest = 0.9, np.full(64, 0.2), 0.0, 1.0
 
     def base(self, c):
         import numpy as np
 
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
-    def unigram(self, c):
-        return self.m * c / max(1.0, self.tokens) + (1 - self.m) / (self.types + 1)
+    def unigram(self, c, gone: float = 0.0):
+        return self.m * c / max(1.0, self.tokens - gone) + (1 - self.m) / (self.types + 1)
 
-    def class_unigram(self):
-        """P1 of each class; of the rest, all that the head and the end leave."""
-        p = self.unigram(self.count)
-        p[START] = 0.0
-        p[REST] = max(1e-12, 1.0 - p[1:].sum())
-        return p
+    def set_rest(self) -> None:
+        """P1 of the class of all that the head and the end leave."""
+        if self.classes is not None:
+            self.rest = max(1e-12, 1.0 - float(sum(self.unigram(n) for n in self.classes.values())) - (self.unigram(self.documents) if self.documents else 0.0))
 
-    def terms(self, bigram, c):
-        """log10 of a bigram's factor given its count; for a rare word, what its
-        own P1 is multiplied by."""
-        import numpy as np
 
-        v, k = bigram >> SHIFT, bigram & ((1 << SHIFT) - 1)
-        p1 = self.class_unigram()
-        context = np.maximum(self.count, 1.0)
-        a = np.where(self.count > 0, self.a[np.log2(context).astype(int)], 0.0)
-        p = a[v] * c / context[v] + (1 - a[v]) * p1[k]
-        return np.log10(np.maximum(np.where(k == REST, p / p1[REST], p), 1e-300))
+def _squeezed(raw: bytes) -> bytes:
+    import pyarrow as pa
 
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
 
-def _sorted_counts(found: DataFrame):
-    """Keys and counts as two arrays, by key; Arrow keeps the driver's share at
-    16 bytes a key."""
-    import numpy as np
 
-    table = found.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    keys, n = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
-    order = np.argsort(keys)
-    return keys[order], n[order]
+def _loosened(raw: bytes) -> bytes:
+    import pyarrow as pa
 
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True) if raw else b""
 
-def _deleted_keys(rows: DataFrame, head: dict[int, int]):
-    """Keys of bigrams and rare words of the deleted part, with their counts."""
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+def _narrow(numbers) -> bytes:
+    """Whole numbers in 1, 2, 4 or 8 bytes each, whichever is enough."""
+    import numpy as np
 
-        vocabulary = Vocabulary(head)
-        for batch in batches:
-            for text in batch.column("_text"):
-                words, pairs = _keys(vocabulary, text.as_py())
-                k, n = np.unique(np.concatenate([pairs, words[words >= RARE]]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["key", "n"])
+    most = int(numbers.max(initial=0))
+    return _squeezed(numbers.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.int64).tobytes())
 
-    return _sorted_counts(rows.filter("_deleted").select("_text").mapInArrow(run, "key long, n long"))
 
+def _widened(raw: bytes, n: int):
+    import numpy as np
 
-def _rest_counts(rows: DataFrame, head: dict[int, int], wanted):
-    """How often each of the wanted keys (sorted array) occurs in the rest."""
+    raw = _loosened(raw)
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(raw) // n] if n else np.uint8).astype(np.int64)
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
 
-        vocabulary, total = Vocabulary(head), np.zeros(len(wanted), dtype=np.int64)
-        held: list = []
+def _steps(keys) -> bytes:
+    """Ascending keys as steps, byte by byte: the upper bytes are mostly zero."""
+    import numpy as np
 
-        def settle():
-            keys = np.concatenate(held)
-            at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-            at = at[wanted[at] == keys]
-            np.add(total, np.bincount(at, minlength=len(total)), out=total)
-            held.clear()
+    return _squeezed(np.diff(keys, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes())
 
-        size = 0
-        for batch in batches:
-            for text in batch.column("_text"):
-                words, pairs = _keys(vocabulary, text.as_py())
-                held.extend((pairs, words[words >= RARE]))
-                size += len(words)
-                if size > 500_000:
-                    settle()
-                    size = 0
-        if held:
-            settle()
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(wanted[at]), pa.array(total[at])], names=["key", "n"])
 
+def _from_steps(raw: bytes, n: int):
     import numpy as np
 
-    keys, n = _sorted_counts(rows.filter("_train and not _deleted").select("_text").mapInArrow(run, "key long, n long"))
-    out = np.zeros(len(wanted), dtype=np.float64)
-    out[np.searchsorted(wanted, keys)] = n
-    return out
+    if not n:
+        return np.empty(0, dtype=np.int64)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(_loosened(raw), np.uint8).reshape(8, n).T).view(np.int64)[:, 0])
+
 
+def _entries(seq, sizes, keys, own):
+    """A chunk's distinct (context, word) entries in the order of their hash.
 
-def _learn(model: Model, keys, n, c, rounds: int = 40) -> None:
-    """EM for the unigram weight and for the bigram weight of each bucket: keys
-    of the deleted part, their counts there, and their counts in the rest."""
+    seq: word numbers of all documents, ends included; own: whether a number is
+    a class of its own.  Returns (context, word, hash) of the entries, and the
+    entry of each token."""
     import numpy as np
 
-    n = n.astype(np.float64)
-    rare = keys >= RARE
-    v, k = keys[~rare] >> SHIFT, keys[~rare] & ((1 << SHIFT) - 1)
-    gone = np.bincount(v, weights=n[~rare], minlength=len(model.count))  # the part's own words, as contexts
-    context = np.maximum(model.count - gone, 0.0)
-    seen = np.bincount(k, weights=n[~rare], minlength=len(model.count))
-    count1 = np.maximum(model.count - seen, 0.0)
-    total = max(1.0, model.tokens - seen.sum())
-    plain = k != REST
-    event, times = np.concatenate([count1[k[plain]], c[rare]]), np.concatenate([n[~rare][plain], n[rare]])
-    for _ in range(rounds):
-        own = model.m * event / total
-        share = own / (own + (1 - model.m) / (model.types + 1))
-        model.m = float(np.clip((times * share).sum() / times.sum(), 1e-3, 1 - 1e-3))
-    p1 = model.class_unigram()[k]
-    usable = context[v] > 0
-    bucket = np.log2(np.maximum(context[v], 1.0)).astype(int)
-    ratio = np.where(usable, c[~rare] / np.maximum(context[v], 1.0), 0.0)
-    weight = n[~rare] * usable
-    model.a = np.full(64, 0.2)
-    whole = np.bincount(bucket, weights=weight, minlength=64)
-    for _ in range(rounds):
-        a = model.a[bucket]
-        share = a * ratio / np.maximum(a * ratio + (1 - a) * p1, 1e-300)
-        model.a = np.where(whole > 0, np.bincount(bucket, weights=weight * share, minlength=64) / np.maximum(whole, 1.0), model.a)
-    model.a = np.clip(model.a, 0.0, 0.999)
+    kind = np.where(own, np.arange(len(keys)), 2)
+    before = np.empty_like(seq)
+    before[1:] = kind[seq[:-1]]
+    before[np.cumsum(sizes) - sizes] = 0
+    found, entry = np.unique(before * len(keys) + seq, return_inverse=True)
+    v, w = found // len(keys), found % len(keys)
+    with np.errstate(over="ignore"):
+        x = keys[v].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + keys[kind[w]].astype(np.uint64)
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    h = ((x ^ (x >> np.uint64(31))) & np.uint64(_MASK)).astype(np.int64)
+    order = np.argsort(h, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return v[order], w[order], h[order], place[entry]
 
 
-def fit(docs: DataFrame, head: int = HEAD, deleted: int = DELETED) -> Model:
-    """docs: with _train and _deleted columns."""
-    rows = _train_rows(docs)
-    counts = word_counts(rows).persist()
-    # words by frequency class (eight to an octave): at most some hundred rows
-    grade = F.floor(8 * F.log2("n"))
-    grades = counts.groupBy(grade.alias("g")).agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("words")).orderBy(F.desc("g")).collect()
-    room, least = head, 1 << 30
-    for r in grades:
-        room -= r["types"]
-        if room < 0:
-            break
-        least = r["g"]
-    top = counts.filter(grade >= least).toArrow().to_pydict()
-    counts.unpersist()
-    documents = docs.filter("_train").count()
-    head_words = sorted(zip(top["h"], top["n"]), key=lambda x: (-x[1], x[0]))
-    model = Model(head_words, documents, sum(r["words"] for r in grades), sum(r["types"] for r in grades))
-    keys, n = _deleted_keys(rows, model.classes)
-    if len(keys):
-        _learn(model, keys, n, _rest_counts(rows, model.classes, keys))
-    return model
+BLOCKS = "bucket int, chunk string, deleted boolean, words int, pairs int, word_keys binary, pair_keys binary, times binary, pair_times binary, meta binary"
+_ARROW = {"int": "int32", "string": "string", "boolean": "bool_", "binary": "binary", "long": "int64", "double": "float64"}
 
 
-BLOCKS = "bucket int, chunk string, kind int, size int, owner binary, keys binary, times binary, meta binary"
+def _rows(schema: str, rows: list[tuple]):
+    import pyarrow as pa
 
+    fields = [x.split() for x in schema.split(", ")]
+    return [pa.array([r[j] for r in rows], getattr(pa, _ARROW[kind])()) for j, (_, kind) in enumerate(fields)], [name for name, _ in fields]
 
-def _pack(classes: dict[int, int], model_count, base_terms, buckets: int):
-    """Documents -> blocks of (owner, key, times) by bucket of the key, and one
-    meta block a chunk with what the words of the head already give."""
+
+def _pack(classes: dict[int, int] | None, buckets: int):
+    """Documents -> a chunk's keys and their counts by bucket, and one meta block
+    a chunk: ids, sizes, word numbers and hashes.  Deleted documents have chunks
+    of their own."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        vocabulary, task = Vocabulary(classes), TaskContext.get().partitionId()
-        ids: list = []
-        marks: list = []
-        sums: list = []
-        held: list = []
-        state = {"chunk": 0, "size": 0}
-        names = [x.split()[0] for x in BLOCKS.split(", ")]
-        kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-
-        def flush():
-            chunk = f"{task}-{state['chunk']}"
-            meta = b"".join([np.array([x is not None for x in ids], np.uint8).tobytes(), np.array([x or 0 for x in ids], np.int64).tobytes(), np.array(marks, np.uint8).tobytes(), np.array(sums, np.float64).tobytes()])
-            out = [(buckets + hash_of(chunk) % buckets, chunk, 0, len(ids), b"", b"", b"", meta)]
-            owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(k) for k, _ in held])
-            keys, times = (np.concatenate([x[j] for x in held]) for j in (0, 1))
-            times = times << 1 | np.array(marks, dtype=np.int64)[owner]
-            bucket = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
-            for rare in (False, True):
-                mine = np.flatnonzero((keys >= RARE) == rare)
-                order = mine[np.argsort(bucket[mine], kind="stable")]
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in range(buckets):
-                    at = order[edges[b] : edges[b + 1]]
-                    if len(at):
-                        k = keys[at]
-                        low, high = (k & 0xFFFFFFFF).astype(np.uint32), (k >> 32).astype(np.uint32 if rare else np.uint8)
-                        # rows of one owner stand together: the steps between owners are mostly zero
-                        step = _narrow(np.diff(owner[at].astype(np.int64), prepend=0))
-                        out.append((b, chunk, 2 if rare else 1, len(at), step, low.tobytes() + high.tobytes(), _narrow(times[at]), b""))
-            for x in (ids, marks, sums, held):
-                x.clear()
-            state["chunk"] += 1
-            state["size"] = 0
-            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kinds[j]) for j in range(len(kinds))], names=names)
-
+        task = TaskContext.get().partitionId()
+        number = 0
+
+        def fresh():
+            return {"words": Vocabulary(), "ids": [], "marks": [], "held": [], "size": 0}
+
+        def flush(s, deleted: bool):
+            chunk = f"{task}-{number}"
+            keys = np.array(s["words"].keys, dtype=np.int64)
+            own = np.ones(len(keys), dtype=bool) if classes is None else np.array([k > _MASK or k in classes for k in s["words"].keys])
+            sizes = np.array([len(x) for x in s["held"]], dtype=np.int64)
+            seq, marks = np.concatenate(s["held"]).astype(np.int64), np.array(s["marks"], dtype=bool)
+            v, w, h, entry = _entries(seq, sizes, keys, own)
+            train = np.repeat(marks, sizes)
+            times = np.bincount(seq[train], minlength=len(keys))
+            times[0], times[2] = marks.sum(), times[~own].sum()
+            pair_times = np.bincount(entry[train], minlength=len(h))
+            order = np.argsort(keys, kind="stable")
+            keys_in, times_in = keys[order], times[order]
+            edges = [(b << 62) // buckets for b in range(buckets)]
+            cut, pair_cut = ([*np.searchsorted(x, np.array(edges, dtype=np.int64)), len(x)] for x in (keys_in, h))
+            planes = [(seq >> shift).astype(np.uint8) for shift in (0, 8, 16, 24)]
+            meta = b"".join([np.array([len(sizes), len(seq), len(keys)], np.int64).tobytes(), np.array([x is not None for x in s["ids"]], np.uint8).tobytes(), np.array([x or 0 for x in s["ids"]], np.int64).tobytes(), sizes.tobytes(), keys.tobytes(), own.astype(np.uint8).tobytes(), *[x.tobytes() for x in planes]])
+            out = [(buckets + hash_of(chunk) % buckets, chunk, deleted, 0, 0, b"", b"", b"", b"", _squeezed(meta))]
+            for b in range(buckets):
+                x, y = slice(cut[b], cut[b + 1]), slice(pair_cut[b], pair_cut[b + 1])
+                n, pairs = x.stop - x.start, y.stop - y.start
+                if n or pairs:
+                    out.append((b, chunk, deleted, n, pairs, _steps(keys_in[x]), _steps(h[y]), _narrow(times_in[x]), _narrow(pair_times[y]), b""))
+            return pa.RecordBatch.from_arrays(*_rows(BLOCKS, out))
+
+        open_chunks = [fresh(), fresh()]
         for batch in batches:
-            for doc_id, train, text in zip(batch.column("doc_id").to_pylist(), batch.column("_train").to_pylist(), batch.column("_text")):
-                words, pairs = _keys(vocabulary, text.as_py())
-                common = words[words < RARE]
-                ids.append(doc_id), marks.append(train)
-                sums.append((len(words), np.count_nonzero(model_count[common] > 0), base_terms[common].sum()))
-                held.append(np.unique(np.concatenate([pairs, words[words >= RARE]]), return_counts=True))
-                state["size"] += len(words)
-                if state["size"] > BLOCK:
-                    yield flush()
-        if ids:
-            yield flush()
+            for doc_id, train, gone, text in zip(batch.column("doc_id").to_pylist(), batch.column("_train").to_pylist(), batch.column("_deleted").to_pylist(), batch.column("_text")):
+                s = open_chunks[bool(gone)]
+                w = text.as_py().lower().split()
+                codes = np.empty(len(w) + 1, dtype=np.int32)
+                codes[:-1] = np.fromiter(map(s["words"].__getitem__, w), dtype=np.int32, count=len(w))
+                codes[-1] = 1
+                s["ids"].append(doc_id), s["marks"].append(bool(train)), s["held"].append(codes)
+                s["size"] += len(codes)
+                if s["size"] > BLOCK:
+                    yield flush(s, bool(gone))
+                    number += 1
+                    open_chunks[bool(gone)] = fresh()
+        for k, s in enumerate(open_chunks):
+            if s["ids"]:
+                yield flush(s, k == 1)
+                number += 1
 
     return run
 
@@ -342,69 +274,118 @@ def hash_of(text: str) -> int:
     return crc32(text.encode())
 
 
-PARTS = "chunk string, size int, owner binary, known binary, base binary, score binary, meta binary"
+PARTS = "bucket int, chunk string, deleted boolean, words int, pairs int, word_counts binary, word_rest binary, pair_counts binary, pair_rest binary, pair_times binary, meta binary"
+CELLS = "cell long, n double, x double"
 
 
-def _narrow(numbers) -> bytes:
-    """Whole numbers in 1, 2 or 4 bytes each, whichever is enough."""
+def _count(table):
+    """A bucket's blocks -> counts over all training documents (and, for deleted
+    chunks, over the rest of them), back in one block a chunk.  One row without
+    a chunk has the bucket's totals."""
     import numpy as np
+    import pyarrow as pa
 
-    most = int(numbers.max(initial=0))
-    return numbers.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+    rows = table.to_pylist()
+    own = [r for r in rows if r["bucket"] is not None and not r["meta"]]
+    out = [(r["bucket"], r["chunk"], r["deleted"], 0, 0, b"", b"", b"", b"", b"", r["meta"]) for r in rows if r["meta"]]
+    if own:
+        gone = np.array([r["deleted"] for r in own])
+        counts = []
+        for size, raw, times in (("words", "word_keys", "times"), ("pairs", "pair_keys", "pair_times")):
+            n = np.array([r[size] for r in own])
+            key = np.concatenate([_from_steps(r[raw], r[size]) for r in own])
+            time = np.concatenate([_widened(r[times], r[size]) for r in own]).astype(np.float64)
+            found, inverse = np.unique(key, return_inverse=True)
+            of_gone = np.bincount(inverse, weights=time * np.repeat(gone, n), minlength=len(found)).astype(np.int64)
+            every = np.bincount(inverse, weights=time, minlength=len(found)).astype(np.int64)
+            if size == "words":
+                stats = _totals(found, every, of_gone)
+            counts.append((np.cumsum(n) - n, n, every[inverse], (every - of_gone)[inverse]))
+        for k, r in enumerate(own):
+            cols = []
+            for at, n, every, left in counts:
+                x = slice(at[k], at[k] + n[k])
+                cols += [_narrow(every[x]), _narrow(left[x]) if r["deleted"] else b""]
+            out.append((r["bucket"], r["chunk"], r["deleted"], r["words"], r["pairs"], *cols, r["pair_times"] if r["deleted"] else b"", b""))
+        out.append((own[0]["bucket"], None, False, len(stats), 0, np.array(stats, np.float64).tobytes(), b"", b"", b"", b"", b""))
+    return pa.Table.from_arrays(*_rows(PARTS, out))
+
+
+TOKENS, TYPES, DOCUMENTS, GONE = -1, -2, -3, -4
+
+
+def _totals(keys, every, gone) -> list[tuple]:
+    """(cell, n, n * x) of a bucket's words: totals, and the deleted part's
+    tokens by their count x in the rest."""
+    import numpy as np
 
+    word = keys <= END
+    left = (every - gone)[word]
+    n, gone, end = every[word], gone[word], every[keys == END].sum()
+    out = [(TOKENS, n.sum(), 0), (TYPES, (n > 0).sum(), 0), (DOCUMENTS, end, 0), (GONE, gone.sum(), 0)]
+    cell = np.where(left < EXACT, left, EXACT + np.floor(FINE * np.log2(np.maximum(left, 1) / EXACT)).astype(np.int64))
+    sums = np.bincount(cell, weights=gone, minlength=1), np.bincount(cell, weights=gone * left.astype(np.float64), minlength=1)
+    return out + [(int(k), sums[0][k], sums[1][k]) for k in np.flatnonzero(sums[0])]
 
-def _widened(raw: bytes, n: int):
+
+def _unpack(batches: Iterator) -> Iterator:
     import numpy as np
+    import pyarrow as pa
 
-    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // n]).astype(np.int64)
+    for batch in batches:
+        for raw in batch.column("word_counts").to_pylist():
+            cells = np.frombuffer(raw, np.float64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(cells[:, 0].astype(np.int64)), pa.array(cells[:, 1]), pa.array(cells[:, 2])], names=["cell", "n", "x"])
 
 
-def _score(model: Model):
-    """A bucket's blocks -> counts over the training documents -> partial sums
-    a document, back in one block a chunk."""
+def _opened(table):
+    """A chunk's blocks -> its documents, entries and counts."""
+    import numpy as np
+
+    rows = table.to_pylist()
+    (meta,) = [_loosened(r["meta"]) for r in rows if r["meta"]]
+    docs, tokens, words = (int(x) for x in np.frombuffer(meta, np.int64, 3))
+    at, parts = 24, []
+    for kind, n in ((np.uint8, docs), (np.int64, docs), (np.int64, docs), (np.int64, words), (np.uint8, words), *[(np.uint8, tokens)] * 4):
+        parts.append(np.frombuffer(meta, kind, n, at).copy())
+        at += parts[-1].nbytes
+    given, ids, sizes, keys, own, *planes = parts
+    own = own.astype(bool)
+    seq = sum(x.astype(np.int64) << shift for x, shift in zip(planes, (0, 8, 16, 24)))
+    v, w, _, entry = _entries(seq, sizes, keys, own)
+    blocks = sorted((r for r in rows if not r["meta"]), key=lambda r: r["bucket"])
+
+    def joined(name, size):
+        return np.concatenate([_widened(r[name], r[size]) for r in blocks])
+
+    def by_word(name):
+        out = np.empty(words, dtype=np.int64)
+        out[np.argsort(keys, kind="stable")] = joined(name, "words")
+        return out
+
+    return given, ids, sizes, own, v, w, entry, by_word, joined
+
+
+def _ratios(model: Model):
+    """Deleted chunks -> sums (cell, n, n * log2 of the ratio) for the weights:
+    the ratio is that of the bigram's estimate to P1, both from the rest."""
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
-        names = [x.split()[0] for x in PARTS.split(", ")]
-        kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        out: list[tuple] = []
-        rows = table.to_pylist()
-        for kind in (1, 2):
-            own = [r for r in rows if r["kind"] == kind]
-            if not own:
-                continue
-            keys, times, owners = [], [], []
-            for r in own:
-                n, raw = r["size"], r["keys"]
-                low = np.frombuffer(raw, np.uint32, n).astype(np.int64)
-                high = np.frombuffer(raw, np.uint32 if kind == 2 else np.uint8, n, 4 * n).astype(np.int64)
-                keys.append(high << 32 | low)
-                times.append(_widened(r["times"], n))
-                owners.append(np.cumsum(_widened(r["owner"], n)))
-            key, time = np.concatenate(keys), np.concatenate(times)
-            del keys, times
-            _, inverse = np.unique(key, return_inverse=True)
-            count = np.bincount(inverse, weights=(time >> 1) * (time & 1))[inverse]
-            del inverse
-            n = (time >> 1).astype(np.float64)
-            if kind == 1:
-                score, base, known = n * model.terms(key, count), np.zeros(len(n)), np.zeros(len(n))
-            else:
-                score, base, known = n * np.log10(model.unigram(count)), n * model.base(count), n * (count > 0)
-            lo = 0
-            for r, o in zip(own, owners):
-                hi = lo + len(o)
-                first = np.flatnonzero(np.diff(o, prepend=-1))
-                sums = [np.add.reduceat(x[lo:hi], first) for x in (known, base, score)]
-                parts = [_narrow(np.diff(o[first], prepend=0)), b"", b"", sums[2].astype(np.float32).tobytes()]
-                if kind == 2:
-                    parts[1:3] = _narrow(sums[0]), sums[1].astype(np.float32).tobytes()
-                out.append((r["chunk"], len(first), *parts, b""))
-                lo = hi
-        out += [(r["chunk"], r["size"], b"", b"", b"", b"", r["meta"]) for r in rows if r["kind"] == 0]
-        return pa.Table.from_arrays([pa.array([r[j] for r in out], kinds[j]) for j in range(len(kinds))], names=names)
+        *_, own, v, w, _, by_word, joined = _opened(table)
+        left, c, n = by_word("word_rest"), joined("pair_rest", "pairs"), joined("pair_times", "pairs").astype(np.float64)
+        p1 = np.where(own[w], model.unigram(left[w], model.deleted), model.rest)
+        context = left[v]
+        at = np.flatnonzero((context > 0) & (n > 0))
+        bucket = np.log2(context[at]).astype(np.int64)
+        ratio = c[at] / context[at] / p1[at]
+        log = np.log2(np.where(ratio > 0, ratio, 1.0))
+        cell = bucket << 32 | np.where(ratio > 0, (1 << 20) + np.floor(log * FINE).astype(np.int64), 0)
+        found, inverse = np.unique(cell, return_inverse=True)
+        cols = [pa.array(found), pa.array(np.bincount(inverse, weights=n[at], minlength=len(found))), pa.array(np.bincount(inverse, weights=n[at] * log, minlength=len(found)))]
+        return pa.Table.from_arrays(cols, names=["cell", "n", "x"])
 
     return run
 
@@ -412,42 +393,90 @@ def _score(model: Model):
 RESULT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _gather(table):
-    """All partial sums of a chunk -> a row a document."""
+def _score(model: Model):
+    """A chunk's blocks -> a row a document."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        given, ids, sizes, own, v, w, entry, by_word, joined = _opened(table)
+        count, c = by_word("word_counts"), joined("pair_counts", "pairs")
+        context, word = count[v], count[w]
+        p1 = model.unigram(word)
+        a = np.where(context > 0, model.a[np.log2(np.maximum(context, 1)).astype(int)], 0.0)
+        p = a * c / np.maximum(context, 1) * np.where(own[w], 1.0, p1 / model.rest) + (1 - a) * p1
+        first = np.cumsum(sizes) - sizes
+        known, base, score = (np.add.reduceat(x[entry], first) for x in ((word > 0).astype(np.int64), model.base(word), np.log10(np.maximum(p, 1e-300))))
+        cols = [pa.array(ids, mask=given == 0), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score)]
+        return pa.Table.from_arrays(cols, names=[x.split()[0] for x in RESULT.split(", ")])
+
+    return run
+
+
+def _summed(cells: DataFrame):
+    found = cells.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).orderBy("cell").toArrow()
+    return [found.column(k).to_numpy() for k in ("cell", "n", "x")]
+
+
+def _learn(model: Model, parts: DataFrame, cells, rounds: int = 40) -> None:
+    """EM for the unigram weight and for the bigram weight of each bucket."""
     import numpy as np
-    import pyarrow as pa
 
-    rows = table.to_pylist()
-    (meta,) = [r for r in rows if r["meta"]]
-    n, raw = meta["size"], meta["meta"]
-    given = np.frombuffer(raw, np.uint8, n)
-    ids = np.frombuffer(raw, np.int64, n, n)
-    sums = np.frombuffer(raw, np.float64, 3 * n, 10 * n).reshape(n, 3).copy()
-    score = np.zeros(n)
-    for r in sorted((r for r in rows if not r["meta"]), key=lambda r: (r["owner"], r["score"])):
-        at = np.cumsum(_widened(r["owner"], r["size"]))
-        if r["base"]:
-            sums[at, 1] += _widened(r["known"], r["size"])
-            sums[at, 2] += np.frombuffer(r["base"], np.float32)
-        score[at] += np.frombuffer(r["score"], np.float32)
-    cols = [pa.array(ids, mask=given == 0), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1].astype(np.int64)), pa.array(sums[:, 2]), pa.array(score)]
-    return pa.Table.from_arrays(cols, names=[x.split()[0] for x in RESULT.split(", ")])
-
-
-def score(docs: DataFrame, training: Column, head: int = HEAD, deleted: int = DELETED, buckets: int | None = None) -> DataFrame:
+    cell, n, x = cells
+    plain = cell >= 0
+    n, event = n[plain], x[plain] / np.maximum(n[plain], 1.0)
+    total = max(1.0, model.tokens - model.deleted)
+    if not n.sum():
+        return model.set_rest()
+    for _ in range(rounds):
+        own = model.m * event / total
+        share = own / (own + (1 - model.m) / (model.types + 1))
+        model.m = float(np.clip((n * share).sum() / n.sum(), 1e-3, 1 - 1e-3))
+    model.set_rest()
+    gone = parts.filter("deleted and chunk is not null").groupBy("chunk").applyInArrow(_ratios(model), CELLS)
+    cell, n, x = _summed(gone)
+    bucket = (cell >> 32).astype(int)
+    ratio = np.where(cell & 0xFFFFFFFF, np.exp2(x / np.maximum(n, 1.0)), 0.0)
+    whole = np.bincount(bucket, weights=n, minlength=64)
+    for _ in range(rounds):
+        a = model.a[bucket]
+        share = a * ratio / np.maximum(a * ratio + 1 - a, 1e-300)
+        model.a = np.where(whole > 0, np.bincount(bucket, weights=n * share, minlength=64) / np.maximum(whole, 1.0), model.a)
+    model.a = np.clip(model.a, 0.0, 0.999)
+
+
+def _fitted(docs: DataFrame, head: int | None, buckets: int | None) -> tuple[Model, DataFrame]:
+    rows = _train_rows(docs)
+    classes = None if head is None else _head_words(rows, head)
+    if buckets is None:  # a token has about six bytes
+        size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+        buckets = max(8, -(-int(size) // (6 * PER_BUCKET)))
+    packed = rows.mapInArrow(_pack(classes, buckets), BLOCKS)
+    parts = materialise(packed.groupBy("bucket").applyInArrow(_count, PARTS), "lm-counts")
+    cells = _summed(parts.filter("chunk is null").mapInArrow(_unpack, CELLS))
+    total = dict(zip(cells[0].tolist(), cells[1].tolist()))
+    model = Model(classes, *(int(total.get(k, 0)) for k in (TOKENS, TYPES, DOCUMENTS)))
+    model.deleted = total.get(GONE, 0.0)
+    _learn(model, parts, cells)
+    return model, parts
+
+
+def fit(docs: DataFrame, head: int | None = HEAD) -> Model:
+    """docs: with _train and _deleted columns."""
+    return _fitted(docs, head, None)[0]
+
+
+def marked(docs: DataFrame, training: Column, deleted: float = DELETED) -> DataFrame:
+    """docs with _train and _deleted, which is SHARE of the training documents."""
+    rows = docs.select("doc_id", "text", training.alias("_train"))
+    share = min(SHARE, deleted / max(1, rows.filter("_train").count()))
+    return rows.withColumn("_deleted", F.col("_train") & (unit_hash(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit("deleted")) < share))
+
+
+def score(docs: DataFrame, training: Column, head: int | None = HEAD, deleted: float = DELETED, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every
     document, learned from those where ``training`` holds."""
-    marked = docs.select("doc_id", "text", training.alias("_train"))
-    n = marked.filter("_train").count()
-    share = min(0.1, deleted / max(1, n))
-    marked = marked.withColumn("_deleted", F.col("_train") & (unit_hash(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit("deleted")) < share))
-    model = fit(marked, head, deleted)
-    buckets = buckets or max(8, -(-int(model.tokens * 1.25) // PER_BUCKET))
-    import numpy as np
-
-    base_terms, count = model.base(model.count), model.count
-    base_terms[[REST, START]] = 0.0
-    packed = _train_rows(marked).mapInArrow(_pack(model.classes, count, np.asarray(base_terms), buckets), BLOCKS)
-    parts = packed.groupBy("bucket").applyInArrow(_score(model), PARTS)
-    done = parts.groupBy("chunk").applyInArrow(_gather, RESULT)
+    model, parts = _fitted(marked(docs, training, deleted), head, buckets)
+    done = parts.filter("chunk is not null").groupBy("chunk").applyInArrow(_score(model), RESULT)
     return done.withColumn("train_tokens", F.lit(int(model.tokens)).cast("long"))
