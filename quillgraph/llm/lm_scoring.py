@@ -30,6 +30,7 @@ own hash remainder; repeated rows are scored each; other columns do not matter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import materialise, unit_hash
 
-HEAD, DELETED, BLOCK, PER_BUCKET = None, 1000, 600_000, 2_000_000
-SHARE = 0.1  # of the training documents, deleted
+HEAD, DELETED, BLOCK, PER_BUCKET = None, math.inf, 600_000, 2_000_000  # no bound on the head or the deleted part
+SHARE = 0.1  # of the training documents, deleted at every size
 _MASK = (1 << 62) - 1
 END, START, REST = 1 << 62, (1 << 62) + 1, (1 << 62) + 2  # keys beyond those of words
 EXACT, FINE = 64, 32  # cells of a count: each its own, then so many to an octave

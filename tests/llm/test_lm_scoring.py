@@ -41,3 +41,38 @@ def test_every_word_keeps_its_bigrams_beyond_131072_words(spark):
             p1 = model.m * one[x] / total + (1 - model.m) / (len(one) + 1)
             want += math.log10(a * two[v, x] / max(1, context[v]) + (1 - a) * p1)
         assert got[i] == pytest.approx(want, rel=1e-9)
+
+
+def test_a_tenth_is_held_out_at_every_size(spark):
+    table = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    model = lm_scoring.fit(lm_scoring.marked(table, F.lit(True)))
+    assert model.deleted == pytest.approx(0.1 * model.tokens, rel=0.1)
+
+
+def test_weights_match_brute_force(spark):
+    rnd = random.Random(32)
+    table = spark.createDataFrame([(i, " ".join(f"w{int(rnd.paretovariate(0.7))}" for _ in range(30))) for i in range(400)], DOCS)
+    marked = lm_scoring.marked(table, F.lit(True))
+    model = lm_scoring.fit(marked)
+    one, two, context = ([Counter(), Counter()] for _ in range(3))
+    for r in marked.collect():
+        w = ["<s>", *r["text"].split(), ""]
+        k = int(r["_deleted"])
+        one[k].update(w[1:]), context[k].update(w[:-1]), two[k].update(zip(w, w[1:]))
+    total, types, m = sum(one[0].values()), len(one[0] | one[1]), 0.9
+    p1 = lambda x: m * one[0][x] / total + (1 - m) / (types + 1)
+    for _ in range(40):
+        m = min(1 - 1e-3, max(1e-3, sum(n * m * one[0][x] / total / p1(x) for x, n in one[1].items()) / sum(one[1].values())))
+    assert model.m == pytest.approx(m, abs=1e-3)
+    weights = [0.2] * 64
+    for _ in range(40):
+        whole, share = Counter(), Counter()
+        for (v, x), n in two[1].items():
+            if context[0][v]:
+                b = int(math.log2(context[0][v]))
+                own = weights[b] * two[0][v, x] / context[0][v]
+                whole[b] += n
+                share[b] += n * own / (own + (1 - weights[b]) * p1(x))
+        for b in whole:
+            weights[b] = share[b] / whole[b]
+    assert list(model.a) == pytest.approx([min(0.999, x) for x in weights], abs=0.01)
