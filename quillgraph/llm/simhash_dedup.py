@@ -31,7 +31,8 @@ links like any other; fewer than four words: one shingle of all of them; rows
 with a null id have a fingerprint and take part in linking only through rows
 with an id (their component_id is the least id reachable, null if none);
 repeated rows return once each; other columns are ignored by ``clusters`` and
-passed through by ``keep_one``.
+passed through by ``keep_one``.  ``keep_one`` groups by the component's own key
+(``_group``, its least fingerprint), never by an id, which may be null or repeat.
 """
 
 from __future__ import annotations
@@ -152,6 +153,11 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def clusters(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id, _th): one row for each row of docs."""
+    return _grouped(docs).drop("_group")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """``clusters`` with _group, the least fingerprint of the component."""
     rows = materialise(fingerprints(docs), "simhash-rows")
     prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")
     found = materialise(links(prints), "simhash-links")
@@ -159,21 +165,23 @@ def clusters(docs: DataFrame) -> DataFrame:
     linked = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
     with_least = linked.join(prints, linked["id"] == prints["fp"])
     group = with_least.groupBy("component").agg(F.min("least").alias("component_id"))
-    renamed = with_least.join(group, "component").select("fp", F.col("component_id").alias("_joined"))
-    owner = materialise(prints.join(renamed, "fp", "left").select("fp", F.coalesce("_joined", "least").alias("component_id")), "simhash-owner")
+    renamed = with_least.join(group, "component").select("fp", F.col("component_id").alias("_joined"), F.col("component").alias("_linked"))
+    owner = materialise(prints.join(renamed, "fp", "left").select("fp", F.coalesce("_joined", "least").alias("component_id"), F.coalesce("_linked", "fp").alias("_group")), "simhash-owner")
     out = rows.join(owner, "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "_th")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "_th", "_group")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component: its least id; where rows repeat that id,
     the least text hash, and one row of it."""
-    found = clusters(docs)
+    found = _grouped(docs)
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_th")
-    rows = found.groupBy("component_id", "doc_id", "_th").agg(F.count(F.lit(1)).alias("_rows"))
-    best = rows.groupBy("component_id").agg(F.min(place).alias("_best"), F.min_by("_rows", place).alias("_rows"))
+    rows = found.groupBy("_group", "doc_id", "_th").agg(F.count(F.lit(1)).alias("_rows"))
+    best = rows.groupBy("_group").agg(F.min(place).alias("_best"), F.min_by("_rows", place).alias("_rows"))
     best = materialise(best.select(F.col("_best.doc_id").alias("_keep_id"), F.col("_best._th").alias("_keep_th"), "_rows"), "simhash-keep")
     same = docs["doc_id"].eqNullSafe(best["_keep_id"]) & (F.xxhash64(docs["text"]) == best["_keep_th"])
     kept = docs.join(best.hint("shuffle_hash"), same, "left_semi")
     # texts move once more only where a kept row is repeated as it is
-    return kept if best.filter("_rows > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    if best.filter("_rows > 1").isEmpty():
+        return kept
+    return kept.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
