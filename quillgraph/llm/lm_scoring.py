@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import materialise, unit_hash
 
-HEAD, DELETED, BLOCK, PER_BUCKET = None, math.inf, 600_000, 2_000_000  # no bound on the head or the deleted part
+HEAD, DELETED, BLOCK, PER_BUCKET = None, math.inf, 500_000, 1_000_000  # no bound on the head or the deleted part
 SHARE = 0.1  # of the training documents, deleted at every size
 _MASK = (1 << 62) - 1
 END, START, REST = 1 << 62, (1 << 62) + 1, (1 << 62) + 2  # keys beyond those of words
@@ -183,7 +183,9 @@ def _entries(seq, sizes, keys, own):
     before[1:] = kind[seq[:-1]]
     before[np.cumsum(sizes) - sizes] = 0
     found, entry = np.unique(before * len(keys) + seq, return_inverse=True)
+    del before
     v, w = found // len(keys), found % len(keys)
+    del found
     with np.errstate(over="ignore"):
         x = keys[v].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + keys[kind[w]].astype(np.uint64)
         for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
@@ -245,6 +247,7 @@ def _pack(classes: dict[int, int] | None, buckets: int):
                 n, pairs = x.stop - x.start, y.stop - y.start
                 if n or pairs:
                     out.append((b, chunk, deleted, n, pairs, _steps(keys_in[x]), _steps(h[y]), _narrow(times_in[x]), _narrow(pair_times[y]), b""))
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_arrays(*_rows(BLOCKS, out))
 
         open_chunks = [fresh(), fresh()]
@@ -287,6 +290,7 @@ def _count(table):
     import pyarrow as pa
 
     rows = table.to_pylist()
+    pa.default_memory_pool().release_unused()
     own = [r for r in rows if r["bucket"] is not None and not r["meta"]]
     out = [(r["bucket"], r["chunk"], r["deleted"], 0, 0, b"", b"", b"", b"", b"", r["meta"]) for r in rows if r["meta"]]
     if own:
@@ -297,8 +301,10 @@ def _count(table):
             key = np.concatenate([_from_steps(r[raw], r[size]) for r in own])
             time = np.concatenate([_widened(r[times], r[size]) for r in own]).astype(np.float64)
             found, inverse = np.unique(key, return_inverse=True)
+            del key
             of_gone = np.bincount(inverse, weights=time * np.repeat(gone, n), minlength=len(found)).astype(np.int64)
             every = np.bincount(inverse, weights=time, minlength=len(found)).astype(np.int64)
+            del time
             if size == "words":
                 stats = _totals(found, every, of_gone)
             counts.append((np.cumsum(n) - n, n, every[inverse], (every - of_gone)[inverse]))
