@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """A folder of this application in ``spark.checkpoint.dir``.  Where that is
+    unset, a temporary folder serves a master of one machine (``local[...]``);
+    any other master raises, since its executors would not see the files."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="quillgraph-")
         spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    return f"{named.rstrip('/')}/quillgraph-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -24,5 +29,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows up to which a frontier or a candidate list is sent to every task.
-SMALL = 100_000
+def clear(spark: SparkSession) -> None:
+    """Remove what this application has written to the shared folder.  Results
+    that are still lazy read those tables, so call it when all are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
