@@ -33,6 +33,18 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return written(df, tag)
 
 
+#: Key rows (an id, a hash and a number or two) up to which they are sent to every
+#: task: about 100 bytes each in a task's hash table.
+KEYS = 100_000
+
+
+def checked(keys: DataFrame, rows: int = KEYS) -> DataFrame:
+    """A written table for the small side of a join: sent to every task if it has
+    ``rows`` rows or fewer, so that the other side need not move; else joined as
+    Spark sees fit."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` as a bound variable."""
     return F.transform(F.array(value), body).getItem(0)

@@ -6,20 +6,25 @@ differing bits; the answer is the connected component of each document.
 
 Steps, all on distinct fingerprints:
 
-1. Candidates: 64 bits in seven blocks; four differing bits leave three blocks
-   untouched, so two linked fingerprints share one of the 35 triples of blocks
-   (27 bits and more).  Only triples that two fingerprints share go on.
-2. Pivot tables: each fingerprint carries its Hamming distances to ``PIVOTS``
-   fixed reference fingerprints; by the triangle inequality a pair is discarded
-   if any coordinate differs by more than the radius.
-3. Survivors are verified bit by bit.
-
-Random 64-bit fingerprints lie 32 +- 4 bits from any reference, so a coordinate
-alone keeps over half of all pairs; hence the blocks bring the pairs together
-and the pivots thin them out.  Inside a triple, fingerprints within the radius
-of the triple's least one hang on it like a star, and only pairs that the star
-does not already connect are paired, so a large group of near copies gives
-about as many links as members.
+1. Pivot table: each fingerprint's Hamming distances to ``PIVOTS`` reference
+   fingerprints, in parts (the distance over each of seven groups of bits) and in
+   total.
+2. Candidates: four differing bits leave three of the seven parts untouched, so
+   two linked fingerprints have equal part distances to every reference in one
+   of the 35 triples of parts.  The table is joined with itself on those
+   distances; nothing else brings a pair together.
+3. Discard: by the triangle inequality a pair goes if its total distances to any
+   reference differ by more than the radius.
+4. Survivors are verified bit by bit.
+
+Random 64-bit fingerprints lie 32 +- 4 bits from any reference, so a total
+distance keeps over half of all pairs, whereas equal distances over three parts
+keep one in 2^27.  Inside a group of equal distances, fingerprints within the
+radius of the group's least one hang on it like a star, and only pairs that no
+star connects are paired, so a large group of near copies gives about as many
+links as members.  A group of more than ``CROWD`` is not paired but dealt again by
+distances over other parts (``LEVELS``), so a fingerprint is compared with at most
+``CROWD`` others in a group, but at the last level.
 
 Scale: copies collapse before anything is paired; the shuffle is 35 rows of 16
 bytes for each distinct fingerprint; the hot fingerprint of a large group of
@@ -44,12 +49,20 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialise
+from quillgraph.llm.common import checked, materialise
 from quillgraph.llm.components import components
 
 RADIUS = 4
-BLOCKS = ((0, 10), (10, 9), (19, 9), (28, 9), (37, 9), (46, 9), (55, 9))  # first bit, bits
-PIVOTS = 12
+PIVOTS = 10
+#: Parts of the word and how many of them agree in a key.  Four differing bits
+#: leave n - 4 of n parts untouched; 10 references tell all values of a part of 10 bits.
+LEVELS = (
+    ([((1 << size) - 1) << first for first, size in ((0, 10), (10, 9), (19, 9), (28, 9), (37, 9), (46, 9), (55, 9))], 3),
+    ([sum(1 << i for i in range(k, 64, 6)) for k in range(6)], 2),
+    ([sum(1 << i for i in range(64) if i // 4 % 6 == k) for k in range(6)], 2),
+)
+#: Fingerprints of a group up to which they are compared with each other.
+CROWD = 2_000
 #: Shingles whose bits are counted at once; bounds a task's memory at 64 bytes each.
 CHUNK = 200_000
 
@@ -128,27 +141,60 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _part(fp: Column, mask: int) -> Column:
+    """Distances to all references over the bits of a mask, four bits each."""
+    return reduce(
+        lambda x, y: x.bitwiseOR(y),
+        [F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(p)).bitwiseAND(F.lit(_signed(mask)))).cast("long"), 4 * i) for i, p in enumerate(pivots())],
+    )
+
+
+def _keyed(rows: DataFrame, masks: list[int], free: int) -> DataFrame:
+    """(fp, tied, key): a key for each choice of ``free`` parts, from the key that
+    a row has and all distances over those parts."""
+    parts = rows.select("fp", "tied", "key", *[_part(F.col("fp"), m).alias(f"c{j}") for j, m in enumerate(masks)])
+    chosen = [F.xxhash64("key", F.lit(i), *[f"c{j}" for j in js]) for i, js in enumerate(combinations(range(len(masks)), free))]
+    return parts.select("fp", "tied", F.explode(F.array(*chosen)).alias("key"))
+
+
+def _totals(fp: Column) -> list[Column]:
+    return [F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("byte").alias(f"p{i}") for i, p in enumerate(pivots())]
+
+
+def _pairs(table: DataFrame) -> DataFrame:
+    """Pairs with equal keys: (a.*, b.*), a < b, discarded by total distances."""
+    a, b = table.alias("a"), table.alias("b")
+    alike = reduce(lambda p, q: p & q, [F.abs(F.col(f"a.p{i}") - F.col(f"b.p{i}")) <= RADIUS for i in range(PIVOTS)])
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.tied").bitwiseAND(F.col("b.tied")) == 0)
+    return a.join(b, met & alike)
+
+
+def _level(rows: DataFrame, level: int) -> DataFrame:
+    """(fp, key, hub, n, tied, p0..) of every group of two or more."""
+    masks, free = LEVELS[level]
+    spread = _keyed(rows, masks, free)
+    groups = spread.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("_far"), F.count(F.lit(1)).alias("n")).filter("hub <> _far").select("key", "hub", "n")
+    near = _distance(F.col("fp"), F.col("hub")) <= RADIUS
+    tied = F.col("tied").bitwiseOR(F.when(near, F.lit(1 << level)).otherwise(F.lit(0)))
+    shared = spread.join(groups, "key").select("fp", "key", "hub", "n", tied.cast("int").alias("tied"), *_totals(F.col("fp")))
+    return materialise(shared, "simhash-pivots")
+
+
+def links(prints: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) -> links (x, y) that connect exactly what all
-    pairs within ``radius`` <= 4 differing bits connect."""
-    fp = F.col("fp")
-    keys = []
-    for i, triple in enumerate(combinations(BLOCKS, len(BLOCKS) - 4)):
-        mask = sum(((1 << size) - 1) << first for first, size in triple)
-        keys.append(F.struct(F.lit(i).alias("t"), fp.bitwiseAND(F.lit(_signed(mask))).alias("k")))
-    spread = prints.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", F.col("key.t").alias("t"), F.col("key.k").alias("k"))
-    groups = spread.groupBy("t", "k").agg(F.min("fp").alias("hub"), F.max("fp").alias("_far")).filter("hub <> _far").select("t", "k", "hub")
-    shared = spread.join(groups, ["t", "k"])
-    table = materialise(shared.select("t", "k", "fp", "hub", *[_distance(fp, F.lit(p)).cast("byte").alias(f"p{i}") for i, p in enumerate(pivots())]), "simhash-triples")
-
-    star = _distance(F.col("fp"), F.col("hub")) <= radius
-    to_hub = table.filter(star & (F.col("fp") != F.col("hub"))).select(F.col("hub").alias("x"), F.col("fp").alias("y"))
-    a, b = table.filter("fp <> hub").alias("a"), table.filter("fp <> hub").alias("b")
-    near_a, near_b = (_distance(F.col(f"{s}.fp"), F.col(f"{s}.hub")) <= radius for s in "ab")
-    alike = reduce(lambda p, q: p & q, [F.abs(F.col(f"a.p{i}") - F.col(f"b.p{i}")) <= radius for i in range(PIVOTS)])
-    met = (F.col("a.t") == F.col("b.t")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") < F.col("b.fp"))
-    pairs = a.join(b, met & ~(near_a & near_b) & alike & (_distance(F.col("a.fp"), F.col("b.fp")) <= radius))
-    return to_hub.unionByName(pairs.select(F.col("a.fp").alias("x"), F.col("b.fp").alias("y"))).distinct()
+    pairs within ``RADIUS`` differing bits connect."""
+    rows, found = prints.select("fp", F.lit(0).alias("tied"), F.lit(0).cast("long").alias("key")), []
+    for level in range(len(LEVELS)):
+        table = _level(rows, level)
+        found.append(table.filter((F.col("tied").bitwiseAND(1 << level) != 0) & (F.col("fp") != F.col("hub"))).select(F.col("hub").alias("x"), F.col("fp").alias("y")))
+        crowded = F.col("n") > CROWD
+        last = level == len(LEVELS) - 1
+        few = table.filter(F.col("fp") != F.col("hub")) if last else table.filter((F.col("fp") != F.col("hub")) & ~crowded)
+        found.append(_pairs(few).filter(_distance(F.col("a.fp"), F.col("b.fp")) <= RADIUS).select(F.col("a.fp").alias("x"), F.col("b.fp").alias("y")))
+        rows = table.filter(crowded).select("fp", "tied", "key")
+        if last or rows.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def clusters(docs: DataFrame) -> DataFrame:
@@ -180,7 +226,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     best = rows.groupBy("_group").agg(F.min(place).alias("_best"), F.min_by("_rows", place).alias("_rows"))
     best = materialise(best.select(F.col("_best.doc_id").alias("_keep_id"), F.col("_best._th").alias("_keep_th"), "_rows"), "simhash-keep")
     same = docs["doc_id"].eqNullSafe(best["_keep_id"]) & (F.xxhash64(docs["text"]) == best["_keep_th"])
-    kept = docs.join(best.hint("shuffle_hash"), same, "left_semi")
+    kept = docs.join(checked(best), same, "left_semi")
     # texts move once more only where a kept row is repeated as it is
     if best.filter("_rows > 1").isEmpty():
         return kept

@@ -92,6 +92,58 @@ def test_dense_group_of_near_fingerprints_is_linked_whole(spark):
     assert len(same) == len({find(brute, x) for x in prints})
 
 
+def test_pivot_tables_bring_all_links_together_and_few_other_pairs(spark):
+    rnd = random.Random(6)
+    mask, signed = (1 << 64) - 1, lambda x: x - (1 << 64) if x >> 63 else x
+    prints = [rnd.getrandbits(64) for _ in range(3000)]
+    for k in range(600):
+        x = prints[k]
+        for bit in rnd.sample(range(64), rnd.randint(1, 7)):
+            x ^= 1 << bit
+        prints.append(x)
+    prints = sorted({signed(x) for x in prints})
+    table = simhash_dedup._level(spark.createDataFrame([(x, 0, 0) for x in prints], "fp long, tied int, key long"), 0)
+    a, b = table.alias("a"), table.alias("b")
+    met = {(r[0], r[1]) for r in a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))).select("a.fp", "b.fp").collect()}
+    kept = {(r[0], r[1]) for r in simhash_dedup._pairs(table.withColumn("tied", F.lit(0))).select("a.fp", "b.fp").collect()}
+    linked = {(x, y) for i, x in enumerate(prints) for y in prints[i + 1 :] if ((x ^ y) & mask).bit_count() <= 4}
+    assert linked <= kept <= met
+    every = len(prints) * (len(prints) - 1) // 2
+    assert len(met) < every / 5000 and len(linked) > 250
+    assert len(kept) - len(linked) < 0.8 * (len(met) - len(linked))  # total distances discard some of the rest
+
+
+def test_crowded_groups_are_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "CROWD", 12)
+    rnd = random.Random(8)
+    mask, signed = (1 << 64) - 1, lambda x: x - (1 << 64) if x >> 63 else x
+    centre, prints = rnd.getrandbits(64), set()
+    for _ in range(900):
+        x = centre
+        for bit in rnd.sample(range(64), rnd.randint(0, 5)):
+            x ^= 1 << bit
+        prints.add(signed(x))
+    prints = sorted(prints)
+    parent, brute = {x: x for x in prints}, {x: x for x in prints}
+    for r in simhash_dedup.links(spark.createDataFrame([(x,) for x in prints], "fp long")).collect():
+        assert ((r["x"] ^ r["y"]) & mask).bit_count() <= 4
+        parent[find(parent, r["x"])] = find(parent, r["y"])
+    for i, x in enumerate(prints):
+        for y in prints[i + 1 :]:
+            if ((x ^ y) & mask).bit_count() <= 4:
+                brute[find(brute, x)] = find(brute, y)
+    pairs = {(find(parent, x), find(brute, x)) for x in prints}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_fingerprint_of_a_text_longer_than_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "CHUNK", 50)
+    rnd = random.Random(9)
+    rows = [(i, prose(rnd, n), "en") for i, n in enumerate((49, 50, 51, 53, 54, 200, 333))]
+    got = {r["doc_id"]: r["fingerprint"] for r in simhash_dedup.clusters(docs(spark, rows)).collect()}
+    assert got == {i: f"{fingerprint(t):016x}" for i, t, _ in rows}
+
+
 def test_near_dedup_edges(spark):
     assert simhash_dedup.clusters(docs(spark, [])).count() == 0
     assert simhash_dedup.keep_one(docs(spark, [])).count() == 0
