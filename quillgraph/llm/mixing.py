@@ -11,22 +11,26 @@ offset per source is added, and a document is emitted once for each integer
 boundary that its stretch crosses.
 
 Scale: the prefix sum never puts a source into one task.  A source is cut into
-cells (size class x 16 salts); ranks are taken inside cells and shifted by the
+cells (size class x 256 salts); ranks are taken inside cells and shifted by the
 cells' own prefix sum, whose length does not depend on the number of documents.
+Repeated rows are one row with a number until the end, so they fill no cell.
 
 Defined results: null text has size 0; a source without words has target 0 and
-gives no copies; null source is a source of its own, last in order; rows alike
-in id, text and source are drawn together; an empty table gives an empty result; other
-columns, whatever their names, are passed through by ``expand`` untouched (an
-earlier ``copy`` is replaced).
+gives no copies; null source is a source of its own, last in order; rows alike in
+all columns are documents of their own, next to each other in the layout, and get
+a row each from ``mix``; an empty table gives an empty result; other columns,
+whatever their names, are passed through by ``expand`` untouched (an earlier
+``copy`` is replaced); ``expand`` numbers the copies of rows alike as one series.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialise, words
+from quillgraph.llm.common import checked, materialise, words
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -59,48 +63,78 @@ def source_targets(sized: DataFrame, budget: float, cap: float, weights=WEIGHTS)
     return per.select("_key", "source_size", F.when(F.col("_capped"), F.col("_cap")).otherwise(share).alias("target"))
 
 
+def _identity(docs: DataFrame) -> list[Column]:
+    """What rows alike in every column have in common: id, hash of the text, hash
+    of the row, source key."""
+    plain = [docs[f"`{f.name}`"] for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    row = F.xxhash64(*plain, *[c.isNull() for c in plain])
+    return [docs["doc_id"], F.xxhash64(docs["text"]), row, _source_key(docs["source"])]
+
+
+_IDENTITY = ("_id", "_text_hash", "_row_hash", "_key")
+
+
 def draw(docs: DataFrame, seed: int = 7, budget: float = 1.5, cap: float = 2.0, weights=WEIGHTS) -> DataFrame:
-    """(doc_id, _text_hash, _key, size, source_size, target, copies), a row a
-    document; rows alike in id, text and source are one document, whose size is
-    that of all of them, and are emitted together."""
-    key = _source_key(F.col("source"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_text_hash"), word_count(F.col("text")).alias("_words"), key.alias("_key"), F.col("source").isNull().alias("_null"))
-    sized = rows.groupBy("doc_id", "_text_hash", "_key", "_null", "_words").agg(F.count(F.lit(1)).alias("_rows"))
-    sized = materialise(sized.select("doc_id", "_text_hash", "_key", "_null", (F.col("_words") * F.col("_rows")).alias("size")), "mix-sizes")
-    targets = source_targets(sized, budget, cap, weights)
+    """(_id, _text_hash, _row_hash, _key, size, source_size, target, rows, at, offset,
+    rate), a row for each set of rows alike, whose places in the layout are at + 1 to
+    at + rows; place k is emitted floor(offset + rate k) - floor(offset + rate (k - 1)) times."""
+    rows = docs.select(*[c.alias(n) for c, n in zip(_identity(docs), _IDENTITY)], word_count(F.col("text")).alias("size"), F.col("source").isNull().alias("_null"))
+    sized = materialise(rows.groupBy(*_IDENTITY, "_null", "size").agg(F.count(F.lit(1)).alias("rows")), "mix-sizes")
+    targets = source_targets(sized.select("_key", "_null", (F.col("size") * F.col("rows")).alias("size")), budget, cap, weights)
     digits = F.col("size").cast("string")
     cells = sized.select(
         "*", F.length(digits).alias("_length"), F.substring(digits, 1, 2).alias("_lead"),
-        F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 1).alias("_salt"),
+        F.substring(F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")), 1, 2).alias("_salt"),
     )
     cell = ["_key", "_length", "_lead", "_salt"]
-    starts = cells.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy("_key").orderBy("_length", "_lead", "_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.groupBy(*cell).agg(F.sum("rows").alias("_n"))
+    before = Window.unboundedPreceding, -1
+    upto = Window.partitionBy("_key").orderBy("_length", "_lead", "_salt").rowsBetween(*before)
     starts = starts.select(*cell, F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start")).join(targets, "_key")
-    inside = Window.partitionBy(*cell).orderBy("size", "doc_id", "_text_hash")
-    ranked = cells.withColumn("_rank", F.row_number().over(inside)).join(starts, cell)
+    inside = Window.partitionBy(*cell).orderBy("size", "_id", "_text_hash", "_row_hash").rowsBetween(*before)
+    ranked = cells.withColumn("_rank", F.coalesce(F.sum("rows").over(inside), F.lit(0))).join(starts, cell)
     offset = F.conv(F.substring(F.md5(F.concat(F.col("_key"), F.lit(f"#{seed}")).cast("binary")), 1, 6), 16, 10).cast("double") / 16777216.0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    k = F.col("_start") + F.col("_rank")
-    crossed = F.floor(offset + rate * k) - F.floor(offset + rate * (k - 1))
-    return ranked.select("doc_id", "_text_hash", "_key", "size", "source_size", "target", crossed.cast("long").alias("copies"))
+    return ranked.select(*_IDENTITY, "size", "source_size", "target", "rows", (F.col("_start") + F.col("_rank")).alias("at"), offset.alias("offset"), rate.alias("rate"))
+
+
+def _emitted(first: Column, last: Column) -> Column:
+    """Copies of the places from first + 1 to last: boundaries crossed."""
+    return (F.floor(F.col("offset") + F.col("rate") * last) - F.floor(F.col("offset") + F.col("rate") * first)).cast("long")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The digest of the mix: doc_id, size, source_size, target, taken, copies."""
-    drawn = draw(docs, **options)
+    """The digest of the mix, a row a document: doc_id, size, source_size, target,
+    taken, copies."""
+    each = draw(docs, **options).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("_j"))
+    place = F.col("at") + F.col("_j")
+    drawn = each.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", _emitted(place - 1, place).alias("copies"))
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def expand(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every document once for each of its copies, with its
-    own columns and ``copy`` (1, 2)."""
+    own columns and ``copy`` (1, 2; rows alike share one series)."""
     docs = docs.drop("copy")
-    drawn = draw(docs, **options).filter("copies > 0")
-    twin = materialise(
-        drawn.select(F.col("doc_id").alias("_mix_id"), F.col("_text_hash").alias("_mix_hash"), F.col("_key").alias("_mix_key"), "copies"),
-        "mix-drawn",
-    )
-    same = docs["doc_id"].eqNullSafe(twin["_mix_id"]) & (F.xxhash64(docs["text"]) == twin["_mix_hash"]) & (_source_key(docs["source"]) == twin["_mix_key"])
-    hit = docs.join(twin.hint("shuffle_hash"), same)
-    return hit.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), twin["copies"].cast("int"))).alias("copy"))
+    drawn = draw(docs, **options)
+    copies = _emitted(F.col("at"), F.col("at") + F.col("rows"))
+    twin = materialise(drawn.select(*_IDENTITY, "rows", copies.alias("_copies")).filter("_copies > 0"), "mix-drawn")
+
+    def alike(rows: DataFrame, marks: DataFrame) -> Column:
+        id_, *others = _identity(rows)
+        return reduce(lambda p, q: p & q, [id_.eqNullSafe(marks["_id"]), *[c == marks[n] for c, n in zip(others, _IDENTITY[1:])]])
+
+    def copied(rows: DataFrame, marks: DataFrame) -> DataFrame:
+        own = [rows[f"`{c}`"] for c in rows.columns]
+        return rows.join(checked(marks), alike(rows, marks)).select(*own, F.explode(F.sequence(F.lit(1), marks["_copies"].cast("int"))).alias("copy"))
+
+    once, more = twin.filter("rows = 1"), twin.filter("rows > 1")
+    out = copied(docs, once)
+    if more.isEmpty():
+        return out
+    # only sets of rows alike move once more, to become one row each
+    marks = materialise(more, "mix-alike")
+    found = docs.join(checked(marks), alike(docs, marks), "left_semi")
+    whole = F.struct(*[found[f"`{c}`"] for c in found.columns])
+    first = found.groupBy(*[c.alias(n) for c, n in zip(_identity(found), _IDENTITY)]).agg(F.first(whole).alias("_first")).select("_first.*")
+    return out.unionByName(copied(first, more))

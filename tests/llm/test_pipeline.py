@@ -56,7 +56,7 @@ def mix(rows):
     for k, s in enumerate(order):
         u = int(hashlib.md5(f"s{s}#7".encode()).hexdigest()[:6], 16) / 16**6
         rate = target[k] / sizes[k]
-        place = sorted(by_source[s], key=lambda x: (len(str(x[0])), str(x[0])[:2], hashlib.md5(str(x[1]).encode()).hexdigest()[:1], x[0], x[1]))
+        place = sorted(by_source[s], key=lambda x: (len(str(x[0])), str(x[0])[:2], hashlib.md5(str(x[1]).encode()).hexdigest()[:2], x[0], x[1]))
         for n, (_, i) in enumerate(place, 1):
             out[i] += math.floor(u + rate * n) - math.floor(u + rate * (n - 1))
     return +out
