@@ -59,6 +59,25 @@ def test_targets_are_water_filling_and_mix_is_near(spark):
     assert sorted(got) == sorted(mixing.mix(docs(spark, rows)).collect())
 
 
+def test_rows_alike_are_documents_of_their_own(spark):
+    rnd = random.Random(4)
+    rows = [(i, prose(rnd, rnd.randint(5, 40)), "ab"[i % 2]) for i in range(60)]
+    rows += [rows[0]] * 7 + [(None, rows[1][1], "a"), (None, rows[1][1], "a"), (None, rows[3][1], "a"), (5, rows[9][1], "b"), (5, rows[9][1], "b")]
+    table = docs(spark, rows)
+    got = mixing.mix(table).collect()
+    assert len(got) == len(rows)
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(t.split())) for i, t, _ in rows)
+    assert {r["source_size"] for r in got} == {sum(len(t.split()) for _, t, x in rows if x == s) for s in "ab"}
+    drawn = Counter()
+    for r in got:
+        drawn[r["doc_id"], r["size"]] += r["copies"]
+    emitted = Counter((r["doc_id"], len(r["text"].split())) for r in mixing.expand(table).collect())
+    assert +drawn == emitted
+    other = table.withColumn("lang", F.when(F.col("doc_id") == 5, F.lit(None)).otherwise(F.col("lang"))).withColumn("rows", F.lit(3))
+    both = mixing.expand(table.withColumn("rows", F.lit(None).cast("int")).unionByName(other))
+    assert {(r["doc_id"], r["rows"]) for r in both.collect()} >= {(0, 3), (0, None)}
+
+
 def test_mix_edges(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     rows = [(1, None, "a"), (2, "", "a"), (3, "x " * 50_000, "b"), (None, "one two", None), (4, "same", "b"), (4, "same", "b")]
@@ -185,20 +204,21 @@ def norm(text):
 
 
 def brute_leaks(rows, items):
-    def grams(w):
-        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    def grams(w, n):
+        return Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
 
     out = {}
     for i, text, _ in rows:
         w = norm(text)
         for k, t in items:
             x = norm(t)
-            if len(x) < 5:
+            if not x:
                 continue
-            b = grams(x)
+            n = min(5, len(x))
+            b = grams(x, n)
             best = 0.0
             for at in range(max(1, len(w) - len(x) + 1)):
-                a = grams(w[at : at + len(x)])
+                a = grams(w[at : at + len(x)], n)
                 top = sum((a | b).values())
                 best = max(best, sum((a & b).values()) / top if top else 0.0)
             if best >= 0.8:
@@ -228,6 +248,62 @@ def test_leaks_match_brute_force(spark):
     assert clean == {i for i, _, _ in rows} - {i for i, _ in want}
 
 
+def test_leaks_in_any_order_are_found(spark):
+    """Rotated, cut, widened and repetitive items against all windows."""
+    rnd = random.Random(19)
+    items = [(k, prose(rnd, rnd.randint(60, 140))) for k in range(16)] + [(50, "one two three four"), (51, "zebra"), (52, "a b a b a b a b a b a b"), (53, prose(rnd, 9))]
+    rows = []
+    for i in range(96):
+        w = items[i % 16][1].split()
+        cut = rnd.randrange(5, len(w) - 5)
+        if i % 6 == 0:
+            w = w[cut:] + w[:cut]
+        if i % 6 == 1:
+            w.insert(cut, "inserted")
+        if i % 6 == 2:
+            w[cut : cut + 1] = ["other", "words"]
+        if i % 6 == 3:
+            rnd.shuffle(w)
+        if i % 6 == 4:
+            del w[cut]
+        if i % 6 == 5:
+            w[cut], w[cut - 4] = "x", "y"
+        rows.append((i, prose(rnd, rnd.randint(0, 60)) + " " + " ".join(w) + " " + prose(rnd, rnd.randint(0, 60)), "s"))
+    rows += [(200, "say ONE two, three four now", "s"), (201, "one two three", "s"), (202, "one two three four", "s"), (203, "zebra", "s"), (204, "a b " * 30, "s"), (205, " ".join(items[19][1].split()[:8]), "s")]
+    rows += [(None, items[0][1], "s"), (200, items[1][1], "s"), (200, items[1][1], "s"), (206, items[2][1] + " " + items[2][1], "s"), (207, prose(rnd, 150_000) + " " + items[3][1], "s")]
+    bench = spark.createDataFrame([*items, (0, items[0][1]), (50, items[5][1]), (60, items[6][1]), (61, None)], "item_id long, text string")
+    found = decontamination.contaminated(docs(spark, rows), bench).collect()
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in found}
+    assert len(found) == len({(r["doc_id"], r["_th"], r["item_id"]) for r in found})
+    want = {}
+    for i, t, _ in rows[:-1]:
+        for (_, k), v in brute_leaks([(i, t, "")], [*items, (50, items[5][1]), (60, items[6][1])]).items():
+            want[i, k] = max(v, want.get((i, k), 0))
+    for k in (50, 5):
+        want |= {(i, k): max(brute_leaks([(i, t, "")], [(k, x)]).get((i, k), 0) for x in (items[5][1], *(["one two three four"] * (k == 50)))) for i, t, _ in rows[:102] if brute_leaks([(i, t, "")], [(k, items[5][1])])}
+    want[207, 3] = 1.0
+    assert len([1 for i, _ in want if i is not None and i < 96 and i % 6 == 0]) >= 12  # most rotations reach 0.8
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k]) for k in want if k[1] != 50)
+
+
+def test_index_finds_all_items_within_the_radius_and_few_others(spark):
+    rnd = random.Random(23)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    items = [(k, 30, signed(rnd.getrandbits(64))) for k in range(80)]
+    prints = []
+    for i in range(120):
+        x = items[i % 80][2]
+        for bit in rnd.sample(range(64), rnd.randint(0, 22)):
+            x = signed((x ^ 1 << bit) & ((1 << 64) - 1))
+        prints.append((i, 30, x))
+    got = decontamination.candidates(spark.createDataFrame(prints, "n long, length int, fp long"), spark.createDataFrame(items, "_k long, length int, print long"))
+    want = {(i, k) for i, _, x in prints for k, _, y in items if ((x ^ y) & ((1 << 64) - 1)).bit_count() <= 19}
+    assert {(r["n"], r["_k"]) for r in got.collect()} == want and len(want) > 80
+    met = sum(any(bin((x ^ y) >> first & (1 << bits) - 1).count("1") <= 3 for first, bits in decontamination.blocks()) for _, _, x in prints for _, _, y in items)
+    assert met < 0.35 * len(prints) * len(items)
+
+
 def test_leaks_edges(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contaminated(docs(spark, [(1, "a b c d e f", "s")]), bench).count() == 0
