@@ -7,7 +7,7 @@ occurrences cover are removed after merging overlapping stretches.
 
 Scale: only hashes and positions are shuffled, pre-aggregated by window; the
 text moves once, in the join with the stretches, and not at all where those are
-small enough to be sent to every task.  A window that a third of all documents
+few enough to be sent to every task (``STARTS`` positions, counted first).  A window that a third of all documents
 share is one row after the partial aggregate, and the join that finds its later
 occurrences reads two written tables, so adaptive execution can split it.
 
@@ -24,9 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import let, materialise
+from quillgraph.llm.common import KEYS, let, materialise
 
 SPAN = 3
+#: Positions up to which the stretches are sent to every task (4 bytes each).
+STARTS = 4_000_000
 
 
 def windows(docs: DataFrame) -> DataFrame:
@@ -81,8 +83,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated windows removed, and ``n_removed`` lines."""
     docs = docs.drop("n_removed")
     starts = repeated_positions(docs)
+    rows, size = starts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_starts")), F.lit(0))).first()
+    starts = F.broadcast(starts) if rows <= KEYS and size <= STARTS else starts
     same = docs["doc_id"].eqNullSafe(starts["_id"]) & (F.xxhash64(docs["text"]) == starts["_h"])
-    both = docs.join(starts.hint("shuffle_hash"), same, "left")
+    both = docs.join(starts, same, "left")
     lines = F.split(docs["text"], "\n")
     left = F.when(starts["_starts"].isNotNull(), let(lines, lambda x: _without(x, starts["_starts"])))
     kept = both.select(*[docs[c].alias(c) for c in docs.columns], F.size(lines).alias("_qg_lines"), left.alias("_qg_left"))
