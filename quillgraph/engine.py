@@ -59,6 +59,13 @@ class CodeGraph:
     def connections(self, node_id: int, page_size: int = 100, after: int = 0) -> DataFrame:
         return navigation.connections(self.graph, node_id, page_size, after)
 
+    def connections_page(self, node_id: int, **options) -> paging.Page:
+        """A page of connections with cursor, revision and, if asked, the total."""
+        return paging.connections_page(self.graph, node_id, **options)
+
+    def highlight(self, node_id: int) -> DataFrame:
+        return navigation.highlight(self.graph, node_id)
+
     def nodes_page(self, directory_ids: list[int], **options) -> paging.Page:
         return paging.page(self.graph, "nodes", directory_ids, **options)
 

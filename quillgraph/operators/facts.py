@@ -56,14 +56,20 @@ def visible(graph: Graph, types=("*",), text: str = "") -> tuple[DataFrame, Data
     return nodes, edges
 
 
+def histogram(nodes: DataFrame) -> DataFrame:
+    """(type, n) of the nodes of a view."""
+    return nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def reusable(contributions: DataFrame, inputs: DataFrame, changes: DataFrame) -> DataFrame:
     """Contributions (contribution_id, source_kind), their inputs
     (contribution_id, path) and changes (action, path) -> (contribution_id,
     reuse).  A batch is reused only if it touches documentation alone, none of
     the inputs, and, for C#, adds or renames nothing."""
     markdown = F.col("path").rlike(r"(?i)\.(md|markdown|mdown|mkd)$")
-    batch = changes.agg(F.coalesce(F.bool_and(markdown), F.lit(True)).alias("_docs"), F.coalesce(F.bool_or(F.col("action").isin("Added", "Renamed")), F.lit(False)).alias("_grows"))
+    batch = changes.agg(F.coalesce(F.bool_and(markdown), F.lit(True)), F.coalesce(F.bool_or(F.col("action").isin("Added", "Renamed")), F.lit(False))).first()
+    docs, grows = F.lit(batch[0]), F.lit(batch[1])
     touched = inputs.join(changes.select("path").distinct(), "path", "left_semi").select("contribution_id").distinct().withColumn("_touched", F.lit(True))
-    joined = contributions.join(touched, "contribution_id", "left").join(F.broadcast(batch))
-    reuse = F.col("_docs") & F.col("_touched").isNull() & ~((F.col("source_kind") == "CSharp") & F.col("_grows"))
+    joined = contributions.join(touched, "contribution_id", "left")
+    reuse = docs & F.col("_touched").isNull() & ~((F.col("source_kind") == "CSharp") & grows)
     return joined.select("contribution_id", reuse.alias("reuse"))

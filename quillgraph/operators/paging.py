@@ -1,4 +1,9 @@
-"""Directory-scoped, keyset-paged views of the graph, and the workspace tree."""
+"""Directory-scoped, keyset-paged views of the graph, and the workspace tree.
+
+What a scope shows is worked out once for each revision and set of directories,
+and stored in the order of the page key, so a page is a filter on that key that
+reads the row groups it needs.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +17,11 @@ from pyspark.sql import functions as F
 
 from quillgraph import schemas
 from quillgraph.functions import text as X
-from quillgraph.functions.storage import written
+from quillgraph.functions.storage import kept, written
 from quillgraph.graph import Graph
+from quillgraph.operators import navigation
 
+ORDER_NODES = ["phase", "id"]
 ORDER_EDGES = ["caller", "callee", "edge_type"]
 
 
@@ -87,19 +94,31 @@ def scoped_nodes(graph: Graph, directory_ids: list[int]) -> DataFrame:
     else:
         chosen = written(selected(graph, directory_ids), "scope")
         rest = boundary(graph, chosen)
-    rest = written(rest, "boundary")
     both = chosen.withColumn("phase", F.lit(0)).unionByName(rest.withColumn("phase", F.lit(1)))
     out = both.join(shown, "id").filter("label is not null and type is not null")
     scope = F.when(F.col("phase") == 0, "selected").otherwise("external")
     return out.select("phase", "id", "canonical_id", "label", "type", scope.alias("scope"), "project_id")
 
 
+def _stored(graph: Graph, kind: str, directory_ids: list[int]) -> DataFrame:
+    """The scoped nodes or edges, kept for a stored revision."""
+    build, order = (scoped_nodes, ORDER_NODES) if kind == "nodes" else (scoped_edges, ORDER_EDGES)
+    if graph.revision == "initial":
+        return build(graph, directory_ids)
+    name = f"scope-{kind}-{graph.revision}-{scope_hash(directory_ids)}"
+    return kept(graph.spark, name, lambda: build(graph, directory_ids).repartitionByRange(*order).sortWithinPartitions(*order))
+
+
+def _later(rows: DataFrame, order: list[str], key: tuple) -> DataFrame:
+    """Rows after a key; its first column alone is a filter that a scan can use."""
+    at = [F.lit(v).cast(rows.schema[c].dataType).alias(c) for v, c in zip(key, order)]
+    return rows.filter((F.col(order[0]) >= at[0]) & (F.struct(*order) > F.struct(*at)))
+
+
 def nodes_page(graph: Graph, directory_ids: list[int], page_size: int = 2000, after: tuple[int, int] = (-1, 0)) -> DataFrame:
     """Nodes after the key (phase, id), by that key."""
     ids = _checked(directory_ids, page_size)
-    every = scoped_nodes(graph, ids)
-    later = (F.col("phase") > after[0]) | ((F.col("phase") == after[0]) & (F.col("id") > after[1]))
-    return every.filter(later).orderBy("phase", "id").limit(page_size)
+    return _later(_stored(graph, "nodes", ids), ORDER_NODES, after).orderBy(*ORDER_NODES).limit(page_size)
 
 
 def scoped_edges(graph: Graph, directory_ids: list[int]) -> DataFrame:
@@ -116,9 +135,9 @@ def scoped_edges(graph: Graph, directory_ids: list[int]) -> DataFrame:
 def edges_page(graph: Graph, directory_ids: list[int], page_size: int = 2000, after: tuple | None = None) -> DataFrame:
     """Edges after the key (caller, callee, type as text), by that key."""
     ids = _checked(directory_ids, page_size)
-    every = scoped_edges(graph, ids) if ids else scoped_edges(graph, [-1])
+    every = _stored(graph, "edges", ids or [-1])
     if after is not None:
-        every = every.filter(F.struct(*ORDER_EDGES) > F.struct(F.lit(after[0]).cast("long").alias("caller"), F.lit(after[1]).cast("long").alias("callee"), F.lit(after[2]).alias("edge_type")))
+        every = _later(every, ORDER_EDGES, after)
     return every.orderBy(*ORDER_EDGES).limit(page_size)
 
 
@@ -137,22 +156,23 @@ def page(graph: Graph, kind: str, directory_ids: list[int], page_size: int = 200
     ids = _checked(directory_ids, page_size)
     if not ids:
         return Page([], None, graph.revision, 0 if include_total else None)
-    if kind == "nodes":
-        every, order = scoped_nodes(graph, ids), ["phase", "id"]
-        types = ("int", "long")
-    else:
-        every, order = scoped_edges(graph, ids), ORDER_EDGES
-        types = ("long", "long", "string")
-    if at is not None:
-        every = every.filter(F.struct(*order) > F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(at, types, order)]))
-    rows = every.orderBy(*order).limit(page_size + 1).collect()
+    every, order = _stored(graph, kind, ids), ORDER_NODES if kind == "nodes" else ORDER_EDGES
+    rows = (every if at is None else _later(every, order, at)).orderBy(*order).limit(page_size + 1).collect()
     more = len(rows) > page_size
     rows = rows[:page_size]
     token = Cursor(kind, scope, graph.revision, tuple(rows[-1][c] for c in order)).encode() if more else None
-    total = None
-    if include_total:
-        total = (scoped_nodes(graph, ids) if kind == "nodes" else scoped_edges(graph, ids)).count()
-    return Page(rows, token, graph.revision, total)
+    return Page(rows, token, graph.revision, every.count() if include_total else None)
+
+
+def connections_page(graph: Graph, node_id: int, page_size: int = 100, cursor: str | None = None, include_total: bool = False) -> Page:
+    """One page of a node's peers for a client, by id, bound to the revision."""
+    if node_id <= 0:
+        raise ValueError("node id must be positive")
+    at = Cursor.decode(cursor, "connections", str(node_id), graph.revision).key[0] if cursor else 0
+    rows = navigation.connections(graph, node_id, page_size, at).orderBy("peer").collect()
+    later = len(rows) == page_size and not navigation.connections(graph, node_id, 1, rows[-1]["peer"]).isEmpty()
+    token = Cursor("connections", str(node_id), graph.revision, (rows[-1]["peer"],)).encode() if later else None
+    return Page(rows, token, graph.revision, navigation.connection_total(graph, node_id) if include_total else None)
 
 
 def tree(graph: Graph, path: str) -> DataFrame:
@@ -160,13 +180,15 @@ def tree(graph: Graph, path: str) -> DataFrame:
     has_children, project_id), folders, then project files, then other files."""
     d, f = graph["directories"], graph["documents"]
     here = d.filter(F.col("path") == path).select(F.col("id").alias("parent_id"))
-    subdirs = d.groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("n_dirs"))
-    files = f.groupBy(F.col("directory_id").alias("id")).agg(F.count(F.lit(1)).alias("n_files"))
-    folders = d.join(F.broadcast(here), "parent_id", "left_semi").join(subdirs, "id", "left").join(files, "id", "left")
+    below = d.join(F.broadcast(here), "parent_id", "left_semi")
+    subdirs = d.select(F.col("parent_id").alias("id")).join(below, "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n_dirs"))
+    files = f.select(F.col("directory_id").alias("id")).join(below, "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n_files"))
+    folders = below.join(subdirs, "id", "left").join(files, "id", "left")
     n = F.coalesce("n_dirs", F.lit(0)) + F.coalesce("n_files", F.lit(0))
     folders = folders.select(F.lit(0).alias("kind_order"), F.lit("folder").alias("kind"), F.col("name").alias("label"), "path", "id", n.cast("long").alias("child_count"), (n > 0).alias("has_children"), F.lit(None).cast("long").alias("project_id"))
-    owners = graph["project_nodes"].groupBy(F.col("project_document_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name"), F.min("id").alias("pid"))
-    own = f.join(F.broadcast(here.withColumnRenamed("parent_id", "directory_id")), "directory_id", "left_semi").join(owners, "id", "left")
+    own = f.join(F.broadcast(here.withColumnRenamed("parent_id", "directory_id")), "directory_id", "left_semi")
+    users = graph["project_nodes"].select(F.col("project_document_id").alias("id"), "name", F.col("id").alias("pid")).join(own, "id", "left_semi")
+    own = own.join(users.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name"), F.min("pid").alias("pid")), "id", "left")
     project = F.col("kind") == "ProjectFile"
     one = project & (F.col("n") == 1)
     leaves = own.select(

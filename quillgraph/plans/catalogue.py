@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from quillgraph import schemas
 from quillgraph.functions import text as X
-from quillgraph.functions.ranking import top
+from quillgraph.functions.ranking import global_rank
 from quillgraph.operators import build, extraction, facts, logs, memories, navigation, paging, render, search, statistics
-from quillgraph.plans import derive
-from quillgraph.plans.sql import SQL as SQL
+from quillgraph.plans import catalogue_sources, derive, sql, sql_sources
 from quillgraph.streaming import notify, watch
 
 FLAGSHIP = "impact_nation_d3"
 QUERIES: dict = {}
+SQL: dict[str, str] = sql.SQL | sql_sources.SQL
 ROOT = 1003
 SEARCH = "Tion reand licensed"
 NOTE_SEARCH = "tion"
@@ -39,62 +39,62 @@ def _nodes(df: DataFrame) -> DataFrame:
 
 @query
 def impact_nation_d3(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(navigation.impact(derive.graph(spark, d), _ids(spark, ROOT), 3).nodes)
+    return _nodes(navigation.impact(derive.stored(spark, d), _ids(spark, ROOT), 3).nodes)
 
 
 @query
 def impact_edges_d2(spark: SparkSession, d: str) -> DataFrame:
-    g = derive.graph(spark, d)
+    g = derive.stored(spark, d)
     return navigation.ordered_edges(g, navigation.impact(g, _ids(spark, ROOT), 2).edges).drop("metadata")
 
 
 @query
 def impact_all_types(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(navigation.impact(derive.graph(spark, d), _ids(spark, ROOT), 2, edge_types=schemas.EDGE_TYPES).nodes)
+    return _nodes(navigation.impact(derive.stored(spark, d), _ids(spark, ROOT), 2, edge_types=schemas.EDGE_TYPES).nodes)
 
 
 @query
 def impact_filtered_methodcall(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(navigation.impact(derive.graph(spark, d), _ids(spark, 1_000_007), 2, edge_types=["MethodCall"]).nodes)
+    return _nodes(navigation.impact(derive.stored(spark, d), _ids(spark, 1_000_007), 2, edge_types=["MethodCall"]).nodes)
 
 
 @query
 def direct_callees(spark: SparkSession, d: str) -> DataFrame:
-    return navigation.callees(derive.graph(spark, d), _ids(spark, 10_000_001)).select("id", "canonical_id", "node_type")
+    return navigation.callees(derive.stored(spark, d), _ids(spark, 10_000_001)).select("id", "canonical_id", "node_type")
 
 
 @query
 def trace_callee_budget(spark: SparkSession, d: str) -> DataFrame:
-    return navigation.trace(derive.graph(spark, d), 1_003, "callee", 3, 40, edge_types=["ParentOf", "Implements"]).nodes.select("id", "ord", "depth")
+    return navigation.trace(derive.stored(spark, d), 1_003, "callee", 3, 40, edge_types=["ParentOf", "Implements"]).nodes.select("id", "ord", "depth")
 
 
 @query
 def edges_among_nodes(spark: SparkSession, d: str) -> DataFrame:
-    g = derive.graph(spark, d)
-    few = g["graph_nodes"].filter("id < 10000100").select("id")
-    return navigation.edges_among(g, few).select("caller", "callee", "edge_type")
+    g = derive.stored(spark, d)
+    shown = g["code_nodes"].filter("node_type in ('Method', 'Class')").select("id")
+    return navigation.edges_among(g, shown).select("caller", "callee", "edge_type")
 
 
 @query
 def root_resolution(spark: SparkSession, d: str) -> DataFrame:
     asked = ["1003", "nation:4", "NATION_7", "nation_7", "customer#000000011", "Customer#000000012", "blue bolt", "BLUE BOLT", "99999999999", "nobody", "12x"]
-    return navigation.resolve(derive.graph(spark, d), spark.createDataFrame([(a,) for a in asked], "identifier string"))
+    return navigation.resolve(derive.stored(spark, d), spark.createDataFrame([(a,) for a in asked], "identifier string"))
 
 
 @query
 def inheritors_nation(spark: SparkSession, d: str) -> DataFrame:
-    return navigation.inheritors(derive.graph(spark, d), _ids(spark, ROOT)).select("id", "canonical_id", F.col("fully_qualified_name").alias("name"))
+    return navigation.inheritors(derive.stored(spark, d), _ids(spark, ROOT)).select("id", "canonical_id", F.col("fully_qualified_name").alias("name"))
 
 
 @query
 def context360_order(spark: SparkSession, d: str) -> DataFrame:
-    g = derive.graph(spark, d)
+    g = derive.stored(spark, d)
     return navigation.context(g, 10_000_003).unionByName(navigation.context(g, ROOT))
 
 
 @query
 def connections_supplier(spark: SparkSession, d: str) -> DataFrame:
-    page = navigation.connections(derive.graph(spark, d), 2_000_005, 100)
+    page = navigation.connections(derive.stored(spark, d), 2_000_005, 100)
     flat = F.array_join(F.transform("relationships", lambda r: F.concat(r["type"], F.lit("/"), r["direction"])), ",")
     return page.select("peer", "label", "type", flat.alias("relationships"))
 
@@ -105,19 +105,19 @@ def _some_directories(g) -> list[int]:
 
 @query
 def scope_nodes_page(spark: SparkSession, d: str) -> DataFrame:
-    g = derive.graph(spark, d, directories=True)
+    g = derive.stored(spark, d)
     return paging.nodes_page(g, _some_directories(g), 500, after=(0, 1_000_100)).select(F.col("phase").cast("long").alias("phase"), "id", "label", "type", "scope", "project_id")
 
 
 @query
 def scope_edges_page(spark: SparkSession, d: str) -> DataFrame:
-    g = derive.graph(spark, d, directories=True)
+    g = derive.stored(spark, d)
     return paging.edges_page(g, _some_directories(g), 700, after=(1_000_100, 1_005, "Implements")).select("caller", "callee", "edge_type", "label", "scope")
 
 
 @query
 def scope_totals(spark: SparkSession, d: str) -> DataFrame:
-    g = derive.graph(spark, d, directories=True)
+    g = derive.stored(spark, d)
     nodes = paging.scoped_nodes(g, _some_directories(g)).groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
     edges = paging.scoped_edges(g, _some_directories(g)).groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
     return nodes.unionByName(edges)
@@ -125,19 +125,19 @@ def scope_totals(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tree_children(spark: SparkSession, d: str) -> DataFrame:
-    g = derive.graph(spark, d, directories=True)
+    g = derive.stored(spark, d)
     return paging.tree(g, "").unionByName(paging.tree(g, "spam-farm.example.org/en")).select(F.col("kind_order").cast("long").alias("kind_order"), "kind", "label", "path", "child_count", "has_children")
 
 
 @query
 def directory_closure(spark: SparkSession, d: str) -> DataFrame:
-    g = derive.graph(spark, d, directories=True)
+    g = derive.stored(spark, d)
     return g["directory_closures"].select(F.col("ancestor_directory_id").alias("ancestor"), F.col("descendant_directory_id").alias("descendant"), F.col("depth").cast("long").alias("depth"))
 
 
 @query
 def graph_stats_counts(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.counts(derive.graph(spark, d, directories=True))
+    return statistics.counts(derive.stored(spark, d))
 
 
 @query
@@ -147,14 +147,9 @@ def language_stats(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy(lang.alias("language")).agg(F.countDistinct("id").alias("documents"), F.count(F.when(F.size("vector_embedding") > 0, 1)).alias("vectors"), F.sum(F.length("search_text")).alias("chars"))
 
 
-@query
-def extension_stats(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.by_language(derive.graph(spark, d))
-
-
 @query
 def edge_type_stats(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.by_edge_type(derive.graph(spark, d))
+    return statistics.by_edge_type(derive.stored(spark, d))
 
 
 @query
@@ -183,26 +178,6 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     return search.hybrid(derive.corpus(spark, d), SEARCH, _query_vector(spark, d), 10).select("id", "rank", F.round("score", 6).alias("score"))
 
 
-@query
-def hybrid_rrf_memories(spark: SparkSession, d: str) -> DataFrame:
-    found = search.hybrid(derive.corpus(spark, d), SEARCH, _query_vector(spark, d), 10, memories=derive.notes(spark, d).withColumn("vector_embedding", F.lit(None).cast("array<float>")), tags=["USER", "system"])
-    return found.select("id", "rank", F.round("score", 6).alias("score"))
-
-
-@query
-def memory_staleness(spark: SparkSession, d: str) -> DataFrame:
-    n = derive.notes(spark, d).withColumn("stale", F.col("now_hash") != F.col("target_hash"))
-    return n.groupBy("intent").agg(F.count(F.lit(1)).alias("notes"), F.count(F.when(F.col("stale"), 1)).alias("stale"), F.countDistinct("id").alias("nodes"))
-
-
-@query
-def memories_by_node(spark: SparkSession, d: str) -> DataFrame:
-    n = derive.notes(spark, d)
-    own = n.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "intent"))), lambda x: x["intent"]), ",").alias("intents"), F.count(F.lit(1)).alias("notes"))
-    docs = derive.read(spark, d, "documents").select(F.col("doc_id").alias("id"))
-    return docs.join(own, "id", "left").select("id", F.coalesce("intents", F.lit("")).alias("intents"), F.coalesce("notes", F.lit(0)).alias("notes"))
-
-
 @query
 def normalised_tags(spark: SparkSession, d: str) -> DataFrame:
     c = derive.read(spark, d, "conversations")
@@ -247,14 +222,6 @@ def canonical_edges(spark: SparkSession, d: str) -> DataFrame:
     return build.canonicalise(projects, nodes, edges)[2].select("caller_id", "callee_id", "edge_type", "metadata")
 
 
-@query
-def merge_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    li = derive.read(spark, d, "lineitem")
-    rows = li.select(F.col("l_suppkey").cast("string").alias("contribution_id"), F.col("l_orderkey").cast("string").alias("canonical_id"), F.col("l_returnflag").alias("display"), *[F.lit("").alias(c) for c in build.NODE_FIELDS if c != "display"])
-    none = spark.createDataFrame([], "contribution_id string, caller_id string, callee_id string, edge_type string, metadata string")
-    return build.conflicts(rows, none)
-
-
 @query
 def identity_assign(spark: SparkSession, d: str) -> DataFrame:
     c = derive.read(spark, d, "customer").select(F.col("c_name").alias("canonical_id"), "c_custkey")
@@ -348,14 +315,13 @@ def document_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def toon_search_groups(spark: SparkSession, d: str) -> DataFrame:
-    g = derive.graph(spark, d)
-    hits = top(g.code().filter("node_type = 'Class'"), ["fully_qualified_name", "id"], 200, "rank")
-    return render.search_groups(hits)
+    classes = derive.stored(spark, d).code().filter("node_type = 'Class'")
+    return render.search_groups(global_rank(classes, ["fully_qualified_name", "id"], "rank"))
 
 
 @query
 def path_chains(spark: SparkSession, d: str) -> DataFrame:
-    g = derive.graph(spark, d)
+    g = derive.stored(spark, d)
     up = navigation.impact(g, _ids(spark, 3_000_005), 2)
     paths = navigation.chains(up.edges, 3_000_005, 2)
     return render.chain_lines(paths, g["code_nodes"].select("id", F.col("fully_qualified_name").alias("name")))
@@ -391,7 +357,7 @@ def enclosing_declaration(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def visible_projection(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = facts.visible(derive.graph(spark, d), ("class", "interface"), "er")
+    nodes, edges = facts.visible(derive.stored(spark, d), ("class", "interface"), "er")
     n = nodes.groupBy(F.col("type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
     return n.unionByName(edges.groupBy(F.col("edge_type").alias("kind")).agg(F.count(F.lit(1)).alias("n")))
 
@@ -407,7 +373,7 @@ def contribution_reuse(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def context_lines(spark: SparkSession, d: str) -> DataFrame:
-    return render.context_lines(navigation.context(derive.graph(spark, d), ROOT))
+    return render.context_lines(navigation.context(derive.stored(spark, d), ROOT))
 
 
 @query
@@ -420,3 +386,6 @@ def memory_blocks(spark: SparkSession, d: str) -> DataFrame:
 def log_summary(spark: SparkSession, d: str) -> DataFrame:
     lines = _log(spark, d)
     return logs.summary(lines, logs.blocks(lines, logs.matches(F.col("text"), any_of=["the"], none_of=["licensed"]), 0))
+
+
+QUERIES |= catalogue_sources.QUERIES

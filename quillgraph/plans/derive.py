@@ -7,12 +7,16 @@ pages become documents in directories, conversations become notes.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
+from quillgraph.functions.storage import exists, shared_dir
 from quillgraph.graph import Graph
 from quillgraph.operators.build import closure, directory_table
+from quillgraph.sources import revisions
 
 OFFSET = {"region": 0, "nation": 1_000, "customer": 1_000_000, "supplier": 2_000_000, "part": 3_000_000, "orders": 10_000_000}
 
@@ -111,6 +115,16 @@ def graph(spark: SparkSession, sf_dir: str, directories: bool = False) -> Graph:
     return Graph(spark, tables)
 
 
+def stored(spark: SparkSession, sf_dir: str) -> Graph:
+    """The derived graph, committed once an application to the shared folder, as
+    a workspace is indexed before it is asked; the tables of a folder are taken
+    not to change while the application runs."""
+    root = f"{shared_dir(spark)}/graph-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    if not exists(spark, f"{root}/commits"):
+        revisions.commit(graph(spark, sf_dir, directories=True), root)
+    return revisions.load(spark, root)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search corpus: documents, with a vector where there is one."""
     d = read(spark, sf_dir, "documents")

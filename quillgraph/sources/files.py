@@ -11,6 +11,7 @@ from quillgraph.functions import text as X
 
 # Path segments that are never read.
 IGNORED = (".git", "bin", "obj", ".vs", ".idea", "node_modules", "testresults")
+CONFIG_NAMES = ("global.json", ".editorconfig")
 IGNORED_TS = (*IGNORED, "dist", "build", "coverage", ".next")
 
 
@@ -65,12 +66,31 @@ def ignore_predicate(path: Column, rules: list[str]) -> Column:
 
 
 def discover(files: DataFrame, globs: list[str], rules: list[str] = ()) -> DataFrame:
-    """Allowed files: by glob, not ignored, one row a path, in order."""
+    """Allowed files: by glob, not ignored, one row a path, the least one where a
+    path repeats; sort by ``relative_path`` where the order matters."""
     path = X.normal_path(F.col("relative_path"))
     kept = files.withColumn("relative_path", path).filter(~ignored_segment(path) & ~ignore_predicate(path, list(rules)))
     if globs:
         kept = kept.filter(path.rlike("|".join(glob_regex(g) for g in globs)))
-    return kept.dropDuplicates(["relative_path"])
+    rest = [c for c in kept.columns if c != "relative_path"]
+    if not rest:
+        return kept.distinct()
+    return kept.groupBy("relative_path").agg(F.min(F.struct(*rest)).alias("_r")).select("relative_path", *[F.col("_r")[c].alias(c) for c in rest])
+
+
+def is_typescript(path: Column) -> Column:
+    """A source file outside the folders that hold built ones."""
+    return X.extension(path).isin(".ts", ".tsx") & ~ignored_segment(path, IGNORED_TS)
+
+
+def is_project(path: Column) -> Column:
+    """A C# solution or project."""
+    return X.extension(path).isin(*X.PROJECT)
+
+
+def is_project_config(path: Column) -> Column:
+    """A file that changes how C# projects are built."""
+    return is_project(path) | X.extension(path).isin(".props", ".targets") | F.lower(X.file_name(path)).isin(*CONFIG_NAMES)
 
 
 def sources(files: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Revisions of a graph on plain Parquet.
 
-A revision is a folder with one Parquet directory a table.  Files of a revision
+A revision is a folder with one Parquet directory a table, nodes sorted by id,
+edges twice: sorted by caller and by callee.  Files of a revision
 never change; a commit writes a new folder and then appends one row to the
 ``commits`` log.  The current revision is the row with the largest number, so
 readers that pinned a revision keep a consistent state.
@@ -17,6 +18,9 @@ from quillgraph import schemas
 from quillgraph.graph import Graph
 from quillgraph.operators.build import row_hash
 
+#: How tables are clustered: range by range, sorted inside.
+CLUSTERED = {"graph_nodes": ["id"], "code_nodes": ["id"], "dependency_edges": ["caller_node_id", "callee_node_id", "edge_type"]}
+INWARD = "edges_by_callee"
 LOG = "number bigint, revision string, fingerprint string"
 
 
@@ -56,8 +60,14 @@ def commit(graph: Graph, root: str) -> str:
     if now and now["fingerprint"] == mark:
         return now["revision"]
     revision = uuid.uuid4().hex
+
+    def write(df: DataFrame, name: str, order: list[str]) -> None:
+        clustered = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+        clustered.write.parquet(f"{root}/{revision}/{name}")
+
     for name in schemas.DDL:
-        graph[name].write.parquet(f"{root}/{revision}/{name}")
+        write(graph[name], name, CLUSTERED.get(name, []))
+    write(graph["dependency_edges"], INWARD, ["callee_node_id", "caller_node_id", "edge_type"])
     row = spark.createDataFrame([((now["number"] if now else 0) + 1, revision, mark)], LOG)
     row.coalesce(1).write.mode("append").parquet(f"{root}/commits")
     return revision
@@ -70,7 +80,8 @@ def load(spark: SparkSession, root: str, revision: str | None = None) -> Graph:
         raise FileNotFoundError(root)
     revision = revision or now["revision"]
     tables = {name: spark.read.schema(schemas.schema(name)).parquet(f"{root}/{revision}/{name}") for name in schemas.DDL}
-    return Graph(spark, tables, revision)
+    inward = spark.read.schema(schemas.schema("dependency_edges")).parquet(f"{root}/{revision}/{INWARD}")
+    return Graph(spark, tables, revision, inward)
 
 
 def expect(spark: SparkSession, root: str, revision: str) -> None:

@@ -1,35 +1,47 @@
-"""A small graph about messages: two projects, eight code nodes, nine edges."""
+"""A small graph about a harbour: two projects, nine code nodes, twelve edges."""
 
 import datetime
 
 from quillgraph import schemas
 from quillgraph.graph import Graph
 
-DIRECTORIES = [(1, None, "", "/"), (2, 1, "src", "src"), (3, 2, "src/Fixture.App", "Fixture.App"), (4, 2, "src/Fixture.Core", "Fixture.Core")]
-CLOSURES = [(i, i, 0) for i in range(1, 5)] + [(1, 2, 1), (1, 3, 2), (1, 4, 2), (2, 3, 1), (2, 4, 1)]
-FILES = [(10, 3, "Fixture.App.csproj"), (11, 4, "Fixture.Core.csproj"), (12, 3, "MessageProvider.cs"), (13, 3, "MessageConsumer.cs"), (14, 3, "HttpEndpoint.cs"), (15, 3, "ServiceRegistration.cs"), (16, 3, "MessageFormatter.cs"), (17, 4, "Message.cs")]
+DIRECTORIES = [(1, None, "", "/"), (2, 1, "lib", "lib"), (3, 2, "lib/api", "api"), (4, 2, "lib/model", "model")]
+CLOSURES = [(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (1, 2, 1), (2, 3, 1), (2, 4, 1), (1, 3, 2), (1, 4, 2)]
+DOCUMENTS = [
+    (31, 3, "api.csproj", ".csproj", "lib/api/api.csproj", "ProjectFile"),
+    (32, 4, "model.csproj", ".csproj", "lib/model/model.csproj", "ProjectFile"),
+    (33, 3, "Berths.cs", ".cs", "lib/api/Berths.cs", "Source"),
+    (34, 3, "Desk.cs", ".cs", "lib/api/Desk.cs", "Source"),
+    (35, 4, "Vessel.cs", ".cs", "lib/model/Vessel.cs", "Source"),
+    (36, 3, "notes.md", ".md", "lib/api/notes.md", "Markdown"),
+]
+PROJECTS = [(500, "Harbour.Api", 31, "p1"), (501, "Harbour.Model", 32, "p2")]
 CODE = [
-    (1, "node-target", 100, 12, "App.MessageProvider.GetMessage()", "MessageProvider.GetMessage()", "Method", 10, 14, "Gets a message.", [1.0, 0.0]),
-    (2, "node-direct-caller", 100, 13, "App.MessageConsumer.Render()", "MessageConsumer.Render()", "Method", 20, 28, "Renders a message.", [0.7, 0.3]),
-    (3, "node-transitive-caller", 100, 14, "App.HttpEndpoint.Handle()", "HttpEndpoint.Handle()", "Method", 5, 12, "Handles HTTP requests.", [0.6, 0.4]),
-    (4, "node-service-registration", 100, 15, "App.ServiceRegistration.Configure(IServiceCollection)", "ServiceRegistration.Configure(IServiceCollection)", "Method", 4, 14, "Registers the message pipeline.", [0.2, 0.8]),
-    (5, "node-formatter", 100, 16, "App.MessageFormatter.Format(string)", "MessageFormatter.Format(string)", "Method", 7, 11, "Formats messages.", [0.95, 0.05]),
-    (6, "node-message", 101, 17, "Core.Message", "Message", "Class", 1, 12, "Message model.", [0.4, 0.6]),
-    (7, "node-message-provider-type", 100, 12, "App.MessageProvider", "MessageProvider", "Class", 1, 24, "Provides messages.", [0.85, 0.15]),
-    (8, "node-cached-message", 100, 12, "App.MessageProvider.GetCachedMessage()", "MessageProvider.GetCachedMessage()", "Method", 16, 20, "Returns cached messages.", [0.5, 0.5]),
+    (11, "berth-type", 500, 33, "Harbour.Api.Berths", "Berths", "Class", 3, 40, "Keeps the berths of a harbour.", [0.1, 0.9]),
+    (12, "berth-assign", 500, 33, "Harbour.Api.Berths.Assign(Vessel)", "Berths.Assign(Vessel)", "Method", 8, 19, "Assigns a berth to a vessel.", [0.8, 0.3]),
+    (13, "berth-free", 500, 33, "Harbour.Api.Berths.Free()", "Berths.Free()", "Method", 21, 30, "Lists free berths.", [0.3, 0.6]),
+    (14, "tariff-type", 500, 34, "Harbour.Api.Tariffs", "Tariffs", "Class", 1, 25, "Knows the fees.", [0.5, 0.5]),
+    (15, "tariff-fee", 500, 34, "Harbour.Api.Tariffs.Fee(Vessel)", "Tariffs.Fee(Vessel)", "Method", 4, 12, "Computes what a vessel pays.", [0.6, 0.2]),
+    (16, "desk-arrive", 500, 34, "Harbour.Api.Desk.Arrive(Vessel)", "Desk.Arrive(Vessel)", "Method", 30, 44, "Takes in an arriving vessel.", [0.7, 0.1]),
+    (17, "desk-plan", 500, 34, "Harbour.Api.Desk.Plan()", "Desk.Plan()", "Method", 46, 60, "Plans the day.", [0.2, 0.7]),
+    (18, "vessel", 501, 35, "Harbour.Model.Vessel", "Vessel", "Class", 1, 20, "A vessel with a draught.", [0.9, 0.05]),
+    (19, "floating", 501, 35, "Harbour.Model.Floating", "Floating", "Interface", 22, 26, "What floats.", [0.4, 0.45]),
+]
+EDGES = [
+    (500, 11, "ParentOf"), (11, 12, "ParentOf"), (11, 13, "ParentOf"), (14, 15, "ParentOf"), (500, 501, "ProjectReference"),
+    (16, 12, "MethodCall"), (16, 15, "MethodCall"), (17, 16, "MethodCall"), (12, 13, "MethodCall"),
+    (12, 18, "Instantiates"), (15, 18, "FieldAccess"), (18, 19, "Implements"),
 ]
-EDGES = [(100, 7, "ParentOf"), (7, 1, "ParentOf"), (7, 8, "ParentOf"), (2, 1, "MethodCall"), (3, 2, "MethodCall"), (4, 1, "ServiceRegistration"), (1, 5, "MethodCall"), (1, 5, "Instantiates"), (1, 6, "Instantiates")]
 
 
-def message_graph(spark, vectors=True, extra_edges=(), notes=()) -> Graph:
-    paths = {d: p for d, _, p, _ in DIRECTORIES}
+def harbour_graph(spark, vectors=True, extra_edges=(), notes=()) -> Graph:
     rows = {
         "directories": DIRECTORIES,
         "directory_closures": CLOSURES,
-        "documents": [(i, d, f, "." + f.rsplit(".", 1)[1], f"{paths[d]}/{f}", "ProjectFile" if f.endswith("csproj") else "Source") for i, d, f in FILES],
-        "graph_nodes": [(r[0], r[1], "Code") for r in CODE] + [(100, "project:Fixture.App/Fixture.App.csproj", "Project"), (101, "project:Fixture.Core/Fixture.Core.csproj", "Project")],
-        "project_nodes": [(100, "Fixture.App", 10, "h1"), (101, "Fixture.Core", 11, "h2")],
-        "code_nodes": [(i, p, d, "Fixture." + fqn, shown, kind, a, b, text, f"{shown}\n{text}", f"hash{i}", v if vectors else None) for i, _, p, d, fqn, shown, kind, a, b, text, v in CODE],
+        "documents": DOCUMENTS,
+        "graph_nodes": [(r[0], r[1], "Code") for r in CODE] + [(i, f"project:{path}", "Project") for i, path in ((500, "lib/api/api.csproj"), (501, "lib/model/model.csproj"))],
+        "project_nodes": PROJECTS,
+        "code_nodes": [(i, p, d, fqn, shown, kind, a, b, text, f"{shown} {text}", f"hash{i}", v if vectors else None) for i, _, p, d, fqn, shown, kind, a, b, text, v in CODE],
         "dependency_edges": [(a, b, t, None) for a, b, t in [*EDGES, *extra_edges]],
         "memory_nodes": list(notes),
     }

@@ -4,7 +4,7 @@ import datetime
 import random
 
 import pytest
-from fixture_graph import message_graph
+from fixture_graph import harbour_graph
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillgraph import schemas
 from quillgraph.functions import text as X
 from quillgraph.functions.ranking import global_rank
-from quillgraph.operators import build, extraction, logs, render
+from quillgraph.operators import build, extraction, logs, modules, render
 from quillgraph.sources import files, revisions
 from quillgraph.streaming import notify, watch
 
@@ -87,12 +87,12 @@ def test_embedding_plan(spark):
 def test_revisions_are_immutable_and_skip_equal_graphs(spark, tmp_path):
     root = str(tmp_path / "graph")
     assert revisions.current(spark, root) is None
-    first = revisions.commit(message_graph(spark), root)
-    assert revisions.commit(message_graph(spark), root) == first
+    first = revisions.commit(harbour_graph(spark), root)
+    assert revisions.commit(harbour_graph(spark), root) == first
     pinned = revisions.load(spark, root)
-    second = revisions.commit(message_graph(spark, extra_edges=[(5, 6, "MethodCall")]), root)
-    assert second != first and revisions.load(spark, root).edges.count() == 10
-    assert pinned.edges.count() == 9 and revisions.load(spark, root, first).edges.count() == 9
+    second = revisions.commit(harbour_graph(spark, extra_edges=[(13, 15, "MethodCall")]), root)
+    assert second != first and revisions.load(spark, root).edges.count() == 13
+    assert pinned.edges.count() == 12 and revisions.load(spark, root, first).edges.count() == 12
     with pytest.raises(schemas.RevisionChanged):
         revisions.expect(spark, root, first)
     revisions.expect(spark, root, second)
@@ -158,6 +158,66 @@ def test_links_in_code_are_no_links(spark):
     assert links == {("docs/a.md#one", "docs/b.md#two"), ("docs/b.md#two", "docs/a.md#document-root")}
 
 
+def test_fences_close_with_their_own_mark(spark):
+    text = "# One\n```js\n~~~\n# code\n``\n````\n# Two\n~~~ note\n```\n# code\n~~~~\nafter\n``` a`b\n# Three\n```\n# open to the end"
+    got = {r["title"]: (r["start_line"], r["end_line"]) for r in extraction.markdown_chunks(md(spark, ("a.md", text))).filter("level > 0").collect()}
+    assert got == {"One": (1, 6), "Two": (7, 13), "Three": (14, 16)}
+
+
+def test_underlined_headings(spark):
+    text = "Top line\n===\n\nSome words\ngo on\n---\n\n- item\n---\n\n> quote\n===\n\n---\n\n    code\n    ===\n\nLast\n-"
+    rows = extraction.markdown_chunks(md(spark, ("docs/a.md", text))).collect()
+    got = {r["title"]: (r["level"], r["start_line"], r["end_line"], (r["parent_id"] or "").split("#")[-1]) for r in rows if r["level"]}
+    assert got == {"Top line": (1, 1, 2, "document-root"), "Some words go on": (2, 4, 17, "top-line"), "Last": (2, 19, 20, "top-line")}
+
+
+def test_reference_links(spark):
+    text = "See [the guide][G], [other][] and [short]; not ![img][g] or `[g]` or [none].\n\n[g]: guide.md#top\n[Other]:  <other.md> \"t\"\n[short]: s.md\n[g]: second.md\n"
+    found = extraction.raw_links(md(spark, ("docs/a.md", text)))
+    assert sorted(r["target"] for r in found.collect()) == ["guide.md#top", "other.md", "s.md"]
+
+
+def test_modules_resolve_by_paths_base_and_package(spark):
+    f = spark.createDataFrame([
+        ("web/tsconfig.json", '{"compilerOptions": {"baseUrl": "src", "paths": {"@/*": ["./missing/*", "*"], "@/ui/*": ["kit/*"], "@/exact": ["one.ts"]}}}'),
+        ("packages/core/package.json", '{"name": "@a/core", "types": "entry.ts"}'), ("packages/core/entry.ts", ""), ("packages/core/deep/x.ts", ""),
+        ("web/src/one.ts", ""), ("web/src/kit/button.tsx", ""), ("web/src/api/index.ts", ""), ("web/src/app/main.ts", ""), ("web/src/kit.ts", ""),
+    ], "relative_path string, text string")
+    wanted = {"@/ui/button": "web/src/kit/button.tsx", "@/exact": "web/src/one.ts", "@/api": "web/src/api/index.ts", "one": "web/src/one.ts", "@a/core": "packages/core/entry.ts", "@a/core/deep/x": "packages/core/deep/x.ts", "../one.js": "web/src/one.ts", "@/ui/one": None, "react": None, "./gone": None}
+    asks = spark.createDataFrame([("web/src/app/main.ts", m) for m in wanted], "relative_path string, module string")
+    got = {r["module"]: r["target"] for r in modules.resolve_modules(asks, f, modules.tsconfigs(f), modules.packages(f)).collect()}
+    assert got == {m: t for m, t in wanted.items() if t}
+    paths = ["web/a.ts", "web/src/b.ts", "web/src/deep/c.tsx", "web/dist/d.ts", "other/e.ts", "web/f.d.ts"]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string")
+    taken = lambda **o: [r["p"] for r in rows.filter(modules.configured(F.col("p"), "web", **o)).collect()]
+    assert taken() == ["web/a.ts", "web/src/b.ts", "web/src/deep/c.tsx", "web/dist/d.ts", "web/f.d.ts"]
+    assert taken(include=["src"]) == ["web/src/b.ts", "web/src/deep/c.tsx"]
+    assert taken(files=["a.ts"], include=["**/*.tsx"], exclude=["dist"]) == ["web/a.ts", "web/src/deep/c.tsx"]
+    assert taken(files=["a.ts"]) == ["web/a.ts"] and taken(exclude=["dist", "*.ts"]) == ["web/src/b.ts", "web/src/deep/c.tsx"]
+
+
+def test_reexports_end_where_they_began(spark):
+    f = spark.createDataFrame([
+        ("m/a.ts", "export class A {}\nexport class Same {}\nexport default class Hidden {}\nclass Own {}\nexport { Own as Renamed };"),
+        ("m/b.ts", "export * from './a';\nexport class Same {}\nexport { default as H } from './a';"),
+        ("m/c.ts", "export * from './b';\nexport * from './d';\nexport * as all from './a';"),
+        ("m/d.ts", "export * from './c';\nexport { useMemo as memo } from 'react';\nexport { A as B } from './c';"),
+        ("app.tsx", "import D, { B, memo, Same } from './m/d';\nimport * as Lib from 'lib';\nimport * as Plain from 'plain';\nimport './m/a';\nimport type { all } from './m/c';\nimport './none';\nexport function App() { return <Lib.Button.Big><Lib.Text/></Lib.Button.Big>; }"),
+    ], "relative_path string, text string")
+    asks = modules.imports(f).select("relative_path", "module").unionByName(modules.reexports(f).select("relative_path", "module"))
+    found = modules.exports(f, modules.resolve_modules(asks, f))
+    by = {}
+    for r in found.collect():
+        by.setdefault((r["relative_path"][2:-3], r["name"]), set()).add(r["canonical_id"].removeprefix("code:ts:"))
+    assert by["b", "Same"] == {"m/b.ts:Same"} and by["c", "Same"] == {"m/b.ts:Same"} and by["d", "B"] == {"m/a.ts:A"}
+    assert by["b", "H"] == {"m/a.ts:Hidden"} and ("b", "default") not in by and by["c", "memo"] == {"package:react:useMemo"}
+    assert by["c", "all"] == {"m/a.ts:A", "m/a.ts:Same", "m/a.ts:Hidden", "m/a.ts:Own"} and by["a", "Renamed"] == {"m/a.ts:Own"}
+    targets = {r["callee_id"].removeprefix("code:ts:") for r in modules.import_targets(f).collect()}
+    assert targets == {"m/a.ts:A", "package:react:useMemo", "m/b.ts:Same", "package:lib:Button.Big", "package:lib:Text", "package:plain", "m/a.ts:Same", "m/a.ts:Hidden", "m/a.ts:Own"}
+    edges = {(r["caller_id"], r["callee_id"].removeprefix("code:ts:")) for r in modules.import_edges(f).collect()}
+    assert edges == {("code:ts:app.tsx:App", t) for t in targets - {"m/a.ts:Own"}}
+
+
 def test_typescript_patterns(spark):
     f = spark.createDataFrame([
         ("src/app.tsx", 'import React from "react";\nimport { load } from "./api";\n// export class Gone {}\nexport function App() { return <Api/>; }\nexport const helper = 1;'),
@@ -166,6 +226,7 @@ def test_typescript_patterns(spark):
     assert {(r["name"], r["node_type"]) for r in extraction.typescript_exports(f).collect()} == {("App", "Component"), ("helper", "Field"), ("load", "Method"), ("Item", "Interface")}
     assert {(r["relative_path"], r["target"]) for r in extraction.typescript_imports(f).collect()} == {("src/app.tsx", "package:react"), ("src/app.tsx", "src/api.ts")}
     assert {r["callee_id"] for r in extraction.typescript_calls(f).collect()} == {"http:POST:%2Fapi%2Fitems", "http:GET:%2Fx%3Fy%3D1"}
+    assert {(r["caller_id"], r["callee_id"]) for r in extraction.typescript_http_edges(f).collect()} == {("code:ts:src/api.ts:load", "http:POST:%2Fapi%2Fitems"), ("code:ts:src/api.ts:Item", "http:GET:%2Fx%3Fy%3D1")}
     seeds = spark.createDataFrame([("src/app.tsx",)], "relative_path string")
     assert {r["relative_path"] for r in extraction.reachable_files(extraction.typescript_imports(f).filter("target not like 'package:%'"), seeds).collect()} == {"src/app.tsx", "src/api.ts"}
 

@@ -5,7 +5,9 @@ import datetime
 
 import duckdb
 import pytest
-from fixture_graph import message_graph
+from fixture_graph import harbour_graph
+
+from test_navigation import fused
 
 from quillgraph.engine import CodeGraph
 from quillgraph.plans import catalogue
@@ -45,19 +47,26 @@ def test_every_query_has_a_twin():
 
 def test_facade(spark, tmp_path):
     root = str(tmp_path / "g")
-    revisions.commit(message_graph(spark), root)
+    revisions.commit(harbour_graph(spark), root)
     g = CodeGraph(spark, root)
-    assert [r["id"] for r in g.search("Message", [1.0, 0.0], 3).collect()] == [7, 1, 6]
-    assert {r["id"] for r in g.impact("fixture.app.messageprovider.getmessage()", transitive=False).nodes.collect()} == {2, 4}
-    assert [r["id"] for r in g.callees("node-target").collect()] == [5, 6]
+    assert [r["id"] for r in g.search("Vessel", [1.0, 0.0], 3).collect()] == fused(g.graph, "Vessel", [1.0, 0.0], 3)
+    assert {r["id"] for r in g.impact("harbour.model.vessel", transitive=False).nodes.collect()} == {12, 15}
+    assert [r["id"] for r in g.callees("berth-assign").collect()] == [13, 18]
+    first = g.connections_page(12, page_size=2, include_total=True)
+    assert [r["peer"] for r in first.items] == [11, 13] and first.total == 4 and first.revision == g.graph.revision
+    last = g.connections_page(12, page_size=2, cursor=first.next_cursor)
+    assert [r["peer"] for r in last.items] == [16, 18] and last.next_cursor is None
+    with pytest.raises(ValueError):
+        g.connections_page(13, cursor=first.next_cursor)
+    assert {r["id"]: r["role"] for r in g.highlight(12).collect()} == {12: "selected", 11: "incoming", 13: "outgoing", 16: "incoming", 18: "outgoing"}
     with pytest.raises(KeyError):
         g.impact("nobody")
-    notes = spark.createDataFrame([("m", 2, "Check security", ["security"], "Todo", datetime.datetime(2024, 1, 1))], "id string, node_id bigint, content string, tags array<string>, intent string, created_at timestamp")
+    notes = spark.createDataFrame([("m", 12, "Check security", ["security"], "Todo", datetime.datetime(2024, 1, 1))], "id string, node_id bigint, content string, tags array<string>, intent string, created_at timestamp")
     g2 = g.attach_memories(notes)
     assert g2.graph.revision != g.graph.revision
-    assert [r["id"] for r in g2.search("security", None, include_memories=True).collect()] == [2]
-    assert len(g2.memories([2]).first()["memories"]) == 1 and g.graph["memory_nodes"].count() == 0
-    assert g2.delete_memory("m").memories([2]).first()["memories"] == []
+    assert [r["id"] for r in g2.search("security", None, include_memories=True).collect()] == [12]
+    assert len(g2.memories([12]).first()["memories"]) == 1 and g.graph["memory_nodes"].count() == 0
+    assert g2.delete_memory("m").memories([12]).first()["memories"] == []
     lines = spark.createDataFrame([(1, i, f"line {i}") for i in range(1, 20)], "log_id bigint, line_number bigint, text string")
     assert [r["shown"] for r in g.reduce_output(lines, any_of=["7"], context=1).orderBy("line_number").collect()] == ["6| line 6", "7| line 7", "8| line 8"]
     assert g.as_json(g.edge_types()).count() == 4

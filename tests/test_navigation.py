@@ -1,10 +1,10 @@
-"""Walks, context, search and notes on the message graph, and invariants on
+"""Walks, context, search and notes on the harbour graph, and invariants on
 generated graphs."""
 
 import random
 
 import pytest
-from fixture_graph import message_graph, note
+from fixture_graph import harbour_graph, note
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from quillgraph.operators import memories, navigation, paging, render, search, s
 
 @pytest.fixture(scope="module")
 def graph(spark):
-    return message_graph(spark)
+    return harbour_graph(spark)
 
 
 def ids(spark, *values):
@@ -34,48 +34,58 @@ def edge_set(df):
 
 
 def test_resolution(graph):
-    got = resolved(graph, "1", "node-message", "Fixture.App.MessageProvider", "fixture.app.messageprovider.getmessage()", "77", "nothing")
-    assert got == {"1": 1, "node-message": 6, "Fixture.App.MessageProvider": 7, "fixture.app.messageprovider.getmessage()": 1, "77": None, "nothing": None}
+    got = resolved(graph, "11", "vessel", "Harbour.Api.Berths", "harbour.api.berths.assign(vessel)", "77", "nothing")
+    assert got == {"11": 11, "vessel": 18, "Harbour.Api.Berths": 11, "harbour.api.berths.assign(vessel)": 12, "77": None, "nothing": None}
 
 
 def test_impact(graph, spark):
-    direct = navigation.impact(graph, ids(spark, 1), transitive=False)
-    assert {r["id"] for r in direct.nodes.collect()} == {2, 4}
-    assert edge_set(direct.edges) == {(2, 1, "MethodCall"), (4, 1, "ServiceRegistration")}
-    deep = navigation.impact(graph, ids(spark, 1), 2, edge_types=["MethodCall"])
-    assert [r["id"] for r in deep.nodes.orderBy("fully_qualified_name", "id").collect()] == [3, 2]
-    assert edge_set(deep.edges) == {(3, 2, "MethodCall"), (2, 1, "MethodCall")}
+    direct = navigation.impact(graph, ids(spark, 18), transitive=False)
+    assert {r["id"] for r in direct.nodes.collect()} == {12, 15}
+    assert edge_set(direct.edges) == {(12, 18, "Instantiates"), (15, 18, "FieldAccess")}
+    deep = navigation.impact(graph, ids(spark, 13), 2, edge_types=["MethodCall"])
+    assert [r["id"] for r in deep.nodes.orderBy("fully_qualified_name", "id").collect()] == [12, 16]
+    assert edge_set(deep.edges) == {(12, 13, "MethodCall"), (16, 12, "MethodCall")}
+    shown = navigation.ordered_edges(graph, navigation.impact(graph, ids(spark, 18), 2).edges).collect()
+    assert [(r["caller_canonical_id"], r["callee_canonical_id"]) for r in shown] == [("berth-assign", "vessel"), ("desk-arrive", "berth-assign"), ("desk-arrive", "tariff-fee"), ("tariff-fee", "vessel")]
 
 
 def test_cycle_brings_the_root_in(spark):
-    g = message_graph(spark, extra_edges=[(1, 3, "MethodCall")])
-    got = navigation.impact(g, ids(spark, 1), 10)
-    assert {r["id"] for r in got.nodes.collect()} == {1, 2, 3, 4}
-    assert (1, 3, "MethodCall") in edge_set(got.edges)
+    g = harbour_graph(spark, extra_edges=[(13, 17, "MethodCall")])
+    got = navigation.impact(g, ids(spark, 13), 10)
+    assert {r["id"] for r in got.nodes.collect()} == {12, 13, 16, 17}
+    assert (13, 17, "MethodCall") in edge_set(got.edges)
+
+
+def test_large_frontiers_are_joined(graph, spark, monkeypatch):
+    monkeypatch.setattr(navigation, "FEW", 1)
+    got = navigation.impact(graph, ids(spark, 18), 3)
+    assert {r["id"] for r in got.nodes.collect()} == {12, 15, 16, 17} and got.edges.count() == 5
+    assert {r["id"] for r in navigation.callees(graph, ids(spark, 12, 16)).collect()} == {12, 13, 15, 18}
+    assert {r["identifier"]: r["id"] for r in navigation.resolve(graph, spark.createDataFrame([("vessel",), ("12",), ("x",)], "identifier string")).collect()} == {"vessel": 18, "12": 12, "x": None}
 
 
 def test_projects_are_no_result_but_keep_their_edges(graph, spark):
-    got = navigation.impact(graph, ids(spark, 7), 1, edge_types=schemas.EDGE_TYPES)
-    assert got.nodes.count() == 0 and edge_set(got.edges) == {(100, 7, "ParentOf")}
+    got = navigation.impact(graph, ids(spark, 11), 1, edge_types=schemas.EDGE_TYPES)
+    assert got.nodes.count() == 0 and edge_set(got.edges) == {(500, 11, "ParentOf")}
 
 
 def test_callees_and_inheritors(graph, spark):
-    assert [r["id"] for r in navigation.callees(graph, ids(spark, 1)).orderBy("fully_qualified_name").collect()] == [5, 6]
-    got = navigation.callees(graph, ids(spark, 7), schemas.EDGE_TYPES).orderBy("fully_qualified_name")
-    assert [r["id"] for r in got.collect()] == [8, 1]
-    g = message_graph(spark, extra_edges=[(7, 6, "Implements"), (5, 6, "Implements")])
-    assert [r["id"] for r in navigation.inheritors(g, ids(spark, 6)).collect()] == [7]
+    assert [r["id"] for r in navigation.callees(graph, ids(spark, 12)).orderBy("fully_qualified_name").collect()] == [13, 18]
+    got = navigation.callees(graph, ids(spark, 11), schemas.EDGE_TYPES).orderBy("fully_qualified_name")
+    assert [r["id"] for r in got.collect()] == [12, 13]
+    g = harbour_graph(spark, extra_edges=[(14, 19, "Implements"), (13, 19, "Implements")])
+    assert {r["id"] for r in navigation.inheritors(g, ids(spark, 19)).collect()} == {14, 18}
 
 
 def test_context(graph):
     def lists(node):
         out = {}
         for r in navigation.context(graph, node).orderBy("relation", "ord").collect():
-            out.setdefault(r["relation"], []).append(r["name"].removeprefix("Fixture.App.").removeprefix("Fixture."))
+            out.setdefault(r["relation"], []).append(r["name"].removeprefix("Harbour.Api.").removeprefix("Harbour."))
         return out
 
-    assert lists(1) == {"callers": ["MessageConsumer.Render()", "ServiceRegistration.Configure(IServiceCollection)"], "callees": ["MessageFormatter.Format(string)", "Core.Message"], "parents": ["MessageProvider"]}
-    assert lists(7) == {"parents": ["App"], "children": ["MessageProvider.GetCachedMessage", "MessageProvider.GetMessage"]}
+    assert lists(12) == {"callers": ["Desk.Arrive(Vessel)"], "callees": ["Berths.Free()", "Model.Vessel"], "parents": ["Berths"]}
+    assert lists(11) == {"parents": ["Api"], "children": ["Berths.Assign", "Berths.Free"]}
     with pytest.raises(ValueError):
         navigation.context(graph, 0)
 
@@ -120,11 +130,13 @@ def test_connections_of_a_star(spark):
 
 
 def test_chains_go_from_root_to_leaves(graph, spark):
-    up = navigation.impact(graph, ids(spark, 1), 3)
-    paths = sorted(tuple(r["path"]) for r in navigation.chains(up.edges, 1, 3).collect())
-    assert paths == [(1, 2, 3), (1, 4)]
-    text = {r["ids"]: r["chain"] for r in render.chain_lines(navigation.chains(up.edges, 1, 3), graph["code_nodes"].select("id", F.col("display_name").alias("name"))).collect()}
-    assert text["1>2>3"] == "HttpEndpoint.Handle() -> MessageConsumer.Render() -> MessageProvider.GetMessage()"
+    up = navigation.impact(graph, ids(spark, 18), 3)
+    paths = sorted(tuple(r["path"]) for r in navigation.chains(up.edges, 18, 3).collect())
+    assert paths == [(18, 12, 16, 17), (18, 15, 16, 17)]
+    with pytest.raises(ValueError, match="more than 1 chains"):
+        navigation.chains(up.edges, 18, 3, limit=1)
+    text = {r["ids"]: r["chain"] for r in render.chain_lines(navigation.chains(up.edges, 18, 3), graph["code_nodes"].select("id", F.col("display_name").alias("name"))).collect()}
+    assert text["18>12>16>17"] == "Desk.Plan() -> Desk.Arrive(Vessel) -> Berths.Assign(Vessel) -> Vessel"
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -215,10 +227,10 @@ def test_cursors_are_bound(spark):
 
 
 def test_tree(graph):
-    got = [(r["kind"], r["label"], r["child_count"], r["project_id"]) for r in paging.tree(graph, "src").collect()]
-    assert got == [("folder", "Fixture.App", 6, None), ("folder", "Fixture.Core", 2, None)]
-    got = [(r["kind"], r["label"], r["project_id"]) for r in paging.tree(graph, "src/Fixture.Core").collect()]
-    assert got == [("project", "Fixture.Core", 101), ("file", "Message.cs", None)]
+    got = [(r["kind"], r["label"], r["child_count"], r["project_id"]) for r in paging.tree(graph, "lib").collect()]
+    assert got == [("folder", "api", 4, None), ("folder", "model", 2, None)]
+    got = [(r["kind"], r["label"], r["project_id"]) for r in paging.tree(graph, "lib/model").collect()]
+    assert got == [("project", "Harbour.Model", 501), ("file", "Vessel.cs", None)]
     assert paging.tree(graph, "none").count() == 0
 
 
@@ -229,15 +241,34 @@ def search_rows(graph, **options):
     return [r["id"] for r in search.hybrid(graph.code(wide=True), **options).orderBy("rank").collect()]
 
 
+def fused(graph, word, query, limit):
+    """The fusion by SQLite's full-text index and plain cosine."""
+    import math
+    import sqlite3
+
+    rows = [tuple(r) for r in graph.code(wide=True).select("id", "canonical_id", "vector_embedding", "display_name", "fully_qualified_name", "search_text", "relative_path").collect()]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(a, b, c, d, tokenize='unicode61')")
+    db.executemany("INSERT INTO t(rowid, a, b, c, d) VALUES (?, ?, ?, ?, ?)", [(r[0], *r[3:]) for r in rows])
+    name = {r[0]: r[1] for r in rows}
+    found = dict(db.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ?", (f'"{word}"*',)))
+    lists = [sorted(found, key=lambda i: (found[i], name[i]))]
+    near = {r[0]: sum(a * b for a, b in zip(r[2], query)) / math.hypot(*r[2]) / math.hypot(*query) for r in rows}
+    lists.append(sorted(near, key=lambda i: (-near[i], name[i])))
+    score = {i: sum(1 / (60 + x.index(i) + 1) for x in lists if i in x) for i in name}
+    return sorted(score, key=lambda i: (-round(score[i], 12), name[i]))[:limit]
+
+
 def test_fusion_golden(graph):
-    assert search_rows(graph, text="Message", query=[1.0, 0.0], limit=3) == [7, 1, 6]
-    got = search_rows(graph, text="Message", query=[1.0, 0.0], limit=10, project_id=100, node_types=["Method"])
-    assert got and set(got) <= {1, 2, 3, 4, 5, 8}
-    assert search_rows(graph, text="Message", query=None, limit=0) == []
+    for word, limit in (("Vessel", 3), ("Berth", 5)):
+        assert search_rows(graph, text=word, query=[1.0, 0.0], limit=limit) == fused(graph, word, [1.0, 0.0], limit)
+    got = search_rows(graph, text="Vessel", query=[1.0, 0.0], limit=10, project_id=500, node_types=["Method"])
+    assert got and set(got) <= {12, 13, 15, 16, 17}
+    assert search_rows(graph, text="Vessel", query=None, limit=0) == []
     assert search_rows(graph, text="a ...", query=[1.0, 0.0]) == []
     with pytest.raises(ValueError):
         search.hybrid(graph.code(wide=True), " ", None)
-    for text in ('"Message', "*.cs", "C# message", "What's a message?", "http://localhost:* message"):
+    for text in ('"Vessel', "*.cs", "C# vessel", "What's a vessel?", "http://localhost:* vessel"):
         assert search_rows(graph, text=text, query=[1.0, 0.0]), text
 
 
@@ -247,9 +278,9 @@ def notes_of(graph):
 
 
 def test_notes_take_part_by_tag(spark):
-    g = message_graph(spark, vectors=False, notes=[note("m1", 2, "Check security", ["security"]), note("m2", 1, "Slow security path", ["performance"])])
-    assert search_rows(g, text="security", query=None, memories=notes_of(g), tags=["Security"]) == [2]
-    assert set(search_rows(g, text="security", query=None, memories=notes_of(g))) == {1, 2}
+    g = harbour_graph(spark, vectors=False, notes=[note("m1", 12, "Check security", ["security"]), note("m2", 15, "Slow security path", ["performance"])])
+    assert search_rows(g, text="security", query=None, memories=notes_of(g), tags=["Security"]) == [12]
+    assert set(search_rows(g, text="security", query=None, memories=notes_of(g))) == {12, 15}
 
 
 def test_match_expressions():
@@ -287,16 +318,16 @@ def test_bm25_equals_the_full_text_index_of_sqlite(spark):
 def test_notes_attach_and_go_stale(spark):
     import datetime
 
-    g = message_graph(spark, notes=[note("old", 1, "kept", ["x"], vector=[0.5, 0.25])])
-    rows = [("n1", 2, " Needs authentication review ", [" Security ", "tech-debt", "SECURITY"], None, datetime.datetime(2024, 1, 2)), ("n2", 3, "fresh", None, "Todo", datetime.datetime(2024, 1, 3))]
+    g = harbour_graph(spark, notes=[note("old", 11, "kept", ["x"], vector=[0.5, 0.25])])
+    rows = [("n1", 12, " Needs authentication review ", [" Security ", "tech-debt", "SECURITY"], None, datetime.datetime(2024, 1, 2)), ("n2", 13, "fresh", None, "Todo", datetime.datetime(2024, 1, 3))]
     made = memories.attach(g, spark.createDataFrame(rows, "id string, node_id bigint, content string, tags array<string>, intent string, created_at timestamp"))
     got = {r["id"]: r for r in made.collect()}
-    assert got["n1"]["content"] == "Needs authentication review" and got["n1"]["tags"] == ["security", "tech-debt"] and got["n1"]["target_code_hash"] == "hash2"
+    assert got["n1"]["content"] == "Needs authentication review" and got["n1"]["tags"] == ["security", "tech-debt"] and got["n1"]["target_code_hash"] == "hash12"
     assert got["n2"]["tags"] == [] and got["n1"]["intent"] == "Convention"
-    g2 = message_graph(spark, notes=[note("a", 1, "one", ["t"], minute=2), note("b", 1, "two", ["t"], target_hash="other", minute=1), note("c", 2, "three", [], intent="Todo")])
-    asked = spark.createDataFrame([(1,), (2,), (5,), (-1,)], "node_id bigint")
+    g2 = harbour_graph(spark, notes=[note("a", 11, "one", ["t"], minute=2), note("b", 11, "two", ["t"], target_hash="other", minute=1), note("c", 12, "three", [], intent="Todo")])
+    asked = spark.createDataFrame([(11,), (12,), (15,), (-1,)], "node_id bigint")
     by_node = {r["node_id"]: [(m["content"], m["stale"]) for m in r["memories"]] for r in memories.of_nodes(g2, asked).collect()}
-    assert by_node == {1: [("two", True), ("one", False)], 2: [("three", False)], 5: []}
+    assert by_node == {11: [("two", True), ("one", False)], 12: [("three", False)], 15: []}
     assert {r["id"]: r["content"] for r in memories.batch(g2, spark.createDataFrame([("a",), ("zz",)], "id string")).collect()} == {"a": "one", "zz": None}
     assert {r["id"] for r in memories.delete(g2, "a").collect()} == {"b", "c"}
     with pytest.raises(KeyError):
@@ -305,11 +336,11 @@ def test_notes_attach_and_go_stale(spark):
 
 def test_statistics(graph, spark):
     got = {r["name"]: r["n"] for r in statistics.counts(graph).collect()}
-    assert got == {"documents": 8, "directories": 4, "projects": 2, "code_nodes": 8, "code_vectors": 8, "edges": 9, "memories": 0, "http_nodes": 0, "package_nodes": 0}
-    assert {r["language"]: (r["documents"], r["nodes"]) for r in statistics.by_language(graph).collect()} == {"C#": (6, 8), "Other": (2, 0)}
+    assert got == {"documents": 6, "directories": 4, "projects": 2, "code_nodes": 9, "code_vectors": 9, "edges": 12, "memories": 0, "http_nodes": 0, "package_nodes": 0}
+    assert {r["language"]: (r["documents"], r["nodes"]) for r in statistics.by_language(graph).collect()} == {"C#": (3, 9), "Other": (2, 0), "Markdown": (1, 0)}
     assert statistics.health(graph) == "ready" and statistics.health(Graph(spark)) == "missing"
     assert statistics.health(graph, applied={"m9"}) == "incompatible" and statistics.health(graph, supported={"m1"}) == "upgrade_required"
-    assert statistics.health(message_graph(spark, extra_edges=[(1, 2, "Odd")])) == "unreadable"
+    assert statistics.health(harbour_graph(spark, extra_edges=[(11, 12, "Odd")])) == "unreadable"
     runs = spark.createDataFrame([("w", [("info", "x" * 600)] * 20 + [("error", "bad")])], "workspace string, diagnostics array<struct<severity string, message string>>")
     (r,) = statistics.bounded_diagnostics(runs).collect()
     assert len(r["diagnostics"]) == 20 and r["diagnostics"][0]["severity"] == "error" and r["diagnostics"][-1]["message"] == "2 more" and len(r["diagnostics"][1]["message"]) == 512
