@@ -7,6 +7,11 @@ its diagonal (template, offset).  Runs of one template are chained in order,
 with small gaps, and a chain that covers ``COVER`` of the template is a span.
 Fixed base phrases are counted besides; their labels always stay.
 
+Templates are whole licence texts and the short notices that stand for them
+(``license_texts``).  Ties: of chains of one template with equal cover the one
+that begins first is taken; several templates may hold the same words, and each
+that is covered gives its label.
+
 Scale: no shuffle; each text is read once in Arrow batches, the automaton is a
 few thousand states in the closure.  Words outside all templates reset the
 automaton, so only runs of template words are walked in Python.
@@ -23,26 +28,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.license_texts import TEMPLATES
+
 MIN_MATCH, COVER, GAP = 3, 0.75, 8
 
-# Phrases and labels of the contract, and notices in the wording
-# that their licences prescribe.
+# Phrases and labels of the contract.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-TEMPLATES = (
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("gpl-3.0", "licensed under the GNU General Public License, version 3"),
-    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
-    ("cc-by-4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
-)
 
 #: A-Z to a-z, everything ASCII that is no letter or digit to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
