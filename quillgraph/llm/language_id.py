@@ -7,8 +7,8 @@ one space, hashed into ``DIMS`` places; frequency over the whole text times the
 inverse document frequency, which is counted over all training documents.
 
 Bound: the weights are fitted on about ``PER_CLASS`` labelled documents of each
-language, drawn by a hash of the id, a fifth of them for the temperature; the
-document frequencies and the predictions cover every document and whole texts.
+language, drawn by a hash of the id, a fifth of them for the temperature (their
+count vectors, a few kilobytes each, meet in the driver); the document frequencies and the predictions cover every document and whole texts.
 
 Scale: two passes without a shuffle of texts; the first adds up one count array
 a task, the second scores with a table of DIMS x languages sent in the closure.
@@ -35,11 +35,9 @@ CHUNK = 1_000_000  # characters whose n-grams a task holds at once
 def _letters():
     import numpy as np
 
-    table = np.full(0x3000, 32, dtype=np.uint32)
-    for c in range(len(table)):
-        if chr(c).isalpha():
-            table[c] = c
-    return table
+    every = np.arange(0x110000, dtype=np.uint32)
+    letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+    return np.where(letter, every, np.uint32(32))
 
 
 def _places(texts: list[str], table):
@@ -50,7 +48,7 @@ def _places(texts: list[str], table):
     lowered = joined.lower()
     cp = np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     ends = np.flatnonzero(cp == 10)
-    cp = np.where(cp < len(table), table[np.minimum(cp, len(table) - 1)], cp)
+    cp = table[cp]
     cp[ends] = 10
     stay = np.ones(len(cp), dtype=bool)
     stay[1:] = ~((cp[1:] == 32) & ((cp[:-1] == 32) | (cp[:-1] == 10)))
