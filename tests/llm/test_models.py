@@ -234,6 +234,49 @@ def test_automaton_finds_every_long_match():
         assert got == want
 
 
+def best_chain(pieces, size, gap):
+    """The most covered tokens of any chain, by trying all of them."""
+    best = 0
+
+    def grow(last, covered):
+        nonlocal best
+        best = max(best, covered)
+        for p in pieces:
+            if last is None or (last[1] < p[0] <= last[1] + 1 + gap and last[2] + last[1] - last[0] < p[2] <= last[2] + last[1] - last[0] + 1 + gap):
+                grow(p, covered + p[1] - p[0] + 1)
+
+    grow(None, 0)
+    return best / size
+
+
+def test_chains_match_brute_force():
+    rnd = random.Random(9)
+    for _ in range(200):
+        size, gap, pieces = 30, rnd.randint(1, 6), set()
+        for _ in range(rnd.randint(1, 7)):
+            a, s = rnd.randint(0, 40), rnd.randint(0, 26)
+            pieces.add((a, a + rnd.randint(0, 29 - s), s))
+        spans = license_scan.chain(list(pieces), size, gap, cover=0.01)
+        assert max(share for _, _, share in spans) == pytest.approx(best_chain(pieces, size, gap))
+        assert all(b < x or y < a for i, (a, b, _) in enumerate(spans) for x, y, _ in spans[:i])
+
+
+def test_whole_licences_are_told_apart(spark):
+    texts = dict(license_scan.TEMPLATES[13:])
+    rows = [(i, f"Copyright 2020 Some Body\n\n{t}\nand code follows here", "en") for i, t in enumerate(texts.values())]
+    rows += [(100, texts["mit"].replace("sublicense", "resell").replace("THE AUTHORS OR", "ANY"), "en"), (101, texts["isc"][:200], "en"), (102, texts["zlib"] + texts["zlib"], "en")]
+    table = docs(spark, rows + rows[:1]).withColumn("places", F.lit(1)).withColumn("spans", F.lit("x"))
+    got = {}
+    for r in license_scan.scan_digest(table).collect():
+        got.setdefault(r["doc_id"], []).append((set(r["labels"].split(",")), r["score"]))
+    for i, label in enumerate(texts):
+        assert label in got[i][0][0] and got[i][0][1] >= 0.99, label
+    assert "bsd-2-clause" not in got[2][0][0] and "bsd-3-clause" not in got[1][0][0] and "isc" in got[3][0][0]
+    assert "mit" in got[100][0][0] and got[0][0] == got[0][1] and len(got[0]) == 2
+    spans = license_scan.scan(docs(spark, [(1, texts["zlib"] + texts["zlib"], "en")])).first()["spans"]
+    assert [s["label"] for s in spans] == ["zlib", "zlib"]
+
+
 def test_spans_cover_changed_notices(spark):
     text = dict((label, t) for label, t in reversed(license_scan.TEMPLATES) if label == "gpl-3.0")["gpl-3.0"]
     long = license_scan.TEMPLATES[1][1]
@@ -327,6 +370,75 @@ def test_language_edges(spark):
     assert (r["lang_pred"], r["score"]) == ("und", 0.0)
 
 
+def gram_counts(text):
+    """Places of all 1- to 3-grams of letters, runs of anything else one space."""
+    letters = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.replace("\n", " ").lower())).removeprefix(" ")
+    out = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(letters) - n + 1):
+            gram, code = letters[i : i + n], 0
+            if gram == " ":
+                continue
+            for k, c in enumerate(gram, 1):
+                code = (code * 0x9E3779B1 + ord(c) + k) % 2**32
+            out[code * 0x85EBCA6B % 2**32 >> 17] += 1
+    return out
+
+
+def test_features_match_brute_force(spark):
+    rnd = random.Random(12)
+    alphabet = "abcdéÈß 語。、😀　1,.\n\t-İǅ"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(60)] + ["", None, "123 !?", "。😀", "a" * 5000]
+    table = docs(spark, [(i, t, "en") for i, t in enumerate(texts)] + [(3, texts[3], "en")])
+    want = [gram_counts(t or "") for t in texts]
+    import numpy as np
+
+    for r in language_id.vectors(table, "lang").collect():
+        got = dict(zip(np.frombuffer(r["places"], np.int32).tolist(), np.frombuffer(r["counts"], np.int32).tolist()))
+        assert got == dict(want[r["id"]]), texts[r["id"]]
+    times = Counter(p for w in [*want, want[3]] for p in w)
+    assert language_id.document_frequencies(table) == dict(times)
+
+
+def test_ftrl_matches_a_plain_loop():
+    import numpy as np
+
+    rnd = random.Random(14)
+    dims, classes, alpha, beta, l1, l2 = 7, 3, 0.5, 1.0, 0.05, 0.5
+    model = language_id.Ftrl(dims, classes, alpha, beta, l1, l2)
+    z, n = ([[0.0] * classes for _ in range(dims)] for _ in range(2))
+
+    def weight(i, k):
+        if abs(z[i][k]) <= l1:
+            return 0.0
+        return -(z[i][k] - math.copysign(l1, z[i][k])) / ((beta + math.sqrt(n[i][k])) / alpha + l2)
+
+    for _ in range(60):
+        at = sorted(rnd.sample(range(dims), 4))
+        x, truth = [rnd.uniform(0, 2) for _ in at], rnd.randrange(classes)
+        w = {(i, k): weight(i, k) for i in at for k in range(classes)}
+        logits = [sum(v * w[i, k] for i, v in zip(at, x)) for k in range(classes)]
+        e = [math.exp(v - max(logits)) for v in logits]
+        for i, v in zip(at, x):
+            for k in range(classes):
+                g = v * (e[k] / sum(e) - (k == truth))
+                z[i][k] += g - (math.sqrt(n[i][k] + g * g) - math.sqrt(n[i][k])) / alpha * w[i, k]
+                n[i][k] += g * g
+        model.step(np.array(at), np.array(x), truth)
+    assert model.z == pytest.approx(np.array(z)) and model.n == pytest.approx(np.array(n))
+    assert model.weights() == pytest.approx(np.array([[weight(i, k) for k in range(classes)] for i in range(dims)]))
+    assert (model.weights() == 0).any()  # the l1 part keeps some weights away
+
+
+def test_ties_and_repeated_rows_change_no_language(spark):
+    rows = [(i, "abc abc" if i % 2 else "xyz xyz", "en" if i % 2 else "fr") for i in range(12)]
+    table = docs(spark, rows + rows).withColumn("lang_pred", F.lit("mine")).withColumn("_text", F.lit(1))
+    got = language_id.identify(table, F.col("doc_id") > 9).collect()
+    assert len(got) == 24 and {(r["doc_id"], r["lang_pred"], r["score"]) for r in got} == {(r["doc_id"], r["lang_pred"], r["score"]) for r in got[:12]} | {(r["doc_id"], r["lang_pred"], r["score"]) for r in got[12:]}
+    one = language_id.identify(docs(spark, [(i, "same words", lang) for i, lang in enumerate(["de", "en"] * 5)]), F.lit(False)).collect()
+    assert len({(r["lang_pred"], r["score"]) for r in one}) == 1
+
+
 def test_temperature_lowers_the_loss():
     import numpy as np
 
@@ -342,6 +454,49 @@ def test_temperature_lowers_the_loss():
 # --- quality ranker -------------------------------------------------------------------
 
 
+def test_ranker_follows_the_gradient_of_the_pairwise_loss():
+    import numpy as np
+
+    random_ = np.random.default_rng(3)
+    d, w = random_.normal(size=(40, 5)), random_.normal(size=5)
+    loss = lambda w: np.log1p(np.exp(-(d @ w))).mean() + 0.05 * (w @ w)
+    steps = np.eye(5) * 1e-6
+    numeric = [(loss(w + s) - loss(w - s)) / 2e-6 for s in steps]
+    assert quality_ranker.gradient(w, d, 0.1) == pytest.approx(np.array(numeric), abs=1e-6)
+    # the threshold is the quantile of worth at the share of bad labels
+    x = random_.normal(size=(400, 3))
+    model = quality_ranker.Model(x, x[:, 0] + 0.3 * random_.normal(size=400) > 0, bad_share=0.25)
+    good = x[:, 0] > 0
+    score = model.scores(x)
+    assert np.corrcoef(score, x[:, 0])[0, 1] > 0.8 and score[good].mean() > score[~good].mean() + 0.3
+
+
+def test_features_of_texts_match_plain_counts():
+    table = quality_ranker._classes()
+    for text in ("One two two three! 4 #x\n\nsame line.\nsame line.\n", "É a\tb", "word", "ABC " * 50):
+        w, f = text.split(), quality_ranker.features(text, table)
+        lines = [x for x in text.split("\n") if x.strip()]
+        want = {
+            0: math.log1p(len(w)), 1: sum(map(len, w)) / len(w), 4: sum(len(x) <= 2 for x in w) / len(w), 5: sum(c != c.lower() for c in text) / len(text),
+            7: text.count("!") / len(w), 8: sum(c.isdigit() for c in text) / len(text), 11: len(set(w)) / len(w), 13: max(map(w.count, w)) / len(w),
+            16: sum(a == b for a, b in zip(w, w[1:])) / len(w), 17: 1 - len(set(lines)) / len(lines),
+        }
+        assert {k: f[k] for k in want} == pytest.approx(want)
+    assert quality_ranker.features(" \n", table) == [0.0] * quality_ranker.N_FEATURES
+
+
+def test_ranker_ties_and_repeated_rows(spark):
+    rows = [(i, "good words flow here. " * 8 if i % 2 else "!! ## " * 30, "en") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    table = docs(spark, rows + rows[:5]).withColumn("x", F.lit(0)).withColumn("q", F.lit("mine"))
+    got = quality_ranker.rank(table, labels, F.col("doc_id") >= 40).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"] % 2, set()).add((r["score"], r["predicted"]))
+    assert len(got) == 65 and all(len(v) == 1 for v in by.values())
+    assert {k: next(iter(v))[1] for k, v in by.items()} == {0: 0, 1: 1}
+
+
 def test_ranker_orders_held_out_documents(spark):
     rnd = random.Random(12)
     rows = [(i, prose(rnd, rnd.randint(20, 90)), "en") for i in range(300)]

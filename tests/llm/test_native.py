@@ -1,5 +1,6 @@
 """Mixing, line dedup, quality rules and decontamination against plain Python."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -188,6 +189,34 @@ def test_rules_are_learned_and_ordered(spark):
     assert {r["doc_id"] for r in quality_rules.judge(table, rules).collect() if r["kept"]} == kept
 
 
+def test_best_test_has_the_highest_foil_gain():
+    rnd = random.Random(15)
+    for _ in range(40):
+        rows = [({f: float(rnd.randint(0, 4)) for f in quality_rules.FEATURES}, rnd.random() < 0.4) for _ in range(rnd.randint(4, 30))]
+        bad = sum(b for _, b in rows)
+        if not bad:
+            continue
+        gains = {}
+        for f in quality_rules.FEATURES:
+            values = sorted({r[f] for r, _ in rows})
+            for low, high in zip(values, values[1:]):
+                for sign in (">=", "<="):
+                    rule = quality_rules.Rule(((f, sign, (low + high) / 2),))
+                    hit = [b for r, b in rows if rule.covers(r)]
+                    if sum(hit):
+                        gains[rule.tests[0]] = sum(hit) * (math.log2(sum(hit) / len(hit)) - math.log2(bad / len(rows)))
+        best = quality_rules._best_test(rows)
+        top = max(gains.values(), default=0.0)
+        assert best is None and top <= 1e-9 or gains[best] == pytest.approx(top)
+
+
+def test_rules_keep_columns_of_clashing_names(spark):
+    table = docs(spark, [(1, "good words " * 30, "s"), (None, "x " * 3, "s")]).withColumn("s", F.lit(1)).withColumn("n_words", F.lit("mine")).withColumn("kept", F.lit(0))
+    out = quality_rules.keep_good(table, [quality_rules.Rule((("n_words", ">=", 60.0),))])
+    assert out.columns == table.columns and out.count() == 0
+    assert {r["kept"] for r in quality_rules.judge(table, []).collect()} == {False}
+
+
 def test_rules_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     table = docs(spark, [(1, "few words", "s")])
