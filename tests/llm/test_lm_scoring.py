@@ -43,6 +43,21 @@ def test_every_word_keeps_its_bigrams_beyond_131072_words(spark):
         assert got[i] == pytest.approx(want, rel=1e-9)
 
 
+def test_small_training_sets_and_clashing_columns(spark):
+    table = spark.createDataFrame([(1, "a b"), (2, None), (None, "a"), (1, "a b")], DOCS)
+    model = lm_scoring.fit(lm_scoring.marked(table, F.lit(True), deleted=0))
+    assert (model.m, set(model.a)) == (0.9, {0.2}) and model.tokens == 9 and model.types == 3
+    clash = table.withColumn("_train", F.lit("x")).withColumn("chunk", F.lit(1)).withColumn("score", F.lit(2))
+    got = lm_scoring.score(clash, F.col("doc_id") == 1).collect()
+    assert len(got) == 4 and len({tuple(r) for r in got if r["doc_id"] == 1}) == 1
+    by = {r["doc_id"]: r for r in got}
+    assert (by[2]["n_tokens"], by[2]["n_known"], by[None]["n_known"], by[1]["train_tokens"]) == (1, 1, 2, 6)
+    base = math.log10(2.5 / (6 + 0.5 * 4))
+    assert by[2]["base_score"] == pytest.approx(base) and by[1]["base_score"] == pytest.approx(3 * base)
+    none = lm_scoring.score(table, F.lit(False)).collect()
+    assert {r["n_known"] for r in none} == {0} and all(r["score"] == pytest.approx(0.0) or r["score"] < 0 for r in none)
+
+
 def test_a_tenth_is_held_out_at_every_size(spark):
     table = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
     model = lm_scoring.fit(lm_scoring.marked(table, F.lit(True)))

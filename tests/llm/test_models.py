@@ -195,6 +195,12 @@ def test_edited_counts_equal_counting_anew(spark):
     assert after[903]["n_reencoded"] < 2000
 
 
+def test_repeated_rows_are_counted_each(spark):
+    table = spark.createDataFrame([(1, "one two", None), (1, "one two", None), (None, "x", [(0, 1, "yy")])], f"doc_id long, text string, edits {token_counts.EDITS}")
+    got = token_counts.apply_edits(token_counts.trees(table)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"], r["n_tokens"]) for r in got)[1:] == [(1, "one two", 2)] * 2 and len(got) == 3
+
+
 # --- licence scans ------------------------------------------------------------------
 
 

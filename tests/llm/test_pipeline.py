@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
 from test_models import find, fingerprint
 from test_native import base, brute_leaks, brute_lines, prose, water_fill
 
@@ -95,6 +96,35 @@ def test_pipeline_matches_brute_force_and_catches_planted_cases(spark, tmp_path)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "SimHash near-dedup", "benchmark decontamination", "mixing to target weights"]
 
 
+def test_pipeline_with_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    rnd = random.Random(22)
+    text = [prose(rnd, 60) for _ in range(8)]
+    leak = prose(rnd, 30)
+    rows = [(None, text[0], None), (None, text[1], "a"), (None, text[1], "a"), (5, text[2], "a"), (5, text[3], "a"), (6, text[4], None), (6, text[4], None), (7, text[4], "b"), (8, None, "b"), (9, "", "b"), (None, None, None), (10, text[5] + " " + leak, "b"), (11, "short", "b"), (12, text[6] + "\n" + " ".join(text) * 30, "b")]
+    extra = [("fp", 1), ("component_id", 2), ("_th", 3), ("_id", 4), ("copies", 5), ("rows", 6), ("s", 7), ("starts", 8), ("_key", 9), ("length", 10)]
+    table_ = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCS)
+    for name, value in extra:
+        table_ = table_.withColumn(name, F.lit(value))
+    table_.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1, 0), (5, 0, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    frame, seen = docs, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, str(tmp_path))
+        assert frame.columns == docs.columns
+        seen.append(Counter((r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect()))
+    full = Counter((i, t) for i, t, _ in rows if t and len(t.split()) >= 20 and i != 12)
+    assert {k: v for k, v in seen[0].items() if k[0] != 12} == dict(full)
+    # text 4 stands in three rows of two ids, text 1 in two of none: one row each stays
+    kept = {(None, text[0]), (None, text[1]), (5, text[2]), (5, text[3]), (6, text[4])}
+    assert {k for k in seen[2] if k[0] not in (10, 12)} == kept and set(seen[2].values()) == {1}
+    assert {k for k in seen[3] if k[0] != 12} == kept
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*docs.columns, "copy"]
+    assert {(r["doc_id"], r["text"]) for r in out.collect()} <= set(seen[3]) and max(r["copy"] for r in out.collect()) <= 2
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     for name, ddl in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], ddl).write.parquet(f"{tmp_path}/{name}.parquet")
