@@ -12,7 +12,8 @@ boundary that its stretch crosses.
 
 Scale: the prefix sum never puts a source into one task.  A source is cut into
 cells (size class x 256 salts); ranks are taken inside cells and shifted by the
-cells' own prefix sum, whose length does not depend on the number of documents.
+prefix sums of the classes of the source (90 for each number of digits) and of the
+cells of the class, whose lengths do not depend on the number of documents.
 Repeated rows are one row with a number until the end, so they fill no cell.
 
 Defined results: null text has size 0; a source without words has target 0 and
@@ -30,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import checked, materialise, words
+from quillgraph.llm.common import materialise, words
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -87,10 +88,14 @@ def draw(docs: DataFrame, seed: int = 7, budget: float = 1.5, cap: float = 2.0,
         F.substring(F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")), 1, 2).alias("_salt"),
     )
     cell = ["_key", "_length", "_lead", "_salt"]
-    starts = cells.groupBy(*cell).agg(F.sum("rows").alias("_n"))
     before = Window.unboundedPreceding, -1
-    upto = Window.partitionBy("_key").orderBy("_length", "_lead", "_salt").rowsBetween(*before)
-    starts = starts.select(*cell, F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start")).join(targets, "_key")
+    # where a class of a source begins, and where a cell begins in its class
+    classes = cells.groupBy(*cell[:-1]).agg(F.sum("rows").alias("_n"))
+    upto = Window.partitionBy("_key").orderBy("_length", "_lead").rowsBetween(*before)
+    classes = classes.select(*cell[:-1], F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_first")).join(targets, "_key")
+    salted = Window.partitionBy(*cell[:-1]).orderBy("_salt").rowsBetween(*before)
+    starts = cells.groupBy(*cell).agg(F.sum("rows").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(salted), F.lit(0)))
+    starts = starts.join(classes, cell[:-1]).withColumn("_start", F.col("_first") + F.col("_before")).drop("_n", "_first", "_before")
     inside = Window.partitionBy(*cell).orderBy("size", "_id", "_text_hash", "_row_hash").rowsBetween(*before)
     ranked = cells.withColumn("_rank", F.coalesce(F.sum("rows").over(inside), F.lit(0))).join(starts, cell)
     offset = F.conv(F.substring(F.md5(F.concat(F.col("_key"), F.lit(f"#{seed}")).cast("binary")), 1, 6), 16, 10).cast("double") / 16777216.0
@@ -126,7 +131,7 @@ def expand(docs: DataFrame, **options) -> DataFrame:
 
     def copied(rows: DataFrame, marks: DataFrame) -> DataFrame:
         own = [rows[f"`{c}`"] for c in rows.columns]
-        return rows.join(checked(marks), alike(rows, marks)).select(*own, F.explode(F.sequence(F.lit(1), marks["_copies"].cast("int"))).alias("copy"))
+        return rows.join(marks, alike(rows, marks)).select(*own, F.explode(F.sequence(F.lit(1), marks["_copies"].cast("int"))).alias("copy"))
 
     once, more = twin.filter("rows = 1"), twin.filter("rows > 1")
     out = copied(docs, once)
@@ -134,7 +139,7 @@ def expand(docs: DataFrame, **options) -> DataFrame:
         return out
     # only sets of rows alike move once more, to become one row each
     marks = materialise(more, "mix-alike")
-    found = docs.join(checked(marks), alike(docs, marks), "left_semi")
+    found = docs.join(marks, alike(docs, marks), "left_semi")
     whole = F.struct(*[found[f"`{c}`"] for c in found.columns])
     first = found.groupBy(*[c.alias(n) for c, n in zip(_identity(found), _IDENTITY)]).agg(F.first(whole).alias("_first")).select("_first.*")
     return out.unionByName(copied(first, more))

@@ -49,7 +49,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import checked, materialise
+from quillgraph.llm.common import materialise
 from quillgraph.llm.components import components
 
 RADIUS = 4
@@ -226,7 +226,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     best = rows.groupBy("_group").agg(F.min(place).alias("_best"), F.min_by("_rows", place).alias("_rows"))
     best = materialise(best.select(F.col("_best.doc_id").alias("_keep_id"), F.col("_best._th").alias("_keep_th"), "_rows"), "simhash-keep")
     same = docs["doc_id"].eqNullSafe(best["_keep_id"]) & (F.xxhash64(docs["text"]) == best["_keep_th"])
-    kept = docs.join(checked(best), same, "left_semi")
+    kept = docs.join(best, same, "left_semi")
     # texts move once more only where a kept row is repeated as it is
     if best.filter("_rows > 1").isEmpty():
         return kept
