@@ -13,7 +13,8 @@ P(w | v) = a(b) * c(v, rest) / c(v) * P1(w) / P1(rest) + (1 - a(b)) * P1(w).
 
 Passes: (1) documents are packed into chunks; a chunk's distinct words and
 bigrams go, with how often they occur in its training documents, to the bucket
-of their 62-bit hash, where they are counted, and the counts return to the chunk;
+of their hash (62 and 56 bits), where they are counted, and the counts return to
+the chunk;
 (2) the chunks of the deleted part give sums for each cell of (context bucket,
 ratio of the two estimates), from which the driver learns the weights; (3) each
 chunk, which now holds c(v), c(w) and c(v, w), scores its documents.
@@ -40,7 +41,7 @@ from quillgraph.llm.common import materialise, unit_hash
 
 HEAD, DELETED, BLOCK, PER_BUCKET = None, math.inf, 500_000, 1_000_000  # no bound on the head or the deleted part
 SHARE = 0.1  # of the training documents, deleted at every size
-_MASK = (1 << 62) - 1
+_MASK, PAIR_BITS = (1 << 62) - 1, 56  # of a word's hash, and of a bigram's, of which there are more to send
 END, START, REST = 1 << 62, (1 << 62) + 1, (1 << 62) + 2  # keys beyond those of words
 EXACT, FINE = 64, 32  # cells of a count: each its own, then so many to an octave
 
@@ -190,7 +191,7 @@ def _entries(seq, sizes, keys, own):
         x = keys[v].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + keys[kind[w]].astype(np.uint64)
         for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
-    h = ((x ^ (x >> np.uint64(31))) & np.uint64(_MASK)).astype(np.int64)
+    h = ((x ^ (x >> np.uint64(31))) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
     order = np.argsort(h, kind="stable")
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.arange(len(order))
@@ -237,8 +238,7 @@ def _pack(classes: dict[int, int] | None, buckets: int):
             pair_times = np.bincount(entry[train], minlength=len(h))
             order = np.argsort(keys, kind="stable")
             keys_in, times_in = keys[order], times[order]
-            edges = [(b << 62) // buckets for b in range(buckets)]
-            cut, pair_cut = ([*np.searchsorted(x, np.array(edges, dtype=np.int64)), len(x)] for x in (keys_in, h))
+            cut, pair_cut = ([*np.searchsorted(x, np.array([(b << bits) // buckets for b in range(buckets)], dtype=np.int64)), len(x)] for x, bits in ((keys_in, 62), (h, PAIR_BITS)))
             planes = [(seq >> shift).astype(np.uint8) for shift in (0, 8, 16, 24)]
             meta = b"".join([np.array([len(sizes), len(seq), len(keys)], np.int64).tobytes(), np.array([x is not None for x in s["ids"]], np.uint8).tobytes(), np.array([x or 0 for x in s["ids"]], np.int64).tobytes(), sizes.tobytes(), keys.tobytes(), own.astype(np.uint8).tobytes(), *[x.tobytes() for x in planes]])
             out = [(buckets + hash_of(chunk) % buckets, chunk, deleted, 0, 0, b"", b"", b"", b"", _squeezed(meta))]
