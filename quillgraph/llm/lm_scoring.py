@@ -19,13 +19,17 @@ the chunk;
 ratio of the two estimates), from which the driver learns the weights; (3) each
 chunk, which now holds c(v), c(w) and c(v, w), scores its documents.
 
-Scale: a worker packs about ``BLOCK`` tokens at a time; the number of buckets
-follows the size of the texts, so a bucket grows only by the chunks of hot keys:
-a key is one entry a chunk, whatever its count.  Only sums over cells reach the
-driver (and the ``head`` words where it is given).
+Scale: a worker packs about ``BLOCK`` tokens at a time.  Chunks are dealt to
+groups of about ``BUCKETS`` x ``PER_BUCKET`` tokens, and each group has its own
+buckets, so a chunk is cut into at most ``BUCKETS`` blocks and a bucket holds about
+``PER_BUCKET`` entries, of a hot key one for each chunk of its group, however large
+the corpus.  With several groups a key's counts are added up over them by a plain
+sum and joined back: a hot key is one row a group there.  Only sums over cells
+reach the driver (and the ``head`` words where it is given).
 
 Defined results: null text is empty (one end token); with no training document
-all counts are 0 and both scores are uniform; a null id is a document of its
+all counts are 0 and both scores are uniform; where so few documents train that
+none is deleted, the weights stay where EM begins (m 0.9, a 0.2); a null id is a document of its
 own hash remainder; repeated rows are scored each; other columns do not matter.
 """
 
@@ -39,7 +43,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import materialise, unit_hash
 
-HEAD, DELETED, BLOCK, PER_BUCKET = None, math.inf, 500_000, 1_000_000  # no bound on the head or the deleted part
+HEAD, DELETED, BLOCK, PER_BUCKET, BUCKETS = None, math.inf, 500_000, 1_000_000, 256  # no bound on the head or the deleted part
 SHARE = 0.1  # of the training documents, deleted at every size
 _MASK, PAIR_BITS = (1 << 62) - 1, 56  # of a word's hash, and of a bigram's, of which there are more to send
 END, START, REST = 1 << 62, (1 << 62) + 1, (1 << 62) + 2  # keys beyond those of words
@@ -209,7 +213,7 @@ def _rows(schema: str, rows: list[tuple]):
     return [pa.array([r[j] for r in rows], getattr(pa, _ARROW[kind])()) for j, (_, kind) in enumerate(fields)], [name for name, _ in fields]
 
 
-def _pack(classes: dict[int, int] | None, buckets: int):
+def _pack(classes: dict[int, int] | None, buckets: int, groups: int):
     """Documents -> a chunk's keys and their counts by bucket, and one meta block
     a chunk: ids, sizes, word numbers and hashes.  Deleted documents have chunks
     of their own."""
@@ -219,6 +223,7 @@ def _pack(classes: dict[int, int] | None, buckets: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
+        _frugal()
         task = TaskContext.get().partitionId()
         number = 0
 
@@ -241,13 +246,13 @@ def _pack(classes: dict[int, int] | None, buckets: int):
             cut, pair_cut = ([*np.searchsorted(x, np.array([(b << bits) // buckets for b in range(buckets)], dtype=np.int64)), len(x)] for x, bits in ((keys_in, 62), (h, PAIR_BITS)))
             planes = [(seq >> shift).astype(np.uint8) for shift in (0, 8, 16, 24)]
             meta = b"".join([np.array([len(sizes), len(seq), len(keys)], np.int64).tobytes(), np.array([x is not None for x in s["ids"]], np.uint8).tobytes(), np.array([x or 0 for x in s["ids"]], np.int64).tobytes(), sizes.tobytes(), keys.tobytes(), own.astype(np.uint8).tobytes(), *[x.tobytes() for x in planes]])
-            out = [(buckets + hash_of(chunk) % buckets, chunk, deleted, 0, 0, b"", b"", b"", b"", _squeezed(meta))]
+            own_first, every = hash_of(chunk) % groups * buckets, groups * buckets
+            out = [(every + hash_of(chunk) % every, chunk, deleted, 0, 0, b"", b"", b"", b"", _squeezed(meta))]
             for b in range(buckets):
                 x, y = slice(cut[b], cut[b + 1]), slice(pair_cut[b], pair_cut[b + 1])
                 n, pairs = x.stop - x.start, y.stop - y.start
                 if n or pairs:
-                    out.append((b, chunk, deleted, n, pairs, _steps(keys_in[x]), _steps(h[y]), _narrow(times_in[x]), _narrow(pair_times[y]), b""))
-            pa.default_memory_pool().release_unused()
+                    out.append((own_first + b, chunk, deleted, n, pairs, _steps(keys_in[x]), _steps(h[y]), _narrow(times_in[x]), _narrow(pair_times[y]), b""))
             return pa.RecordBatch.from_arrays(*_rows(BLOCKS, out))
 
         open_chunks = [fresh(), fresh()]
@@ -272,6 +277,13 @@ def _pack(classes: dict[int, int] | None, buckets: int):
     return run
 
 
+def _frugal() -> None:
+    """Arrow memory of this worker goes back to the system once it is freed."""
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def hash_of(text: str) -> int:
     from zlib import crc32
 
@@ -282,30 +294,64 @@ PARTS = "bucket int, chunk string, deleted boolean, words int, pairs int, word_c
 CELLS = "cell long, n double, x double"
 
 
+def _added(own: list[dict], size: str, raw: str, times: str):
+    """Keys of a bucket's blocks, which of them each entry has, and their counts
+    over training documents and over the deleted ones."""
+    import numpy as np
+
+    n = np.array([r[size] for r in own])
+    key = np.concatenate([_from_steps(r[raw], r[size]) for r in own])
+    time = np.concatenate([_widened(r[times], r[size]) for r in own]).astype(np.float64)
+    found, inverse = np.unique(key, return_inverse=True)
+    del key
+    of_gone = np.bincount(inverse, weights=time * np.repeat([r["deleted"] for r in own], n), minlength=len(found)).astype(np.int64)
+    every = np.bincount(inverse, weights=time, minlength=len(found)).astype(np.int64)
+    return n, found, inverse, every, of_gone
+
+
+_FIELDS = (("words", "word_keys", "times"), ("pairs", "pair_keys", "pair_times"))
+KEYS = "bucket int, pair boolean, h long, n long, gone long"
+
+
+def _keys(table):
+    """A bucket's blocks -> its keys with their counts in its group."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [r for r in table.to_pylist() if not r["meta"]]
+    parts = []
+    for pair, fields in enumerate(_FIELDS) if rows else ():
+        _, found, _, every, of_gone = _added(rows, *fields)
+        parts.append((np.full(len(found), rows[0]["bucket"], np.int32), np.full(len(found), pair == 1), found, every, of_gone))
+    columns = [np.concatenate(x) for x in zip(*parts)] or [[]] * 5
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()))], names=["bucket", "pair", "h", "n", "gone"])
+
+
 def _count(table):
+    return _filled(table, None)
+
+
+def _filled(table, known):
     """A bucket's blocks -> counts over all training documents (and, for deleted
     chunks, over the rest of them), back in one block a chunk.  One row without
-    a chunk has the bucket's totals."""
+    a chunk has the bucket's totals.  ``known``, if not None, has the counts of the
+    bucket's keys over all groups; totals are then made from those."""
     import numpy as np
     import pyarrow as pa
 
+    _frugal()
     rows = table.to_pylist()
-    pa.default_memory_pool().release_unused()
     own = [r for r in rows if r["bucket"] is not None and not r["meta"]]
     out = [(r["bucket"], r["chunk"], r["deleted"], 0, 0, b"", b"", b"", b"", b"", r["meta"]) for r in rows if r["meta"]]
     if own:
-        gone = np.array([r["deleted"] for r in own])
-        counts = []
-        for size, raw, times in (("words", "word_keys", "times"), ("pairs", "pair_keys", "pair_times")):
-            n = np.array([r[size] for r in own])
-            key = np.concatenate([_from_steps(r[raw], r[size]) for r in own])
-            time = np.concatenate([_widened(r[times], r[size]) for r in own]).astype(np.float64)
-            found, inverse = np.unique(key, return_inverse=True)
-            del key
-            of_gone = np.bincount(inverse, weights=time * np.repeat(gone, n), minlength=len(found)).astype(np.int64)
-            every = np.bincount(inverse, weights=time, minlength=len(found)).astype(np.int64)
-            del time
-            if size == "words":
+        counts, stats = [], []
+        for pair, fields in enumerate(_FIELDS):
+            n, found, inverse, every, of_gone = _added(own, *fields)
+            if known is not None:
+                mine = known.filter(pa.compute.equal(known.column("pair"), pair == 1))
+                order = np.argsort(mine.column("h").to_numpy())
+                every, of_gone = (mine.column(c).to_numpy()[order] for c in ("n", "gone"))
+            elif not pair:
                 stats = _totals(found, every, of_gone)
             counts.append((np.cumsum(n) - n, n, every[inverse], (every - of_gone)[inverse]))
         for k, r in enumerate(own):
@@ -314,7 +360,8 @@ def _count(table):
                 x = slice(at[k], at[k] + n[k])
                 cols += [_narrow(every[x]), _narrow(left[x]) if r["deleted"] else b""]
             out.append((r["bucket"], r["chunk"], r["deleted"], r["words"], r["pairs"], *cols, r["pair_times"] if r["deleted"] else b"", b""))
-        out.append((own[0]["bucket"], None, False, len(stats), 0, np.array(stats, np.float64).tobytes(), b"", b"", b"", b"", b""))
+        if known is None:
+            out.append((own[0]["bucket"], None, False, len(stats), 0, np.array(stats, np.float64).tobytes(), b"", b"", b"", b"", b""))
     return pa.Table.from_arrays(*_rows(PARTS, out))
 
 
@@ -335,6 +382,16 @@ def _totals(keys, every, gone) -> list[tuple]:
     return out + [(int(k), sums[0][k], sums[1][k]) for k in np.flatnonzero(sums[0])]
 
 
+def _cells_of_words(batches: Iterator) -> Iterator:
+    """(h, n, gone) of words -> the cells of ``_totals``."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        cells = np.array(_totals(*[batch.column(c).to_numpy() for c in ("h", "n", "gone")]), dtype=np.float64).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([pa.array(cells[:, 0].astype(np.int64)), pa.array(cells[:, 1]), pa.array(cells[:, 2])], names=["cell", "n", "x"])
+
+
 def _unpack(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
@@ -349,6 +406,7 @@ def _opened(table):
     """A chunk's blocks -> its documents, entries and counts."""
     import numpy as np
 
+    _frugal()
     rows = table.to_pylist()
     (meta,) = [_loosened(r["meta"]) for r in rows if r["meta"]]
     docs, tokens, words = (int(x) for x in np.frombuffer(meta, np.int64, 3))
@@ -453,15 +511,28 @@ def _learn(model: Model, parts: DataFrame, cells, rounds: int = 40) -> None:
     model.a = np.clip(model.a, 0.0, 0.999)
 
 
-def _fitted(docs: DataFrame, head: int | None, buckets: int | None) -> tuple[Model, DataFrame]:
+def _counted(packed: DataFrame, groups: int) -> tuple[DataFrame, DataFrame]:
+    """(blocks of counts, cells of word totals)."""
+    if groups == 1:
+        parts = materialise(packed.groupBy("bucket").applyInArrow(_count, PARTS), "lm-counts")
+        return parts, parts.filter("chunk is null").mapInArrow(_unpack, CELLS)
+    packed = materialise(packed, "lm-blocks")
+    keys = materialise(packed.groupBy("bucket").applyInArrow(_keys, KEYS), "lm-keys")
+    totals = materialise(keys.groupBy("pair", "h").agg(F.sum("n").alias("n"), F.sum("gone").alias("gone")), "lm-totals")
+    known = keys.select("bucket", "pair", "h").join(totals, ["pair", "h"]).select("bucket", "pair", "h", "n", "gone")
+    parts = materialise(packed.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_filled, PARTS), "lm-counts")
+    return parts, totals.filter("not pair").select("h", "n", "gone").mapInArrow(_cells_of_words, CELLS)
+
+
+def _fitted(docs: DataFrame, head: int | None, buckets: int | None, groups: int = 1) -> tuple[Model, DataFrame]:
     rows = _train_rows(docs)
     classes = None if head is None else _head_words(rows, head)
     if buckets is None:  # a token has about six bytes
-        size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-        buckets = max(8, -(-int(size) // (6 * PER_BUCKET)))
-    packed = rows.mapInArrow(_pack(classes, buckets), BLOCKS)
-    parts = materialise(packed.groupBy("bucket").applyInArrow(_count, PARTS), "lm-counts")
-    cells = _summed(parts.filter("chunk is null").mapInArrow(_unpack, CELLS))
+        size = int(rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0)
+        groups = max(1, -(-size // (6 * PER_BUCKET * BUCKETS)))
+        buckets = max(8, -(-size // (6 * PER_BUCKET * groups)))
+    parts, cells = _counted(rows.mapInArrow(_pack(classes, buckets, groups), BLOCKS), groups)
+    cells = _summed(cells)
     total = dict(zip(cells[0].tolist(), cells[1].tolist()))
     model = Model(classes, *(int(total.get(k, 0)) for k in (TOKENS, TYPES, DOCUMENTS)))
     model.deleted = total.get(GONE, 0.0)
@@ -481,9 +552,9 @@ def marked(docs: DataFrame, training: Column, deleted: float = DELETED) -> DataF
     return rows.withColumn("_deleted", F.col("_train") & (unit_hash(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit("deleted")) < share))
 
 
-def score(docs: DataFrame, training: Column, head: int | None = HEAD, deleted: float = DELETED, buckets: int | None = None) -> DataFrame:
+def score(docs: DataFrame, training: Column, head: int | None = HEAD, deleted: float = DELETED, buckets: int | None = None, groups: int = 1) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every
     document, learned from those where ``training`` holds."""
-    model, parts = _fitted(marked(docs, training, deleted), head, buckets)
+    model, parts = _fitted(marked(docs, training, deleted), head, buckets, groups)
     done = parts.filter("chunk is not null").groupBy("chunk").applyInArrow(_score(model), RESULT)
     return done.withColumn("train_tokens", F.lit(int(model.tokens)).cast("long"))

@@ -43,6 +43,18 @@ def test_every_word_keeps_its_bigrams_beyond_131072_words(spark):
         assert got[i] == pytest.approx(want, rel=1e-9)
 
 
+def test_groups_of_chunks_count_together(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK", 150)
+    rnd = random.Random(33)
+    table = spark.createDataFrame([(i, " ".join(f"w{int(rnd.paretovariate(0.8))}" for _ in range(rnd.randint(0, 40)))) for i in range(300)], DOCS)
+    training = F.col("doc_id") % 4 != 0
+    one = lm_scoring.score(table, training, buckets=3).orderBy("doc_id").collect()
+    many = lm_scoring.score(table, training, buckets=2, groups=4).orderBy("doc_id").collect()
+    for a, b in zip(one, many):
+        assert a["base_score"] == pytest.approx(b["base_score"], rel=1e-12) and a["score"] == pytest.approx(b["score"], rel=1e-9)
+        assert (a["doc_id"], a["n_tokens"], a["n_known"], a["train_tokens"]) == (b["doc_id"], b["n_tokens"], b["n_known"], b["train_tokens"])
+
+
 def test_small_training_sets_and_clashing_columns(spark):
     table = spark.createDataFrame([(1, "a b"), (2, None), (None, "a"), (1, "a b")], DOCS)
     model = lm_scoring.fit(lm_scoring.marked(table, F.lit(True), deleted=0))
