@@ -47,5 +47,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 def clear(spark: SparkSession) -> None:
     """Remove what this application has written to the shared folder.  Results
     that are still lazy read those tables, so call it when all are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, shared_dir(spark))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph import schemas
+from quillgraph.functions.storage import remove
 from quillgraph.graph import Graph
 from quillgraph.operators.build import row_hash
 
@@ -54,12 +55,9 @@ def fingerprint(graph: Graph) -> str:
 
 def commit(graph: Graph, root: str) -> str:
     """Write a revision; an identical graph keeps the current one.  The log row
-    is written last, so a failed commit leaves the earlier state in place."""
-    spark, mark = graph.spark, fingerprint(graph)
-    now = current(spark, root)
-    if now and now["fingerprint"] == mark:
-        return now["revision"]
-    revision = uuid.uuid4().hex
+    is written last, so a failed commit leaves the earlier state in place.  The
+    tables are made once: they are compared as they were written."""
+    spark, now, revision = graph.spark, current(graph.spark, root), uuid.uuid4().hex
 
     def write(df: DataFrame, name: str, order: list[str]) -> None:
         clustered = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
@@ -67,7 +65,12 @@ def commit(graph: Graph, root: str) -> str:
 
     for name in schemas.DDL:
         write(graph[name], name, CLUSTERED.get(name, []))
-    write(graph["dependency_edges"], INWARD, ["callee_node_id", "caller_node_id", "edge_type"])
+    made = Graph(spark, {name: spark.read.schema(schemas.schema(name)).parquet(f"{root}/{revision}/{name}") for name in schemas.DDL})
+    mark = fingerprint(made)
+    if now and now["fingerprint"] == mark:
+        remove(spark, f"{root}/{revision}")
+        return now["revision"]
+    write(made["dependency_edges"], INWARD, ["callee_node_id", "caller_node_id", "edge_type"])
     row = spark.createDataFrame([((now["number"] if now else 0) + 1, revision, mark)], LOG)
     row.coalesce(1).write.mode("append").parquet(f"{root}/commits")
     return revision
