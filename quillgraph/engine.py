@@ -31,7 +31,8 @@ class CodeGraph:
         """(rank, score, node fields) by fused rank."""
         corpus = self.graph.code(wide=True)
         notes = self._notes() if include_memories else None
-        ranked = search.hybrid(corpus, text, query, limit, project_id, node_types, notes, tags)
+        index = revisions.keyword_index(self.spark, self.root, self.graph.revision) if self.root else None
+        ranked = search.hybrid(corpus, text, query, limit, project_id, node_types, notes, tags, index)
         return self.graph.code().join(F.broadcast(ranked.drop("canonical_id")), "id").orderBy("rank")
 
     def _notes(self) -> DataFrame:

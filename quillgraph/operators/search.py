@@ -1,18 +1,21 @@
 """Hybrid search: BM25 over four text columns, cosine over vectors, notes, and
 their fusion by reciprocal rank.
 
-The corpus is read once for the keyword side: each row is reduced to its length
-and the frequencies of the asked phrases, written, and both the statistics and
-the scores come from that narrow table.  Every list is cut to its pool before it
-is numbered, so no window sees more than 250 rows.
+A stored keyword index has one row for each term of each row, with its places,
+sorted by term, so a search reads the row groups of its own terms.  Without an
+index the corpus is read once: each row is reduced to its length and the
+frequencies of the asked phrases.  Either way a narrow table of frequencies is
+written, from which both the statistics and the scores come.  Every list is cut
+to its pool before it is numbered, so no window sees more than 250 rows.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
@@ -41,29 +44,82 @@ def _times(terms: Column, phrase: list[str]) -> Column:
     return F.size(F.filter(at, here))
 
 
-def keyword_scores(corpus: DataFrame, text: str, columns=INDEXED) -> DataFrame:
-    """(id, canonical_id, score): BM25 as a positive number, matching rows only."""
+@dataclass
+class KeywordIndex:
+    """postings: (term, id, canonical_id, size, places); rows and mean size of all."""
+
+    postings: DataFrame
+    rows: int
+    mean: float
+
+
+def _bags(corpus: DataFrame, columns) -> tuple[DataFrame, Column]:
+    bags = corpus.select("id", "canonical_id", *[X.index_terms(F.col(c)).alias(f"_t{i}") for i, c in enumerate(columns)])
+    return bags, reduce(lambda a, b: a + b, [F.size(f"_t{i}") for i in range(len(columns))])
+
+
+def write_index(corpus: DataFrame, path: str, columns=INDEXED) -> None:
+    """Store the keyword index of a corpus in two new folders below ``path``."""
+    bags, size = _bags(corpus, columns)
+    # an empty term between columns keeps phrases from running over
+    parts = [F.col("_t0")] + [x for i in range(1, len(columns)) for x in (F.array(F.lit("")), F.col(f"_t{i}"))]
+    each = bags.select("id", "canonical_id", size.alias("size"), F.posexplode(F.concat(*parts)).alias("_p", "term")).filter("term <> ''")
+    postings = each.groupBy("term", "id", "canonical_id", "size").agg(F.sort_array(F.collect_list("_p")).alias("places"))
+    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
+    bags.agg(F.count(F.lit(1)).alias("rows"), F.avg(size).alias("mean")).write.parquet(f"{path}/statistics")
+
+
+def open_index(spark: SparkSession, path: str) -> KeywordIndex:
+    seen = spark.read.parquet(f"{path}/statistics").first()
+    return KeywordIndex(spark.read.parquet(f"{path}/postings"), seen["rows"], seen["mean"] or 1.0)
+
+
+def _looked_up(index: KeywordIndex, phrases: list[list[str]]) -> DataFrame:
+    """(id, canonical_id, size, f0..) of the rows that hold any phrase."""
+    found: DataFrame | None = None
+    own = ["id", "canonical_id", "size"]
+    for k, phrase in enumerate(phrases):
+        starts: DataFrame | None = None
+        for j, term in enumerate(phrase):
+            of = F.col("term").startswith(term) if j == len(phrase) - 1 else F.col("term") == term
+            at = index.postings.filter(of).select(*own, F.explode("places").alias("_at")).select(*own, (F.col("_at") - j).alias("_at"))
+            starts = at if starts is None else starts.join(at.select("id", "canonical_id", "_at"), ["id", "canonical_id", "_at"], "left_semi")
+        hits = starts.groupBy(*own).agg(F.count(F.lit(1)).alias("f")).withColumn("k", F.lit(k))
+        found = hits if found is None else found.unionByName(hits)
+    return found.groupBy(*own).agg(*[F.coalesce(F.sum(F.when(F.col("k") == k, F.col("f"))), F.lit(0)).alias(f"f{k}") for k in range(len(phrases))])
+
+
+def keyword_scores(corpus: DataFrame, text: str, columns=INDEXED, index: KeywordIndex | None = None) -> DataFrame:
+    """(id, canonical_id, score): BM25 as a positive number, matching rows only.
+    With the index of the corpus the corpus itself is not read."""
     phrases = X.match_phrases(text)
     if not phrases:
         return corpus.select("id", "canonical_id", F.lit(0.0).alias("score")).limit(0)
-    bags = corpus.select("id", "canonical_id", *[X.index_terms(F.col(c)).alias(f"_t{i}") for i, c in enumerate(columns)])
-    size = reduce(lambda a, b: a + b, [F.size(f"_t{i}") for i in range(len(columns))])
+    if index is not None:
+        narrow = written(_looked_up(index, phrases), "bm25")
+        seen = narrow.agg(*[F.count(F.when(F.col(f"f{k}") > 0, 1)).alias(f"n{k}") for k in range(len(phrases))]).first().asDict() | {"n": index.rows, "mean": index.mean}
+        return _scored(narrow, seen, len(phrases))
+    bags, size = _bags(corpus, columns)
     hits = [reduce(lambda a, b: a + b, [_times(F.col(f"_t{i}"), p) for i in range(len(columns))]).alias(f"f{k}") for k, p in enumerate(phrases)]
     narrow = written(bags.select("id", "canonical_id", size.alias("size"), *hits), "bm25")
     seen = narrow.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"), *[F.count(F.when(F.col(f"f{k}") > 0, 1)).alias(f"n{k}") for k in range(len(phrases))]).first()
+    return _scored(narrow, seen.asDict(), len(phrases))
+
+
+def _scored(narrow: DataFrame, seen: dict, phrases: int) -> DataFrame:
     mean = seen["mean"] or 1.0
     score = F.lit(0.0)
-    for k in range(len(phrases)):
+    for k in range(phrases):
         n = seen[f"n{k}"]
         idf = log((seen["n"] - n + 0.5) / (n + 0.5)) if n < seen["n"] + 0.5 else 0.0
         f = F.col(f"f{k}").cast("double")
         score = score + F.lit(max(idf, 1e-6)) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("size") / mean))
-    some = reduce(lambda a, b: a | b, [F.col(f"f{k}") > 0 for k in range(len(phrases))])
+    some = reduce(lambda a, b: a | b, [F.col(f"f{k}") > 0 for k in range(phrases)])
     return narrow.filter(some).select("id", "canonical_id", score.alias("score"))
 
 
-def keyword_ranks(corpus: DataFrame, text: str, pool: int, columns=INDEXED) -> DataFrame:
-    return top(keyword_scores(corpus, text, columns), [F.desc("score"), F.asc("canonical_id")], pool, "rank")
+def keyword_ranks(corpus: DataFrame, text: str, pool: int, columns=INDEXED, index: KeywordIndex | None = None) -> DataFrame:
+    return top(keyword_scores(corpus, text, columns, index), [F.desc("score"), F.asc("canonical_id")], pool, "rank")
 
 
 def vector_scores(corpus: DataFrame, query: list[float]) -> DataFrame:
@@ -113,7 +169,7 @@ def fuse(ranked: list[DataFrame], limit: int) -> DataFrame:
     return top(summed.withColumn("_s", F.round("score", 12)), [F.desc("_s"), F.asc("canonical_id")], limit, "rank").drop("_s")
 
 
-def hybrid(corpus: DataFrame, text: str, query: list[float] | None, limit: int = 10, project_id: int | None = None, node_types=None, memories: DataFrame | None = None, tags=None) -> DataFrame:
+def hybrid(corpus: DataFrame, text: str, query: list[float] | None, limit: int = 10, project_id: int | None = None, node_types=None, memories: DataFrame | None = None, tags=None, index: KeywordIndex | None = None) -> DataFrame:
     """(rank, id, canonical_id, score).  Filters apply before every cut."""
     if not text or not text.strip():
         raise ValueError("search text is blank")
@@ -128,7 +184,7 @@ def hybrid(corpus: DataFrame, text: str, query: list[float] | None, limit: int =
         return df.filter(F.col("node_type").isin(*node_types)) if node_types else df
 
     # collection statistics cover the whole corpus, candidates only what is asked
-    keyword = keyword_scores(corpus, text)
+    keyword = keyword_scores(corpus, text, index=index)
     if project_id is not None or node_types:
         keyword = keyword.join(asked(corpus).select("id"), "id", "left_semi")
     lists = [top(keyword, [F.desc("score"), F.asc("canonical_id")], pool, "rank")]

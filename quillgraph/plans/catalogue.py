@@ -154,7 +154,7 @@ def edge_type_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    ranked = search.keyword_ranks(derive.corpus(spark, d).drop("vector_embedding"), SEARCH, 200)
+    ranked = search.keyword_ranks(derive.corpus(spark, d), SEARCH, 200, index=derive.stored_index(spark, d))
     return ranked.select("id", F.round("score", 6).alias("score"))
 
 
@@ -175,7 +175,7 @@ def memory_lexical_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    return search.hybrid(derive.corpus(spark, d), SEARCH, _query_vector(spark, d), 10).select("id", "rank", F.round("score", 6).alias("score"))
+    return search.hybrid(derive.corpus(spark, d), SEARCH, _query_vector(spark, d), 10, index=derive.stored_index(spark, d)).select("id", "rank", F.round("score", 6).alias("score"))
 
 
 @query

@@ -128,7 +128,7 @@ def memory_vector_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hybrid_rrf_memories(spark: SparkSession, d: str) -> DataFrame:
-    found = search.hybrid(derive.corpus(spark, d), SEARCH, _query_vector(spark, d), 10, memories=samples.note_vectors(spark, d), tags=["USER", "system"])
+    found = search.hybrid(derive.corpus(spark, d), SEARCH, _query_vector(spark, d), 10, memories=samples.note_vectors(spark, d), tags=["USER", "system"], index=derive.stored_index(spark, d))
     return found.select("id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -140,6 +140,13 @@ def hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
+    ranked = search.keyword_ranks(derive.corpus(spark, d), "de'la under'cc", 200, index=derive.stored_index(spark, d))
+    return ranked.select("id", F.round("score", 6).alias("score"))
+
+
+@query
+def bm25_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same words and a phrase without an index."""
     ranked = search.keyword_ranks(derive.corpus(spark, d).drop("vector_embedding"), "de'la under'cc", 200)
     return ranked.select("id", F.round("score", 6).alias("score"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as X
 from quillgraph.functions.storage import exists, shared_dir
 from quillgraph.graph import Graph
+from quillgraph.operators import search
 from quillgraph.operators.build import closure, directory_table
 from quillgraph.sources import revisions
 
@@ -137,6 +138,14 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> search.KeywordIndex:
+    """The keyword index of the search corpus, made once an application."""
+    path = f"{shared_dir(spark)}/keywords-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    if not exists(spark, f"{path}/statistics/_SUCCESS"):
+        search.write_index(corpus(spark, sf_dir), path)
+    return search.open_index(spark, path)
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes from conversations, on the document with the conversation's number;
     the hash captured at odd turns differs, so those are stale."""

@@ -68,6 +68,8 @@ ins AS (SELECT li.log_id, line_number, line_number || '| ' || text AS line, CASE
 us AS (SELECT *, 160 - gap - coalesce(sum(gap + length(line)) OVER (PARTITION BY log_id ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM ins),
 sh AS (SELECT *, coalesce(bool_or(length(line) > room) OVER (PARTITION BY log_id ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS spent FROM us)"""
 
+_PHRASE = with_(CORPUS, _phrases([("de", "la"), ("under", "cc")])) + " SELECT id, round(score, 6) AS score FROM kwr WHERE rank <= 200"
+
 SQL = {
     "markdown_chunks": with_(TURNS) + " SELECT id AS canonical_id, shown AS display_name, title, a AS start_line, b AS end_line, level, parent AS parent_id FROM ch LEFT JOIN pa ON pa.conv_id = ch.conv_id AND pa.o = ch.o",
     "markdown_edges": with_(TURNS) + """
@@ -103,7 +105,8 @@ nvr AS (SELECT id, canonical_id, row_number() OVER (ORDER BY sim DESC, canonical
     "hybrid_filtered": with_(CORPUS, bm25(["tion", "reand", "licensed"]), VECTOR, """
 kf AS (SELECT id, canonical_id, row_number() OVER (ORDER BY score DESC, canonical_id) AS rank FROM kw WHERE id % 3 = 1 AND id % 2 = 0),
 vf AS (SELECT id, canonical_id, row_number() OVER (ORDER BY sim DESC, canonical_id) AS rank FROM vr WHERE id % 3 = 1 AND id % 2 = 0)""", fused("kf", "vf")),
-    "bm25_phrase": with_(CORPUS, _phrases([("de", "la"), ("under", "cc")])) + " SELECT id, round(score, 6) AS score FROM kwr WHERE rank <= 200",
+    "bm25_phrase": _PHRASE,
+    "bm25_scan": _PHRASE,
     "scope_root_nodes": with_(SQL_FILES, LINKS, """
 hr AS (SELECT href, 10000000 + row_number() OVER (ORDER BY href) AS id FROM (SELECT DISTINCT href FROM links))""") + """
 SELECT 0 AS phase, page_id + 1 AS id, path AS label, 'document' AS type, 'selected' AS scope FROM paths UNION ALL SELECT 1, id, 'GET ' || href, 'http', 'external' FROM hr""",

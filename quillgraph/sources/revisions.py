@@ -1,7 +1,7 @@
 """Revisions of a graph on plain Parquet.
 
 A revision is a folder with one Parquet directory a table, nodes sorted by id,
-edges twice: sorted by caller and by callee.  Files of a revision
+edges twice: sorted by caller and by callee, and the keyword index of its nodes.  Files of a revision
 never change; a commit writes a new folder and then appends one row to the
 ``commits`` log.  The current revision is the row with the largest number, so
 readers that pinned a revision keep a consistent state.
@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from quillgraph import schemas
 from quillgraph.functions.storage import remove
 from quillgraph.graph import Graph
+from quillgraph.operators import search
 from quillgraph.operators.build import row_hash
 
 #: How tables are clustered: range by range, sorted inside.
 CLUSTERED = {"graph_nodes": ["id"], "code_nodes": ["id"], "dependency_edges": ["caller_node_id", "callee_node_id", "edge_type"]}
-INWARD = "edges_by_callee"
+INWARD, KEYWORDS = "edges_by_callee", "keywords"
 LOG = "number bigint, revision string, fingerprint string"
 
 
@@ -70,6 +71,7 @@ def commit(graph: Graph, root: str) -> str:
     if now and now["fingerprint"] == mark:
         remove(spark, f"{root}/{revision}")
         return now["revision"]
+    search.write_index(made.code(wide=True), f"{root}/{revision}/{KEYWORDS}")
     write(made["dependency_edges"], INWARD, ["callee_node_id", "caller_node_id", "edge_type"])
     row = spark.createDataFrame([((now["number"] if now else 0) + 1, revision, mark)], LOG)
     row.coalesce(1).write.mode("append").parquet(f"{root}/commits")
@@ -87,6 +89,11 @@ def load(spark: SparkSession, root: str, revision: str | None = None) -> Graph:
     return Graph(spark, tables, revision, inward)
 
 
+def keyword_index(spark: SparkSession, root: str, revision: str) -> search.KeywordIndex:
+    """The keyword index of a revision's code nodes."""
+    return search.open_index(spark, f"{root}/{revision}/{KEYWORDS}")
+
+
 def expect(spark: SparkSession, root: str, revision: str) -> None:
     """Raise if the graph has moved on since a revision was pinned."""
     now = current(spark, root)

@@ -69,4 +69,4 @@ def test_facade(spark, tmp_path):
     assert g2.delete_memory("m").memories([12]).first()["memories"] == []
     lines = spark.createDataFrame([(1, i, f"line {i}") for i in range(1, 20)], "log_id bigint, line_number bigint, text string")
     assert [r["shown"] for r in g.reduce_output(lines, any_of=["7"], context=1).orderBy("line_number").collect()] == ["6| line 6", "7| line 7", "8| line 8"]
-    assert g.as_json(g.edge_types()).count() == 4
+    assert g.as_json(g.edge_types()).count() == 6

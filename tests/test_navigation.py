@@ -312,6 +312,18 @@ def test_bm25_equals_the_full_text_index_of_sqlite(spark):
         assert got == pytest.approx(want)
 
 
+def test_the_index_answers_as_the_corpus(spark, tmp_path):
+    rnd = random.Random(4)
+    vocabulary = "message messages get getter café payment audit log line run".split()
+    rows = [tuple(" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(0, 9))) for _ in range(4)) for _ in range(40)] + [("", "", "", ""), (None, None, "get", None)]
+    corpus = spark.createDataFrame([(i, f"c{i:02d}", *r) for i, r in enumerate(rows)], "id bigint, canonical_id string, display_name string, fully_qualified_name string, search_text string, relative_path string")
+    search.write_index(corpus, str(tmp_path / "k"))
+    index = search.open_index(spark, str(tmp_path / "k"))
+    for text in ("mess", "get audit cafe", "log'line run'ge get'get'mes", "nothing", "a ."):
+        want = {r["id"]: r["score"] for r in search.keyword_scores(corpus, text).collect()}
+        assert {r["id"]: r["score"] for r in search.keyword_scores(corpus, text, index=index).collect()} == pytest.approx(want)
+
+
 # --- notes, statistics ----------------------------------------------------------------
 
 
