@@ -44,12 +44,11 @@ EDITS = "array<struct<start:bigint,stop:bigint,replacement:string>>"
 class Counter(dict):
     """Pre-token -> its number of tokens, encoded on first sight."""
 
-    def __init__(self, path: str):
+    def __init__(self, ranks: bytes):
         import regex
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(PATTERN)
 
@@ -160,23 +159,30 @@ def edit(counter: Counter, text: str, tree: SegmentTree, start: int, stop: int,
 _counters: dict[str, Counter] = {}
 
 
-def _counter(path: str) -> Counter:
+def _counter(name: str, ranks: bytes) -> Counter:
     """A worker's own counter, kept between its batches and tasks."""
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
+    if name not in _counters:
+        _counters[name] = Counter(ranks)
+    return _counters[name]
+
+
+def rank_file(tokenizer: str = TOKENIZER) -> bytes:
+    """The rank file, read where the plan is made: it goes with the tasks (a
+    megabyte or two), so executors need no copy of their own."""
+    with open(tokenizer, "rb") as f:
+        return f.read()
 
 
 def trees(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``docs`` with n_tokens, n_pretokens, leaf_chars and leaf_tokens."""
     docs = docs.drop("n_tokens", "n_pretokens", "leaf_chars", "leaf_tokens")
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_tokens long, n_pretokens long, leaf_chars array<bigint>, leaf_tokens array<bigint>").fields])
-    at = docs.columns.index("text")
+    at, ranks = docs.columns.index("text"), rank_file(tokenizer)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        counter = _counter(tokenizer)
+        counter = _counter(tokenizer, ranks)
         for batch in batches:
             made = [counter.leaves(x.as_py() or "") for x in batch.column(at)]
             cols = [pa.array([sum(m[1]) for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64()), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.list_(pa.int64()))]
@@ -191,6 +197,7 @@ def apply_edits(treed: DataFrame, edits: str = "edits", tokenizer: str = TOKENIZ
     treed = treed.drop("n_edits", "n_reencoded")
     names = treed.columns
     schema = T.StructType([*treed.schema.fields, *T._parse_datatype_string("n_edits long, n_reencoded long").fields])
+    ranks = rank_file(tokenizer)
     place = {c: names.index(c) for c in ("text", "leaf_chars", "leaf_tokens", "n_tokens", edits)}
 
     def one(counter: Counter, text: str, chars: list[int], tokens: list[int], todo: list) -> tuple:
@@ -204,7 +211,7 @@ def apply_edits(treed: DataFrame, edits: str = "edits", tokenizer: str = TOKENIZ
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        counter = _counter(tokenizer)
+        counter = _counter(tokenizer, ranks)
         for batch in batches:
             made = []
             for text, chars, tokens, todo in zip(*[batch.column(place[c]).to_pylist() for c in ("text", "leaf_chars", "leaf_tokens", edits)]):

@@ -164,7 +164,7 @@ def test_components_of_paths_and_stars(spark):
 
 def test_edited_counts_equal_counting_anew(spark):
     rnd = random.Random(4)
-    counter = token_counts.Counter(token_counts.TOKENIZER)
+    counter = token_counts.Counter(token_counts.rank_file())
     alphabet = ["a", "b ", "  ", "\n", "'", "'ll", "s", "é", "12", ".", "\t", "語", "😀", " word", "!!"]
     make = lambda n: "".join(rnd.choice(alphabet) for _ in range(n))
     rows = []
