@@ -52,6 +52,10 @@ class CodeGraph:
     def context(self, node_id: int, limit: int = 10) -> DataFrame:
         return navigation.context(self.graph, node_id, limit)
 
+    def node(self, node_id: int) -> DataFrame:
+        """The target of a context: its fields, or no row."""
+        return self.graph.code(only=[node_id])
+
     def inheritors(self, node_id: int) -> DataFrame:
         if node_id <= 0:
             raise ValueError("node id must be positive")
@@ -76,6 +80,12 @@ class CodeGraph:
     def tree(self, path: str = "") -> DataFrame:
         return paging.tree(self.graph, path)
 
+    def tree_parent(self, path: str) -> DataFrame:
+        return paging.tree_parent(self.graph, path)
+
+    def stats(self) -> DataFrame:
+        return statistics.snapshot(self.graph)
+
     def counts(self) -> DataFrame:
         return statistics.counts(self.graph)
 
@@ -88,6 +98,9 @@ class CodeGraph:
     def memories(self, node_ids: list[int], intents=None) -> DataFrame:
         return memories.of_nodes(self.graph, self.spark.createDataFrame([(i,) for i in node_ids], "node_id bigint"), intents)
 
+    def memories_by_id(self, memory_ids: list[str]) -> DataFrame:
+        return memories.batch(self.graph, self.spark.createDataFrame([(i,) for i in memory_ids], "id string"))
+
     def _recommitted(self, rows: DataFrame) -> CodeGraph:
         tables = dict(self.graph.tables) | {"memory_nodes": rows}
         return CodeGraph(self.spark, self.root, revisions.commit(Graph(self.spark, tables), self.root))
@@ -102,7 +115,7 @@ class CodeGraph:
     def reduce_output(self, lines: DataFrame, any_of=(), all_of=(), none_of=(), context: int = 3, max_chars: int = 4000, max_lines: int = 5000, max_bytes: int = 1 << 20) -> DataFrame:
         kept = logs.capture(lines, max_lines, max_bytes).drop("cut")
         found = logs.blocks(kept, logs.matches(F.col("text"), any_of, all_of, none_of), context)
-        return logs.render(kept, found, max_chars)
+        return logs.result(kept, found, max_chars)
 
     def as_json(self, df: DataFrame) -> DataFrame:
         return render.as_json(df)

@@ -119,6 +119,25 @@ def render(lines: DataFrame, block_table: DataFrame, max_chars: int = 4000) -> D
     return rows.filter((F.col("_spent") == 0) & F.col("shown").isNotNull()).select("log_id", "block", "line_number", "shown", (~F.col("_fits")).alias("cut"))
 
 
+def result(lines: DataFrame, block_table: DataFrame, max_chars: int = 4000) -> DataFrame:
+    """(log_id, summary, body, n_shown, truncated), a row a log: the summary, and
+    the shown lines as one text with an empty line between blocks; truncated where
+    the characters ran out before the blocks did."""
+    shown = render(lines, block_table, max_chars)
+    first = F.struct("line_number", F.struct("block", "shown").alias("x"))
+    ordered = F.transform(F.array_sort(F.collect_list(first)), lambda r: r["x"])
+
+    def joined(rows: Column) -> Column:
+        gap = lambda x, i: F.when(i == 0, "").when(x["block"] != F.get(rows, i - 1)["block"], "\n\n").otherwise("\n")
+        return F.array_join(F.transform(rows, lambda x, i: F.concat(gap(x, i), x["shown"])), "")
+
+    texts = shown.groupBy("log_id").agg(X.let(ordered, joined).alias("body"), F.count(F.lit(1)).alias("n_shown"), F.max("cut").alias("cut"), F.max("line_number").alias("last"))
+    ends = block_table.groupBy("log_id").agg(F.max("stop").alias("stop"))
+    both = summary(lines, block_table).join(texts, "log_id", "left").join(ends, "log_id", "left")
+    truncated = F.col("stop").isNotNull() & (F.coalesce("cut", F.lit(True)) | (F.col("last") < F.col("stop")))
+    return both.select("log_id", "summary", F.coalesce("body", F.lit("")).alias("body"), F.coalesce("n_shown", F.lit(0)).alias("n_shown"), truncated.alias("truncated"))
+
+
 def summary(lines: DataFrame, block_table: DataFrame) -> DataFrame:
     """(log_id, total_lines, matched, n_blocks, summary) of every log; a log
     without a match gets its summary and no tail of lines."""

@@ -175,6 +175,13 @@ def connections_page(graph: Graph, node_id: int, page_size: int = 100, cursor: s
     return Page(rows, token, graph.revision, navigation.connection_total(graph, node_id) if include_total else None)
 
 
+def tree_parent(graph: Graph, path: str) -> DataFrame:
+    """(path, parent_path, parent_directory_id) of a directory; no row if unknown."""
+    here = graph["directories"].filter(F.col("path") == path)
+    parent = graph["directories"].select(F.col("id").alias("parent_id"), F.col("path").alias("parent_path"))
+    return here.join(parent, "parent_id", "left").select("path", "parent_path", F.col("parent_id").alias("parent_directory_id"))
+
+
 def tree(graph: Graph, path: str) -> DataFrame:
     """Children of a directory: (kind_order, kind, label, path, id, child_count,
     has_children, project_id), folders, then project files, then other files."""

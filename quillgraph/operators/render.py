@@ -35,6 +35,16 @@ def chain_lines(paths: DataFrame, names: DataFrame) -> DataFrame:
     return spread.groupBy("p").agg(text.alias("chain")).select(F.array_join("p", ">").alias("ids"), "chain")
 
 
+def tree_lines(paths: DataFrame, names: DataFrame) -> DataFrame:
+    """Paths (arrays of ids from the root outwards) -> (ids, depth, line): every
+    node of the tree once for each way to it, two blanks a level; sorted by the
+    array ``path`` the lines are the tree."""
+    prefixes = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))).alias("path")).distinct()
+    named = prefixes.withColumn("id", F.element_at("path", -1)).join(names.select("id", "name"), "id")
+    depth = F.size("path") - 1
+    return named.select("path", depth.cast("long").alias("depth"), F.concat(F.repeat(F.lit("  "), depth), "name").alias("line")).orderBy("path")
+
+
 def node_list(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.format_string("[%s] `%s` %s", mark(F.col("node_type")), F.col("id").cast("string"), F.col("fully_qualified_name")).alias("line"))
 

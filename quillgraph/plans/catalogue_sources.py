@@ -299,6 +299,57 @@ def log_render(spark: SparkSession, d: str) -> DataFrame:
     return logs.render(lines, found, 160).select("log_id", "line_number", "shown", "cut")
 
 
+@query
+def log_result(spark: SparkSession, d: str) -> DataFrame:
+    lines = logs.split_lines(derive.read(spark, d, "documents").select(F.col("doc_id").alias("log_id"), "text"))
+    found = logs.blocks(lines, logs.matches(F.col("text"), any_of=["licensed", "licens*", "reserved"]), 3)
+    return logs.result(lines, found, 160)
+
+
+@query
+def trace_tree(spark: SparkSession, d: str) -> DataFrame:
+    g = derive.stored(spark, d)
+    up = navigation.impact(g, spark.createDataFrame([(3_000_005,)], "id bigint"), 2)
+    lines = render.tree_lines(navigation.chains(up.edges, 3_000_005, 2), g["code_nodes"].select("id", F.col("fully_qualified_name").alias("name")))
+    return lines.select(F.array_join("path", ">").alias("ids"), "depth", "line")
+
+
+@query
+def tree_parents(spark: SparkSession, d: str) -> DataFrame:
+    g = derive.stored(spark, d)
+    out = paging.tree_parent(g, "")
+    for path in ("spam-farm.example.org", "spam-farm.example.org/en", "nowhere"):
+        out = out.unionByName(paging.tree_parent(g, path))
+    return out.select("path", "parent_path", "parent_directory_id")
+
+
+@query
+def run_history(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of users, stored as JSON and read back; every seventh is invalid."""
+    e = derive.read(spark, d, "events")
+    phase = F.struct(F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("name"), F.col("value").alias("duration_ms"))
+    note = F.struct("event_id", F.when(F.col("event_type") == "view", "index-cancelled").otherwise("note").alias("code"), F.when(F.col("event_type") == "error", "error").otherwise("info").alias("severity"), F.repeat("props", 120).alias("message"))
+    by = e.groupBy("user_id").agg(
+        F.min("ts").alias("started_at"), F.max("ts").alias("completed_at"),
+        F.transform(F.array_sort(F.collect_list(F.struct("event_id", phase.alias("p")))), lambda x: x["p"]).alias("phases"),
+        F.transform(F.array_sort(F.collect_list(note)), lambda x: F.struct(x["code"].alias("code"), x["severity"].alias("severity"), x["message"].alias("message"))).alias("diagnostics"),
+    )
+    odd = F.col("user_id") % 7 == 0
+    run = F.struct(F.when(odd, "unknown").otherwise("failed").alias("outcome"), F.lit("full").alias("kind"), F.repeat(F.lit("scope "), 100).alias("scope"), "started_at", "completed_at", F.lit(1.5).alias("duration_ms"), "phases", "diagnostics")
+    back = by.select("user_id", statistics.decode_run(statistics.encode_run(run)).alias("r"))
+    first = F.get("r.diagnostics", 0)
+    return back.select(
+        "user_id", F.col("r").isNotNull().alias("valid"), F.length("r.scope").cast("long").alias("scope"), F.size("r.phases").cast("long").alias("phases"), F.size("r.diagnostics").cast("long").alias("diagnostics"),
+        F.concat_ws("/", first["code"], first["severity"]).alias("first"), F.length(first["message"]).cast("long").alias("message"), F.element_at("r.diagnostics", -1)["code"].alias("last"),
+    )
+
+
+@query
+def graph_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    s = statistics.snapshot(derive.stored(spark, d))
+    return s.select("state", "documents", "directories", "projects", "code_nodes", "code_vectors", "edges", "memories", "http_nodes", "package_nodes", F.size("languages").cast("long").alias("languages"), F.to_json("edge_types").alias("edge_types"))
+
+
 @query
 def log_terms(spark: SparkSession, d: str) -> DataFrame:
     """Lines with a phrase whose last word is a prefix and without a word."""

@@ -153,6 +153,32 @@ SELECT CAST(l_orderkey AS VARCHAR) AS canonical_id, count(*) AS n_variants FROM
 WITH g AS (SELECT *, count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) AS n FROM customer WHERE c_custkey % 2 = 0)
 SELECT CAST(c_custkey AS VARCHAR) AS old, 'm' || c_custkey AS new FROM g WHERE n = 1""",
     "log_render": with_(LINES, BLOCKS) + " SELECT log_id, line_number, CASE WHEN length(line) <= room THEN line ELSE left(line, (room - 3)::BIGINT) || '...' END AS shown, length(line) > room AS cut FROM sh WHERE NOT spent AND (length(line) <= room OR room > 3)",
+    "log_result": with_(LINES, BLOCKS, """
+rn AS (SELECT log_id, line_number, line, room, lag(line_number) OVER (PARTITION BY log_id ORDER BY line_number) AS prev, gap FROM sh WHERE NOT spent AND (length(line) <= room OR room > 3)),
+tx AS (SELECT log_id, string_agg(CASE WHEN prev IS NULL THEN '' WHEN gap = 2 THEN chr(10) || chr(10) ELSE chr(10) END || CASE WHEN length(line) <= room THEN line ELSE left(line, (room - 3)::BIGINT) || '...' END, '' ORDER BY line_number) AS body,
+  count(*) AS n_shown, bool_or(length(line) > room) AS cut, max(line_number) AS last FROM rn GROUP BY log_id),
+en AS (SELECT log_id, max(stop) AS stop, count(*) AS n_blocks FROM bl GROUP BY log_id),
+mt AS (SELECT log_id, count(*) AS matched FROM b GROUP BY log_id)""") + """
+SELECT t.log_id, CASE WHEN matched IS NULL THEN 'no match in ' || total || ' lines' ELSE matched || ' of ' || total || ' lines match, in ' || n_blocks || ' blocks' END AS summary,
+  coalesce(body, '') AS body, coalesce(n_shown, 0) AS n_shown, stop IS NOT NULL AND (coalesce(cut, TRUE) OR last < stop) AS truncated
+FROM t LEFT JOIN tx ON tx.log_id = t.log_id LEFT JOIN en ON en.log_id = t.log_id LEFT JOIN mt ON mt.log_id = t.log_id""",
+    "trace_tree": with_(SQL_NODES, SQL_EDGES, """
+u AS (SELECT DISTINCT caller FROM edges WHERE edge_type <> 'ParentOf' AND callee = 3000005)""") + """
+SELECT '3000005' AS ids, 0 AS depth, name AS line FROM code WHERE id = 3000005 UNION ALL SELECT '3000005>' || caller, 1, '  ' || name FROM u JOIN code ON id = caller""",
+    "tree_parents": with_(SQL_FILES) + """
+SELECT d.path, p.path AS parent_path, p.id AS parent_directory_id FROM dirs d LEFT JOIN dirs p ON d.path <> '' AND p.path = CASE WHEN contains(d.path, '/') THEN regexp_replace(d.path, '/[^/]*$', '') ELSE '' END
+WHERE d.path IN ('', 'spam-farm.example.org', 'spam-farm.example.org/en')""",
+    "run_history": """
+WITH x AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'index-cancelled' ELSE 'note' END AS code, CASE event_type WHEN 'error' THEN 'error' ELSE 'info' END AS severity, length(repeat(props, 120)) AS size FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN severity = 'error' THEN 0 WHEN code = 'index-cancelled' THEN 1 ELSE 2 END, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM x)
+SELECT user_id, user_id % 7 <> 0 AS valid, CASE WHEN user_id % 7 <> 0 THEN 512 END AS scope, CASE WHEN user_id % 7 <> 0 THEN least(16, n) ELSE NULL END AS phases, CASE WHEN user_id % 7 <> 0 THEN least(20, n) ELSE NULL END AS diagnostics,
+  CASE WHEN user_id % 7 <> 0 THEN max(CASE WHEN k = 1 THEN code || '/' || severity END) ELSE '' END AS first, CASE WHEN user_id % 7 <> 0 THEN max(CASE WHEN k = 1 THEN least(size, 1024) END) END AS message,
+  CASE WHEN user_id % 7 <> 0 THEN CASE WHEN n > 20 THEN 'diagnostics-truncated' ELSE arg_max(code, k) END END AS last FROM r GROUP BY user_id, n""",
+    "graph_snapshot": with_(SQL_NODES, SQL_EDGES, SQL_FILES, """
+ty AS (SELECT edge_type, count(*) AS n FROM edges GROUP BY edge_type)""") + """
+SELECT 'ready' AS state, (SELECT count(*) FROM pages) AS documents, (SELECT count(*) FROM dirs) AS directories, (SELECT count(*) FROM proj) AS projects, (SELECT count(*) FROM code) AS code_nodes, 0 AS code_vectors,
+  (SELECT count(*) FROM edges) AS edges, 0 AS memories, 0 AS http_nodes, 0 AS package_nodes, 1 AS languages,
+  (SELECT '[' || string_agg('{"edge_type":"' || edge_type || '","n":' || n || '}', ',' ORDER BY edge_type) || ']' FROM ty) AS edge_types""",
     "log_terms": with_(LINES, f"""
 w AS (SELECT log_id, line_number, {terms("text")} AS t FROM li)""") + """
 SELECT log_id, line_number FROM w WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'de' AND starts_with(t[i + 1], 'la'))) > 0 AND NOT list_contains(t, 'le')""",

@@ -68,5 +68,15 @@ def test_facade(spark, tmp_path):
     assert len(g2.memories([12]).first()["memories"]) == 1 and g.graph["memory_nodes"].count() == 0
     assert g2.delete_memory("m").memories([12]).first()["memories"] == []
     lines = spark.createDataFrame([(1, i, f"line {i}") for i in range(1, 20)], "log_id bigint, line_number bigint, text string")
-    assert [r["shown"] for r in g.reduce_output(lines, any_of=["7"], context=1).orderBy("line_number").collect()] == ["6| line 6", "7| line 7", "8| line 8"]
+    (out,) = g.reduce_output(lines, any_of=["7", "12"], context=1).collect()
+    assert out["body"] == "6| line 6\n7| line 7\n8| line 8\n\n11| line 11\n12| line 12\n13| line 13"
+    assert (out["summary"], out["n_shown"], out["truncated"]) == ("2 of 19 lines match, in 2 blocks", 6, False)
+    (out,) = g.reduce_output(lines, any_of=["7", "12"], context=1, max_chars=30).collect()
+    assert (out["body"], out["truncated"]) == ("6| line 6\n7| line 7\n8| line 8", True)
+    assert g.reduce_output(lines, any_of=["77"]).first()["body"] == ""
+    assert g.node(18).first()["fully_qualified_name"] == "Harbour.Model.Vessel" and g.node(77).count() == 0
+    assert tuple(g.tree_parent("lib/api").first()) == ("lib/api", "lib", 2) and g.tree_parent("x").count() == 0
+    assert {r["id"]: r["content"] for r in g2.memories_by_id(["m", "zz"]).collect()} == {"m": "Check security", "zz": None}
+    s = g.stats().first()
+    assert (s["state"], s["revision"], s["code_nodes"], len(s["edge_types"])) == ("ready", g.graph.revision, 9, 6)
     assert g.as_json(g.edge_types()).count() == 6
