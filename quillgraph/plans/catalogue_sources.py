@@ -53,6 +53,11 @@ def typescript_exports(spark: SparkSession, d: str) -> DataFrame:
     return extraction.typescript_exports(samples.scripts(spark, d)).select("canonical_id", "node_type")
 
 
+@query
+def typescript_members(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.typescript_members(samples.scripts(spark, d)).select("canonical_id", "node_type")
+
+
 @query
 def typescript_http_edges(spark: SparkSession, d: str) -> DataFrame:
     return extraction.typescript_http_edges(samples.scripts(spark, d))

@@ -38,7 +38,7 @@ def scripts(spark: SparkSession, d: str) -> DataFrame:
     nation, supplier, customer = (read(spark, d, n) for n in ("nation", "supplier", "customer"))
     n_suppliers = supplier.count()
     home = F.concat(F.lit("src/n"), _s("s_nationkey"))
-    body = F.concat(F.lit("export class S"), _s("s_suppkey"), F.lit(" {}\n"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("export default function make"), _s("s_suppkey"), F.lit("() {}\n"))).otherwise(""))
+    body = F.concat(F.lit("export class S"), _s("s_suppkey"), F.lit(" {\n  run(x: number): void;\n  run(x: string): void { if (x) { go(x); } }\n  private hidden = 1;\n  #own = '{';\n  readonly size?: number;\n  constructor() {}\n}\n"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("export default function make"), _s("s_suppkey"), F.lit("() {}\n"))).otherwise(""))
     modules = supplier.select(F.concat(home, F.lit("/s"), _s("s_suppkey"), F.lit(".ts")).alias("relative_path"), body.alias("text"))
     star = F.concat(F.lit("export * from './s"), _s("s_suppkey"), F.lit("';\n"))
     named = F.concat(F.lit("export { S"), _s("s_suppkey"), F.lit(" as T"), _s("s_suppkey"), F.lit(' } from "./s'), _s("s_suppkey"), F.lit('";\n'))

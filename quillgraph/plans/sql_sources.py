@@ -80,6 +80,7 @@ UNION SELECT 'code:doc:docs/c' || conv_id || '.md#turn-' || turn, target_id, 'Do
     "typescript_exports": with_(SCRIPTS) + """
 SELECT id AS canonical_id, 'Class' AS node_type FROM mo UNION ALL SELECT 'code:ts:src/n' || nat || '/s' || k || '.ts:make' || k, 'Method' FROM mo WHERE k % 2 = 0
 UNION ALL SELECT id, CASE WHEN contains(id, ':C') THEN 'Class' ELSE 'Method' END FROM ca UNION ALL SELECT 'code:ts:packages/kit/lib/main.ts:kit', 'Field'""",
+    "typescript_members": with_(SCRIPTS) + " SELECT id || '.run' AS canonical_id, 'Method' AS node_type FROM mo UNION ALL SELECT id || '.size', 'Property' FROM mo",
     "typescript_http_edges": with_(SCRIPTS) + " SELECT 'code:ts:app/c' || c || '.ts:f' || c AS caller_id, 'http:GET:%2Fc%2F' || c AS callee_id, 'HttpRequest' AS edge_type FROM cu WHERE c % 2 = 0",
     "typescript_reachable": with_(SCRIPTS) + """
 SELECT 'app/c' || c || '.ts' AS relative_path FROM cu WHERE c % 7 = 0 UNION SELECT unnest(['src/ring.ts', 'src/all.ts']) UNION SELECT 'src/n' || nat || '/index.ts' FROM mo
