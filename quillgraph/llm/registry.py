@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontamination, language_id, license_scan, line_dedup, lm_scoring, mixing, quality_ranker, quality_rules, simhash_dedup, token_counts
+from quillgraph.llm import decontamination, language_id, license_scan, line_dedup, lm_scoring, mixing, periodic_runs, quality_ranker, quality_rules, simhash_dedup, token_counts
 from quillgraph.llm.common import is_remainder, table
 from quillgraph.llm.oracles import SQL as SQL
 
@@ -55,6 +55,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_th")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -66,4 +70,5 @@ QUERIES = {
     "op8_quality_ranker": op8_quality_ranker,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_periodic_runs": op11_periodic_runs,
 }
