@@ -55,5 +55,24 @@ x AS (
          CAST(floor(v + (t.target / t.source_size) * n) - floor(v + (t.target / t.source_size) * (n - 1)) AS BIGINT) AS copies
   FROM r JOIN t ON r.k = t.k JOIN u ON r.k = u.k)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM x
+""",
+    "op13_lexical_search": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+a AS (SELECT CAST(count(*) FILTER (WHERE len(t) > 0) AS BIGINT) AS docs, CAST(sum(len(t)) AS BIGINT) AS total FROM d),
+q AS (
+  SELECT item_id, term, count(*) AS often FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+p AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM p, a GROUP BY term, docs),
+s AS (
+  SELECT q.item_id, p.doc_id, CAST(sum(q.often * w.weight * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * p.n * a.docs) // a.total)))) AS BIGINT) AS score
+  FROM q JOIN p ON q.term = p.term JOIN w ON q.term = w.term, a GROUP BY q.item_id, p.doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
 """,
 }
