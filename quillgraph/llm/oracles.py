@@ -55,6 +55,18 @@ x AS (
          CAST(floor(v + (t.target / t.source_size) * n) - floor(v + (t.target / t.source_size) * (n - 1)) AS BIGINT) AS copies
   FROM r JOIN t ON r.k = t.k JOIN u ON r.k = u.k)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM x
+""",
+    "op12_substring_dedup": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, CAST(len(w) AS BIGINT) - 33)) AS pos FROM d WHERE len(w) >= 35),
+g AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY array_to_string(w[pos:pos + 34], ' ')) AS n FROM s),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM g, (SELECT unnest(range(35)) AS k) WHERE n > 1),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, CAST(len(w) AS BIGINT) + 1)) AS pos FROM d),
+kept AS (
+  SELECT x.doc_id, count(gone.pos) AS n_removed, string_agg(word, ' ' ORDER BY x.pos) FILTER (WHERE gone.pos IS NULL) AS kept
+  FROM x LEFT JOIN gone ON x.doc_id = gone.doc_id AND x.pos = gone.pos GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """,
     "op13_lexical_search": r"""
 WITH d AS (

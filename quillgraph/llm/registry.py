@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontamination, language_id, lexical_search, license_scan, line_dedup, lm_scoring, mixing, periodic_runs, quality_ranker, quality_rules, simhash_dedup, token_counts
+from quillgraph.llm import decontamination, language_id, lexical_search, license_scan, line_dedup, lm_scoring, mixing, periodic_runs, quality_ranker, quality_rules, simhash_dedup, substring_dedup, token_counts
 from quillgraph.llm.common import is_remainder, table
 from quillgraph.llm.oracles import SQL as SQL
 
@@ -59,6 +59,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -75,5 +79,6 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_lexical_search": op13_lexical_search,
 }
