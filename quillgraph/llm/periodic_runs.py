@@ -35,14 +35,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillgraph.llm.common import words
+from quillgraph.llm.common import let, words
 
 LEAST, TIMES = 24, 3
-RUNS = "struct<n_words:bigint,runs:array<struct<start:bigint,length:bigint,period:bigint>>,collapsed:string>"
+RUNS = "n_words long, runs array<struct<start:bigint,length:bigint,period:bigint>>, collapsed string"
 #: Distinct words that a task keeps names for before it starts over.
 NAMES = 500_000
 
@@ -333,29 +333,25 @@ def collapse(text: bytes, names: Names, least: int = LEAST, times: int = TIMES)
     return n, runs, b" ".join(split)
 
 
-def runs_udf(least: int = LEAST, times: int = TIMES):
-    """A column function: text -> struct of n_words, runs and collapsed."""
-
-    @F.pandas_udf(RUNS)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = Names()
-        for texts in batches:
-            rows = [collapse((x or "").encode(), names, least, times) for x in texts]
-            yield pd.DataFrame({
-                "n_words": [r[0] for r in rows],
-                "runs": [[{"start": s, "length": n, "period": q} for s, n, q in r[1]] for r in rows],
-                "collapsed": [r[2].decode() for r in rows],
-            })
-
-    return find
-
-
 def collapse_runs(docs: DataFrame, least: int = LEAST, times: int = TIMES) -> DataFrame:
     """``docs`` with n_words, runs (start, length, period; by start, then
     period) and collapsed, the text with one period left of every run."""
     docs = docs.drop("n_words", "runs", "collapsed")
-    found = runs_udf(least, times)(F.col("text"))
-    return docs.withColumn("_qg_runs", found).select(*docs.columns, "_qg_runs.n_words", "_qg_runs.runs", "_qg_runs.collapsed")
+    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(RUNS).fields])
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
+        names = Names()
+        for batch in batches:
+            rows = [collapse((x.as_py() or "").encode(), names, least, times) for x in batch.column(at)]
+            runs = pa.array([[{"start": s, "length": n, "period": q} for s, n, q in r[1]] for r in rows], kind)
+            cols = [pa.array([r[0] for r in rows], pa.int64()), runs, pa.array([r[2].decode() for r in rows], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def looped(doc_id: Column, text: Column) -> Column:
@@ -367,12 +363,12 @@ def looped(doc_id: Column, text: Column) -> Column:
 
     def loop(split: Column) -> Column:
         n = F.size(split).cast("long")
-        a = (g % n).cast("int")
-        p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
-        return F.array_join(F.transform(split, lambda w, i: F.when(i < a, w).otherwise(F.get(split, a + (i - a) % p))), " ")
+        a = g % n
+        p = F.floor((n - a) / (3 + g % 8)) + 1
+        repeat = let(F.struct(a.cast("int").alias("a"), p.cast("int").alias("p")), lambda x: F.transform(split, lambda w, i: F.when(i < x["a"], w).otherwise(F.get(split, x["a"] + (i - x["a"]) % x["p"]))))
+        return F.when(n > 0, F.array_join(repeat, " "))
 
-    split = words(text)
-    return F.when((h % 10 == 0) & (F.size(split) > 0), loop(split)).otherwise(text)
+    return F.when(h % 10 == 0, F.coalesce(let(words(text), loop), text)).otherwise(text)
 
 
 def digest(docs: DataFrame) -> DataFrame:
