@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import schemas
 from quillgraph.functions import text as X
-from quillgraph.operators import build, extraction, facts, logs, memories, modules, navigation, paging, render, search, statistics
+from quillgraph.operators import build, extraction, facts, logs, memories, modules, navigation, paging, render, search, statistics, typescript
 from quillgraph.plans import derive, samples
 from quillgraph.sources import files
 from quillgraph.streaming import watch
@@ -50,24 +50,48 @@ def typescript_import_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def typescript_exports(spark: SparkSession, d: str) -> DataFrame:
-    return extraction.typescript_exports(samples.scripts(spark, d)).select("canonical_id", "node_type")
+    nodes = typescript.nodes(typescript.read_files(samples.scripts(spark, d)))
+    return nodes.filter("parent_id is null").select("canonical_id", "node_type")
 
 
 @query
 def typescript_members(spark: SparkSession, d: str) -> DataFrame:
-    return extraction.typescript_members(samples.scripts(spark, d)).select("canonical_id", "node_type")
+    nodes = typescript.nodes(typescript.read_files(samples.scripts(spark, d)))
+    return nodes.filter("parent_id is not null").select("canonical_id", "node_type", "parent_id")
+
+
+@query
+def typescript_nodes(spark: SparkSession, d: str) -> DataFrame:
+    nodes = typescript.nodes(typescript.read_files(samples.scripts(spark, d)))
+    return nodes.select("canonical_id", "display_name", "fully_qualified_name", "start_line", "end_line", "search_text", "body_hash")
 
 
 @query
 def typescript_http_edges(spark: SparkSession, d: str) -> DataFrame:
-    return extraction.typescript_http_edges(samples.scripts(spark, d))
+    read = typescript.read_files(samples.scripts(spark, d))
+    return typescript.http_edges(read, typescript.nodes(read))
+
+
+@query
+def typescript_configs(spark: SparkSession, d: str) -> DataFrame:
+    c = modules.tsconfigs(samples.settings(spark, d))
+    keys = F.array_join(F.transform("patterns", lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))), ";")
+    join = lambda name: F.array_join(name, ",").alias(name)
+    return c.select("directory", "base", keys.alias("patterns"), "patterns_directory", join("files"), join("include"), join("exclude"))
+
+
+@query
+def typescript_root_files(spark: SparkSession, d: str) -> DataFrame:
+    f = samples.settings(spark, d)
+    return modules.root_files(f.filter("relative_path like '%.ts'"), modules.tsconfigs(f))
 
 
 @query
 def typescript_reachable(spark: SparkSession, d: str) -> DataFrame:
     """What the consumers whose number is divisible by seven reach."""
     f = samples.scripts(spark, d)
-    asks = modules.imports(f).select("relative_path", "module").unionByName(modules.reexports(f).select("relative_path", "module"))
+    held = typescript.read_files(f)
+    asks = modules.imports(held).select("relative_path", "module").unionByName(modules.reexports(held).select("relative_path", "module"))
     met = modules.resolve_modules(asks, f, modules.tsconfigs(f), modules.packages(f))
     seeds = f.filter(F.col("relative_path").rlike("^app/c[0-9]+[.]ts$") & (F.regexp_extract("relative_path", "([0-9]+)", 1).cast("long") % 7 == 0)).select("relative_path")
     return extraction.reachable_files(met, seeds)

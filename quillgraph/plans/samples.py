@@ -38,7 +38,7 @@ def scripts(spark: SparkSession, d: str) -> DataFrame:
     nation, supplier, customer = (read(spark, d, n) for n in ("nation", "supplier", "customer"))
     n_suppliers = supplier.count()
     home = F.concat(F.lit("src/n"), _s("s_nationkey"))
-    body = F.concat(F.lit("export class S"), _s("s_suppkey"), F.lit(" {\n  run(x: number): void;\n  run(x: string): void { if (x) { go(x); } }\n  private hidden = 1;\n  #own = '{';\n  readonly size?: number;\n  constructor() {}\n}\n"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("export default function make"), _s("s_suppkey"), F.lit("() {}\n"))).otherwise(""))
+    body = F.concat(F.lit("const glob = 'src/*'; const tail = '*/x';\n/** Module "), _s("s_suppkey"), F.lit(". */\nexport class S"), _s("s_suppkey"), F.lit(" {\n  run(x: number): void;\n  run(x: string): void { if (x) { go(x); } }\n  private hidden = 1;\n  #own = '{';\n  readonly size?: number;\n  constructor() {}\n}\n"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("export default function make"), _s("s_suppkey"), F.lit("() {}\n"))).otherwise(""))
     modules = supplier.select(F.concat(home, F.lit("/s"), _s("s_suppkey"), F.lit(".ts")).alias("relative_path"), body.alias("text"))
     star = F.concat(F.lit("export * from './s"), _s("s_suppkey"), F.lit("';\n"))
     named = F.concat(F.lit("export { S"), _s("s_suppkey"), F.lit(" as T"), _s("s_suppkey"), F.lit(' } from "./s'), _s("s_suppkey"), F.lit('";\n'))
@@ -47,7 +47,7 @@ def scripts(spark: SparkSession, d: str) -> DataFrame:
     # a cycle: the barrel over all is also starred by one nation's neighbour
     every = F.concat(F.lit("export * as n"), _s("n_nationkey"), F.lit(" from './n"), _s("n_nationkey"), F.lit("';\n"))
     top = nation.groupBy().agg(F.array_join(F.array_sort(F.collect_list(every)), "").alias("t")).select(F.lit("src/all.ts").alias("relative_path"), F.concat("t", F.lit("export * from './ring';\n")).alias("text"))
-    ring = spark.createDataFrame([("src/ring.ts", "export * from './all';\nexport { useState as state } from 'react';\n"), ("tsconfig.json", '{ // of the root\n "compilerOptions": { "baseUrl": ".", "paths": { "@lib/*": ["src/*"], "@lib/ring": ["src/ring"] } } }'), ("packages/kit/package.json", '{ "name": "@kit/core", "main": "lib/main.ts" }'), ("packages/kit/lib/main.ts", "export const kit = 1;\n")], "relative_path string, text string")
+    ring = spark.createDataFrame([("src/ring.ts", "export * from './all';\nexport { useState as state } from 'react';\n"), ("tsconfig.json", '{ // of the root\n "compilerOptions": { "baseUrl": ".", "paths": { "@lib/*": ["src/*"], "@lib/ring": ["src/ring"], } },\n /* roots */ "include": ["src/**/*", "app/*"], }'), ("packages/kit/package.json", '{ "name": "@kit/core", "main": "lib/main.ts" }'), ("packages/kit/lib/main.ts", "export const kit = 1;\n")], "relative_path string, text string")
     k, wanted = F.col("c_custkey"), F.col("c_custkey") % n_suppliers
     owner = customer.select("c_custkey", "c_nationkey", wanted.alias("s_suppkey")).join(supplier.select("s_suppkey", "s_nationkey"), "s_suppkey")
     uses = F.concat(
@@ -55,11 +55,35 @@ def scripts(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 5 == 0, F.concat(F.lit("import * as all from 'src/n"), _s("c_nationkey"), F.lit("';\n"))).otherwise(""),
         F.when(k % 7 == 0, F.concat(F.lit("import { n"), _s("c_nationkey"), F.lit(", state } from '@lib/ring';\n"))).otherwise(""),
         F.when(k % 11 == 0, F.lit("import { kit } from '@kit/core';\nimport gone from './gone';\n")).otherwise(""),
-        F.lit("import React, { memo as m } from 'react';\nexport class C"), _s(k), F.lit(" {}\n"),
-        F.when(k % 2 == 0, F.concat(F.lit("export function f"), _s(k), F.lit("() { return fetch('/c/"), _s(k), F.lit("'); }\n"))).otherwise(""),
+        F.lit("import React, { memo as m } from 'react';\nexport class C"), _s(k), F.lit(" { go(): void; go(x?: number) { return /[/}]/; } }\n"),
+        F.when(k % 2 == 0, F.concat(F.lit("export interface f"), _s(k), F.lit(" { gone: '}' }\nexport function f"), _s(k), F.lit("(a: string): void;\nexport function f"), _s(k), F.lit("() { return fetch('/c/"), _s(k), F.lit("'); }\n"))).otherwise(""),
     )
     consumers = owner.select(F.concat(F.lit("app/c"), _s(k), F.lit(".ts")).alias("relative_path"), uses.alias("text"))
-    return modules.unionByName(barrels).unionByName(top).unionByName(ring).unionByName(consumers)
+    view = F.concat(
+        F.lit("import * as Lib from 'lib-ui';\nexport const V"), _s(k), F.lit(" = () => <Lib.Box.Item>don't {`${'}'}`}</Lib.Box.Item>\nexport class W"), _s(k),
+        F.lit(" {\n  send() { return axios.post('/w', {}) }\n  static all() { fetch(`/w/${1}`) }\n}\nenum E { A = 1, B }\nexport { E as Kinds }\nexport type { C"), _s(k), F.lit(" } from './c"), _s(k), F.lit("'\n"),
+    )
+    views = owner.filter(k % 13 == 0).select(F.concat(F.lit("app/v"), _s(k), F.lit(".tsx")).alias("relative_path"), view.alias("text"))
+    return modules.unionByName(barrels).unionByName(top).unionByName(ring).unionByName(consumers).unionByName(views)
+
+
+def settings(spark: SparkSession, d: str) -> DataFrame:
+    """(relative_path, text): a tsconfig a nation that extends others, and a
+    source and a generated file a customer."""
+    nation, customer = read(spark, d, "nation"), read(spark, d, "customer")
+    folder = F.concat(F.lit("web/n"), _s("n_nationkey"))
+    even = F.lit('{ "extends": ["../base", "@cfg/strict"], // two parents\n "compilerOptions": { "paths": { "@app/*": ["src/*"], "": ["x"], "none": [] } }, "include": ["src/**/*"], }')
+    odd = F.lit('{ /* "include": ["*"] */ "extends": "../base.json", "compilerOptions": { "outDir": "./out" } }')
+    own = nation.select(F.concat(folder, F.lit("/tsconfig.json")).alias("relative_path"), F.when(F.col("n_nationkey") % 2 == 0, even).otherwise(odd).alias("text"))
+    shared = spark.createDataFrame([
+        ("web/base.json", '{ "extends": "./root.json", "compilerOptions": { "baseUrl": "." }, "exclude": ["**/gen*.ts"] }'),
+        ("web/root.json", '{ "compilerOptions": { "baseUrl": "deep", "paths": { "*": ["lib/*"] }, "outDir": "n1" }, "include": ["n3", "n1/src/*"] }'),
+        ("web/node_modules/@cfg/strict/tsconfig.json", '{ "extends": "./more", "compilerOptions": { "paths": {} } }'),
+        ("web/node_modules/@cfg/strict/more.json", '{ "files": ["own.ts"], "exclude": ["x/* none */y"] }'),
+    ], "relative_path string, text string")
+    name = F.when(F.col("c_custkey") % 3 == 0, "src/gen").otherwise("src/c")
+    sources = customer.select(F.concat(F.lit("web/n"), _s("c_nationkey"), F.lit("/"), name, _s("c_custkey"), F.lit(".ts")).alias("relative_path"), F.lit("").alias("text"))
+    return own.unionByName(shared).unionByName(sources)
 
 
 def noted(spark: SparkSession, d: str) -> Graph:

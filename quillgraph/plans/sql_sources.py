@@ -3,6 +3,7 @@ over the raw tables."""
 
 from quillgraph.plans.derive import SQL_EDGES, SQL_FILES, SQL_NODES
 from quillgraph.plans.sql import CORPUS, LABEL, LINES, LINKS, NOTES, ROOT, SCOPE, VECTOR, bm25, fused, impact, noted, terms, with_
+from quillgraph.plans.sql_typescript import SQL as TYPESCRIPT
 
 TURNS = """
 tu AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
@@ -16,19 +17,6 @@ ln AS (SELECT 'docs/c' || conv_id || '.md' AS relative_path, 6 + 9 * i AS n, con
 tg AS (SELECT relative_path, n, conv_id, turn, 'c' || (conv_id + 1) || '.md#turn-' || turn AS target, 'code:doc:docs/c' || (conv_id + 1) || '.md#turn-' || turn AS target_id FROM ln
   UNION ALL SELECT relative_path, n, conv_id, turn, 'c' || (conv_id + 2) || '.md', 'code:doc:docs/c' || (conv_id + 2) || '.md#document-root' FROM ln)"""
 
-SCRIPTS = """
-ns AS (SELECT count(*) AS n FROM supplier),
-mo AS (SELECT s_suppkey AS k, s_nationkey AS nat, 'code:ts:src/n' || s_nationkey || '/s' || s_suppkey || '.ts:S' || s_suppkey AS id FROM supplier),
-cu AS (SELECT c_custkey AS c, c_nationkey AS nat, c_custkey % n AS s FROM customer, ns WHERE c_custkey % n IN (SELECT s_suppkey FROM supplier)),
-tg AS (
-  SELECT c, id FROM cu JOIN mo ON k = s WHERE k % 3 <> 0
-  UNION SELECT c, id FROM cu JOIN mo ON mo.nat = cu.nat WHERE c % 5 = 0 OR c % 7 = 0
-  UNION SELECT c, 'package:src%2Fn' || nat FROM cu WHERE c % 5 = 0 AND nat NOT IN (SELECT nat FROM mo)
-  UNION SELECT c, 'package:react:useState' FROM cu WHERE c % 7 = 0
-  UNION SELECT c, 'code:ts:packages/kit/lib/main.ts:kit' FROM cu WHERE c % 11 = 0
-  UNION SELECT c, unnest(['package:react:React', 'package:react:memo']) FROM cu),
-ca AS (SELECT c, 'code:ts:app/c' || c || '.ts:C' || c AS id FROM cu UNION ALL SELECT c, 'code:ts:app/c' || c || '.ts:f' || c FROM cu WHERE c % 2 = 0)"""
-
 LISTING = r"""
 li AS (SELECT DISTINCT c_custkey % 10 AS form, CASE c_custkey % 10
   WHEN 0 THEN 'src/n' || c_nationkey || '/c' || c_custkey || '.cs' WHEN 1 THEN 'docs/n' || c_nationkey || '/c' || c_custkey || '.md' WHEN 2 THEN 'docs/BIN/c' || c_custkey || '.md'
@@ -70,21 +58,12 @@ sh AS (SELECT *, coalesce(bool_or(length(line) > room) OVER (PARTITION BY log_id
 
 _PHRASE = with_(CORPUS, _phrases([("de", "la"), ("under", "cc")])) + " SELECT id, round(score, 6) AS score FROM kwr WHERE rank <= 200"
 
-SQL = {
+SQL = TYPESCRIPT | {
     "markdown_chunks": with_(TURNS) + " SELECT id AS canonical_id, shown AS display_name, title, a AS start_line, b AS end_line, level, parent AS parent_id FROM ch LEFT JOIN pa ON pa.conv_id = ch.conv_id AND pa.o = ch.o",
     "markdown_edges": with_(TURNS) + """
 SELECT parent AS caller_id, id AS callee_id, 'ParentOf' AS edge_type FROM ch JOIN pa ON pa.conv_id = ch.conv_id AND pa.o = ch.o
 UNION SELECT 'code:doc:docs/c' || conv_id || '.md#turn-' || turn, target_id, 'DocumentLink' FROM tg WHERE target_id IN (SELECT id FROM ch)""",
     "markdown_links": with_(TURNS) + " SELECT relative_path, n, target, target_id FROM tg",
-    "typescript_import_edges": with_(SCRIPTS) + " SELECT ca.id AS caller_id, tg.id AS callee_id, 'Import' AS edge_type FROM ca JOIN tg ON tg.c = ca.c",
-    "typescript_exports": with_(SCRIPTS) + """
-SELECT id AS canonical_id, 'Class' AS node_type FROM mo UNION ALL SELECT 'code:ts:src/n' || nat || '/s' || k || '.ts:make' || k, 'Method' FROM mo WHERE k % 2 = 0
-UNION ALL SELECT id, CASE WHEN contains(id, ':C') THEN 'Class' ELSE 'Method' END FROM ca UNION ALL SELECT 'code:ts:packages/kit/lib/main.ts:kit', 'Field'""",
-    "typescript_members": with_(SCRIPTS) + " SELECT id || '.run' AS canonical_id, 'Method' AS node_type FROM mo UNION ALL SELECT id || '.size', 'Property' FROM mo",
-    "typescript_http_edges": with_(SCRIPTS) + " SELECT 'code:ts:app/c' || c || '.ts:f' || c AS caller_id, 'http:GET:%2Fc%2F' || c AS callee_id, 'HttpRequest' AS edge_type FROM cu WHERE c % 2 = 0",
-    "typescript_reachable": with_(SCRIPTS) + """
-SELECT 'app/c' || c || '.ts' AS relative_path FROM cu WHERE c % 7 = 0 UNION SELECT unnest(['src/ring.ts', 'src/all.ts']) UNION SELECT 'src/n' || nat || '/index.ts' FROM mo
-UNION SELECT 'src/n' || nat || '/s' || k || '.ts' FROM mo UNION SELECT 'packages/kit/lib/main.ts' FROM cu WHERE c % 77 = 0""",
     "files_discovered": with_(LISTING) + " SELECT path AS relative_path FROM li WHERE form IN (0, 1, 4)",
     "files_sources": with_(LISTING) + """
 SELECT 'CSharp' AS kind, path FROM li WHERE form = 8 UNION ALL SELECT 'TypeScript', path FROM li WHERE form = 7

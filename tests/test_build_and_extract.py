@@ -1,6 +1,7 @@
 """Reconciliation, revisions, extraction, logs, files and streams."""
 
 import datetime
+import hashlib
 import random
 
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from quillgraph import schemas
 from quillgraph.functions import text as X
 from quillgraph.functions.ranking import global_rank
-from quillgraph.operators import build, extraction, logs, modules, render
+from quillgraph.operators import build, extraction, logs, modules, render, typescript
 from quillgraph.sources import files, revisions
 from quillgraph.streaming import notify, watch
 
@@ -204,31 +205,105 @@ def test_reexports_end_where_they_began(spark):
         ("m/d.ts", "export * from './c';\nexport { useMemo as memo } from 'react';\nexport { A as B } from './c';"),
         ("app.tsx", "import D, { B, memo, Same } from './m/d';\nimport * as Lib from 'lib';\nimport * as Plain from 'plain';\nimport './m/a';\nimport type { all } from './m/c';\nimport './none';\nexport function App() { return <Lib.Button.Big><Lib.Text/></Lib.Button.Big>; }"),
     ], "relative_path string, text string")
-    asks = modules.imports(f).select("relative_path", "module").unionByName(modules.reexports(f).select("relative_path", "module"))
-    found = modules.exports(f, modules.resolve_modules(asks, f))
+    read = typescript.read_files(f)
+    asks = modules.imports(read).select("relative_path", "module").unionByName(modules.reexports(read).select("relative_path", "module"))
+    found = modules.exports(read, modules.resolve_modules(asks, f))
     by = {}
     for r in found.collect():
         by.setdefault((r["relative_path"][2:-3], r["name"]), set()).add(r["canonical_id"].removeprefix("code:ts:"))
     assert by["b", "Same"] == {"m/b.ts:Same"} and by["c", "Same"] == {"m/b.ts:Same"} and by["d", "B"] == {"m/a.ts:A"}
     assert by["b", "H"] == {"m/a.ts:Hidden"} and ("b", "default") not in by and by["c", "memo"] == {"package:react:useMemo"}
     assert by["c", "all"] == {"m/a.ts:A", "m/a.ts:Same", "m/a.ts:Hidden", "m/a.ts:Own"} and by["a", "Renamed"] == {"m/a.ts:Own"}
-    targets = {r["callee_id"].removeprefix("code:ts:") for r in modules.import_targets(f).collect()}
+    targets = {r["callee_id"].removeprefix("code:ts:") for r in modules.import_targets(read, f).collect()}
     assert targets == {"m/a.ts:A", "package:react:useMemo", "m/b.ts:Same", "package:lib:Button.Big", "package:lib:Text", "package:plain", "m/a.ts:Same", "m/a.ts:Hidden", "m/a.ts:Own"}
     edges = {(r["caller_id"], r["callee_id"].removeprefix("code:ts:")) for r in modules.import_edges(f).collect()}
-    assert edges == {("code:ts:app.tsx:App", t) for t in targets - {"m/a.ts:Own"}}
+    assert edges == {("code:ts:app.tsx:App", t) for t in targets}
 
 
-def test_typescript_patterns(spark):
-    f = spark.createDataFrame([
-        ("src/app.tsx", 'import React from "react";\nimport { load } from "./api";\n// export class Gone {}\nexport function App() { return <Api/>; }\nexport const helper = 1;'),
+def script(spark, *files):
+    return typescript.read_files(spark.createDataFrame(list(files), "relative_path string, text string"))
+
+
+def test_typescript_facts(spark):
+    read = script(
+        spark,
+        ("src/app.tsx", 'import React from "react";\nimport { load } from "./api";\n// export class Gone {}\nexport function App() { return <Api/>; }\nexport const helper = 1;\nexport function Plain() { return 1 }'),
         ("src/api.ts", 'export async function load() { return fetch("/api/items", { method: "post" }); }\nexport interface Item {}\naxios.get("/x?y=1")\nimport "./missing"'),
-    ], "relative_path string, text string")
-    assert {(r["name"], r["node_type"]) for r in extraction.typescript_exports(f).collect()} == {("App", "Component"), ("helper", "Field"), ("load", "Method"), ("Item", "Interface")}
-    assert {(r["relative_path"], r["target"]) for r in extraction.typescript_imports(f).collect()} == {("src/app.tsx", "package:react"), ("src/app.tsx", "src/api.ts")}
-    assert {r["callee_id"] for r in extraction.typescript_calls(f).collect()} == {"http:POST:%2Fapi%2Fitems", "http:GET:%2Fx%3Fy%3D1"}
-    assert {(r["caller_id"], r["callee_id"]) for r in extraction.typescript_http_edges(f).collect()} == {("code:ts:src/api.ts:load", "http:POST:%2Fapi%2Fitems"), ("code:ts:src/api.ts:Item", "http:GET:%2Fx%3Fy%3D1")}
+    )
+    found = typescript.nodes(read)
+    assert {(r["name"], r["node_type"]) for r in found.collect()} == {("App", "Component"), ("helper", "Field"), ("load", "Method"), ("Item", "Interface"), ("Plain", "Method")}
+    assert {(r["module"], r["kind"], r["local"]) for r in modules.imports(read).collect()} == {("react", "default", "React"), ("./api", "named", "load"), ("./missing", "side", "")}
+    assert [tuple(r) for r in typescript.http_edges(read, found).collect()] == [("code:ts:src/api.ts:load", "http:POST:%2Fapi%2Fitems", "HttpRequest")]
     seeds = spark.createDataFrame([("src/app.tsx",)], "relative_path string")
-    assert {r["relative_path"] for r in extraction.reachable_files(extraction.typescript_imports(f).filter("target not like 'package:%'"), seeds).collect()} == {"src/app.tsx", "src/api.ts"}
+    known = spark.createDataFrame([("src/app.tsx", ""), ("src/api.ts", "")], "relative_path string, text string")
+    met = modules.resolve_modules(modules.imports(read), known)
+    assert {r["relative_path"] for r in extraction.reachable_files(met, seeds).collect()} == {"src/app.tsx", "src/api.ts"}
+
+
+@pytest.mark.parametrize("text,want", [
+    ("const glob = 'src/*'; const t = '*/x';\nexport class Kept {}", {"Kept": "Class"}),
+    ("const r = /[/*'\"`{]/g; export class Kept {}", {"Kept": "Class"}),
+    ("const t = `a ${f({ b: `}` })} export class Gone {}`\nexport const kept = 4 / 2 / 1, more = (a) => a", {"kept": "Field", "more": "Method"}),
+    ("export class M {}\ninterface M { a: 1 }\nexport interface M { b(): void }", {"M": "Class"}),
+    ("export interface T { a: 1; 'b c'(): void; [k: string]: any; (x: 1): 2 }\nexport type U = { x: 1 } | (() => void)", {"T": "Interface", "T.a": "Property", "T.b c": "Method", "U": "Interface"}),
+    ("export function f(a: 1): void\nexport function f(a: any) { return 1 }\nexport declare function g(): { a: 1 }", {"f": "Method", "g": "Method"}),
+    ("export class A<T extends { a: 1 } = {}> extends B<{ b: 1 }>(C) {\n a = 1\n b: Map<string, number> = new Map<string, number>()\n #c = 2\n static { x() }\n @dec({ a: '}' }) async *d() {}\n abstract e?(): { f: 1 };\n declare g\n}", {"A": "Class", "A.a": "Property", "A.b": "Property", "A.d": "Method", "A.e": "Method", "A.g": "Property"}),
+    ("class Own { x = 1 }\nfunction no() {}\nexport { Own as Other }", {"Own": "Class", "Own.x": "Property"}),
+    ("export default () => 1", {"default": "Method"}), ("export default class extends X { run() {} }", {"default": "Class", "default.run": "Method"}),
+    ("export default 5\nexport enum E { A, B = 1, 'c' = 'x' }", {"E": "Class", "E.B": "Field", "E.c": "Field"}),
+    ("declare module 'x' { export class Gone {} }\nnamespace N { export const gone = 1 }\nexport abstract class Kept { static get v() { return 1 } }", {"Kept": "Class", "Kept.v": "Property"}),
+    ("export const a = async <T,>(x: T): Promise<T> => { return x }\nexport const b = x => y => x\nexport const c = cond ? (a) : (b)\nexport const { d } = o, e = 1", {"a": "Method", "b": "Method", "c": "Field", "e": "Field"}),
+    ("", {}), ("export class Broken { run( { '", {"Broken": "Class", "Broken.run": "Method"}), ("}}} export class Kept {}", {"Kept": "Class"}),
+])
+def test_typescript_declarations(spark, text, want):
+    assert {r["name"]: r["node_type"] for r in typescript.nodes(script(spark, ("a.ts", text))).collect()} == want
+
+
+def test_typescript_members_and_bodies(spark):
+    text = "/** Adds.\n * More. */\nexport class S {\n  run(a: 1): void;\n  run(a: any) { go() }\n  get v() { return 1 }\n  set v(x) {}\n  static v = 2;\n}\n"
+    found = {r["canonical_id"].rpartition("a.ts:")[2]: r for r in typescript.nodes(script(spark, ("a.ts", text))).collect()}
+    assert set(found) == {"S", "S.run", "S.v:get", "S.v:set", "S.v:static"}
+    assert (found["S"]["summary"], found["S"]["start_line"], found["S"]["end_line"]) == ("Adds.\nMore.", 3, 9)
+    assert found["S.run"]["start_line"] == 5 and found["S.run"]["body_hash"] == hashlib.sha256(b"run(a: any) { go() }").hexdigest()
+    assert found["S.v:static"]["display_name"] == "S.v [static]" and found["S.v:static"]["body_hash"] == hashlib.sha256(b"static v = 2;").hexdigest()
+    edges = typescript.parent_edges(typescript.nodes(script(spark, ("a.ts", text)))).collect()
+    assert {r["callee_id"].rpartition("a.ts:")[2] for r in edges} == set(found) - {"S"} and {r["caller_id"] for r in edges} == {"code:ts:a.ts:S"}
+
+
+@pytest.mark.parametrize("call,want", [
+    ("fetch('/a')", "GET"), ("fetch(`/a`, { headers: { method: 'put' } })", "GET"), ("fetch('/a', { method: 'put', method: 'Patch' })", "PATCH"),
+    ("fetch('/a', { ...o })", None), ("fetch('/a', { [k]: 1 })", None), ("fetch('/a', { method })", None), ("fetch('/a', o)", None), ("fetch(url)", None), ("fetch(`/a/${b}`)", None),
+    ("x.fetch('/a')", None), ("axios.head('/a', {}, 1)", "HEAD"), ("axios.request('/a')", None), ("fetch('  ')", None), ("fetch('/a' + b)", None),
+])
+def test_typescript_calls(spark, call, want):
+    read = script(spark, ("a.ts", f"export const f = () => {{ {call} }}"))
+    assert [r["callee_id"] for r in typescript.http_edges(read, typescript.nodes(read)).collect()] == ([f"http:{want}:%2Fa"] if want else [])
+
+
+def test_tsconfig_settings(spark):
+    def fold(*files):
+        f = spark.createDataFrame([*files, ("x.ts", "")], "relative_path string, text string")
+        return {r["directory"]: r for r in modules.tsconfigs(f).collect()}
+
+    usual = fold(("tsconfig.json", '\ufeff{ "compilerOptions": { "baseUrl": ".", "paths": { "@app/*": ["src/*"] } }, // "c"\n "include": ["src/**/*", "**/*.ts",], }'))[""]
+    assert usual["base"] == "" and usual["include"] == ["src/**/*", "**/*.ts"] and [(e["key"], e["value"]) for e in usual["patterns"]] == [("@app/*", ["src/*"])]
+    chain = fold(
+        ("a/tsconfig.json", '{"extends": ["../one", "./two.json"], "compilerOptions": {"baseUrl": " "}}'), ("one.json", '{"extends": "./zero", "compilerOptions": {"baseUrl": "b1"}, "files": ["f1"]}'),
+        ("a/two.json", '{"extends": "pkg/conf", "include": ["i2"]}'), ("zero.json", '{"compilerOptions": {"paths": {"z": ["z"]}}, "include": ["i0"], "exclude": ["e0"]}'), ("node_modules/pkg/conf.json", '{"files": ["fp"]}'), ("a/b/tsconfig.json", "{}"),
+    )
+    a = chain["a"]
+    assert (a["base"], a["files"], a["include"], a["exclude"], a["patterns_directory"]) == ("b1", ["node_modules/pkg/fp"], ["a/i2"], ["e0"], "")
+    assert chain["a/b"]["base"] is None and chain["a/b"]["exclude"] == []
+    with pytest.raises(ValueError, match="extends itself"):
+        fold(("tsconfig.json", '{"extends": "./x"}'), ("x.json", '{"extends": "./tsconfig.json"}'))
+    with pytest.raises(ValueError, match="missing"):
+        fold(("tsconfig.json", '{"extends": "./gone"}'))
+
+
+def test_root_files_of_tsconfigs(spark):
+    f = spark.createDataFrame([("web/tsconfig.json", '{"files": ["a.ts"], "include": ["src", "../lib/*.ts"], "exclude": ["src/gen"]}'), ("plain/tsconfig.json", "{}"), *[(p, "") for p in ("web/a.ts", "web/b.ts", "web/src/x/c.ts", "web/src/gen/d.ts", "lib/e.ts", "lib/x/f.ts", "plain/g/h.tsx", "web/src.ts")]], "relative_path string, text string")
+    got = {tuple(r) for r in modules.root_files(f.filter("relative_path rlike '[.]tsx?$'"), modules.tsconfigs(f)).collect()}
+    assert got == {("web", "web/a.ts"), ("web", "web/src/x/c.ts"), ("web", "lib/e.ts"), ("plain", "plain/g/h.tsx")}
 
 
 # --- logs ---------------------------------------------------------------------------
