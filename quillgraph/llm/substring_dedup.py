@@ -23,9 +23,9 @@ anchor.
 
 Scale: two passes over the texts; what moves is a row of hashes for about every
 fifteenth word, pre-aggregated, and the words of one copy of each piece whose
-anchor occurs twice.  Texts move once more for the removal, and not at all while the
-documents concerned are few enough to be sent to every task (counted first).
-Joins back to the documents read written tables, so a piece with very many copies
+anchor occurs twice.  Texts move twice, to cut those words and for the removal,
+as joins with keys that grow with the documents; Spark sends keys instead where they
+are few.  Joins back to the documents read written tables, so a piece with very many copies
 can be split.
 
 Defined results: words are compared exactly; null and empty texts have no words;
@@ -43,14 +43,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import KEYS, checked, materialise
+from quillgraph.llm.common import checked, materialise
 
 WINDOW = 35
 SHARD = 300_000
 HOT = 2_000
-#: Pieces, or spans, up to which they are sent to every task with their documents
-#: (about 56 bytes each).
-SENT = 400_000
 #: Distinct words whose hashes a task keeps before it starts over.
 NAMES = 500_000
 
@@ -155,18 +152,16 @@ def pieces(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def _with(docs: DataFrame, keyed: DataFrame, column: str) -> DataFrame:
     """(_row, column): each row of ``docs`` with its array ``column`` of ``keyed``
     (_id, _h, column)."""
-    rows, size = keyed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
-    keyed = F.broadcast(keyed) if rows <= KEYS and size <= SENT else keyed
     same = docs["doc_id"].eqNullSafe(keyed["_id"]) & (F.xxhash64(docs["text"]) == keyed["_h"])
     return docs.join(keyed, same, "left").select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("_row"), keyed[column].alias(column))
 
 
 def _texts(docs: DataFrame, distinct: DataFrame, window: int) -> DataFrame:
-    """The words of one copy of each piece, of TEXTS type."""
+    """The words of one copy of each piece, of TEXTS type; of repeated rows, each
+    gives them."""
     wanted = distinct.groupBy(F.col("rep.doc_id").alias("_id"), F.col("rep._th").alias("_h")).agg(
         F.collect_list(F.struct(F.col("rep.start").alias("start"), F.col("rep.n").alias("n"), "gram", "whole", "copies")).alias("_qg_pieces")
     )
-    wanted = materialise(wanted, "passage-places")
     held = _with(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "_qg_pieces").filter("_qg_pieces is not null")
 
     def run(batches: Iterator) -> Iterator:
@@ -180,14 +175,13 @@ def _texts(docs: DataFrame, distinct: DataFrame, window: int) -> DataFrame:
             columns = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(columns[k], pa.int64()) for k in range(3)] + [pa.array(columns[3], pa.binary())], names=["gram", "whole", "copies", "words"])
 
-    made = held.select(F.col("_row.text").cast("binary").alias("_text"), "_qg_pieces").mapInArrow(run, TEXTS)
-    return made.dropDuplicates(["gram", "whole"])  # repeated rows have the same places
+    return held.select(F.col("_row.text").cast("binary").alias("_text"), "_qg_pieces").mapInArrow(run, TEXTS)
 
 
-def _search(texts: DataFrame, window: int, shard: int) -> DataFrame:
-    """Spans of pieces, of SPANS type, from one FM-index a shard."""
-    total = texts.agg(F.sum(F.length("words"))).first()[0] or 0
-    shards = max(1, -(-total // (6 * shard)))
+def _search(texts: DataFrame, total: int, window: int, shard: int) -> DataFrame:
+    """Spans of pieces of so many words in all, of SPANS type, from one FM-index a
+    shard.  The same piece given twice counts once."""
+    shards = max(1, -(-total // shard))
 
     def run(group):
         import numpy as np
@@ -195,6 +189,8 @@ def _search(texts: DataFrame, window: int, shard: int) -> DataFrame:
 
         from quillgraph.llm.fm_index import FMIndex, repeated_spans
 
+        once = {key: k for k, key in enumerate(zip(group.column("gram").to_pylist(), group.column("whole").to_pylist()))}
+        group = group if len(once) == group.num_rows else group.take(list(once.values()))
         names: dict[bytes, int] = {}
         sequences = [np.array([names.setdefault(w, len(names) + 1) for w in words.as_py().split(b" ")], dtype=np.int64) for words in group.column("words")]
         index = FMIndex(sequences, group.column("copies").to_numpy())
@@ -229,21 +225,27 @@ def _recut(texts: DataFrame, window: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def _resolve(texts: DataFrame, window: int, level: int, shard: int, hot: int) -> DataFrame:
-    """Spans of distinct pieces (a written table): through the shards, or, for
-    anchors with more than ``hot`` of them, through pieces of them."""
-    common = materialise(texts.groupBy("gram").agg(F.count(F.lit(1)).alias("_kinds")).filter(F.col("_kinds") > hot).select("gram"), "passage-anchors")
-    if level + 1 == len(grams(window)) or common.isEmpty():
-        return materialise(_search(texts, window, shard), "passage-spans")
-    common = checked(common)
-    few = materialise(_search(texts.join(common, "gram", "left_anti"), window, shard), "passage-spans")
-    again = materialise(_recut(texts.join(common, "gram", "left_semi"), window, grams(window)[level + 1]), "passage-recut")
+def _resolve(texts: DataFrame, sizes: DataFrame, window: int, level: int, shard: int, hot: int) -> DataFrame:
+    """Spans of distinct pieces: through the shards, or, for anchors with more
+    than ``hot`` of them, through pieces of them.  sizes: anchor and words of each
+    piece."""
+    anchors = sizes.groupBy("gram").agg(F.count(F.lit(1)).alias("_kinds"), F.sum("size").alias("_words"))
+    common = F.col("_kinds") > (hot if level + 1 < len(grams(window)) else 1 << 62)
+    many, few = anchors.agg(F.count_if(common), F.coalesce(F.sum(F.when(~common, F.col("_words"))), F.lit(0))).first()
+    if not many:
+        return materialise(_search(texts, few, window, shard), "passage-spans")
+    texts = materialise(texts, "passage-pieces")
+    common = checked(materialise(anchors.filter(common).select("gram"), "passage-anchors"))
+    rest = materialise(_search(texts.join(common, "gram", "left_anti"), few, window, shard), "passage-spans")
+    apart = texts.join(common, "gram", "left_semi").dropDuplicates(["gram", "whole"])
+    again = materialise(_recut(apart, window, grams(window)[level + 1]), "passage-recut")
     distinct = materialise(again.groupBy("gram", "whole").agg(F.sum("copies").alias("copies"), F.min("words").alias("words")), "passage-pieces")
-    found = _resolve(distinct, window, level + 1, shard, hot)
+    sized = distinct.select("gram", F.floor(F.length("words") / 6 + 1).alias("size"))
+    found = _resolve(distinct, sized, window, level + 1, shard, hot)
     back = again.select("_gram", "_whole", "start", "gram", "whole").join(found, ["gram", "whole"])
     moved = F.transform("spans", lambda s: F.struct((s["first"] + F.col("start")).alias("first"), (s["last"] + F.col("start")).alias("last")))
-    many = back.groupBy(F.col("_gram").alias("gram"), F.col("_whole").alias("whole")).agg(F.array_distinct(F.flatten(F.collect_list(moved))).alias("spans"))
-    return few.unionByName(many)
+    parts = back.groupBy(F.col("_gram").alias("gram"), F.col("_whole").alias("whole")).agg(F.array_distinct(F.flatten(F.collect_list(moved))).alias("spans"))
+    return rest.unionByName(parts)
 
 
 def passages(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, hot: int = HOT) -> DataFrame:
@@ -251,10 +253,10 @@ def passages(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, hot: int
     (id and text hash).  Spans may overlap; all are ``window`` words or longer."""
     found = materialise(pieces(docs, window), "passage-windows")
     often = materialise(found.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("gram"), "passage-repeats")
-    live = materialise(found.join(checked(often), "gram", "left_semi"), "passage-live")
+    live = materialise(found.join(often, "gram", "left_semi"), "passage-live")
     distinct = live.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "_th", "start", "n")).alias("rep"))
-    texts = materialise(_texts(docs, materialise(distinct, "passage-distinct"), window), "passage-pieces")
-    spans = _resolve(texts, window, 0, shard, hot)
+    distinct = materialise(distinct, "passage-distinct")
+    spans = _resolve(_texts(docs, distinct, window), distinct.select("gram", (F.col("rep.n") + window - 1).alias("size")), window, 0, shard, hot)
     back = live.select("doc_id", "_th", "start", "gram", "whole").join(spans, ["gram", "whole"])
     moved = back.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), F.explode("spans").alias("s"), "start")
     own = F.struct((F.col("start") + F.col("s.first")).alias("first"), (F.col("start") + F.col("s.last")).alias("last"))
