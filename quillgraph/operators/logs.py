@@ -1,17 +1,20 @@
 """Reduction of captured output: matching lines with context, within budgets.
 
-All operators take lines (log_id, line_number, text), so many logs are reduced
-at once; windows are per log.
+All operators take lines (log_id, line_number, text), so many logs are reduced at
+once.  Running values inside a log are scanned piece by piece (``functions.scan``),
+so one log of any length is worked on by many tasks; texts of lines that no block
+holds do not move.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
+from quillgraph.functions.scan import PIECE, running
 
 
 def split_lines(logs: DataFrame, column: str = "text") -> DataFrame:
@@ -22,12 +25,11 @@ def split_lines(logs: DataFrame, column: str = "text") -> DataFrame:
     return logs.select("log_id", F.posexplode(parts).alias("_pos", "text")).select("log_id", (F.col("_pos") + 1).cast("long").alias("line_number"), "text")
 
 
-def capture(lines: DataFrame, max_lines: int = 5000, max_bytes: int = 1 << 20) -> DataFrame:
+def capture(lines: DataFrame, max_lines: int = 5000, max_bytes: int = 1 << 20, piece: int = PIECE) -> DataFrame:
     """The lines within the line and byte budgets; the line at which the bytes
     run out keeps the characters that fit.  Adds ``cut``."""
-    w = Window.partitionBy("log_id").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.octet_length("text")).over(w), F.lit(0))
-    kept = lines.filter(F.col("line_number") <= max_lines).withColumn("_before", before).filter((F.col("_before") < max_bytes) | ((F.col("_before") == max_bytes) & (F.octet_length("text") == 0)))
+    sizes = running(lines.filter(F.col("line_number") <= max_lines), "log_id", ["line_number"], {"_before": ("sum", F.octet_length("text"))}, piece)
+    kept = sizes.withColumn("_before", F.coalesce("_before", F.lit(0))).filter((F.col("_before") < max_bytes) | ((F.col("_before") == max_bytes) & (F.octet_length("text") == 0)))
     room = F.lit(max_bytes) - F.col("_before")
     over = F.octet_length("text") > room
     # a prefix of characters whose bytes fit: bytes are at least as many as characters
@@ -75,35 +77,42 @@ def matches(text: Column, any_of=(), all_of=(), none_of=()) -> Column:
     return X.let(X.index_terms(text), all_tests)
 
 
-def blocks(lines: DataFrame, matched: Column, context: int = 3) -> DataFrame:
+def blocks(lines: DataFrame, matched: Column, context: int = 3, piece: int = PIECE) -> DataFrame:
     """(log_id, block, start, stop, n_matches): windows around matching lines,
     merged where they touch or overlap."""
-    total = Window.partitionBy("log_id")
-    marked = lines.withColumn("_m", matched).withColumn("_total", F.max("line_number").over(total)).filter("_m")
-    spans = marked.select("log_id", F.greatest(F.lit(1), F.col("line_number") - context).alias("start"), F.least(F.col("_total"), F.col("line_number") + context).alias("stop"))
-    order = Window.partitionBy("log_id").orderBy("start", "stop")
-    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(F.col("start") > F.coalesce(reach, F.lit(-1)) + 1, 1).otherwise(0)
-    numbered = spans.withColumn("_open", opens).withColumn("block", F.sum("_open").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("log_id", "block").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n_matches"))
+    total = lines.groupBy("log_id").agg(F.max("line_number").alias("_total"))
+    marked = lines.filter(matched).select("log_id", "line_number").join(total, "log_id")
+    spans = marked.select("log_id", F.greatest(F.lit(1), F.col("line_number") - context).alias("start"), F.least(F.col("_total"), F.col("line_number") + context).alias("stop"), "line_number")
+    reached = running(spans, "log_id", ["start", "line_number"], {"_reach": ("max", F.col("stop"))}, piece)
+    opened = reached.withColumn("_open", (F.col("start") > F.coalesce("_reach", F.lit(-1)) + 1).cast("long"))
+    numbered = running(opened, "log_id", ["start", "line_number"], {"_opened": ("sum", F.col("_open"))}, piece)
+    block = F.coalesce("_opened", F.lit(0)) + F.col("_open")
+    return numbered.groupBy("log_id", block.alias("block")).agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n_matches"))
 
 
 def line_range(lines: DataFrame, first: int, last: int) -> DataFrame:
     return lines.filter(F.col("line_number").between(first, last))
 
 
-def render(lines: DataFrame, block_table: DataFrame, max_chars: int = 4000) -> DataFrame:
+def _inside(lines: DataFrame, block_table: DataFrame, piece: int) -> DataFrame:
+    """Lines with the block that holds them: joined by log and piece of it."""
+    at = F.explode(F.sequence(F.floor(F.col("start") / piece), F.floor(F.col("stop") / piece)))
+    spans = block_table.select("log_id", F.col("block").cast("long").alias("block"), "start", "stop", at.alias("_at"))
+    put = lines.withColumn("_at", F.floor(F.col("line_number") / piece))
+    return put.join(spans, ["log_id", "_at"]).filter(F.col("line_number").between(F.col("start"), F.col("stop"))).drop("_at")
+
+
+def render(lines: DataFrame, block_table: DataFrame, max_chars: int = 4000, piece: int = PIECE) -> DataFrame:
     """(log_id, block, line_number, shown): lines as ``number| text`` while the
     characters (UTF-16 units, with the ends of lines and blocks) last; the line
     that does not fit is cut to ``...`` if there is room for more than that."""
-    spans = block_table.select(F.col("log_id").alias("_log"), "block", "start", "stop")
-    inside = lines.join(spans, (F.col("log_id") == F.col("_log")) & F.col("line_number").between(F.col("start"), F.col("stop")))
-    rows = inside.select("log_id", F.col("block").cast("long").alias("block"), "line_number", "start", F.concat(F.col("line_number").cast("string"), F.lit("| "), F.col("text")).alias("full"))
-    order = Window.partitionBy("log_id").orderBy("line_number")
-    first = F.row_number().over(order) == 1
-    gap = F.when(first, 0).when(F.col("line_number") == F.col("start"), 2).otherwise(1)
-    rows = rows.withColumn("_gap", gap).withColumn("_cost", F.col("_gap") + X.utf16_length(F.col("full")))
-    rows = rows.withColumn("_used", F.coalesce(F.sum("_cost").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first = block_table.groupBy("log_id").agg(F.min("start").alias("_first"))
+    inside = _inside(lines, block_table, piece).join(first, "log_id")
+    rows = inside.select("log_id", "block", "line_number", "start", "_first", F.concat(F.col("line_number").cast("string"), F.lit("| "), F.col("text")).alias("full"))
+    gap = F.when(F.col("line_number") == F.col("_first"), 0).when(F.col("line_number") == F.col("start"), 2).otherwise(1)
+    rows = rows.withColumn("_gap", gap)
+    rows = running(rows, "log_id", ["line_number"], {"_used": ("sum", F.col("_gap") + X.utf16_length(F.col("full")))}, piece)
+    rows = rows.withColumn("_used", F.coalesce("_used", F.lit(0))).filter(F.col("_used") < max_chars)
     room = F.lit(max_chars) - F.col("_used") - F.col("_gap")
     fits = X.utf16_length(F.col("full")) <= room
     keep = room - 3
@@ -114,9 +123,7 @@ def render(lines: DataFrame, block_table: DataFrame, max_chars: int = 4000) -> D
     )["s"]
     shown = F.when(fits, F.col("full")).when(room > 3, F.concat(prefix, F.lit("...")))
     rows = rows.withColumn("shown", shown).withColumn("_fits", fits)
-    spent = F.max(F.when(~F.col("_fits"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_spent", F.coalesce(spent, F.lit(0)))
-    return rows.filter((F.col("_spent") == 0) & F.col("shown").isNotNull()).select("log_id", "block", "line_number", "shown", (~F.col("_fits")).alias("cut"))
+    return rows.filter(F.col("shown").isNotNull()).select("log_id", "block", "line_number", "shown", (~F.col("_fits")).alias("cut"))
 
 
 def result(lines: DataFrame, block_table: DataFrame, max_chars: int = 4000) -> DataFrame:

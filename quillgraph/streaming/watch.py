@@ -4,33 +4,63 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
+from quillgraph.functions.ranking import global_rank
+from quillgraph.functions.scan import PIECE, running
+from quillgraph.functions.storage import written
 from quillgraph.sources.files import ignored_segment
 
 CHANGES = "ts timestamp, action string, old_path string, new_path string"
 
 
+def _following(times: DataFrame, key: str, delay: int) -> DataFrame:
+    """(key, _t, _next): the first time of the key beyond each time and the delay,
+    where there is one.  Times and ends of delays are merged in descending order;
+    the least time met so far is the next one."""
+    met = times.select(key, F.col("_t").alias("_v"), F.lit(0).alias("_end"), "_t")
+    both = met.unionByName(times.select(key, (F.col("_t") + delay).alias("_v"), F.lit(1).alias("_end"), "_t"))
+    order = [F.col(key).desc(), F.col("_v").desc(), F.col("_end").desc()]
+    ranked = global_rank(both, order, "_m", "batch-times")
+    scanned = running(ranked, key, ["_m"], {"_next": ("min", F.when(F.col("_end") == 0, F.col("_v")))}, PIECE)
+    return scanned.filter("_end = 1 and _next is not null").select(key, "_t", "_next")
+
+
+def openers(times: DataFrame, key: str, delay: int) -> DataFrame:
+    """(key, _t): the times that open a batch: the first of a key, then always the
+    first beyond the one before and the delay.  Every time points to the one that
+    would open the next batch; pointers are doubled until none is left, and those
+    of 2^k steps, from the longest to the single ones, lead from the first time to
+    all openers.  So many rounds as the logarithm of a key's batches has bits."""
+    jumps = [written(_following(times, key, delay), "batch-jumps")]
+    while True:
+        last = jumps[-1]
+        further = last.select(key, "_t", F.col("_next").alias("_at")).join(last.select(key, F.col("_t").alias("_at"), "_next"), [key, "_at"]).select(key, "_t", "_next")
+        further = written(further, "batch-jumps")
+        if further.isEmpty():
+            break
+        jumps.append(further)
+    found = times.groupBy(key).agg(F.min("_t").alias("_t"))
+    for jump in reversed(jumps):
+        found = written(found.unionByName(found.join(jump, [key, "_t"]).select(key, F.col("_next").alias("_t"))), "batch-openers")
+    return found
+
+
 def batches(changes: DataFrame, key: str, ts: str = "ts", delay_ms: int = 250) -> DataFrame:
     """Event-time batches: the first event of a key opens a batch that takes
     everything within the delay (fixed from the first event, not sliding).
-    Adds ``batch`` from 1.  The fold runs over one key's sorted times in an
-    aggregate; give keys that bound a group."""
-    ms = F.unix_micros(F.col(ts).cast("timestamp"))
-    times = changes.groupBy(key).agg(F.array_sort(F.collect_set(ms)).alias("_times"))
-    start = F.struct(F.lit(-(1 << 60)).cast("long").alias("open"), F.array().cast("array<bigint>").alias("opens"))
-
-    def step(acc, t):
-        fresh = t > acc["open"] + delay_ms * 1000
-        return F.when(fresh, F.struct(t.alias("open"), F.concat(acc["opens"], F.array(t)).alias("opens"))).otherwise(acc)
-
-    opens = times.select(key, F.posexplode(F.aggregate("_times", start, step)["opens"]).alias("_b", "_open"))
-    w = Window.partitionBy(key).orderBy("_open")
-    opens = opens.withColumn("_next", F.coalesce(F.lead("_open").over(w), F.lit(1 << 62)))
-    e = changes.withColumn("_ms", ms).join(opens, key).filter((F.col("_ms") >= F.col("_open")) & (F.col("_ms") < F.col("_next")))
-    return e.select(*changes.columns, (F.col("_b") + 1).cast("long").alias("batch"))
+    Adds ``batch`` from 1.  Events without a key or a time are in none and left
+    out.  No step gathers a key's events in one task."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    times = written(changes.select(key, micros.alias("_t")).filter(F.col(key).isNotNull() & F.col("_t").isNotNull()).distinct(), "batch-times")
+    begins = openers(times, key, delay_ms * 1000)
+    both = begins.select(key, "_t", F.lit(0).alias("_event")).unionByName(times.select(key, "_t", F.lit(1).alias("_event")))
+    ranked = global_rank(both, [F.col(key), F.col("_t"), F.col("_event")], "_m", "batch-events")
+    numbered = running(ranked, key, ["_m"], {"batch": ("sum", (F.col("_event") == 0).cast("long"))}, PIECE).filter("_event = 1")
+    own = changes.withColumn("_t", micros)
+    return own.join(numbered.select(key, "_t", "batch"), [key, "_t"]).select(*changes.columns, "batch")
 
 
 def normalise(changes: DataFrame, known: DataFrame | None = None) -> DataFrame:
