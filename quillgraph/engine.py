@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.functions import match
 from quillgraph.graph import Graph
 from quillgraph.operators import logs, memories, navigation, paging, render, search, statistics
 from quillgraph.sources import revisions
@@ -112,9 +113,11 @@ class CodeGraph:
     def delete_memory(self, memory_id: str) -> CodeGraph:
         return self._recommitted(memories.delete(self.graph, memory_id))
 
-    def reduce_output(self, lines: DataFrame, any_of=(), all_of=(), none_of=(), context: int = 3, max_chars: int = 4000, max_lines: int = 5000, max_bytes: int = 1 << 20) -> DataFrame:
+    def reduce_output(self, lines: DataFrame, any_of=(), all_of=(), none_of=(), context: int = 3, max_chars: int = 4000, max_lines: int = 5000, max_bytes: int = 1 << 20, expression: str | None = None) -> DataFrame:
+        """What is left of captured logs: lines by terms, or by a match expression."""
         kept = logs.capture(lines, max_lines, max_bytes).drop("cut")
-        found = logs.blocks(kept, logs.matches(F.col("text"), any_of, all_of, none_of), context)
+        test = logs.matches(F.col("text"), any_of, all_of, none_of) if expression is None else match.match(F.col("text"), expression)
+        found = logs.blocks(kept, test, context)
         return logs.result(kept, found, max_chars)
 
     def as_json(self, df: DataFrame) -> DataFrame:

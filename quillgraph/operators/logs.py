@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
+from quillgraph.functions.match import Phrase, fold
 from quillgraph.functions.scan import PIECE, running
 
 
@@ -43,26 +44,12 @@ def capture(lines: DataFrame, max_lines: int = 5000, max_bytes: int = 1 << 20, p
 
 def matches(text: Column, any_of=(), all_of=(), none_of=()) -> Column:
     """Lines by terms: a term may end in ``*`` (prefix) or hold blanks (phrase).
-    At least one of ``any_of``, all of ``all_of``, none of ``none_of``."""
+    At least one of ``any_of``, all of ``all_of``, none of ``none_of``.  For
+    expressions with AND, OR and NOT see ``functions.match.match``."""
 
     def has(terms: Column, term: str) -> Column:
-        prefix = term.endswith("*")
-        words = X.match_phrases(term.rstrip("*") + "  ") or [[term.rstrip("*").lower()]]
-        phrase = [w for p in words for w in p] if " " in term else words[0]
-        if len(phrase) == 1 and not prefix:
-            return F.array_contains(terms, phrase[0])
-        if len(phrase) == 1:
-            return F.exists(terms, lambda t: t.startswith(phrase[0]))
-        n = len(phrase)
-        at = F.when(F.size(terms) >= n, F.sequence(F.lit(0), F.size(terms) - n)).otherwise(F.array().cast("array<int>"))
-
-        def here(i: Column) -> Column:
-            eq = [F.get(terms, i + k) == t for k, t in enumerate(phrase)]
-            if prefix:
-                eq[-1] = F.get(terms, i + n - 1).startswith(phrase[-1])
-            return reduce(lambda a, b: a & b, eq)
-
-        return F.exists(at, here)
+        words = fold(term) or [term.rstrip("*").lower()]
+        return Phrase(tuple(words), term.endswith("*")).test(terms)
 
     def all_tests(terms: Column) -> Column:
         out = F.lit(True)

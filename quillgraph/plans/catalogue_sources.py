@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph import schemas
+from quillgraph.functions import match
 from quillgraph.functions import text as X
 from quillgraph.operators import build, extraction, facts, logs, memories, modules, navigation, paging, render, search, statistics, typescript
 from quillgraph.plans import derive, samples
@@ -386,6 +387,14 @@ def log_terms(spark: SparkSession, d: str) -> DataFrame:
     return lines.filter(logs.matches(F.col("text"), all_of=["de la*"], none_of=["le"])).select("log_id", "line_number")
 
 
+@query
+def log_match(spark: SparkSession, d: str) -> DataFrame:
+    """Lines by a nested expression: words, a phrase, a prefix, terms side by side."""
+    lines = logs.split_lines(derive.read(spark, d, "documents").select(F.col("doc_id").alias("log_id"), "text"))
+    asked = '(licens* OR "de la" NOT la) AND NOT_THERE OR (der und NOT (die OR wer*)) OR ^the + "re" *'
+    return lines.filter(match.match(F.col("text"), asked)).select("log_id", "line_number")
+
+
 @query
 def changes_normalised(spark: SparkSession, d: str) -> DataFrame:
     e = derive.read(spark, d, "events")

@@ -162,6 +162,11 @@ SELECT 'ready' AS state, (SELECT count(*) FROM pages) AS documents, (SELECT coun
     "log_terms": with_(LINES, f"""
 w AS (SELECT log_id, line_number, {terms("text")} AS t FROM li)""") + """
 SELECT log_id, line_number FROM w WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'de' AND starts_with(t[i + 1], 'la'))) > 0 AND NOT list_contains(t, 'le')""",
+    "log_match": with_(LINES, f"""
+w AS (SELECT log_id, line_number, {terms("text")} AS t FROM li),
+h AS (SELECT *, len(list_filter(t, lambda x: starts_with(x, 'licens'))) > 0 AS a, len(list_filter(range(1, len(t)), lambda i: t[i] = 'de' AND t[i + 1] = 'la')) > 0 AS b, list_contains(t, 'la') AS c, list_contains(t, 'not') AND list_contains(t, 'there') AS never,
+  list_contains(t, 'der') AND list_contains(t, 'und') AS e, list_contains(t, 'die') OR len(list_filter(t, lambda x: starts_with(x, 'wer'))) > 0 AS f, len(t) > 1 AND t[1] = 'the' AND starts_with(t[2], 're') AS g FROM w)""") + """
+SELECT log_id, line_number FROM h WHERE ((a OR (b AND NOT c)) AND never AND len(list_filter(range(1, len(t)), lambda i: t[i] = 'not' AND t[i + 1] = 'there')) > 0) OR (e AND NOT f) OR g""",
     "changes_normalised": """
 WITH e AS (SELECT *, event_id % 6 AS a, 'src/' || user_id || '.md' AS old, 'docs/' || user_id || '.md' AS new, event_id % 5 <> 0 AS old_ok, event_id % 7 <> 0 AS new_ok FROM events),
 c AS (
