@@ -31,13 +31,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialise, words
+from quillgraph.llm.common import materialise
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def _source_key(source: Column) -> Column:
@@ -85,7 +85,7 @@ def draw(docs: DataFrame, seed: int = 7, budget: float = 1.5, cap: float = 2.0,
     digits = F.col("size").cast("string")
     cells = sized.select(
         "*", F.length(digits).alias("_length"), F.substring(digits, 1, 2).alias("_lead"),
-        F.substring(F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")), 1, 2).alias("_salt"),
+        F.substring(F.md5(F.coalesce(F.col("_id").cast("string"), F.concat_ws(",", "_text_hash", "_row_hash")).cast("binary")), 1, 2).alias("_salt"),
     )
     cell = ["_key", "_length", "_lead", "_salt"]
     before = Window.unboundedPreceding, -1
