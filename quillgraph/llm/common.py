@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.storage import written
@@ -70,6 +70,32 @@ def is_remainder(doc_id: Column, modulus: int, remainder: int) -> Column:
     return (F.crc32(key.cast("binary")) % modulus) == remainder
 
 
+def drawn(marks: DataFrame, most: int, label: str, *by: Column) -> DataFrame:
+    """The first ``most`` rows of each value of ``label`` in the order of ``by``."""
+    order = Window.partitionBy(label).orderBy(*by)
+    return marks.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
+
+
+def bounded(rows: DataFrame, most: int, label: str, salt: str) -> DataFrame:
+    """At most ``most`` rows of ``rows`` (doc_id, text, ...) for each value of
+    ``label``, drawn by a hash of id and text.  Rows equal in id, text and label
+    count, and come out, once, so repeats change neither the bound nor any weight.
+
+    Hashes are thinned first by their number (estimated), so few rows are ranked;
+    each task keeps no more than ``most`` of a label on the way to the ranking.
+    """
+    keyed = rows.withColumn("_th", F.xxhash64("text"))
+    own = F.xxhash64("doc_id", "_th", F.lit(salt))
+    marks = keyed.select("doc_id", "_th", F.col(label).alias("_label"), own.alias("_mark"))
+    sizes = marks.groupBy("_label").agg(F.approx_count_distinct("_mark").alias("_size"))
+    share = F.pmod("_mark", F.lit(1 << 30)) / float(1 << 30)
+    few = marks.join(F.broadcast(sizes), "_label").filter(share < 4.0 * most / F.col("_size")).drop("_size").distinct()
+    chosen = drawn(few, most, "_label", F.col("_mark"), F.col("doc_id"), F.col("_th"))
+    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), "_label"))
+    same = keyed["doc_id"].eqNullSafe(chosen["_id"]) & (keyed["_th"] == chosen["_h"]) & (keyed[label] == chosen["_label"])
+    return keyed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_th", label]).drop("_th")
+
+
 def unit_hash(*columns: Column) -> Column:
     """A repeatable number in [0, 1) for a row."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / float(1 << 30)

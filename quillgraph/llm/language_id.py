@@ -6,7 +6,7 @@ Features: 1- to 3-grams of the lower-cased text with everything but letters as
 one space, hashed into ``DIMS`` places; frequency over the whole text times the
 inverse document frequency, which is counted over all training documents.
 
-Bound: the weights are fitted on about ``PER_CLASS`` labelled documents of each
+Bound: the weights are fitted on at most ``PER_CLASS`` labelled documents of each
 language, drawn by a hash of the id, a fifth of them for the temperature (their
 count vectors, a few kilobytes each, meet in the driver); the document frequencies and the predictions cover every document and whole texts.
 
@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import unit_hash
+from quillgraph.llm.common import bounded
 
 DIMS, ORDERS, PER_CLASS = 1 << 15, 3, 800
 SCALE = 20.0  # brings mean n-gram values near one
@@ -191,10 +191,7 @@ def fit(docs: DataFrame, training: Column, label: str = "lang", per_class: int =
     for place, n in document_frequencies(known).items():
         frequency[place] = n
     idf = np.log((1.0 + total) / (1.0 + frequency)) + 1.0
-    rate = F.lit(0.0)
-    for name in names:
-        rate = F.when(F.col(label) == name, min(1.0, per_class / sizes[name])).otherwise(rate)
-    got = vectors(known.filter(unit_hash(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit("language")) < rate), label).collect()
+    got = vectors(bounded(known.select("doc_id", "text", label), per_class, label, "language"), label).collect()
     got.sort(key=lambda r: (-1 if r["id"] is None else r["id"], r["places"], r["counts"]))
     rows = []
     for r in got:

@@ -7,7 +7,7 @@ while it is precise there, and the rows it covers are set aside for the next.
 The list becomes one ordered ``CASE WHEN`` that Spark evaluates with the
 statistics, without a shuffle.
 
-Bound: the learner reads at most about ``SAMPLE`` labelled rows (their numbers
+Bound: the learner reads at most ``SAMPLE`` labelled rows (their numbers
 only), chosen by a hash of the id; the statistics and the verdict cover all.
 
 Defined results: null text has no words and fails the base rules (fewer than
@@ -24,7 +24,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import let, unit_hash, words
+from quillgraph.llm.common import bounded, drawn, let, unit_hash, words
 
 WINDOW = 8
 SAMPLE = 6000
@@ -161,15 +161,14 @@ def learn(rows: list[tuple[dict, bool]], precision: float = 0.95, support: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    """Learn from the statistics of about ``sample`` labelled documents."""
+    """Learn from the statistics of at most ``sample`` labelled documents."""
     marks = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2"))
     marks = marks.filter("q = q2 and doc_id is not null").select(F.col("doc_id").alias("_label_id"), (F.col("q") == 0).alias("_bad"))
-    n = marks.count()
-    if not n:
+    if marks.isEmpty():
         return []
-    chosen = marks.filter(unit_hash(F.col("_label_id"), F.lit("rules")) < sample / n)
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_label_id"))
-    stats = joined.select("doc_id", "_bad", F.explode(F.array(statistics(F.col("text")))).alias("s"))
+    chosen = drawn(marks.withColumn("_all", F.lit(0)), sample, "_all", unit_hash(F.col("_label_id"), F.lit("rules")), F.col("_label_id"))
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_label_id")).drop("_label_id")
+    stats = bounded(joined, sample, "_all", "rules").select("doc_id", "_bad", F.explode(F.array(statistics(F.col("text")))).alias("s"))
     got = stats.select("doc_id", "_bad", *[_feature(F.col("s"), f).alias(f) for f in FEATURES]).collect()
     got.sort(key=lambda r: (r["doc_id"], *[r[f] for f in FEATURES]))
     return learn([({f: r[f] for f in FEATURES}, r["_bad"]) for r in got])
