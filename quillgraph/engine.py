@@ -104,7 +104,8 @@ class CodeGraph:
 
     def _recommitted(self, rows: DataFrame) -> CodeGraph:
         tables = dict(self.graph.tables) | {"memory_nodes": rows}
-        return CodeGraph(self.spark, self.root, revisions.commit(Graph(self.spark, tables), self.root))
+        changed = Graph(self.spark, tables, self.graph.revision, self.graph.inward, self.graph.stored)
+        return CodeGraph(self.spark, self.root, revisions.commit(changed, self.root))
 
     def attach_memories(self, notes: DataFrame, embed=None) -> CodeGraph:
         """The graph of the new revision, with notes attached."""

@@ -44,6 +44,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def create(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small new file; false if there is one of that name already."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at.getParent())
+    try:
+        out = files.create(at, False)
+    except Exception as error:
+        if files.exists(at):
+            return False
+        raise error
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
 def clear(spark: SparkSession) -> None:
     """Remove what this application has written to the shared folder.  Results
     that are still lazy read those tables, so call it when all are stored."""

@@ -30,6 +30,8 @@ class Graph:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     revision: str = "initial"
     inward: DataFrame | None = None
+    #: The tables as they were loaded; a commit shares those that still stand.
+    stored: dict[str, DataFrame] = field(default_factory=dict)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.tables:

@@ -58,20 +58,66 @@ def _bags(corpus: DataFrame, columns) -> tuple[DataFrame, Column]:
     return bags, reduce(lambda a, b: a + b, [F.size(f"_t{i}") for i in range(len(columns))])
 
 
-def write_index(corpus: DataFrame, path: str, columns=INDEXED) -> None:
-    """Store the keyword index of a corpus in two new folders below ``path``."""
+def _write_postings(corpus: DataFrame, path: str, columns) -> None:
     bags, size = _bags(corpus, columns)
     # an empty term between columns keeps phrases from running over
     parts = [F.col("_t0")] + [x for i in range(1, len(columns)) for x in (F.array(F.lit("")), F.col(f"_t{i}"))]
     each = bags.select("id", "canonical_id", size.alias("size"), F.posexplode(F.concat(*parts)).alias("_p", "term")).filter("term <> ''")
     postings = each.groupBy("term", "id", "canonical_id", "size").agg(F.sort_array(F.collect_list("_p")).alias("places"))
     postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
-    bags.agg(F.count(F.lit(1)).alias("rows"), F.avg(size).alias("mean")).write.parquet(f"{path}/statistics")
 
 
-def open_index(spark: SparkSession, path: str) -> KeywordIndex:
-    seen = spark.read.parquet(f"{path}/statistics").first()
-    return KeywordIndex(spark.read.parquet(f"{path}/postings"), seen["rows"], seen["mean"] or 1.0)
+def _write_rows(corpus: DataFrame, path: str, columns) -> DataFrame:
+    """What is indexed: a row's size in terms and a hash of what is read of it."""
+    size = reduce(lambda a, b: a + b, [F.size(X.index_terms(F.col(c))) for c in columns])
+    mark = F.xxhash64("canonical_id", *columns, *[F.col(c).isNull() for c in columns])
+    corpus.select("id", "canonical_id", size.alias("size"), mark.alias("mark")).write.parquet(f"{path}/rows")
+    rows = corpus.sparkSession.read.parquet(f"{path}/rows")
+    rows.agg(F.count(F.lit(1)).alias("rows"), F.avg("size").alias("mean")).write.parquet(f"{path}/statistics")
+    return rows
+
+
+def write_index(corpus: DataFrame, path: str, columns=INDEXED) -> None:
+    """Store the keyword index of a corpus in new folders below ``path``."""
+    _write_postings(corpus, path, columns)
+    _write_rows(corpus, path, columns)
+
+
+#: Indexes laid over each other before one is made anew, and the share of rows
+#: that may differ.
+LAYERS, CHANGED = 8, 0.2
+
+
+def write_changes(corpus: DataFrame, path: str, below: list[str], columns=INDEXED) -> list[str]:
+    """Store below ``path`` what differs between a corpus and the index whose
+    folders, oldest first, are ``below``: postings of new and changed rows, and the
+    ids whose older postings are void.  Gives the folders to open; where much
+    differs, or there are many layers, the whole index is made anew."""
+    spark = corpus.sparkSession
+    rows = _write_rows(corpus, path, columns)
+    before = spark.read.parquet(f"{below[-1]}/rows").select("id", F.col("mark").alias("_before"))
+    differs = rows.join(before, "id", "full").filter(~F.col("mark").eqNullSafe(F.col("_before"))).select("id", F.col("_before").isNotNull().alias("void"), F.col("mark").isNotNull().alias("fresh"))
+    differs.write.parquet(f"{path}/changes")
+    differs = spark.read.parquet(f"{path}/changes")
+    if len(below) >= LAYERS or differs.count() > CHANGED * rows.count():
+        _write_postings(corpus, path, columns)
+        return [path]
+    _write_postings(corpus.join(differs.filter("fresh").select("id"), "id", "left_semi"), path, columns)
+    return [*below, path]
+
+
+def open_index(spark: SparkSession, path: str | list[str]) -> KeywordIndex:
+    """The index of a folder, or of folders laid over each other: the postings of
+    a row count in the last layer that has changed it."""
+    layers = [path] if isinstance(path, str) else path
+    seen = spark.read.parquet(f"{layers[-1]}/statistics").first()
+    postings = [spark.read.parquet(f"{layer}/postings").withColumn("_layer", F.lit(k)) for k, layer in enumerate(layers)]
+    held = reduce(DataFrame.unionByName, postings)
+    if len(layers) > 1:
+        voids = [spark.read.parquet(f"{layer}/changes").filter("void").select(F.col("id").alias("_void"), F.lit(k).alias("_from")) for k, layer in enumerate(layers) if k]
+        void = reduce(DataFrame.unionByName, voids).groupBy("_void").agg(F.max("_from").alias("_from"))
+        held = held.join(void, (F.col("id") == F.col("_void")) & (F.col("_layer") < F.col("_from")), "left_anti")
+    return KeywordIndex(held.drop("_layer"), seen["rows"], seen["mean"] or 1.0)
 
 
 def _looked_up(index: KeywordIndex, phrases: list[list[str]]) -> DataFrame:

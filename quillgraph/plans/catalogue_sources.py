@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph import schemas
 from quillgraph.functions import match
 from quillgraph.functions import text as X
+from quillgraph.functions.storage import shared_dir
 from quillgraph.operators import build, extraction, facts, logs, memories, modules, navigation, paging, render, search, statistics, typescript
 from quillgraph.plans import derive, samples
 from quillgraph.sources import files
@@ -181,6 +184,19 @@ def bm25_scan(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("id", F.round("score", 6).alias("score"))
 
 
+@query
+def bm25_layers(spark: SparkSession, d: str) -> DataFrame:
+    """The keyword index of an older state, with a layer of what has changed since:
+    every ninth document said something else, and every tenth was not there."""
+    now, path = derive.corpus(spark, d).drop("vector_embedding"), f"{shared_dir(spark)}/layers-{uuid.uuid4().hex}"
+    before = now.filter("id % 10 <> 3").withColumn("search_text", F.when(F.col("id") % 9 == 4, "tion licensed").otherwise(F.col("search_text")))
+    gone = now.filter("id % 97 = 5").withColumns({"id": F.col("id") + 1_000_000_000, "canonical_id": F.concat("canonical_id", F.lit("x"))})
+    search.write_index(before.unionByName(gone), f"{path}/0")
+    layers = search.write_changes(now, f"{path}/1", [f"{path}/0"])
+    ranked = search.keyword_ranks(now, "tion reand licensed", 200, index=search.open_index(spark, layers))
+    return ranked.select("id", F.round("score", 6).alias("score"))
+
+
 @query
 def scope_root_nodes(spark: SparkSession, d: str) -> DataFrame:
     return paging.scoped_nodes(samples.web(spark, d), [1]).select(F.col("phase").cast("long").alias("phase"), "id", "label", "type", "scope")

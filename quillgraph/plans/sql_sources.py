@@ -87,6 +87,7 @@ kf AS (SELECT id, canonical_id, row_number() OVER (ORDER BY score DESC, canonica
 vf AS (SELECT id, canonical_id, row_number() OVER (ORDER BY sim DESC, canonical_id) AS rank FROM vr WHERE id % 3 = 1 AND id % 2 = 0)""", fused("kf", "vf")),
     "bm25_phrase": _PHRASE,
     "bm25_scan": _PHRASE,
+    "bm25_layers": with_(CORPUS, bm25(["tion", "reand", "licensed"])) + " SELECT id, round(score, 6) AS score FROM kwr WHERE rank <= 200",
     "scope_root_nodes": with_(SQL_FILES, LINKS, """
 hr AS (SELECT href, 10000000 + row_number() OVER (ORDER BY href) AS id FROM (SELECT DISTINCT href FROM links))""") + """
 SELECT 0 AS phase, page_id + 1 AS id, path AS label, 'document' AS type, 'selected' AS scope FROM paths UNION ALL SELECT 1, id, 'GET ' || href, 'http', 'external' FROM hr""",

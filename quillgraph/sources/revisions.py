@@ -1,21 +1,25 @@
 """Revisions of a graph on plain Parquet.
 
-A revision is a folder with one Parquet directory a table, nodes sorted by id,
-edges twice: sorted by caller and by callee, and the keyword index of its nodes.  Files of a revision
-never change; a commit writes a new folder and then appends one row to the
-``commits`` log.  The current revision is the row with the largest number, so
-readers that pinned a revision keep a consistent state.
+A table lies in a folder that never changes: nodes sorted by id, edges twice,
+sorted by caller and by callee, and the keyword index of the nodes.  A revision is
+a file in the ``commits`` log that names the folder of each table.  A commit writes
+only the tables that differ and shares the others; of the keyword index it writes
+the rows that differ, laid over the older layers.  The file of a commit is named by
+its number and must not exist yet, so of two writers that began at one revision the
+second fails and the first one's commit stays.  The current revision is the one
+with the largest number; readers that pinned one keep a consistent state.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph import schemas
-from quillgraph.functions.storage import remove
+from quillgraph.functions.storage import create, exists, remove
 from quillgraph.graph import Graph
 from quillgraph.operators import search
 from quillgraph.operators.build import row_hash
@@ -23,75 +27,103 @@ from quillgraph.operators.build import row_hash
 #: How tables are clustered: range by range, sorted inside.
 CLUSTERED = {"graph_nodes": ["id"], "code_nodes": ["id"], "dependency_edges": ["caller_node_id", "callee_node_id", "edge_type"]}
 INWARD, KEYWORDS = "edges_by_callee", "keywords"
-LOG = "number bigint, revision string, fingerprint string"
+#: Tables that the keyword index is made from.
+SEARCHED = ("graph_nodes", "code_nodes", "documents", "project_nodes", "directories")
+LOG = "number bigint, revision string, fingerprint string, tables map<string, struct<folder string, mark string>>, keywords array<string>"
 
 
 def _log(spark: SparkSession, root: str) -> DataFrame:
-    try:
-        return spark.read.schema(LOG).parquet(f"{root}/commits")
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return spark.createDataFrame([], LOG)
-        raise
+    if not exists(spark, f"{root}/commits"):
+        return spark.createDataFrame([], LOG)
+    return spark.read.schema(LOG).json(f"{root}/commits")
 
 
 def current(spark: SparkSession, root: str):
     """The last committed row, or None."""
-    rows = _log(spark, root).orderBy(F.desc("number"), "revision").limit(1).collect()
+    rows = _log(spark, root).orderBy(F.desc("number")).limit(1).collect()
     return rows[0] if rows else None
 
 
-def fingerprint(graph: Graph) -> str:
-    """One hash of all tables, whatever the order of their rows."""
-    parts = []
-    for name in sorted(graph.tables):
-        df = graph[name]
-        h = df.select(F.conv(F.substring(row_hash(*sorted(df.columns)), 1, 15), 16, 10).cast("decimal(38,0)").alias("h"))
-        parts.append(h.agg(F.concat_ws(":", F.lit(name), F.count(F.lit(1)).cast("string"), F.coalesce(F.sum("h"), F.lit(0)).cast("string")).alias("p")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return "|".join(sorted(r["p"] for r in out.collect()))
+def _row(spark: SparkSession, root: str, revision: str | None):
+    rows = _log(spark, root) if revision is None else _log(spark, root).filter(F.col("revision") == revision)
+    rows = rows.orderBy(F.desc("number")).limit(1).collect()
+    if not rows:
+        raise FileNotFoundError(f"{root}: {revision or 'no revision'}")
+    return rows[0]
+
+
+def fingerprint(table: DataFrame, name: str) -> str:
+    """One hash of a table, whatever the order of its rows."""
+    h = table.select(F.conv(F.substring(row_hash(*sorted(table.columns)), 1, 15), 16, 10).cast("decimal(38,0)").alias("h"))
+    return h.agg(F.concat_ws(":", F.lit(name), F.count(F.lit(1)).cast("string"), F.coalesce(F.sum("h"), F.lit(0)).cast("string"))).first()[0]
+
+
+def _read(spark: SparkSession, root: str, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(schemas.schema("dependency_edges" if name == INWARD else name)).parquet(f"{root}/{folder}/{name}")
 
 
 def commit(graph: Graph, root: str) -> str:
-    """Write a revision; an identical graph keeps the current one.  The log row
-    is written last, so a failed commit leaves the earlier state in place.  The
-    tables are made once: they are compared as they were written."""
+    """Write what differs from the current revision, and give the new revision, or
+    the current one if nothing differs.
+
+    A table that the graph holds as it was loaded is shared unread; others are
+    written, compared as written, and dropped again if they are the same.  The log
+    file is written last, so a failed commit leaves the earlier state in place.
+    Raises ``RevisionChanged`` if another commit came first since the graph was
+    loaded, or since this commit began."""
     spark, now, revision = graph.spark, current(graph.spark, root), uuid.uuid4().hex
+    number, held = (now["number"] if now else 0) + 1, dict(now["tables"]) if now else {}
+    if graph.stored and now and graph.revision != now["revision"]:
+        raise schemas.RevisionChanged(f"revision {graph.revision} is no longer current")
 
     def write(df: DataFrame, name: str, order: list[str]) -> None:
         clustered = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
         clustered.write.parquet(f"{root}/{revision}/{name}")
 
+    tables: dict[str, dict[str, str]] = {}
     for name in schemas.DDL:
+        if graph.stored.get(name) is graph[name] and name in held:
+            tables[name] = {"folder": held[name]["folder"], "mark": held[name]["mark"]}
+            continue
         write(graph[name], name, CLUSTERED.get(name, []))
-    made = Graph(spark, {name: spark.read.schema(schemas.schema(name)).parquet(f"{root}/{revision}/{name}") for name in schemas.DDL})
-    mark = fingerprint(made)
-    if now and now["fingerprint"] == mark:
+        mark = fingerprint(_read(spark, root, revision, name), name)
+        same = name in held and held[name]["mark"] == mark
+        tables[name] = {"folder": held[name]["folder"] if same else revision, "mark": mark}
+        if same:
+            remove(spark, f"{root}/{revision}/{name}")
+    fresh = {name for name, at in tables.items() if at["folder"] == revision}
+    if now and not fresh:
         remove(spark, f"{root}/{revision}")
         return now["revision"]
-    search.write_index(made.code(wide=True), f"{root}/{revision}/{KEYWORDS}")
-    write(made["dependency_edges"], INWARD, ["callee_node_id", "caller_node_id", "edge_type"])
-    row = spark.createDataFrame([((now["number"] if now else 0) + 1, revision, mark)], LOG)
-    row.coalesce(1).write.mode("append").parquet(f"{root}/commits")
+    made = Graph(spark, {name: _read(spark, root, at["folder"], name) for name, at in tables.items()})
+    keywords = list(now["keywords"]) if now else []
+    if not keywords:
+        search.write_index(made.code(wide=True), f"{root}/{revision}/{KEYWORDS}")
+        keywords = [revision]
+    elif fresh & set(SEARCHED):
+        layers = search.write_changes(made.code(wide=True), f"{root}/{revision}/{KEYWORDS}", [f"{root}/{k}/{KEYWORDS}" for k in keywords])
+        keywords = [*keywords, revision] if len(layers) > 1 else [revision]
+    tables[INWARD] = {"folder": tables["dependency_edges"]["folder"], "mark": ""}
+    if "dependency_edges" in fresh:
+        write(made["dependency_edges"], INWARD, ["callee_node_id", "caller_node_id", "edge_type"])
+    mark = "|".join(sorted(at["mark"] for at in tables.values() if at["mark"]))
+    entry = {"number": number, "revision": revision, "fingerprint": mark, "tables": tables, "keywords": keywords}
+    if not create(spark, f"{root}/commits/{number:012d}.json", json.dumps(entry)):
+        remove(spark, f"{root}/{revision}")
+        raise schemas.RevisionChanged(f"commit {number} was made by another writer")
     return revision
 
 
 def load(spark: SparkSession, root: str, revision: str | None = None) -> Graph:
     """The graph of a revision, the current one by default."""
-    now = current(spark, root)
-    if now is None:
-        raise FileNotFoundError(root)
-    revision = revision or now["revision"]
-    tables = {name: spark.read.schema(schemas.schema(name)).parquet(f"{root}/{revision}/{name}") for name in schemas.DDL}
-    inward = spark.read.schema(schemas.schema("dependency_edges")).parquet(f"{root}/{revision}/{INWARD}")
-    return Graph(spark, tables, revision, inward)
+    row = _row(spark, root, revision)
+    tables = {name: _read(spark, root, row["tables"][name]["folder"], name) for name in schemas.DDL}
+    return Graph(spark, tables, row["revision"], _read(spark, root, row["tables"][INWARD]["folder"], INWARD), dict(tables))
 
 
 def keyword_index(spark: SparkSession, root: str, revision: str) -> search.KeywordIndex:
     """The keyword index of a revision's code nodes."""
-    return search.open_index(spark, f"{root}/{revision}/{KEYWORDS}")
+    return search.open_index(spark, [f"{root}/{k}/{KEYWORDS}" for k in _row(spark, root, revision)["keywords"]])
 
 
 def expect(spark: SparkSession, root: str, revision: str) -> None:

@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import random
+from pathlib import Path
 
 import pytest
 from fixture_graph import harbour_graph
@@ -11,9 +12,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillgraph import schemas
+from quillgraph.engine import CodeGraph
 from quillgraph.functions import text as X
 from quillgraph.functions.ranking import global_rank
-from quillgraph.operators import build, extraction, logs, modules, render, typescript
+from quillgraph.graph import Graph
+from quillgraph.operators import build, extraction, logs, modules, render, search, typescript
 from quillgraph.sources import files, revisions
 from quillgraph.streaming import notify, watch
 
@@ -99,6 +102,54 @@ def test_revisions_are_immutable_and_skip_equal_graphs(spark, tmp_path):
     revisions.expect(spark, root, second)
 
 
+def folders(root):
+    """Tables that each revision folder holds, for as many folders as there are."""
+    return [sorted(p.name for p in f.iterdir() if p.is_dir()) for f in Path(root).iterdir() if f.name != "commits"]
+
+
+def test_a_commit_writes_only_what_differs(spark, tmp_path):
+    root = str(tmp_path / "graph")
+    revisions.commit(harbour_graph(spark), root)
+    whole = folders(root)
+    g = CodeGraph(spark, root)
+    note = spark.createDataFrame([("m", 12, "Check security", ["x"], "Todo", datetime.datetime(2024, 1, 1))], "id string, node_id bigint, content string, tags array<string>, intent string, created_at timestamp")
+    noted = g.attach_memories(note)
+    assert sorted(folders(root)) == sorted([*whole, ["memory_nodes"]])
+    assert noted.graph.edges.count() == g.graph.edges.count() and noted.graph["memory_nodes"].count() == 1
+    with pytest.raises(schemas.RevisionChanged):  # made from a revision that is no longer current
+        g.attach_memories(note)
+    assert CodeGraph(spark, root).graph.revision == noted.graph.revision and len(folders(root)) == 2
+
+
+def test_two_writers_of_one_number(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "graph")
+    revisions.commit(harbour_graph(spark), root)
+    stale = revisions.current(spark, root)
+    first = revisions.commit(harbour_graph(spark, extra_edges=[(13, 15, "MethodCall")]), root)
+    with monkeypatch.context() as m:
+        m.setattr(revisions, "current", lambda *_: stale)
+        with pytest.raises(schemas.RevisionChanged, match="another writer"):
+            revisions.commit(harbour_graph(spark, extra_edges=[(15, 13, "MethodCall")]), root)
+    assert revisions.current(spark, root)["revision"] == first and revisions.load(spark, root).edges.count() == 13
+
+
+def test_layers_of_the_keyword_index_equal_a_rebuild(spark, tmp_path):
+    root = str(tmp_path / "graph")
+    revisions.commit(harbour_graph(spark), root)
+    layers = []
+    for k in range(3):
+        g = revisions.load(spark, root)
+        changed = g["code_nodes"].withColumn("search_text", F.when(F.col("id") == 11 + k, F.concat(F.lit(f"vessel tide{k} "), F.coalesce("search_text", F.lit("")))).otherwise(F.col("search_text")))
+        revisions.commit(Graph(spark, dict(g.tables) | {"code_nodes": changed.filter(F.col("id") != (18 if k == 2 else -1))}, g.revision, g.inward, g.stored), root)
+        now = revisions.load(spark, root)
+        layered = revisions.keyword_index(spark, root, now.revision)
+        for text in ("vessel tide1", "berth assign"):
+            plain = {r["id"]: round(r["score"], 9) for r in search.keyword_scores(now.code(wide=True), text).collect()}
+            assert {r["id"]: round(r["score"], 9) for r in search.keyword_scores(now.code(wide=True), text, index=layered).collect()} == plain
+        layers.append(len(revisions.current(spark, root)["keywords"]))
+    assert layers == [2, 3, 1]  # the last commit changes over a fifth of the rows
+
+
 def test_diff(spark):
     a = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "k int, v string")
     b = spark.createDataFrame([(1, "x"), (2, ""), (4, "w")], "k int, v string")
