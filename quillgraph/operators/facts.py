@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.graph import Graph
+from quillgraph.operators.extraction import body_hash
 
 # The edge type that each kind of fact stands for.
 FACT_EDGES = {"project": "ProjectReference", "contains": "ParentOf", "implements": "Implements", "inherits": "Implements", "calls": "MethodCall", "reads": "FieldAccess", "writes": "FieldAccess", "registers": "ServiceRegistration", "imports": "Import"}
@@ -29,6 +30,41 @@ def edges_of_facts(facts: DataFrame) -> DataFrame:
     return made.filter("edge_type is not null").distinct()
 
 
+def documentation_text(doc: Column) -> Column:
+    """The summary, then the remarks, of an XML documentation comment as text: tags
+    go, references leave the name they refer to, white space is one blank."""
+    bare = F.regexp_replace(F.coalesce(doc, F.lit("")), r"(?m)^[ \t]*///? ?", "")
+
+    def flat(x: Column) -> Column:
+        named = F.regexp_replace(x, r"<(?:see|paramref|typeparamref)\s+(?:cref|langword|name)\s*=\s*[\"']([^\"']*)[\"']\s*/>", " $1")
+        plain = F.regexp_replace(named, r"<[^>]*>", "")
+        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+            plain = F.replace(plain, F.lit(entity), F.lit(char))
+        return F.trim(F.regexp_replace(plain, r"\s+", " "))
+
+    def element(name: str) -> Column:
+        found = F.regexp_extract_all(bare, F.lit(rf"(?s)<{name}(?:\s[^>]*)?>(.*?)</{name}>"), F.lit(1))
+        return F.array_join(F.filter(F.transform(found, flat), lambda x: x != ""), "\n")
+
+    return F.array_join(F.filter(F.array(element("summary"), element("remarks")), lambda x: x != ""), "\n")
+
+
+def nodes_of_facts(parts: DataFrame) -> DataFrame:
+    """Declaration parts (project_id, symbol, fully_qualified_name, display_name,
+    node_type, path, start_line, end_line, documentation, token_hash, ordinal) ->
+    one node a project and symbol.  Partial declarations are one node: the part that
+    comes first (by ordinal, path, line) gives the place and the summary, and the
+    body hash is that of all parts' token hashes, whatever their order; it is null
+    where no part has any.  Parts without a symbol are none."""
+    first = F.struct("ordinal", "path", "start_line", "end_line")
+    shown = ["fully_qualified_name", "display_name", "node_type", "path", "start_line", "end_line", "documentation"]
+    met = parts.filter("symbol is not null").groupBy("project_id", "symbol").agg(F.min_by(F.struct(*shown), first).alias("f"), F.collect_list("token_hash").alias("_hashes"), F.count(F.lit(1)).alias("n_parts"))
+    summary = documentation_text(F.col("f.documentation"))
+    made = met.select("project_id", "symbol", *[F.col(f"f.{c}").alias(c) for c in shown[:-1]], summary.alias("summary"), F.when(F.size("_hashes") > 0, body_hash(F.col("_hashes"))).alias("body_hash"), "n_parts")
+    text = F.when(F.col("summary") == "", F.col("display_name")).otherwise(F.concat("display_name", F.lit("\n"), "summary"))
+    return made.select(F.concat(F.lit("code:"), "project_id", F.lit(":"), "symbol").alias("canonical_id"), *made.columns, text.alias("search_text"))
+
+
 def enclosing(calls: DataFrame, declarations: DataFrame, bin_lines: int = 64) -> DataFrame:
     """Calls (call_id, path, line) -> (call_id, declaration_id) of the smallest
     declaration (declaration_id, path, start_line, end_line) around the line; ties

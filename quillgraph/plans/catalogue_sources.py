@@ -411,6 +411,20 @@ def log_match(spark: SparkSession, d: str) -> DataFrame:
     return lines.filter(match.match(F.col("text"), asked)).select("log_id", "line_number")
 
 
+@query
+def fact_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as types declared in a part a line; the last line comes first."""
+    li = derive.read(spark, d, "lineitem")
+    k, n, p = (F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey"))
+    doc = F.concat(F.lit("/// <summary>Order "), k, F.lit('<see cref="Part'), p, F.lit('"/>,\n///   <c>line</c> '), n, F.lit(".</summary>\n/// <param name=\"x\">no</param>"), F.when(F.col("l_linenumber") % 2 == 0, "<remarks>a &lt; b</remarks>").otherwise("<remarks> </remarks>"))
+    parts = li.select(
+        F.concat(F.lit("p"), (F.col("l_orderkey") % 3).cast("string")).alias("project_id"), F.concat(F.lit("T:O"), k).alias("symbol"), F.concat(F.lit("N.O"), k).alias("fully_qualified_name"), F.concat(F.lit("O"), k).alias("display_name"),
+        F.lit("Class").alias("node_type"), F.concat(F.lit("src/"), k, F.lit("/"), n, F.lit(".cs")).alias("path"), (F.col("l_linenumber") * 10).alias("start_line"), (F.col("l_linenumber") * 10 + 5).alias("end_line"),
+        doc.alias("documentation"), F.when(F.col("l_partkey") % 4 != 0, F.upper(F.sha2(p, 256))).alias("token_hash"), (-F.col("l_linenumber") * 1_000_000 - F.col("l_partkey")).alias("ordinal"),
+    )
+    return facts.nodes_of_facts(parts).select("canonical_id", "path", F.col("start_line").cast("long").alias("start_line"), "search_text", "body_hash", "n_parts")
+
+
 @query
 def changes_normalised(spark: SparkSession, d: str) -> DataFrame:
     e = derive.read(spark, d, "events")

@@ -168,6 +168,12 @@ w AS (SELECT log_id, line_number, {terms("text")} AS t FROM li),
 h AS (SELECT *, len(list_filter(t, lambda x: starts_with(x, 'licens'))) > 0 AS a, len(list_filter(range(1, len(t)), lambda i: t[i] = 'de' AND t[i + 1] = 'la')) > 0 AS b, list_contains(t, 'la') AS c, list_contains(t, 'not') AND list_contains(t, 'there') AS never,
   list_contains(t, 'der') AND list_contains(t, 'und') AS e, list_contains(t, 'die') OR len(list_filter(t, lambda x: starts_with(x, 'wer'))) > 0 AS f, len(t) > 1 AND t[1] = 'the' AND starts_with(t[2], 're') AS g FROM w)""") + """
 SELECT log_id, line_number FROM h WHERE ((a OR (b AND NOT c)) AND never AND len(list_filter(range(1, len(t)), lambda i: t[i] = 'not' AND t[i + 1] = 'there')) > 0) OR (e AND NOT f) OR g""",
+    "fact_nodes": """
+WITH h AS (SELECT *, CASE WHEN l_partkey % 4 <> 0 THEN upper(sha256(l_partkey::VARCHAR)) END AS th, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC) AS r FROM lineitem),
+g AS (SELECT l_orderkey, count(*) AS n_parts, sha256(string_agg(th, '' ORDER BY th)) AS body_hash FROM h GROUP BY l_orderkey)
+SELECT 'code:p' || h.l_orderkey % 3 || ':T:O' || h.l_orderkey AS canonical_id, 'src/' || h.l_orderkey || '/' || l_linenumber || '.cs' AS path, CAST(l_linenumber * 10 AS BIGINT) AS start_line,
+  'O' || h.l_orderkey || chr(10) || 'Order ' || h.l_orderkey || ' Part' || l_partkey || ', line ' || l_linenumber || '.' || CASE WHEN l_linenumber % 2 = 0 THEN chr(10) || 'a < b' ELSE '' END AS search_text, body_hash, n_parts
+FROM h JOIN g ON g.l_orderkey = h.l_orderkey WHERE r = 1""",
     "changes_normalised": """
 WITH e AS (SELECT *, event_id % 6 AS a, 'src/' || user_id || '.md' AS old, 'docs/' || user_id || '.md' AS new, event_id % 5 <> 0 AS old_ok, event_id % 7 <> 0 AS new_ok FROM events),
 c AS (

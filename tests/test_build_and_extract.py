@@ -16,7 +16,7 @@ from quillgraph.engine import CodeGraph
 from quillgraph.functions import text as X
 from quillgraph.functions.ranking import global_rank
 from quillgraph.graph import Graph
-from quillgraph.operators import build, extraction, logs, modules, render, search, typescript
+from quillgraph.operators import build, extraction, facts, logs, modules, render, search, typescript
 from quillgraph.sources import files, revisions
 from quillgraph.streaming import notify, watch
 
@@ -271,6 +271,21 @@ def test_reexports_end_where_they_began(spark):
     assert edges == {("code:ts:app.tsx:App", t) for t in targets}
 
 
+def test_partial_declarations_are_one_node(spark):
+    doc = '/// <summary>\n/// Adds <see cref="B{T}"/> to<paramref name="x" />, &lt;fast&gt;.\n/// </summary>\n/// <remarks>Twice\n///  over.</remarks>'
+    rows = [
+        ("p", "T:A", "N.A", "A", "Class", "a2.cs", 5, 9, "/// <summary>Other</summary>", "BB", 2), ("p", "T:A", "N.A", "A", "Class", "a1.cs", 1, 4, doc, "AA", 1), ("p", "T:A", "N.A", "A", "Class", "a3.cs", 1, 4, None, None, 3),
+        ("q", "T:A", "N.A", "A", "Class", "a1.cs", 1, 4, None, None, 1), ("p", None, "x", "x", "Class", "x.cs", 1, 1, None, "CC", 1),
+    ]
+    parts = spark.createDataFrame(rows, "project_id string, symbol string, fully_qualified_name string, display_name string, node_type string, path string, start_line int, end_line int, documentation string, token_hash string, ordinal int")
+    found = {r["canonical_id"]: r for r in facts.nodes_of_facts(parts).collect()}
+    assert set(found) == {"code:p:T:A", "code:q:T:A"}
+    one = found["code:p:T:A"]
+    assert (one["path"], one["start_line"], one["n_parts"], one["body_hash"]) == ("a1.cs", 1, 3, hashlib.sha256(b"AABB").hexdigest())
+    assert one["summary"] == "Adds B{T} to x, <fast>.\nTwice over." and one["search_text"] == "A\n" + one["summary"]
+    assert (found["code:q:T:A"]["summary"], found["code:q:T:A"]["search_text"], found["code:q:T:A"]["body_hash"]) == ("", "A", None)
+
+
 def script(spark, *files):
     return typescript.read_files(spark.createDataFrame(list(files), "relative_path string, text string"))
 
