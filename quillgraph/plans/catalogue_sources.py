@@ -46,6 +46,17 @@ def markdown_links(spark: SparkSession, d: str) -> DataFrame:
     return extraction.link_targets(extraction.raw_links(samples.handbook(spark, d))).select("relative_path", "n", "target", "target_id")
 
 
+@query
+def markdown_nested(spark: SparkSession, d: str) -> DataFrame:
+    c = extraction.markdown_chunks(samples.notebook(spark, d))
+    return c.select("canonical_id", "title", "start_line", "end_line", "level", "parent_id")
+
+
+@query
+def markdown_wiki_links(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.link_targets(extraction.raw_links(samples.notebook(spark, d))).select("relative_path", "n", "kind", "target", "target_id")
+
+
 @query
 def typescript_import_edges(spark: SparkSession, d: str) -> DataFrame:
     f = samples.scripts(spark, d)

@@ -32,6 +32,18 @@ def handbook(spark: SparkSession, d: str) -> DataFrame:
     return turns.select(F.concat(F.lit("docs/c"), _s("conv_id"), F.lit(".md")).alias("relative_path"), text.alias("text"))
 
 
+def notebook(spark: SparkSession, d: str) -> DataFrame:
+    """(relative_path, text): one Markdown file a conversation with headings in
+    quotes, lists, HTML and code, and wiki links."""
+    c = read(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
+    k, after = _s("conv_id"), _s(F.col("conv_id") + 1)
+    text = F.concat(
+        F.lit("# Talk "), k, F.lit("\n\n> # quoted\n> lazy\nstill [[c"), after, F.lit("|next]]\n\n1. item\n\n   ## inside [[c"), k, F.lit("#In Short]]\n\n   > ### deeper\n\n<div>\n## html [[gone]] [x](gone.md)\n</div>\n\n"),
+        F.when(F.col("conv_id") % 2 == 0, F.lit("- ~~~\n  # [[gone]]\n  ~~~\n")).otherwise(F.lit("    # [[gone]]\n\n<!-- a\n# b -->\n")), F.lit("In\nshort\n---\n\n"), F.lit("`[[gone]]` [["), k, F.lit("/up]] "), _s("turns"), F.lit(" turns\n"),
+    )
+    return c.select(F.concat(F.lit("docs/wiki/c"), k, F.lit(".md")).alias("relative_path"), text.alias("text"))
+
+
 def scripts(spark: SparkSession, d: str) -> DataFrame:
     """(relative_path, text): a module a supplier, a barrel a nation and one over
     all, and a consumer a customer, with a tsconfig and a package."""

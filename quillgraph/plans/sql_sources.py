@@ -64,6 +64,16 @@ SQL = TYPESCRIPT | {
 SELECT parent AS caller_id, id AS callee_id, 'ParentOf' AS edge_type FROM ch JOIN pa ON pa.conv_id = ch.conv_id AND pa.o = ch.o
 UNION SELECT 'code:doc:docs/c' || conv_id || '.md#turn-' || turn, target_id, 'DocumentLink' FROM tg WHERE target_id IN (SELECT id FROM ch)""",
     "markdown_links": with_(TURNS) + " SELECT relative_path, n, target, target_id FROM tg",
+    "markdown_nested": """
+WITH c AS (SELECT DISTINCT conv_id AS k, 'code:doc:docs/wiki/c' || conv_id || '.md#' AS base FROM conversations)
+SELECT base || 'document-root' AS canonical_id, NULL AS title, 1 AS start_line, 1 AS end_line, 0 AS level, NULL AS parent_id FROM c
+UNION ALL SELECT base || 'talk-' || k, 'Talk ' || k, 1, CASE WHEN k % 2 = 0 THEN 19 ELSE 20 END, 1, base || 'document-root' FROM c
+UNION ALL SELECT base || 'in-short', 'In short', CASE WHEN k % 2 = 0 THEN 20 ELSE 21 END, CASE WHEN k % 2 = 0 THEN 24 ELSE 25 END, 2, base || 'talk-' || k FROM c""",
+    "markdown_wiki_links": """
+WITH c AS (SELECT DISTINCT conv_id AS k, 'docs/wiki/c' || conv_id || '.md' AS relative_path FROM conversations)
+SELECT relative_path, 5 AS n, 'wiki' AS kind, 'c' || (k + 1) || '|next' AS target, 'code:doc:docs/wiki/c' || (k + 1) || '.md#document-root' AS target_id FROM c
+UNION ALL SELECT relative_path, 9, 'wiki', 'c' || k || '#In Short', 'code:doc:docs/wiki/c' || k || '.md#in-short' FROM c
+UNION ALL SELECT relative_path, CASE WHEN k % 2 = 0 THEN 24 ELSE 25 END, 'wiki', k || '/up', 'code:doc:docs/wiki/' || k || '/up.md#document-root' FROM c""",
     "files_discovered": with_(LISTING) + " SELECT path AS relative_path FROM li WHERE form IN (0, 1, 4)",
     "files_sources": with_(LISTING) + """
 SELECT 'CSharp' AS kind, path FROM li WHERE form = 8 UNION ALL SELECT 'TypeScript', path FROM li WHERE form = 7
