@@ -217,14 +217,15 @@ def _peers(graph: Graph, node_id: int, after: int = 0) -> DataFrame:
     return out.unionByName(into).filter(F.col("peer") > after)
 
 
-def connections(graph: Graph, node_id: int, page_size: int = 100, after: int = 0) -> DataFrame:
+def connections(graph: Graph, node_id: int, page_size: int = 100, after: int = 0, more: int = 0) -> DataFrame:
     """One page of peers by id, each with all edges to and from the node:
-    (peer, label, type, relationships array<struct<type, direction, metadata>>).
+    (peer, label, type, relationships array<struct<type, direction, metadata>>),
+    and so many ``more`` peers, which tell whether another page follows.
     """
     if not 1 <= page_size <= 500:
         raise ValueError("page size must be 1 to 500")
     both = _peers(graph, node_id, after)
-    page = [r["peer"] for r in both.select("peer").distinct().orderBy("peer").limit(page_size).collect()]
+    page = [r["peer"] for r in both.select("peer").distinct().orderBy("peer").limit(page_size + more).collect()]
     rel = F.struct(X.edge_label(F.col("edge_type")).alias("type"), "direction", "metadata")
     grouped = both.filter(F.col("peer").isin(page)).groupBy("peer").agg(F.sort_array(F.collect_list(rel)).alias("relationships"))
     shown = graph.display(only=page).select(F.col("id").alias("peer"), "label", "type")

@@ -169,8 +169,8 @@ def connections_page(graph: Graph, node_id: int, page_size: int = 100, cursor: s
     if node_id <= 0:
         raise ValueError("node id must be positive")
     at = Cursor.decode(cursor, "connections", str(node_id), graph.revision).key[0] if cursor else 0
-    rows = navigation.connections(graph, node_id, page_size, at).orderBy("peer").collect()
-    later = len(rows) == page_size and not navigation.connections(graph, node_id, 1, rows[-1]["peer"]).isEmpty()
+    rows = navigation.connections(graph, node_id, page_size, at, more=1).orderBy("peer").collect()
+    later, rows = len(rows) > page_size, rows[:page_size]
     token = Cursor("connections", str(node_id), graph.revision, (rows[-1]["peer"],)).encode() if later else None
     return Page(rows, token, graph.revision, navigation.connection_total(graph, node_id) if include_total else None)
 

@@ -230,7 +230,7 @@ def scope_root_totals(spark: SparkSession, d: str) -> DataFrame:
 def scope_page_walk(spark: SparkSession, d: str) -> DataFrame:
     """All pages of a scope, each from the cursor of the one before."""
     g = derive.stored(spark, d)
-    picked = [r["id"] for r in g["directories"].filter("path like 'blog.%' and path not like '%/%'").select("id").limit(5000).collect()]
+    picked = [r["id"] for r in g["directories"].filter("path like 'blog.%' and path not like '%/%'").select("id").orderBy("id").collect()]
     rows, cursor = [], None
     while True:
         p = paging.page(g, "nodes", picked, 5000, cursor, include_total=True)
