@@ -265,3 +265,33 @@ def chains(walk_edges: DataFrame, root_id: int, max_depth: int, limit: int | Non
         done = ended if done is None else done.unionByName(ended)
         paths = grown
     return done.unionByName(paths) if done is not None else paths
+
+
+def chains_page(walk_edges: DataFrame, root_id: int, max_depth: int, size: int = 100, after: list[int] | None = None) -> DataFrame:
+    """The ``size`` chains that come next after the chain ``after`` in the order of
+    their arrays of ids; those that ``chains`` gives.
+
+    Every open path leads to one chain at least, and paths of one length stand in
+    the order of the chains they lead to.  So of each length the first ``size``
+    that do not come before the cursor are enough, and one that leads up to it:
+    no more than that times a node's callers is ever made, however many chains
+    there are."""
+    up = walk_edges.select("caller", "callee").distinct()
+    spark = walk_edges.sparkSession
+    cursor = after or []
+    paths = spark.createDataFrame([([root_id],)], "path array<bigint>")
+    done = paths.limit(0)
+    for level in range(1, max_depth + 1):
+        ends = paths.withColumn("callee", F.element_at("path", -1))
+        near = up.join(F.broadcast(ends.select("callee").distinct()), "callee", "left_semi")
+        grown = ends.join(near, "callee", "left").withColumn("_on", F.col("caller").isNotNull() & ~F.array_contains("path", F.coalesce("caller", F.lit(root_id))))
+        ended = grown.groupBy("path").agg(F.bool_or("_on").alias("_on")).filter("not _on").select("path")
+        further = grown.filter("_on").select(F.concat("path", F.array("caller")).alias("path"))
+        from_here = F.lit(True) if not cursor else F.col("path") >= F.array(*[F.lit(i).cast("bigint") for i in cursor[: level + 1]])
+        paths = written(further.filter(from_here).orderBy("path").limit(size + 1), "chain-page")
+        done = written(done.unionByName(ended), "chain-ends")
+        if paths.isEmpty():
+            break
+    every = done.unionByName(paths)
+    beyond = every if not cursor else every.filter(F.col("path") > F.array(*[F.lit(i).cast("bigint") for i in cursor]))
+    return beyond.orderBy("path").limit(size)

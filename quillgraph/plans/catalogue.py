@@ -327,6 +327,15 @@ def path_chains(spark: SparkSession, d: str) -> DataFrame:
     return render.chain_lines(paths, g["code_nodes"].select("id", F.col("fully_qualified_name").alias("name")))
 
 
+@query
+def path_chains_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of caller chains, from the last chain of the first."""
+    edges = derive.stored(spark, d).edges.filter(F.col("edge_type").isin(*schemas.FUNCTIONAL))
+    first = navigation.chains_page(edges, 1003, 2, 40).agg(F.max("path")).first()[0]
+    page = navigation.chains_page(edges, 1003, 2, 40, first)
+    return page.select(F.array_join("path", ">").alias("ids"))
+
+
 @query
 def json_rows(spark: SparkSession, d: str) -> DataFrame:
     s = derive.read(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("s_name"))

@@ -239,6 +239,13 @@ SELECT directory, min(rank) AS ord, string_agg('  ' || file || chr(10) || lines,
     "path_chains": with_(SQL_NODES, SQL_EDGES, f"""
 u AS (SELECT DISTINCT caller, callee FROM edges WHERE {FUNCTIONAL})
 SELECT '3000005>' || caller AS ids, c.name || ' -> ' || p.name AS chain FROM u JOIN code c ON c.id = caller JOIN code p ON p.id = 3000005 WHERE callee = 3000005"""),
+    "path_chains_page": with_(SQL_EDGES, f"""
+u AS (SELECT DISTINCT caller, callee FROM edges WHERE {FUNCTIONAL}),
+one AS (SELECT caller AS a FROM u WHERE callee = 1003 AND caller <> 1003),
+two AS (SELECT a, caller AS b FROM one JOIN u ON callee = a WHERE caller NOT IN (a, 1003)),
+c AS (SELECT a, b FROM two UNION ALL SELECT a, NULL FROM one WHERE a NOT IN (SELECT a FROM two)),
+r AS (SELECT *, row_number() OVER (ORDER BY a, b NULLS FIRST) AS n FROM c)""") + """
+SELECT '1003>' || a || CASE WHEN b IS NULL THEN '' ELSE '>' || b END AS ids FROM r WHERE n BETWEEN 41 AND 80""",
     "json_rows": """SELECT '{"sSuppkey":' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN ',"sName":"' || s_name || '"' ELSE '' END || '}' AS json FROM supplier""",
     "fact_edges": """
 SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS caller_id, CAST(o_custkey AS VARCHAR) AS callee_id, CASE WHEN o_custkey % 3 = 0 THEN 'MethodCall' ELSE 'Instantiates' END AS edge_type FROM orders WHERE o_orderkey <> o_custkey

@@ -356,3 +356,26 @@ def test_statistics(graph, spark):
     runs = spark.createDataFrame([("w", [("info", "x" * 600)] * 20 + [("error", "bad")])], "workspace string, diagnostics array<struct<severity string, message string>>")
     (r,) = statistics.bounded_diagnostics(runs).collect()
     assert len(r["diagnostics"]) == 20 and r["diagnostics"][0]["severity"] == "error" and r["diagnostics"][-1]["message"] == "2 more" and len(r["diagnostics"][1]["message"]) == 512
+
+
+def test_pages_of_chains_are_the_chains_in_order(spark):
+    rnd = random.Random(8)
+    pairs = {(rnd.randint(1, 9), rnd.randint(1, 9)) for _ in range(30)} | {(k, 10) for k in (1, 2, 3)}
+    edges = spark.createDataFrame([p for p in sorted(pairs)], "caller long, callee long")
+    want = sorted(list(r["path"]) for r in navigation.chains(edges, 10, 3).collect())
+    got, cursor = [], None
+    while True:
+        page = [list(r["path"]) for r in navigation.chains_page(edges, 10, 3, 5, cursor).collect()]
+        got += page
+        if len(page) < 5:
+            break
+        cursor = page[-1]
+    assert got == want and len(want) > 10
+    assert [list(r["path"]) for r in navigation.chains_page(edges, 99, 3).collect()] == [[99]]
+
+
+def test_a_page_of_millions_of_chains(spark):
+    wide = [(100 * k + i, 100 * (k - 1) + j) for k in range(1, 5) for i in range(60) for j in range(60)]
+    edges = spark.createDataFrame([(100 + i, 0) for i in range(60)] + [(a, b) for a, b in wide if b >= 100], "caller long, callee long")
+    page = [list(r["path"]) for r in navigation.chains_page(edges, 0, 4, 5, [0, 130, 230, 359, 459]).collect()]
+    assert page == [[0, 130, 231, 300, 400 + k] for k in range(5)]
