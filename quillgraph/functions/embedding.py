@@ -13,18 +13,17 @@ def hashing_model(dims: int = DIMS) -> Callable[[list[str]], list[list[float]]]:
     """Signed feature hashing of words, length one."""
 
     def embed(texts: list[str]) -> list[list[float]]:
-        import math
+        from itertools import chain
         from zlib import crc32
 
-        out = []
-        for text in texts:
-            v = [0.0] * dims
-            for word in (text or "").lower().split():
-                h = crc32(word.encode())
-                v[h % dims] += 1.0 if h >> 31 else -1.0
-            size = math.sqrt(sum(x * x for x in v)) or 1.0
-            out.append([x / size for x in v])
-        return out
+        import numpy as np
+
+        words = [(text or "").lower().split() for text in texts]
+        h = np.array([crc32(w.encode()) for w in chain.from_iterable(words)], dtype=np.int64)
+        row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        v = np.bincount(row * dims + h % dims, weights=np.where(h >> 31, 1.0, -1.0), minlength=len(words) * dims).reshape(len(words), dims)
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        return (v / np.where(size, size, 1.0)).tolist()
 
     return embed
 

@@ -460,6 +460,12 @@ def type_histogram(spark: SparkSession, d: str) -> DataFrame:
     return facts.histogram(nodes)
 
 
+@query
+def project_list(spark: SparkSession, d: str) -> DataFrame:
+    """The project projection: regions as projects, with their documents."""
+    return derive.stored(spark, d).projects().select("id", "canonical_id", "name", "project_document_id", "relative_path")
+
+
 @query
 def stored_revision(spark: SparkSession, d: str) -> DataFrame:
     """A committed graph read back: rows and the range of ids of each table."""

@@ -194,6 +194,8 @@ k AS (SELECT DISTINCT 'docs/' || user_id || '.md' AS path FROM events WHERE user
 SELECT CASE WHEN action = 'Added' AND path IN (SELECT path FROM k) THEN 'Modified' WHEN action = 'Modified' AND path NOT IN (SELECT path FROM k) THEN 'Added' ELSE action END AS action, path, count(*) AS n, min(ts) AS first FROM c GROUP BY 1, 2""",
     "node_lines": with_(SQL_NODES) + " SELECT id, '[' || CASE node_type WHEN 'Interface' THEN 'I' WHEN 'Class' THEN 'C' WHEN 'Field' THEN 'F' ELSE 'M' END || '] `' || id || '` ' || name AS line FROM code",
     "type_histogram": with_(SQL_NODES) + " SELECT coalesce(lower(node_type), 'project') AS type, count(*) AS n FROM nodes GROUP BY 1",
+    "project_list": with_(SQL_NODES, SQL_FILES) + """
+SELECT p.id, p.canonical_id, p.name, page_id AS project_document_id, path AS relative_path FROM proj p JOIN paths ON page_id = p.id % (SELECT count(*) FROM pages)""",
     "stored_revision": with_(SQL_NODES, SQL_EDGES) + """
 SELECT 'graph_nodes' AS name, count(*) AS n, min(id) AS least, max(id) AS most FROM nodes UNION ALL SELECT 'code_nodes', count(*), min(id), max(id) FROM code UNION ALL SELECT 'project_nodes', count(*), min(id), max(id) FROM proj
 UNION ALL SELECT 'documents', count(*), min(page_id), max(page_id) FROM pages UNION ALL SELECT 'dependency_edges', count(*), min(caller), max(caller) FROM edges UNION ALL SELECT 'inward', count(*), min(caller), max(caller) FROM edges""",
