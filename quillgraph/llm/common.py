@@ -70,9 +70,12 @@ def is_remainder(doc_id: Column, modulus: int, remainder: int) -> Column:
     return (F.crc32(key.cast("binary")) % modulus) == remainder
 
 
-def drawn(marks: DataFrame, most: int, label: str, *by: Column) -> DataFrame:
-    """The first ``most`` rows of each value of ``label`` in the order of ``by``."""
+def drawn(marks: DataFrame, most: int, label: str, *by: Column, of: Column | None = None) -> DataFrame:
+    """The first ``most`` rows of each value of ``label`` in the order of ``by``.
+    If the first of these is a number from 0 to 1 without a pattern, ``of`` such rows
+    of the label, those that are surely too late are left out before any are ranked."""
     order = Window.partitionBy(label).orderBy(*by)
+    marks = marks if of is None else marks.filter(by[0] < (4.0 * most + 100) / of)
     return marks.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
 
 

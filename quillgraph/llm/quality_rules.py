@@ -164,9 +164,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """Learn from the statistics of at most ``sample`` labelled documents."""
     marks = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2"))
     marks = marks.filter("q = q2 and doc_id is not null").select(F.col("doc_id").alias("_label_id"), (F.col("q") == 0).alias("_bad"))
-    if marks.isEmpty():
+    n = marks.count()
+    if not n:
         return []
-    chosen = drawn(marks.withColumn("_all", F.lit(0)), sample, "_all", unit_hash(F.col("_label_id"), F.lit("rules")), F.col("_label_id"))
+    chosen = drawn(marks.withColumn("_all", F.lit(0)), sample, "_all", unit_hash(F.col("_label_id"), F.lit("rules")), F.col("_label_id"), of=F.lit(n))
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_label_id")).drop("_label_id")
     stats = bounded(joined, sample, "_all", "rules").select("doc_id", "_bad", F.explode(F.array(statistics(F.col("text")))).alias("s"))
     got = stats.select("doc_id", "_bad", *[_feature(F.col("s"), f).alias(f) for f in FEATURES]).collect()
