@@ -65,17 +65,38 @@ def nodes_of_facts(parts: DataFrame) -> DataFrame:
     return made.select(F.concat(F.lit("code:"), "project_id", F.lit(":"), "symbol").alias("canonical_id"), *made.columns, text.alias("search_text"))
 
 
-def enclosing(calls: DataFrame, declarations: DataFrame, bin_lines: int = 64) -> DataFrame:
+def _dyadic(start: Column, end: Column) -> Column:
+    """The blocks of 2^level aligned lines that make up the lines start to end, two of
+    a level at most: an array of (level, block)."""
+    least, beyond = start.cast("long"), end.cast("long") + 1
+    level = F.sequence(F.lit(0), F.floor(F.log2(beyond - least)).cast("int") + 1)
+
+    def at(k: Column) -> Column:
+        first = F.call_function("shiftright", least + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k)
+        last = F.call_function("shiftright", beyond, k)
+        left = F.when((first < last) & (F.pmod(first, F.lit(2)) == 1), F.struct(k.alias("level"), first.alias("block")))
+        right = F.when((first < last) & (F.pmod(last, F.lit(2)) == 1), F.struct(k.alias("level"), (last - 1).alias("block")))
+        return F.array(left, right)
+
+    return F.filter(F.flatten(F.transform(level, at)), lambda x: x.isNotNull())
+
+
+def enclosing(calls: DataFrame, declarations: DataFrame) -> DataFrame:
     """Calls (call_id, path, line) -> (call_id, declaration_id) of the smallest
     declaration (declaration_id, path, start_line, end_line) around the line; ties
-    to the first.  Declarations are cut into bins of lines, so the join is on
-    equal (path, bin) and never pairs a whole file with a whole file."""
-    first, last = F.floor(F.col("start_line") / bin_lines), F.floor(F.col("end_line") / bin_lines)
-    spread = declarations.filter("end_line >= start_line").withColumn("_bin", F.explode(F.sequence(first, last)))
-    probe = calls.withColumn("_bin", F.floor(F.col("line") / bin_lines))
-    met = probe.join(spread, ["path", "_bin"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    order = F.struct(F.col("end_line") - F.col("start_line"), "start_line", "declaration_id")
-    return met.groupBy("call_id").agg(F.min_by("declaration_id", order).alias("declaration_id"))
+    to the first.  A declaration is cut into aligned blocks of 1, 2, 4, ... lines, of
+    which one block keeps its smallest declaration only; a line lies in one block of
+    each level.  So the join has a row for each line asked and level, however many
+    declarations lie around a line."""
+    order = F.struct((F.col("end_line") - F.col("start_line")).alias("size"), "start_line", "declaration_id")
+    spread = declarations.filter("end_line >= start_line").select("path", order.alias("_d"), F.explode(_dyadic(F.col("start_line"), F.col("end_line"))).alias("_b"))
+    blocks = spread.groupBy("path", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")).agg(F.min("_d").alias("_d"))
+    top = declarations.filter("end_line >= start_line").agg(F.max(F.floor(F.log2(F.col("end_line").cast("long") - F.col("start_line") + 1)).cast("int") + 1).alias("_top"))
+    lines = calls.select("path", "line").distinct().crossJoin(F.broadcast(top.filter("_top is not null")))
+    probe = lines.select("path", "line", F.explode(F.sequence(F.lit(0), F.col("_top"))).alias("_level"))
+    probe = probe.withColumn("_block", F.call_function("shiftright", F.col("line").cast("long"), F.col("_level")))
+    best = probe.join(blocks, ["path", "_level", "_block"]).groupBy("path", "line").agg(F.min("_d").alias("_d"))
+    return calls.join(best, ["path", "line"]).groupBy("call_id").agg(F.min("_d").alias("_d")).select("call_id", F.col("_d.declaration_id").alias("declaration_id"))
 
 
 def visible(graph: Graph, types=("*",), text: str = "") -> tuple[DataFrame, DataFrame]:
