@@ -31,3 +31,12 @@ def test_enclosing_does_not_pair_all_calls_with_all_declarations_of_a_file(spark
     began = time.time()
     assert facts.enclosing(calls, declared).agg(F.count(F.lit(1))).first()[0] == n
     assert time.time() - began < 60  # 10^10 pairs take longer
+
+
+def test_fact_nodes_takes_the_last_line_where_parts_number_millions(spark, tmp_path):
+    from quillgraph.plans.catalogue_sources import fact_nodes
+
+    rows = [(3, 2, 5), (3, 1, 1_200_000), (4, 1, 2_500_000), (4, 3, 7), (4, 3, 8)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["path"]: "Part" + str(p) in r["search_text"] for p, r in zip((5, 8), fact_nodes(spark, str(tmp_path)).orderBy("path").collect())}
+    assert got == {"src/3/2.cs": True, "src/4/3.cs": True}
