@@ -22,7 +22,6 @@ from quillgraph import schemas
 from quillgraph.functions.storage import create, exists, remove
 from quillgraph.graph import Graph
 from quillgraph.operators import search
-from quillgraph.operators.build import row_hash
 
 #: How tables are clustered: range by range, sorted inside.
 CLUSTERED = {"graph_nodes": ["id"], "code_nodes": ["id"], "dependency_edges": ["caller_node_id", "callee_node_id", "edge_type"]}
@@ -53,18 +52,23 @@ def _row(spark: SparkSession, root: str, revision: str | None):
 
 
 def fingerprint(table: DataFrame, name: str) -> str:
-    """One hash of a table, whatever the order of its rows."""
-    h = table.select(F.conv(F.substring(row_hash(*sorted(table.columns)), 1, 15), 16, 10).cast("decimal(38,0)").alias("h"))
-    return h.agg(F.concat_ws(":", F.lit(name), F.count(F.lit(1)).cast("string"), F.coalesce(F.sum("h"), F.lit(0)).cast("string"))).first()[0]
+    """One hash of a table, whatever the order of its rows: their number, and sums of
+    the halves of two 64-bit hashes of each row, which tell null from empty."""
+    columns = sorted(table.columns)
+    rows = table.select(*[F.xxhash64(F.lit(seed), *columns, *[F.col(c).isNull() for c in columns]).alias(f"_h{seed}") for seed in (0, 1)])
+    halves = [half for seed in (0, 1) for half in (F.shiftrightunsigned(f"_h{seed}", 32), F.col(f"_h{seed}").bitwiseAND(F.lit((1 << 32) - 1)))]
+    sums = [F.coalesce(F.sum(half), F.lit(0)).cast("string") for half in halves]
+    return rows.agg(F.concat_ws(":", F.lit(name), F.count(F.lit(1)).cast("string"), *sums)).first()[0]
 
 
 def _read(spark: SparkSession, root: str, folder: str, name: str) -> DataFrame:
     return spark.read.schema(schemas.schema("dependency_edges" if name == INWARD else name)).parquet(f"{root}/{folder}/{name}")
 
 
-def commit(graph: Graph, root: str) -> str:
+def commit(graph: Graph, root: str, keywords: bool = True) -> str:
     """Write what differs from the current revision, and give the new revision, or
-    the current one if nothing differs.
+    the current one if nothing differs.  Without ``keywords`` a revision whose log has
+    no keyword index yet gets none; ``keyword_index`` makes it when it is first asked.
 
     A table that the graph holds as it was loaded is shared unread; others are
     written, compared as written, and dropped again if they are the same.  The log
@@ -96,18 +100,19 @@ def commit(graph: Graph, root: str) -> str:
         remove(spark, f"{root}/{revision}")
         return now["revision"]
     made = Graph(spark, {name: _read(spark, root, at["folder"], name) for name, at in tables.items()})
-    keywords = list(now["keywords"]) if now else []
-    if not keywords:
-        search.write_index(made.code(wide=True), f"{root}/{revision}/{KEYWORDS}")
-        keywords = [revision]
+    layers_held = list(now["keywords"]) if now else []
+    if not layers_held:
+        if keywords:
+            search.write_index(made.code(wide=True), f"{root}/{revision}/{KEYWORDS}")
+            layers_held = [revision]
     elif fresh & set(SEARCHED):
-        layers = search.write_changes(made.code(wide=True), f"{root}/{revision}/{KEYWORDS}", [f"{root}/{k}/{KEYWORDS}" for k in keywords])
-        keywords = [*keywords, revision] if len(layers) > 1 else [revision]
+        layers = search.write_changes(made.code(wide=True), f"{root}/{revision}/{KEYWORDS}", [f"{root}/{k}/{KEYWORDS}" for k in layers_held])
+        layers_held = [*layers_held, revision] if len(layers) > 1 else [revision]
     tables[INWARD] = {"folder": tables["dependency_edges"]["folder"], "mark": ""}
     if "dependency_edges" in fresh:
         write(made["dependency_edges"], INWARD, ["callee_node_id", "caller_node_id", "edge_type"])
     mark = "|".join(sorted(at["mark"] for at in tables.values() if at["mark"]))
-    entry = {"number": number, "revision": revision, "fingerprint": mark, "tables": tables, "keywords": keywords}
+    entry = {"number": number, "revision": revision, "fingerprint": mark, "tables": tables, "keywords": layers_held}
     if not create(spark, f"{root}/commits/{number:012d}.json", json.dumps(entry)):
         remove(spark, f"{root}/{revision}")
         raise schemas.RevisionChanged(f"commit {number} was made by another writer")
@@ -122,8 +127,17 @@ def load(spark: SparkSession, root: str, revision: str | None = None) -> Graph:
 
 
 def keyword_index(spark: SparkSession, root: str, revision: str) -> search.KeywordIndex:
-    """The keyword index of a revision's code nodes."""
-    return search.open_index(spark, [f"{root}/{k}/{KEYWORDS}" for k in _row(spark, root, revision)["keywords"]])
+    """The keyword index of a revision's code nodes; where it was committed without
+    one, the index is made beside its tables on the first call."""
+    held = _row(spark, root, revision)["keywords"]
+    if not held:
+        named = f"{root}/{revision}/{KEYWORDS}.txt"
+        if not exists(spark, named):
+            folder = f"{KEYWORDS}-{uuid.uuid4().hex}"
+            search.write_index(load(spark, root, revision).code(wide=True), f"{root}/{revision}/{folder}")
+            create(spark, named, folder)  # of two readers that make it, the first one's stands
+        return search.open_index(spark, f"{root}/{revision}/{spark.read.text(named).first()[0]}")
+    return search.open_index(spark, [f"{root}/{k}/{KEYWORDS}" for k in held])
 
 
 def expect(spark: SparkSession, root: str, revision: str) -> None:
