@@ -11,6 +11,7 @@ to its pool before it is numbered, so no window sees more than 250 rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from math import log
@@ -58,12 +59,50 @@ def _bags(corpus: DataFrame, columns) -> tuple[DataFrame, Column]:
     return bags, reduce(lambda a, b: a + b, [F.size(f"_t{i}") for i in range(len(columns))])
 
 
-def _write_postings(corpus: DataFrame, path: str, columns) -> None:
+#: Postings that a task holds before it passes them on.
+POSTINGS = 100_000
+
+
+def _placed(batches: Iterator) -> Iterator:
+    """Rows (id, canonical_id, size, _terms) -> a posting for each term of each row,
+    with its places.  Empty terms are none."""
+    import pyarrow as pa
+
+    held: list[tuple[str, int, list[int]]] = []
+    for batch in batches:
+        own = [batch.column(c) for c in ("id", "canonical_id", "size")]
+
+        def passed():
+            at = pa.array([i for _, i, _ in held], pa.int32())
+            columns = [pa.array([t for t, _, _ in held], pa.string()), *[c.take(at) for c in own], pa.array([p for _, _, p in held], pa.list_(pa.int32()))]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["term", "id", "canonical_id", "size", "places"])
+
+        for i, terms in enumerate(batch.column("_terms")):
+            places: dict[str, list[int]] = {}
+            for at, term in enumerate(terms.as_py() or ()):
+                if term:
+                    places.setdefault(term, []).append(at)
+            held.extend((term, i, at) for term, at in places.items())
+            if len(held) >= POSTINGS:
+                yield passed()
+        if held:
+            yield passed()
+
+
+def _postings(corpus: DataFrame, columns) -> DataFrame:
+    """(term, id, canonical_id, size, places), without a shuffle."""
     bags, size = _bags(corpus, columns)
     # an empty term between columns keeps phrases from running over
     parts = [F.col("_t0")] + [x for i in range(1, len(columns)) for x in (F.array(F.lit("")), F.col(f"_t{i}"))]
-    each = bags.select("id", "canonical_id", size.alias("size"), F.posexplode(F.concat(*parts)).alias("_p", "term")).filter("term <> ''")
-    postings = each.groupBy("term", "id", "canonical_id", "size").agg(F.sort_array(F.collect_list("_p")).alias("places"))
+    # a row's places are gathered inside the row, so only finished postings move
+    rows = bags.select("id", "canonical_id", size.alias("size"), F.concat(*parts).alias("_terms"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(_placed, f"term string, id {kinds['id']}, canonical_id {kinds['canonical_id']}, size {kinds['size']}, places array<int>")
+
+
+def _write_postings(corpus: DataFrame, path: str, columns) -> None:
+    postings = written(_postings(corpus, columns), "postings")  # ranges are drawn from it before it is sorted: texts are read once
     postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
 
 

@@ -20,3 +20,12 @@ def test_an_index_is_made_when_it_is_asked(spark, tmp_path):
             assert plain and {r["id"]: round(r["score"], 9) for r in search.keyword_scores(now.code(wide=True), text, index=index).collect()} == plain
     assert len(glob.glob(f"{root}/*/keywords-*")) == 1
     assert revisions.commit(now, root, keywords=False) == revision
+
+
+def test_places_are_gathered_without_a_shuffle(spark):
+    rows = [(1, "a", "x y x", "y", "b x", None), (1, "a", "x y x", "y", "b x", None), (2, "b", "", None, " ", "")]
+    corpus = spark.createDataFrame(rows, "id long, canonical_id string, display_name string, fully_qualified_name string, search_text string, relative_path string")
+    made = search._postings(corpus, search.INDEXED)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    # an empty term stands between columns
+    assert sorted((r["term"], r["id"], r["places"]) for r in made.collect()) == sorted(2 * [("x", 1, [0, 2, 7]), ("y", 1, [1, 4]), ("b", 1, [6])])
