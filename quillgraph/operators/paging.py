@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import schemas
 from quillgraph.functions import text as X
+from quillgraph.functions.ranking import global_rank
 from quillgraph.functions.storage import kept, written
 from quillgraph.graph import Graph
 from quillgraph.operators import navigation
@@ -164,6 +165,17 @@ def page(graph: Graph, kind: str, directory_ids: list[int], page_size: int = 200
     return Page(rows, token, graph.revision, every.count() if include_total else None)
 
 
+def pages(graph: Graph, kind: str, directory_ids: list[int], page_size: int = 2000) -> DataFrame:
+    """(page, n, first, last, total): the key of the first and the last row of every
+    page that a client gets who follows the cursors, in one pass over the scope."""
+    ids, order = _checked(directory_ids, page_size), ORDER_NODES if kind == "nodes" else ORDER_EDGES
+    ranked = global_rank(_stored(graph, kind, ids or [-1]).select(*order), order, "_rank", "pages")
+    number = F.floor((F.col("_rank") - 1) / page_size) + 1
+    cut = ranked.groupBy(number.alias("page")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first"), F.max(F.struct(*order)).alias("last"))
+    total = ranked.agg(F.count(F.lit(1)).alias("total"))
+    return cut.crossJoin(F.broadcast(total))
+
+
 def connections_page(graph: Graph, node_id: int, page_size: int = 100, cursor: str | None = None, include_total: bool = False) -> Page:
     """One page of a node's peers for a client, by id, bound to the revision."""
     if node_id <= 0:
