@@ -338,6 +338,7 @@ def _filled(table, known):
     bucket's keys over all groups; totals are then made from those."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     _frugal()
     rows = table.to_pylist()
@@ -348,7 +349,7 @@ def _filled(table, known):
         for pair, fields in enumerate(_FIELDS):
             n, found, inverse, every, of_gone = _added(own, *fields)
             if known is not None:
-                mine = known.filter(pa.compute.equal(known.column("pair"), pair == 1))
+                mine = known.filter(pc.equal(known.column("pair"), pair == 1))
                 order = np.argsort(mine.column("h").to_numpy())
                 every, of_gone = (mine.column(c).to_numpy()[order] for c in ("n", "gone"))
             elif not pair:
