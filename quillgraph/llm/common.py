@@ -38,11 +38,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 KEYS = 100_000
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus.  It is shuffled, never gathered in
+    the driver to be sent to every task: Spark goes by its size on disk, which for
+    short rows is a small part of what its hash table takes in memory."""
+    return rows.hint("merge")
+
+
 def checked(keys: DataFrame, rows: int = KEYS) -> DataFrame:
     """A written table for the small side of a join: sent to every task if it has
-    ``rows`` rows or fewer, so that the other side need not move; else joined as
-    Spark sees fit."""
-    return F.broadcast(keys) if keys.count() <= rows else keys
+    ``rows`` rows or fewer, so that the other side need not move; else shuffled."""
+    return F.broadcast(keys) if keys.count() <= rows else shuffled(keys)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialise
+from quillgraph.llm.common import materialise, shuffled
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -19,7 +19,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     near = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else down
     least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    hung = near.join(least, "u")
+    hung = near.join(shuffled(least), "u")
     if large:
         out = hung.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

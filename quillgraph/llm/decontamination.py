@@ -40,7 +40,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import alnum_words, checked, let, materialise
+from quillgraph.llm.common import alnum_words, checked, let, materialise, shuffled
 
 SHINGLE, THRESHOLD, RADIUS, BLOCKS = 5, 0.8, 19, 5
 #: Item shingles up to which they are sent to every task (24 bytes each).
@@ -167,7 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def cut(rows: DataFrame) -> DataFrame:
         """rows (.., _id, _h, start, length, span) with their window's shingles."""
         own = F.filter("_g", lambda g: g["gram"] == F.least(F.col("length"), F.lit(SHINGLE)))[0]["s"]
-        both = rows.join(met, met["doc_id"].eqNullSafe(rows["_id"]) & (met["_th"] == rows["_h"]))
+        both = rows.join(shuffled(met), met["doc_id"].eqNullSafe(rows["_id"]) & (met["_th"] == rows["_h"]))
         return both.select(*rows.columns, F.slice(own, F.col("start") + 1, F.col("span")).alias("window"))
 
     keys = ["_id", "_h", "start", "length", "span"]

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import KEYS, let, materialise
+from quillgraph.llm.common import KEYS, let, materialise, shuffled
 
 SPAN = 3
 #: Positions up to which the stretches are sent to every task (4 bytes each).
@@ -51,7 +51,7 @@ def repeated_positions(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "_th", "_pos")
     first = found.groupBy("_w64", "_w32").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
     first = materialise(first.filter("_n > 1").select("_w64", "_w32", "_first"), "line-repeats")
-    later = found.join(first, ["_w64", "_w32"]).filter(~place.eqNullSafe(F.col("_first")))
+    later = found.join(shuffled(first), ["_w64", "_w32"]).filter(~place.eqNullSafe(F.col("_first")))
     starts = later.groupBy(F.col("doc_id").alias("_id"), F.col("_th").alias("_h")).agg(F.sort_array(F.collect_set("_pos")).alias("_starts"))
     return materialise(starts, "line-starts")
 
@@ -84,7 +84,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_removed")
     starts = repeated_positions(docs)
     rows, size = starts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_starts")), F.lit(0))).first()
-    starts = F.broadcast(starts) if rows <= KEYS and size <= STARTS else starts
+    starts = F.broadcast(starts) if rows <= KEYS and size <= STARTS else shuffled(starts)
     same = docs["doc_id"].eqNullSafe(starts["_id"]) & (F.xxhash64(docs["text"]) == starts["_h"])
     both = docs.join(starts, same, "left")
     lines = F.split(docs["text"], "\n")

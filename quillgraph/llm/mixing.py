@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialise
+from quillgraph.llm.common import materialise, shuffled
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -131,7 +131,7 @@ def expand(docs: DataFrame, **options) -> DataFrame:
 
     def copied(rows: DataFrame, marks: DataFrame) -> DataFrame:
         own = [rows[f"`{c}`"] for c in rows.columns]
-        return rows.join(marks, alike(rows, marks)).select(*own, F.explode(F.sequence(F.lit(1), marks["_copies"].cast("int"))).alias("copy"))
+        return rows.join(shuffled(marks), alike(rows, marks)).select(*own, F.explode(F.sequence(F.lit(1), marks["_copies"].cast("int"))).alias("copy"))
 
     once, more = twin.filter("rows = 1"), twin.filter("rows > 1")
     out = copied(docs, once)
@@ -139,7 +139,7 @@ def expand(docs: DataFrame, **options) -> DataFrame:
         return out
     # only sets of rows alike move once more, to become one row each
     marks = materialise(more, "mix-alike")
-    found = docs.join(marks, alike(docs, marks), "left_semi")
+    found = docs.join(shuffled(marks), alike(docs, marks), "left_semi")
     whole = F.struct(*[found[f"`{c}`"] for c in found.columns])
     first = found.groupBy(*[c.alias(n) for c, n in zip(_identity(found), _IDENTITY)]).agg(F.first(whole).alias("_first")).select("_first.*")
     return out.unionByName(copied(first, more))

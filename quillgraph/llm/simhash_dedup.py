@@ -49,7 +49,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialise
+from quillgraph.llm.common import materialise, shuffled
 from quillgraph.llm.components import components
 
 RADIUS = 4
@@ -176,7 +176,7 @@ def _level(rows: DataFrame, level: int) -> DataFrame:
     groups = spread.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("_far"), F.count(F.lit(1)).alias("n")).filter("hub <> _far").select("key", "hub", "n")
     near = _distance(F.col("fp"), F.col("hub")) <= RADIUS
     tied = F.col("tied").bitwiseOR(F.when(near, F.lit(1 << level)).otherwise(F.lit(0)))
-    shared = spread.join(groups, "key").select("fp", "key", "hub", "n", tied.cast("int").alias("tied"), *_totals(F.col("fp")))
+    shared = spread.join(shuffled(groups), "key").select("fp", "key", "hub", "n", tied.cast("int").alias("tied"), *_totals(F.col("fp")))
     return materialise(shared, "simhash-pivots")
 
 
@@ -209,11 +209,11 @@ def _grouped(docs: DataFrame) -> DataFrame:
     found = materialise(links(prints), "simhash-links")
     # number the linked fingerprints by a signed order, so that components need only longs
     linked = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    with_least = linked.join(prints, linked["id"] == prints["fp"])
+    with_least = linked.join(shuffled(prints), linked["id"] == prints["fp"])
     group = with_least.groupBy("component").agg(F.min("least").alias("component_id"))
-    renamed = with_least.join(group, "component").select("fp", F.col("component_id").alias("_joined"), F.col("component").alias("_linked"))
-    owner = materialise(prints.join(renamed, "fp", "left").select("fp", F.coalesce("_joined", "least").alias("component_id"), F.coalesce("_linked", "fp").alias("_group")), "simhash-owner")
-    out = rows.join(owner, "fp")
+    renamed = with_least.join(shuffled(group), "component").select("fp", F.col("component_id").alias("_joined"), F.col("component").alias("_linked"))
+    owner = materialise(prints.join(shuffled(renamed), "fp", "left").select("fp", F.coalesce("_joined", "least").alias("component_id"), F.coalesce("_linked", "fp").alias("_group")), "simhash-owner")
+    out = rows.join(shuffled(owner), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "_th", "_group")
 
 
@@ -226,7 +226,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     best = rows.groupBy("_group").agg(F.min(place).alias("_best"), F.min_by("_rows", place).alias("_rows"))
     best = materialise(best.select(F.col("_best.doc_id").alias("_keep_id"), F.col("_best._th").alias("_keep_th"), "_rows"), "simhash-keep")
     same = docs["doc_id"].eqNullSafe(best["_keep_id"]) & (F.xxhash64(docs["text"]) == best["_keep_th"])
-    kept = docs.join(best, same, "left_semi")
+    kept = docs.join(shuffled(best), same, "left_semi")
     # texts move once more only where a kept row is repeated as it is
     if best.filter("_rows > 1").isEmpty():
         return kept

@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import checked, materialise
+from quillgraph.llm.common import checked, materialise, shuffled
 
 WINDOW = 35
 SHARD = 300_000
@@ -153,7 +153,7 @@ def _with(docs: DataFrame, keyed: DataFrame, column: str) -> DataFrame:
     """(_row, column): each row of ``docs`` with its array ``column`` of ``keyed``
     (_id, _h, column)."""
     same = docs["doc_id"].eqNullSafe(keyed["_id"]) & (F.xxhash64(docs["text"]) == keyed["_h"])
-    return docs.join(keyed, same, "left").select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("_row"), keyed[column].alias(column))
+    return docs.join(shuffled(keyed), same, "left").select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("_row"), keyed[column].alias(column))
 
 
 def _texts(docs: DataFrame, distinct: DataFrame, window: int) -> DataFrame:
@@ -253,7 +253,7 @@ def passages(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, hot: int
     (id and text hash).  Spans may overlap; all are ``window`` words or longer."""
     found = materialise(pieces(docs, window), "passage-windows")
     often = materialise(found.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("gram"), "passage-repeats")
-    live = materialise(found.join(often, "gram", "left_semi"), "passage-live")
+    live = materialise(found.join(shuffled(often), "gram", "left_semi"), "passage-live")
     distinct = live.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "_th", "start", "n")).alias("rep"))
     distinct = materialise(distinct, "passage-distinct")
     spans = _resolve(_texts(docs, distinct, window), distinct.select("gram", (F.col("rep.n") + window - 1).alias("size")), window, 0, shard, hot)
