@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from quillgraph.operators import facts
+from quillgraph.operators import facts, typescript
 
 
 def test_enclosing_equals_brute_force(spark):
@@ -40,3 +40,10 @@ def test_fact_nodes_takes_the_last_line_where_parts_number_millions(spark, tmp_p
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r["path"]: "Part" + str(p) in r["search_text"] for p, r in zip((5, 8), fact_nodes(spark, str(tmp_path)).orderBy("path").collect())}
     assert got == {"src/3/2.cs": True, "src/4/3.cs": True}
+
+
+def test_small_scripts_of_one_part_are_read_by_many_tasks(spark):
+    files = spark.range(400).coalesce(1).select(F.concat(F.lit("a"), F.col("id").cast("string"), F.lit(".ts")).alias("relative_path"), F.concat(F.lit("export const k"), F.col("id").cast("string"), F.lit(" = 1;\n")).alias("text"))
+    read = typescript.facts(files).select("relative_path", F.col("declarations")[0]["name"].alias("name"), F.spark_partition_id().alias("task")).collect()
+    assert {(r["relative_path"], r["name"]) for r in read} == {(f"a{i}.ts", f"k{i}") for i in range(400)}
+    assert len({r["task"] for r in read}) >= 2 * spark.sparkContext.defaultParallelism
