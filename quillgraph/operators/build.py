@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
 from quillgraph.functions.ranking import global_rank
+from quillgraph.functions.storage import dealt
 
 NODE_FIELDS = ("project_id", "fqn", "display", "node_type", "path", "start", "end", "summary", "search_text", "body_hash")
 
@@ -26,8 +27,10 @@ def row_hash(*columns) -> Column:
 def conflicts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Canonical ids whose contributions differ in a field (vectors aside) or in
     their outgoing edges: (canonical_id, n_variants)."""
-    out = edges.groupBy("contribution_id", F.col("caller_id").alias("canonical_id")).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(row_hash("callee_id", "edge_type", "metadata"))), ","), 256).alias("_edges"))
-    both = nodes.join(out, ["contribution_id", "canonical_id"], "left").withColumn("_row", F.concat_ws("/", row_hash(*NODE_FIELDS), F.coalesce("_edges", F.lit(""))))
+    each = dealt(edges.withColumnRenamed("caller_id", "canonical_id"), "canonical_id")
+    out = each.groupBy("contribution_id", "canonical_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_set(row_hash("callee_id", "edge_type", "metadata"))), ","), 256).alias("_edges"))
+    # a row a node and contribution: never sent to every task, however small its files are
+    both = dealt(nodes, "canonical_id").join(out.hint("merge"), ["contribution_id", "canonical_id"], "left").withColumn("_row", F.concat_ws("/", row_hash(*NODE_FIELDS), F.coalesce("_edges", F.lit(""))))
     return both.groupBy("canonical_id").agg(F.countDistinct("_row").alias("n_variants")).filter("n_variants > 1")
 
 
@@ -41,12 +44,12 @@ def merge(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def last_wins(df: DataFrame, key: list[str], ordinal: str) -> DataFrame:
     rest = [c for c in df.columns if c not in key]
-    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), ordinal).alias("_r")).select(*key, *[F.col("_r")[c].alias(c) for c in rest])
+    return dealt(df, *key).groupBy(*key).agg(F.max_by(F.struct(*rest), ordinal).alias("_r")).select(*key, *[F.col("_r")[c].alias(c) for c in rest])
 
 
 def first_wins(df: DataFrame, key: list[str], ordinal: str) -> DataFrame:
     rest = [c for c in df.columns if c not in key]
-    return df.groupBy(*key).agg(F.min_by(F.struct(*rest), ordinal).alias("_r")).select(*key, *[F.col("_r")[c].alias(c) for c in rest])
+    return dealt(df, *key).groupBy(*key).agg(F.min_by(F.struct(*rest), ordinal).alias("_r")).select(*key, *[F.col("_r")[c].alias(c) for c in rest])
 
 
 def is_synthetic(canonical: Column) -> Column:

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from quillgraph.operators import facts, typescript
+from quillgraph.operators import build, facts, typescript
 
 
 def test_enclosing_equals_brute_force(spark):
@@ -47,3 +47,16 @@ def test_small_scripts_of_one_part_are_read_by_many_tasks(spark):
     read = typescript.facts(files).select("relative_path", F.col("declarations")[0]["name"].alias("name"), F.spark_partition_id().alias("task")).collect()
     assert {(r["relative_path"], r["name"]) for r in read} == {(f"a{i}.ts", f"k{i}") for i in range(400)}
     assert len({r["task"] for r in read}) >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_contributions_of_one_part_are_merged_by_many_tasks(spark):
+    ids = spark.range(4_000).coalesce(1)
+    who = F.explode(F.array(F.lit("a"), F.lit("b"))).alias("contribution_id")
+    name = F.concat(F.lit("n"), F.col("id").cast("string"))
+    nodes = ids.select(who, name.alias("canonical_id"), F.col("id").alias("ingest_ordinal"), *[F.lit("").alias(c) for c in build.NODE_FIELDS])
+    edges = ids.select(who, name.alias("caller_id"), F.lit("x").alias("callee_id"), F.lit("Import").alias("edge_type"), F.lit(None).cast("string").alias("metadata"))
+    merged, linked = build.merge(nodes, edges)
+    assert merged.select("canonical_id").distinct().count() == merged.count() == linked.count() == 4_000
+    assert len({r["task"] for r in merged.select(F.spark_partition_id().alias("task")).distinct().collect()}) >= 2 * spark.sparkContext.defaultParallelism
+    changed = nodes.withColumn("path", F.when((F.col("canonical_id") == "n7") & (F.col("contribution_id") == "b"), "y").otherwise(F.col("path")))
+    assert [tuple(r) for r in build.conflicts(changed, edges).collect()] == [("n7", 2)]
