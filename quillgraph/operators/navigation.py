@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillgraph import schemas
 from quillgraph.functions import text as X
 from quillgraph.functions.ranking import top
-from quillgraph.functions.storage import written
+from quillgraph.functions.storage import dealt, written
 from quillgraph.graph import Graph
 
 
@@ -139,10 +139,16 @@ def callees(graph: Graph, roots: DataFrame, edge_types=None) -> DataFrame:
 
 
 def edges_among(graph: Graph, nodes: DataFrame, edge_types=None) -> DataFrame:
-    """Edges whose both ends are among the nodes."""
-    ids = nodes.select("id").distinct()
+    """Edges whose both ends are among the nodes.  Unless these are few, they may be most
+    of the graph, so edges and ids are dealt out by id, and no task holds all ids."""
     edges = of_types(graph.edges, edge_types or schemas.FUNCTIONAL)
-    return edges.join(ids.withColumnRenamed("id", "caller"), "caller", "left_semi").join(ids.withColumnRenamed("id", "callee"), "callee", "left_semi")
+    few = _few(nodes)
+    if few is not None:
+        return edges.filter(F.col("caller").isin(few) & F.col("callee").isin(few))
+    ids = dealt(nodes.select("id"), "id").distinct()
+    for end in ("caller", "callee"):
+        edges = dealt(edges, end).join(ids.withColumnRenamed("id", end).hint("merge"), end, "left_semi")
+    return edges
 
 
 def trace(graph: Graph, root_id: int, direction: str = "callee", max_depth: int = 3, budget: int = 1000, edge_types=None) -> Walk:

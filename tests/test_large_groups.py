@@ -5,7 +5,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from quillgraph.operators import build, facts, typescript
+from quillgraph.graph import Graph
+from quillgraph.operators import build, facts, navigation, typescript
 
 
 def test_enclosing_equals_brute_force(spark):
@@ -60,3 +61,13 @@ def test_contributions_of_one_part_are_merged_by_many_tasks(spark):
     assert len({r["task"] for r in merged.select(F.spark_partition_id().alias("task")).distinct().collect()}) >= 2 * spark.sparkContext.defaultParallelism
     changed = nodes.withColumn("path", F.when((F.col("canonical_id") == "n7") & (F.col("contribution_id") == "b"), "y").otherwise(F.col("path")))
     assert [tuple(r) for r in build.conflicts(changed, edges).collect()] == [("n7", 2)]
+
+
+def test_edges_among_many_nodes_are_joined_by_many_tasks_without_sending_ids_to_all(spark):
+    n = 3_000
+    edges = spark.range(n).coalesce(1).select(F.col("id").alias("caller_node_id"), ((F.col("id") * 7) % n).alias("callee_node_id"), F.lit("MethodCall").alias("edge_type"), F.lit(None).cast("string").alias("metadata"))
+    found = navigation.edges_among(Graph(spark, {"dependency_edges": edges}), spark.range(n).filter("id % 2 = 0"))
+    rows = found.select("caller", "callee", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r["caller"], r["callee"]) for r in rows) == [(i, i * 7 % n) for i in range(0, n, 2)]
+    assert len({r["task"] for r in rows}) >= 2 * spark.sparkContext.defaultParallelism
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
