@@ -6,10 +6,15 @@ The weights minimise that logistic loss over preference pairs.  The threshold is
 the quantile of worth at the share of bad labels; scores are shifted so that
 this threshold is 0.3.
 
-Bound: fitted on at most ``PER_CLASS`` documents of each label, drawn by a hash of
-the id, and ``PAIRS`` pairs of them; scores cover every document.
+Fit: on every labelled document.  They are dealt by a hash into packs of about
+``PACK``; every good document of a pack is paired with every bad one, documents of
+the rarer label being dealt to as many packs as give each ``RARE`` of them.  Mean,
+deviation, knots, Newton steps on the loss of all these pairs, the threshold and
+the slope are sums over packs.
 
-Scale: one Arrow pass over the texts, no shuffle of texts.
+Scale: one Arrow pass over the texts, no shuffle of texts; features are written once,
+those of labelled documents are shuffled, and a pass over packs gives the driver a
+fixed number of values for each task.
 
 Defined results: null or empty text has all features 0 and still gets a score;
 without labels of both kinds every score is 0.5; contradictory labels of one id
@@ -18,14 +23,15 @@ teach nothing; repeated rows score alike; other columns do not matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import bounded, drawn, unit_hash
+from quillgraph.llm.common import bounded, drawn, materialise, shuffled, unit_hash
 
-PER_CLASS, PAIRS, KNOTS, CUT = 2500, 30_000, 7, 0.3
+PACK, RARE, KNOTS, CUT = 1024, 16, 7, 0.3
+RIDGE, ROUNDS, EDGES = 1e-3, 40, 512
 SYMBOLS, STOPS = "#*$%&|<>", ".!?;:,"
 N_FEATURES = 19
 
@@ -97,42 +103,133 @@ def _spread(x, knots):
     return np.concatenate(parts, axis=1)
 
 
+def pairwise(w, good, bad):
+    """Of log(1 + exp(-(g - b) . w)), summed over all pairs of rows g and b: value,
+    gradient and second derivatives."""
+    import numpy as np
+
+    m = np.clip((good @ w)[:, None] - (bad @ w)[None, :], -30, 30)
+    p = 1.0 / (1.0 + np.exp(m))
+    q = p * (1.0 - p)
+    mixed = good.T @ q @ bad
+    curved = (good.T * q.sum(axis=1)) @ good + (bad.T * q.sum(axis=0)) @ bad - mixed - mixed.T
+    return float(np.log1p(np.exp(-m)).sum()), p.sum(axis=0) @ bad - p.sum(axis=1) @ good, curved
+
+
 def gradient(w, d, ridge: float):
     """Of the mean of log(1 + exp(-d . w)) over feature differences d, winner
     minus loser, and ridge / 2 times the square of w."""
     import numpy as np
 
-    p = 1.0 / (1.0 + np.exp(np.clip(d @ w, -30, 30)))
-    return -(p @ d) / len(d) + ridge * w
+    return pairwise(w, d, np.zeros((1, d.shape[1])))[1] / len(d) + ridge * w
 
 
 class Model:
-    """worth = spread(x) . w;  score = sigmoid(slope * (worth - cut) + logit(0.3))."""
+    """worth = spread(x) . w;  score = sigmoid(slope * (worth - cut) + logit(0.3)).
+
+    ``Model(x, good, bad_share)`` learns from rows in memory, ``Model.of`` from
+    ``passes``: a function that runs a step over every pack (features, good, whether
+    a row counts here or is a copy) and returns an array, a row a task: the sums of
+    what the step gives, or their least values."""
+
+    def __init__(self, x, good, bad_share: float):
+        import numpy as np
+
+        self._learn(lambda step, least=False: np.array([step(x, good, np.ones(len(x), dtype=bool))]), bad_share)
+
+    @classmethod
+    def of(cls, passes: Callable, bad_share: float) -> Model:
+        model = cls.__new__(cls)
+        model._learn(passes, bad_share)
+        return model
+
+    def _learn(self, passes: Callable, bad_share: float) -> None:
+        import numpy as np
+
+        levels = np.linspace(0.02, 0.98, KNOTS)
+
+        def places(x, good, own):
+            x, good = x[own], good[own]
+            at = np.quantile(x, levels, axis=0) * len(x) if len(x) else np.zeros((KNOTS, x.shape[1]))
+            return np.concatenate([[len(x), good.sum()], x.sum(axis=0), at.ravel()])
 
-    def __init__(self, x, good, bad_share: float, seed: int = 5, rounds: int = 300):
+        n, n_good, *rest = passes(places).sum(axis=0)
+        rest = np.array(rest).reshape(1 + KNOTS, -1) / n
+        self.mid = mid = rest[0]
+        self.scale = scale = np.sqrt(passes(lambda x, good, own: ((x[own] - mid) ** 2).sum(axis=0)).sum(axis=0) / n) + 1e-9
+        self.knots = knots = ((rest[1:] - mid) / scale).T
+        self.w = self._minimum(passes, lambda x: _spread((x - mid) / scale, knots))
+        self.slope, weights = 1.0, (bad_share / (n - n_good), (1 - bad_share) / n_good)  # of a bad row and of a good one
+        self.cut = self._quantile(passes, weights, bad_share)
+        slopes = [0.05 * 1.25**k for k in range(30)]
+
+        def losses(x, good, own):
+            worth, mark = self.worth(x[own]), good[own]
+            return [self._loss(worth, mark, np.where(mark, weights[1], weights[0]), a) for a in slopes]
+
+        self.slope = slopes[int(np.argmin(passes(losses).sum(axis=0)))]
+
+    def _minimum(self, passes: Callable, spread: Callable):
+        """Newton steps, halved where the loss would rise."""
         import numpy as np
 
-        self.mid, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        z = (x - self.mid) / self.scale
-        self.knots = np.quantile(z, np.linspace(0.02, 0.98, KNOTS), axis=0).T
-        s = _spread(z, self.knots)
-        random = np.random.default_rng(seed)
-        winners, losers = np.flatnonzero(good), np.flatnonzero(~good)
-        d = (s[random.choice(winners, PAIRS)] - s[random.choice(losers, PAIRS)]).astype(np.float32)
-        w = np.zeros(s.shape[1], dtype=np.float32)
-        m, v = np.zeros_like(w), np.zeros_like(w)
-        for t in range(1, rounds + 1):
-            at = random.integers(0, PAIRS, 4096)
-            g = gradient(w, d[at], 1e-3)
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        self.w = w.astype(np.float64)
-        worth = s @ self.w
-        weight = np.where(good, (1 - bad_share) / good.sum(), bad_share / (~good).sum())
-        order = np.argsort(worth, kind="stable")
-        at = int(np.searchsorted(np.cumsum(weight[order]), bad_share + 1e-9, side="right"))  # rows within the share
-        self.cut = float((worth[order][max(at - 1, 0)] + worth[order][min(at, len(order) - 1)]) / 2)
-        self.slope = min((0.05 * 1.25**k for k in range(30)), key=lambda a: self._loss(worth, good, weight, a))
+        def at(w):
+            def step(x, good, own):
+                s = spread(x)
+                value, slope, curved = pairwise(w, s[good], s[~good])
+                return np.concatenate([[good.sum() * (~good).sum(), value], slope, curved[np.triu_indices(len(w))]])
+
+            pairs, value, *rest = passes(step).sum(axis=0)
+            rest, k = np.array(rest) / pairs, len(w)
+            curved = np.zeros((k, k))
+            curved[np.triu_indices(k)] = rest[k:]
+            curved = curved + np.triu(curved, 1).T + RIDGE * np.eye(k)
+            return value / pairs + RIDGE / 2 * (w @ w), rest[:k] + RIDGE * w, curved
+
+        w = np.zeros(len(self.mid) * (1 + KNOTS))
+        value, slope, curved = at(w)
+        move = -np.linalg.solve(curved, slope)
+        for _ in range(ROUNDS):
+            if -(slope @ move) < 1e-10:  # twice what a step can still gain
+                break
+            tried = at(w + move)
+            if tried[0] > value:
+                move = move / 2
+                continue
+            w = w + move
+            value, slope, curved = tried
+            move = -np.linalg.solve(curved, slope)
+        return w
+
+    def _quantile(self, passes: Callable, weights, share: float) -> float:
+        """Half way between the greatest worth with no more than ``share`` of the
+        weight up to it and the next: narrowed between edges, then looked up."""
+        import numpy as np
+
+        def ends(x, good, own):
+            worth = self.worth(x[own])
+            return [worth.min(initial=np.inf), (-worth).min(initial=np.inf)]
+
+        low, high = passes(ends, least=True).min(axis=0) * [1, -1]
+        low -= 1e-9 * (1 + abs(low))
+        for _ in range(3):
+            edges = np.linspace(low, high, EDGES)
+
+            def below(x, good, own, edges=edges):
+                worth, mark = self.worth(x[own]), good[own]
+                return np.concatenate([np.searchsorted(np.sort(worth[~mark]), edges, side="right"), np.searchsorted(np.sort(worth[mark]), edges, side="right")])
+
+            counts = passes(below).sum(axis=0)
+            within = counts[:EDGES] * weights[0] + counts[EDGES:] * weights[1] <= share + 1e-9
+            k = max(int(within.sum()) - 1, 0)
+            low, high = edges[k], edges[min(k + 1, EDGES - 1)]
+
+        def nearest(x, good, own):
+            worth = self.worth(x[own])
+            return [(-worth[worth <= low]).min(initial=np.inf), worth[worth > low].min(initial=np.inf)]
+
+        last, following = passes(nearest, least=True).min(axis=0) * [-1, 1]
+        return float(following if np.isinf(last) else last if np.isinf(following) else (last + following) / 2)
 
     def _loss(self, worth, good, weight, slope: float) -> float:
         import numpy as np
@@ -145,41 +242,115 @@ class Model:
 
         return 1.0 / (1.0 + np.exp(-np.clip(slope * (worth - self.cut) + np.log(CUT / (1 - CUT)), -30, 30)))
 
+    def worth(self, x):
+        return _spread((x - self.mid) / self.scale, self.knots) @ self.w
+
     def scores(self, x):
-        return self._score(_spread((x - self.mid) / self.scale, self.knots) @ self.w, self.slope)
+        return self._score(self.worth(x), self.slope)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
+def _matrix(column):
+    """A column of arrays of features -> a row each."""
     import numpy as np
 
-    marks = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).filter("q = q2 and doc_id is not null")
-    counts = {r["q"]: r["n"] for r in marks.filter("q in (0, 1)").groupBy("q").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, N_FEATURES)
+
+
+def packed(rows: DataFrame, good: int, bad: int) -> DataFrame:
+    """(pack, x, good, own) of ``rows`` (doc_id, q, x): a row a pack, as bytes."""
+    packs = -(-(good + bad) // PACK)
+    copies = min(packs, -(-RARE * packs // min(good, bad)))
+    times = F.when(F.col("q") == int(good <= bad), copies).otherwise(1)
+    copy = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), times - 1)))
+    dealt = copy.withColumn("pack", F.pmod(F.xxhash64("doc_id", "x") + F.col("_copy"), F.lit(packs)))
+
+    def pack(table):
+        import numpy as np
+        import pyarrow as pa
+
+        x, ids = _matrix(table.column("x").combine_chunks()), table.column("doc_id").to_numpy()
+        at = np.lexsort((*x.T, ids))
+        good, own = table.column("q").to_numpy()[at] == 1, table.column("_copy").to_numpy()[at] == 0
+        return pa.table({"pack": table.column("pack")[:1], "x": [x[at].tobytes()], "good": [good.tobytes()], "own": [own.tobytes()]})
+
+    return dealt.select("pack", "doc_id", "q", "x", "_copy").groupBy("pack").applyInArrow(pack, "pack long, x binary, good binary, own binary")
+
+
+def over(packs: DataFrame) -> Callable:
+    """``passes`` of a model over a table of packs."""
+
+    def passes(step: Callable, least: bool = False):
+        import numpy as np
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            first, total = None, None
+            for batch in batches:
+                for pack, *data in zip(*(batch.column(c).to_pylist() for c in ("pack", "x", "good", "own"))):
+                    x, good, own = np.frombuffer(data[0]).reshape(-1, N_FEATURES), np.frombuffer(data[1], dtype=bool), np.frombuffer(data[2], dtype=bool)
+                    got = np.asarray(step(x, good, own), dtype=np.float64)
+                    first, total = (pack, got) if total is None else (min(first, pack), np.minimum(total, got) if least else total + got)
+            if total is not None:
+                yield pa.RecordBatch.from_pydict({"first": [first], "total": [total.tobytes()]})
+
+        got = packs.mapInArrow(run, "first long, total binary").collect()
+        return np.array([np.frombuffer(bytes(r["total"])) for r in sorted(got, key=lambda r: r["first"])])
+
+    return passes
+
+
+def _marks(labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    marks = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).filter("q = q2 and doc_id is not null and q in (0, 1)")
+    counts = {r["q"]: r["n"] for r in marks.groupBy("q").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return marks.select(F.col("doc_id").alias("_label_id"), F.col("q").cast("int").alias("q")), counts
+
+
+def _fitted(rows: DataFrame, counts: dict[int, int]) -> Model | None:
+    """From (doc_id, q, x); rows alike in all three teach once."""
+    rows = materialise(rows.distinct(), "ranker-labelled")
+    got = {r["q"]: r["n"] for r in rows.groupBy("q").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(got) < 2:
+        return None
+    return Model.of(over(materialise(packed(rows, got[1], got[0]), "ranker-packs")), counts[0] / (counts[0] + counts[1]))
+
+
+def _known(made: DataFrame, marks: DataFrame) -> DataFrame:
+    """(doc_id, q, x) of the labelled among documents with features."""
+    one = made.filter("doc_id is not null").select("doc_id", "x").distinct()
+    return one.join(shuffled(marks), F.col("doc_id") == F.col("_label_id")).select("doc_id", "q", "x")
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int | None = None) -> Model | None:
+    """From all labelled documents; ``per_class`` asks for at most so many a label."""
+    marks, counts = _marks(labels)
     if len(counts) < 2:
         return None
-    chosen = drawn(marks.filter("q in (0, 1)").select(F.col("doc_id").alias("_label_id"), "q"), per_class, "q", unit_hash(F.col("_label_id"), F.lit("quality")), F.col("_label_id"), of=F.when(F.col("q") == 1, counts[1]).otherwise(counts[0]))
+    if per_class is None:
+        return _fitted(_known(featurise(docs, [("doc_id", "long")]), marks), counts)
+    chosen = drawn(marks, per_class, "q", unit_hash(F.col("_label_id"), F.lit("quality")), F.col("_label_id"), of=F.when(F.col("q") == 1, counts[1]).otherwise(counts[0]))
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_label_id"))
-    got = featurise(bounded(joined.drop("_label_id"), per_class, "q", "quality"), [("doc_id", "long"), ("q", "int")]).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["x"]))
-    good = np.array([r["q"] == 1 for r in got], dtype=bool)
-    if not good.any() or good.all():
-        return None
-    return Model(np.array([r["x"] for r in got]), good, counts[0] / (counts[0] + counts[1]))
+    return _fitted(featurise(bounded(joined.drop("_label_id"), per_class, "q", "quality"), [("doc_id", "long"), ("q", "int")]), counts)
 
 
-def rank(docs: DataFrame, labels: DataFrame, held_out: Column, **options) -> DataFrame:
+def rank(docs: DataFrame, labels: DataFrame, held_out: Column, per_class: int | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; ``labels`` may
     hold only what may be learned from."""
-    model = fit(docs, labels, **options)
+    made = featurise(docs.select("doc_id", held_out.alias("held_out"), "text"), [("doc_id", "long"), ("held_out", "boolean")])
+    made = materialise(made, "ranker-features")
+    if per_class is None:
+        marks, counts = _marks(labels)
+        model = _fitted(_known(made, marks), counts) if len(counts) == 2 else None
+    else:
+        model = fit(docs, labels, per_class)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        table = _classes()
         for batch in batches:
-            x = np.array([features(t.as_py() or "", table) for t in batch.column("_text")], dtype=np.float64).reshape(-1, N_FEATURES)
+            x = _matrix(batch.column("x"))
             score = model.scores(x) if model else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= CUT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), F.col("text").alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return made.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
