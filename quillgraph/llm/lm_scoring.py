@@ -19,12 +19,14 @@ the chunk;
 ratio of the two estimates), from which the driver learns the weights; (3) each
 chunk, which now holds c(v), c(w) and c(v, w), scores its documents.
 
-Scale: a worker packs about ``BLOCK`` tokens at a time.  Chunks are dealt to
-groups of about ``BUCKETS`` x ``PER_BUCKET`` tokens, and each group has its own
-buckets, so a chunk is cut into at most ``BUCKETS`` blocks and a bucket holds about
-``PER_BUCKET`` entries, of a hot key one for each chunk of its group, however large
-the corpus.  With several groups a key's counts are added up over them by a plain
-sum and joined back: a hot key is one row a group there.  Only sums over cells
+Scale: a worker packs about ``BLOCK`` tokens at a time.  A bucket stands for about
+``PER_BUCKET`` tokens while that takes at most ``BUCKETS`` buckets, and for up to
+``MOST_PER_BUCKET`` beyond.  Chunks are dealt to groups of about ``BUCKETS`` x
+``MOST_PER_BUCKET`` tokens, and each group has its own buckets, so a chunk is cut into
+at most ``BUCKETS`` blocks and a bucket holds no more entries than that, of a hot key
+one for each chunk of its group, however large the corpus.  With several groups a key's
+counts are added up over them by a plain sum and joined back: a hot key is one row a
+group there.  Only sums over cells
 reach the driver (and the ``head`` words where it is given).
 
 Defined results: null text is empty (one end token); with no training document
@@ -43,7 +45,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import materialise, unit_hash
 
-HEAD, DELETED, BLOCK, PER_BUCKET, BUCKETS = None, math.inf, 500_000, 1_000_000, 256  # no bound on the head or the deleted part
+HEAD, DELETED, BLOCK = None, math.inf, 500_000  # no bound on the head or the deleted part
+PER_BUCKET, MOST_PER_BUCKET, BUCKETS = 1_000_000, 4_000_000, 512
 SHARE = 0.1  # of the training documents, deleted at every size
 _MASK, PAIR_BITS = (1 << 62) - 1, 56  # of a word's hash, and of a bigram's, of which there are more to send
 END, START, REST = 1 << 62, (1 << 62) + 1, (1 << 62) + 2  # keys beyond those of words
@@ -348,9 +351,10 @@ def _filled(table, known):
         for pair, fields in enumerate(_FIELDS):
             n, found, inverse, every, of_gone = _added(own, *fields)
             if known is not None:
-                mine = known.filter(pa.compute.equal(known.column("pair"), pair == 1))
-                order = np.argsort(mine.column("h").to_numpy())
-                every, of_gone = (mine.column(c).to_numpy()[order] for c in ("n", "gone"))
+                # not by pyarrow.compute: a fresh worker has not loaded it
+                mine = np.flatnonzero(known.column("pair").to_numpy() == (pair == 1))
+                mine = mine[np.argsort(known.column("h").to_numpy()[mine])]
+                every, of_gone = (known.column(c).to_numpy()[mine] for c in ("n", "gone"))
             elif not pair:
                 stats = _totals(found, every, of_gone)
             counts.append((np.cumsum(n) - n, n, every[inverse], (every - of_gone)[inverse]))
@@ -524,13 +528,18 @@ def _counted(packed: DataFrame, groups: int) -> tuple[DataFrame, DataFrame]:
     return parts, totals.filter("not pair").select("h", "n", "gone").mapInArrow(_cells_of_words, CELLS)
 
 
+def _dealt_to(size: int) -> tuple[int, int]:
+    """(buckets of a group, groups) for a text of so many bytes."""
+    tokens = size / 6  # a token has about six bytes
+    groups = max(1, math.ceil(tokens / (MOST_PER_BUCKET * BUCKETS)))
+    return min(BUCKETS, max(8, math.ceil(tokens / (PER_BUCKET * groups)))), groups
+
+
 def _fitted(docs: DataFrame, head: int | None, buckets: int | None, groups: int = 1) -> tuple[Model, DataFrame]:
     rows = _train_rows(docs)
     classes = None if head is None else _head_words(rows, head)
-    if buckets is None:  # a token has about six bytes
-        size = int(rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0)
-        groups = max(1, -(-size // (6 * PER_BUCKET * BUCKETS)))
-        buckets = max(8, -(-size // (6 * PER_BUCKET * groups)))
+    if buckets is None:
+        buckets, groups = _dealt_to(int(rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0))
     parts, cells = _counted(rows.mapInArrow(_pack(classes, buckets, groups), BLOCKS), groups)
     cells = _summed(cells)
     total = dict(zip(cells[0].tolist(), cells[1].tolist()))
