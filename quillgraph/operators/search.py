@@ -1,8 +1,10 @@
 """Hybrid search: BM25 over four text columns, cosine over vectors, notes, and
 their fusion by reciprocal rank.
 
-A stored keyword index has one row for each term of each row, with its places,
-sorted by term, so a search reads the row groups of its own terms.  Without an
+A stored keyword index has one row for each term of each row, with its places, in
+files that each cover some rows of the corpus and are sorted by term, so a search
+reads the pages of its own terms, and postings are written once, where their rows
+were read, without a shuffle.  Without an
 index the corpus is read once: each row is reduced to its length and the
 frequencies of the asked phrases.  Either way a narrow table of frequencies is
 written, from which both the statistics and the scores come.  Every list is cut
@@ -102,8 +104,7 @@ def _postings(corpus: DataFrame, columns) -> DataFrame:
 
 
 def _write_postings(corpus: DataFrame, path: str, columns) -> None:
-    postings = written(_postings(corpus, columns), "postings")  # ranges are drawn from it before it is sorted: texts are read once
-    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
+    _postings(corpus, columns).sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
 
 
 def _write_rows(corpus: DataFrame, path: str, columns) -> DataFrame:
